@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from assayer.llm.common import Remembered, table, text_batches
 
-#: Matches in each of the two generations of a Python worker's cache.
-CACHE = 400_000
+#: Matches that a Python worker remembers.
+CACHE = 300_000
 #: Longer matches are not remembered.
 CACHE_BYTES = 48
 #: Matches whose trees step together.
@@ -142,17 +142,17 @@ class Codec:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts, as little-endian int32."""
         parts = [self.match(t) for t in texts]
-        seen = set().union(*parts)
-        known = self.memory.lookup(seen, self.learn)
-        get = known.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        return self.memory.joined(parts, self.learn)
 
-    def decode(self, ids: np.ndarray) -> np.ndarray:
+    def decode(self, ids: np.ndarray) -> bytes:
         """Bytes of a run of ids."""
-        length = self.length[ids]
-        ends = np.cumsum(length)
-        shift = self.start[ids] - (ends - length)
-        return self.blob[np.repeat(shift, length) + np.arange(ends[-1] if len(ends) else 0)]
+        out = []
+        for i in range(0, len(ids), TOGETHER):
+            part = ids[i : i + TOGETHER]
+            length = self.length[part]
+            ends = np.cumsum(length)
+            out.append(self.blob[np.repeat(self.start[part] - (ends - length), length) + np.arange(ends[-1])].tobytes())
+        return b"".join(out)
 
 
 def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -161,13 +161,11 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(path, pattern)
         for batch in batches:
-            at = 0
-            for _, texts in text_batches([None] * batch.num_rows, batch.column(1).to_pylist()):
+            for at, texts in text_batches(batch.column(1)):
                 ids = codec.encode(texts)
                 ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
                 values = pa.array(np.frombuffer(b"".join(ids), np.int32))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.ListArray.from_arrays(pa.array(ends), values)], names=["id", "ids"])
-                at += len(texts)
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
@@ -180,14 +178,9 @@ def decode(ids: Column, path: str, pattern: str) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = Codec.of(path, pattern)
         for lists in batches:
-            out = []
-            for i in range(0, len(lists), 256):
-                part = lists.slice(i, 256)
-                sizes = part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-                flat = part.flatten().to_numpy(zero_copy_only=False)
-                raw = codec.decode(flat).tobytes()
-                ends = np.concatenate([[0], np.cumsum(codec.length[flat])])[np.concatenate([[0], np.cumsum(sizes)])]
-                out += [raw[a:b] if ok else None for a, b, ok in zip(ends[:-1], ends[1:], part.is_valid().to_pylist(), strict=True)]
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+            out = [codec.decode(flat[a:b]) if ok else None for a, b, ok in zip([0, *ends[:-1]], ends, lists.is_valid().to_pylist(), strict=True)]
             yield pa.array(out, pa.binary())
 
     return run(ids)

@@ -6,13 +6,16 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Every fifth id, by CRC-32 of its decimal text, is held out of training.
 FOLDS = 5
-#: Text characters that a Python task handles at once.
-BATCH_CHARS = 2_000_000
+#: Bytes of text that a Python task handles at once.
+BATCH_BYTES = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,31 +63,33 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def text_batches(ids: list, texts: list, limit: int = BATCH_CHARS) -> Iterator[tuple[list, list[str]]]:
-    """Runs of (ids, texts) of about `limit` characters; null texts come as empty ones and none is cut."""
-    start = size = 0
-    texts = [t or "" for t in texts]
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= limit:
-            yield ids[start : i + 1], texts[start : i + 1]
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield ids[start:], texts[start:]
+def text_batches(column: pa.Array, limit: int = BATCH_BYTES) -> Iterator[tuple[int, list[str]]]:
+    """Runs of whole texts of about `limit` bytes, with the place of the first; null texts come as empty ones."""
+    ends = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(column):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
+        yield start, [t or "" for t in column.slice(start, stop - start).to_pylist()]
+        start = stop
 
 
 class Remembered:
-    """A bounded cache of two generations: what was not met since the last turn is forgotten."""
+    """Bytes for each part of a text, in a bounded cache that starts anew when it is full."""
 
     def __init__(self, entries: int, longest: int):
-        self.entries, self.longest, self.young, self.old = entries, longest, {}, {}
-
-    def lookup(self, keys: set, learn) -> dict:
-        """A value for each key; learn() makes those of a set of unknown keys."""
-        known = {k: self.old[k] for k in keys & self.old.keys()}
-        known |= {k: self.young[k] for k in keys & self.young.keys()}
-        known |= learn(keys - known.keys())
-        if len(self.young) + len(known) > self.entries:
-            self.old, self.young = self.young, {}
-        self.young.update((k, v) for k, v in known.items() if len(k) <= self.longest)
-        return known
+        self.entries, self.longest, self.known = entries, longest, {}
+
+    def joined(self, parts: list[list[str]], learn) -> list[bytes]:
+        """For each list its parts' bytes, joined; learn() makes those of a set of unknown parts, and may add others."""
+        unknown: set[str] = set()
+        for p in parts:
+            unknown |= set(p).difference(self.known)
+        self.known.update(new := learn(unknown))
+        get = self.known.__getitem__
+        out = [b"".join(map(get, p)) for p in parts]
+        for k in [k for k in new if len(k) > self.longest]:
+            del self.known[k]
+        if len(self.known) > self.entries:
+            self.known.clear()
+        return out

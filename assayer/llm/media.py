@@ -92,11 +92,9 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = 0
-            for _, texts in text_batches([None] * batch.num_rows, batch.column(1).to_pylist()):
+            for at, texts in text_batches(batch.column(1)):
                 raw = [t.encode() for t in texts]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(raw)), pa.array(map(len, raw), pa.int64()), pa.array([to_wav(padded(r)) for r in raw], pa.binary())], names=["id", "n_bytes", "media"])
-                at += len(raw)
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_bytes bigint, media binary").withColumnRenamed("id", id_col)

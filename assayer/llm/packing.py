@@ -13,6 +13,7 @@ by one; other columns are neither read nor returned; an empty table gives an emp
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -36,10 +37,13 @@ AT_ONCE = 200_000
 class WordIds:
     """Ids of whole texts, by the tokenizer's own encoding of what stands between blanks.
 
-    The tokenizer's pattern never spans white space, and its normalizers act on each run of other characters
-    by itself, so the ids of a text are those of its blank-separated parts in order.
+    The tokenizer's pattern never spans white space and its normalizers act on each run of other characters
+    by itself, so the ids of a text are those of its blank-separated parts in order.  Marks after a letter or
+    digit begin a match of their own, so a part's ids are those of its core and of the marks behind it.  The
+    tokenizer lowers letters one by one: texts of Latin-1 characters, where Python does the same, are lowered first.
     """
 
+    MARKS = ".,!#$%&*|;:?"
     _made: dict[str, WordIds] = {}
 
     def __init__(self, path: str):
@@ -47,7 +51,10 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.memory = Remembered(400_000, 48)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a match
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.words = Remembered(800_000, 48)
 
     @classmethod
     def of(cls, path: str) -> WordIds:
@@ -55,18 +62,48 @@ class WordIds:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def learn(self, words: set[str]) -> dict[str, bytes]:
-        words, found = list(words), {}
-        for i in range(0, len(words), 20_000):
-            part = words[i : i + 20_000]
-            found.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True))
+    def tokenize(self, parts: set[str]) -> dict[str, bytes]:
+        """Ids of each part; those of letters alone, one match each, are encoded many in a string."""
+        letters, found = [p for p in parts if p.isalpha()], {}
+        for i in range(0, len(letters), 200):
+            chunk = letters[i : i + 200]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(chunk)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(chunk):
+                raw = ids.tobytes()
+                found.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(chunk, [0, *ends[:-1].tolist()], ends.tolist(), strict=True))
+        others = [p for p in parts if p not in found]
+        for i in range(0, len(others), 20_000):
+            chunk = others[i : i + 20_000]
+            found.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(chunk, self.tokenizer.encode_batch_fast(chunk, add_special_tokens=False), strict=True))
         return found
 
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        split = {}
+        for w in words:
+            core = w.rstrip(self.MARKS)
+            split[w] = (core, w[len(core) :]) if core and ends_match(core[-1]) else (w, "")
+        ids = self.tokenize({p for pair in split.values() for p in pair}.difference(self.words.known))
+        known = self.words.known
+        return ids | {w: (ids[core] if core in ids else known[core]) + (ids[marks] if marks in ids else known[marks]) for w, (core, marks) in split.items()}
+
+    @staticmethod
+    def lowered(text: str) -> str:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        return text.lower()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit numbers."""
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        get = self.memory.lookup(set().union(*parts), self.learn).__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        parts = [self.lowered(t).replace("\n", " ").split(" ") for t in texts]
+        return self.words.joined(parts, self.learn)
+
+
+def ends_match(char: str) -> bool:
+    """True for letters and digits that the tokenizer's normalizers leave letters and digits."""
+    return char.isalnum() and (char < "\u0100" or unicodedata.normalize("NFC", char).lower()[-1].isalnum())
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
@@ -119,7 +156,8 @@ def local_pack(df: DataFrame, path: str, capacity: int, end_id: int, id_col: str
         tail, width = end_id.to_bytes(4, "little"), 4 * capacity
         for batch in batches:
             kind = batch.column(0).type
-            for ids, texts in text_batches(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for at, texts in text_batches(batch.column(1)):
+                ids = batch.column(0).slice(at, len(texts)).to_pylist()
                 for doc, raw in zip(ids, coder.encode(texts), strict=True):
                     raw += tail
                     for k in range(0, len(raw), width):
@@ -179,12 +217,10 @@ def sequences(layout: DataFrame, df: DataFrame, path: str, capacity: int = 2048,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = WordIds.of(path)
         for batch in batches:
-            at = 0
-            for _, texts in text_batches([None] * batch.num_rows, batch.column(1).to_pylist()):
+            for at, texts in text_batches(batch.column(1)):
                 coded = [np.frombuffer(x + end_id.to_bytes(4, "little"), np.int32) for x in coder.encode(texts)]
                 ends = pa.array(np.cumsum([0, *map(len, coded)]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(coded)))], names=["id", "ids"])
-                at += len(texts)
 
     kind = df.schema[id_col].dataType.simpleString()
     coded = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>")

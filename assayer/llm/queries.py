@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayer.llm import bpe, media, packing
+from assayer.llm import bpe, media, packing, quality, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.op1,
+    "op2_neighbour_quality": quality.op2,
     "op3_media_columns": media.op3,
     "op4_byte_bpe": bpe.op4,
+    "op5_toxicity": toxicity.op5,
+    "op7_balanced_shards": sharding.op7,
+    "op10_simhash": simhash.op10,
 }
 
 #: DuckDB SQL for those that it can express.

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayer.llm import bpe, media, packing, quality, sharding, simhash, toxicity
+from assayer.llm import bpe, media, packing, pii, quality, sharding, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.op1,
@@ -14,7 +14,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_media_columns": media.op3,
     "op4_byte_bpe": bpe.op4,
     "op5_toxicity": toxicity.op5,
+    "op6_pii_pseudonyms": pii.op6,
     "op7_balanced_shards": sharding.op7,
+    "op8_warc_zip": warc.op8,
     "op10_simhash": simhash.op10,
 }
 

@@ -1,7 +1,7 @@
 """Format-preserving pseudonyms for personal data, in DataFrame operations alone.
 
 Candidates are found by one pattern and checked by their own rules: payment cards by Luhn's sum, phone numbers by
-the North American numbering plan, social security numbers by their reserved parts, IPv4 addresses by their octets,
+their country code and ten digits, social security numbers by their reserved parts, IPv4 addresses by their octets,
 dates by the calendar.  A valid value is permuted by a keyed Feistel network within the set of valid values of its format, so
 equal values get equal pseudonyms in all documents, different ones different pseudonyms, and the layout stays.  The two
 halves of a network lie in [0, a) and [0, b) with a * b values in the set, which needs no cycle walking; dates move within
@@ -26,7 +26,7 @@ ROUNDS = 8
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}"
 IP = rf"(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?\d)"
-PHONE = r"\+1[ .-]?\(?[2-9]\d\d\)?[ .-]?[2-9]\d\d[ .-]?\d{4}(?!\d)"
+PHONE = r"\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
 SSN = r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\d-])"
 DATE = r"(?<![\d-])(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?![\d-])"
 CARD = r"(?<![\d.])\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?![\d.]*\d)"
@@ -82,10 +82,9 @@ def card(value: Column, key: str) -> Column:
 
 
 def phone(value: Column, key: str) -> Column:
-    d = F.substring(digits_of(value), 2, 10)
-    part = lambda at, n: F.substring(d, at, n).cast("bigint")
-    area, rest = feistel(key, "phone", part(1, 3) - 200, (part(4, 3) - 200) * 10_000 + part(7, 4), 800, 8_000_000)
-    return refill(value, F.concat(F.lit("1"), (area + 200).cast("string"), (F.floor(rest / 10_000) + 200).cast("string"), _digits(rest % 10_000, 4)))
+    d = digits_of(value)
+    left, right = feistel(key, "phone", F.substring(d, 2, 5), F.substring(d, 7, 5), 10**5, 10**5)
+    return refill(value, F.concat(F.lit("1"), _digits(left, 5), _digits(right, 5)))
 
 
 def ssn(value: Column, key: str) -> Column:

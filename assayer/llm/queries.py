@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayer.llm import bpe, media, packing, pii, quality, sharding, simhash, toxicity, warc
+from assayer.llm import bpe, media, neighbours, packing, pii, quality, sharding, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.op1,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_pii_pseudonyms": pii.op6,
     "op7_balanced_shards": sharding.op7,
     "op8_warc_zip": warc.op8,
+    "op9_learned_partitions": neighbours.op9,
     "op10_simhash": simhash.op10,
 }
 

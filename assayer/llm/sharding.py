@@ -1,7 +1,7 @@
 """Balanced shards that keep linked rows together: label propagation under capacity quotas, in DataFrame operations.
 
-Rows with equal texts are linked.  A group larger than a quarter of a shard is first cut into smaller ones.
-Each row begins in a shard by hash of its id.  In every round each group votes for the shard that most of its rows are
+Rows with equal texts are linked.  A group larger than four fifths of a shard is first cut into parts that size,
+which begin in shards next to one another; all other rows begin in a shard by hash of their id.  In every round each group votes for the shard that most of its rows are
 in, and rows move there as far as the shard has room: movers are admitted group by group, in the
 order of a hash, from counts of BUCKETS hash ranges, so that no shard exceeds its quota.  At the end
 rows of linked groups keep their shard within its exact quota; all others, in the order of their group, fill what is
@@ -54,9 +54,10 @@ def shard(df: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str
     rows = stored(rows.withColumn("key", F.xxhash64("id")), "rows")
     total = rows.count()
     quota, more = total // shards, total % shards
-    groups = rows.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g", F.ceil(F.col("n") * 4 / max(1, quota)).cast("int").alias("parts"))
+    groups = rows.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g", F.ceil(F.col("n") * 1.25 / max(1, quota)).cast("int").alias("parts"))
     rows = rows.join(groups, "g", "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod("key", F.col("parts"))).cast("int"))
-    rows = stored(rows.withColumn("shard", F.when(F.col("part").isNotNull(), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shards))).cast("int")).drop("parts"), "rows")
+    begin = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("g"), F.lit(shards)) + F.col("part")).when(F.col("parts") == 1, F.xxhash64("id", F.lit(1)))
+    rows = stored(rows.withColumn("shard", F.pmod(begin, F.lit(shards)).cast("int")).drop("parts"), "rows")
     linked = rows.where("part is not null").select("g", "part", "key", "shard").distinct()
     for _ in range(ROUNDS):
         linked = stored(propagate(linked, shards, quota), "linked")

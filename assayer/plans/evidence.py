@@ -149,7 +149,7 @@ _P = "(0.5*(1+tanh(0.5*(1.2*ln(q/(1-q)) + 0.1))))"
 
 
 @query(f"""SELECT id, detector, round({_P}, 6) AS probability, round(log10({_P}/(1-{_P})) - log10(0.3/0.7), 6) AS log10_lr,
-CASE WHEN abs(log10({_P}/(1-{_P})) - log10(0.3/0.7)) >= 2 THEN 'moderately strong' WHEN abs(log10({_P}/(1-{_P})) - log10(0.3/0.7)) >= 1 THEN 'moderate' ELSE 'limited' END AS strength FROM (SELECT id, detector, greatest(1e-6, least(1-1e-6, raw_score)) AS q FROM v_scores)""")
+CASE WHEN abs(log10({_P}/(1-{_P})) - log10(0.3/0.7)) >= 4 THEN 'very strong' WHEN abs(log10({_P}/(1-{_P})) - log10(0.3/0.7)) >= 3 THEN 'strong' WHEN abs(log10({_P}/(1-{_P})) - log10(0.3/0.7)) >= 2 THEN 'moderately strong' WHEN abs(log10({_P}/(1-{_P})) - log10(0.3/0.7)) >= 1 THEN 'moderate' ELSE 'limited' END AS strength FROM (SELECT id, detector, greatest(1e-6, least(1-1e-6, raw_score)) AS q FROM v_scores)""")
 def calibrated_probability(s, d):
     p = stats.platt(F.col("raw_score"), F.lit(1.2), F.lit(0.1))
     lr = stats.log10_lr(F.col("probability"), F.lit(0.3))

@@ -128,7 +128,7 @@ def coverage_floor(s, d):
     return tables.items(s, d).agg(F.floor(F.expr("percentile(short_side, 0.05)")).cast("bigint").alias("floor")).select(F.explode(F.array(F.lit("learned_a"), F.lit("gen_a"))).alias("detector"), "floor")
 
 
-@query(f"""WITH b AS ({_metrics("branch, tag")}), c AS (SELECT branch, tag, tp/(tp+fn)::DOUBLE AS candidate FROM (SELECT branch, tag, count(*) FILTER (target AND raw_score >= 0.45) AS tp, count(*) FILTER (target AND raw_score < 0.45) AS fn FROM v_rows WHERE execution_status='COMPLETED' GROUP BY 1,2))
+@query(f"""WITH b AS ({_metrics("branch, tag")}), c AS (SELECT branch, tag, tp/nullif(tp+fn, 0)::DOUBLE AS candidate FROM (SELECT branch, tag, count(*) FILTER (target AND raw_score >= 0.45) AS tp, count(*) FILTER (target AND raw_score < 0.45) AS fn FROM v_rows WHERE execution_status='COMPLETED' GROUP BY 1,2))
 SELECT branch, tag, recall AS base, recall_low AS low, recall_high AS high, round(candidate, 6) AS candidate, round(round(candidate, 6) - recall, 6) AS delta, CASE WHEN round(candidate, 6) > recall_high THEN 'improved' WHEN round(candidate, 6) < recall_low THEN 'regressed' ELSE 'within_noise' END AS change FROM b JOIN c USING (branch, tag)""")
 def compare_runs(s, d):
     rows = rows_of(s, d)

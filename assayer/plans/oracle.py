@@ -33,6 +33,9 @@ VIEWS = {
   l_quantity::DOUBLE AS x, l_quantity::DOUBLE * l_tax::DOUBLE * 10 AS y, 10.0::DOUBLE + l_tax::DOUBLE * 100 AS w, 10.0::DOUBLE + l_discount::DOUBLE * 100 AS h,
   {hb("concat('c:', CAST(l_orderkey AS VARCHAR), ':', CAST(l_linenumber AS VARCHAR))")} AS confidence FROM lineitem""",
     "v_media": "SELECT o_orderkey AS media_id, CASE WHEN o_custkey % 50 = 0 THEN NULL ELSE o_custkey END AS owner, o_orderpriority AS case_id, o_orderstatus AS status, o_orderdate AS created_at FROM orders",
+    "v_sources": """SELECT page_id AS source_id, CAST(floor(page_id / 10) AS BIGINT) AS analysis_id, url, CASE page_id % 3 WHEN 0 THEN 'corpus' WHEN 1 THEN 'url_check' ELSE 'archive' END AS provider,
+  CASE page_id % 4 WHEN 0 THEN 'VERIFIED_MATCH' WHEN 3 THEN 'NO_MATCH' ELSE 'SIMILAR_UNVERIFIED' END AS status, CASE WHEN page_id % 7 = 0 THEN NULL ELSE 1704067200 + page_id * 3600 END AS stamp FROM pages""",
+    "v_pixels": "SELECT vec_id, CAST(floor(i / 8) AS BIGINT) AS y, i % 8 AS x, CAST(embedding[i + 1] AS DOUBLE) AS value FROM (SELECT vec_id, embedding, unnest(range(0, 64)) AS i FROM embeddings)",
     "v_claims": f"""SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INT) AS true_qty, concat('Order ', CAST(l_orderkey AS VARCHAR), ' shipped ',
   CAST(CAST(l_quantity AS INT) + CASE WHEN {hb("concat('w:', CAST(l_orderkey AS VARCHAR), ':', CAST(l_linenumber AS VARCHAR))")} < 0.25 THEN 1000 ELSE 0 END AS VARCHAR), ' units [T1].') AS claim FROM lineitem""",
 }

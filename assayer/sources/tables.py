@@ -77,3 +77,16 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     wrong = hash_bucket(F.expr("concat('w:', CAST(l_orderkey AS STRING), ':', CAST(l_linenumber AS STRING))")) < 0.25
     quantity = F.col("l_quantity").cast("int")
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", quantity.alias("true_qty"), F.concat(F.lit("Order "), F.col("l_orderkey").cast("string"), F.lit(" shipped "), (quantity + F.when(wrong, 1000).otherwise(0)).cast("string"), F.lit(" units [T1].")).alias("claim"))
+
+
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of source searches; a seventh of them undated (stamp: seconds since 1970)."""
+    return table(spark, sf_dir, "pages").selectExpr(
+        "page_id AS source_id", "CAST(floor(page_id / 10) AS BIGINT) AS analysis_id", "url", "CASE page_id % 3 WHEN 0 THEN 'corpus' WHEN 1 THEN 'url_check' ELSE 'archive' END AS provider",
+        "CASE page_id % 4 WHEN 0 THEN 'VERIFIED_MATCH' WHEN 3 THEN 'NO_MATCH' ELSE 'SIMILAR_UNVERIFIED' END AS status", "CASE WHEN page_id % 7 = 0 THEN NULL ELSE 1704067200 + page_id * 3600 END AS stamp",
+    )
+
+
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each embedding as a map of 8 by 8 values."""
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v")).selectExpr("vec_id", "CAST(floor(i / 8) AS BIGINT) AS y", "CAST(i % 8 AS BIGINT) AS x", "CAST(v AS DOUBLE) AS value")

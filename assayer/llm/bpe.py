@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from assayer.llm.common import Remembered, table, text_batches
 
 #: Matches that a Python worker remembers.
-CACHE = 300_000
+CACHE = 200_000
 #: Longer matches are not remembered.
 CACHE_BYTES = 48
 #: Matches whose trees step together.

@@ -1,7 +1,7 @@
 """WARC records in ZIP-packaged archives: written by the tasks, read by range from the archives' own directories.
 
-An archive is a ZIP file with two stored members: archive/data.warc, the records one after the other, and
-indexes/index.json, a line for each record with its place.  A reader takes the end record, the ZIP64 end record where
+An archive is a ZIP file with two stored members: archive/data.warc.gz, the records one after the other, each a gzip
+member of its own, and indexes/index.json, a line for each record with its place.  A reader takes the end record, the ZIP64 end record where
 it is used, and the central directory, finds both members' bytes from their local headers, and reads each record by
 range; nothing is unpacked.  Of records with equal payloads (at least `least` bytes long) that with the largest id is
 the response, the others are revisits of it without a body; their headers keep digest and length.
@@ -13,6 +13,7 @@ be null and such rows are left out; other columns are neither read nor returned;
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import json
 import struct
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from assayer.llm.common import new_path, stored, table
 
-DATA, INDEX = "archive/data.warc", "indexes/index.json"
+DATA, INDEX = "archive/data.warc.gz", "indexes/index.json"
 #: Bytes of records after which a task begins a new archive, and bytes of payload read at once.
 ROLL, AHEAD = 256_000_000, 8_000_000
 
@@ -142,7 +143,7 @@ def archives(fs, root: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple
                 package = zipfile.ZipFile(out, "w", zipfile.ZIP_STORED)
                 data = package.open(zipfile.ZipInfo(DATA), "w", force_zip64=True)
             digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-            raw = record(page_id, url.replace("\r", "%0D").replace("\n", "%0A"), kind, refers_to, digest, payload)
+            raw = gzip.compress(record(page_id, url.replace("\r", "%0D").replace("\n", "%0A"), kind, refers_to, digest, payload), compresslevel=1, mtime=0)
             data.write(raw)
             index.append(json.dumps({"id": page_id, "at": size, "length": len(raw)}))
             size += len(raw)
@@ -169,7 +170,7 @@ def read(listed: DataFrame, folder: str) -> DataFrame:
                     rows, held = [], 0
                     for entry in map(json.loads, filter(None, lines)):
                         file.seek(base + entry["at"])
-                        fields, body = parse_record(file.read(entry["length"]))
+                        fields, body = parse_record(gzip.decompress(file.read(entry["length"])))
                         refers = fields.get("WARC-Refers-To", "")
                         rows.append((int(fields["WARC-Record-ID"][len("<urn:page:") : -1]), fields["WARC-Type"], int(refers[len("<urn:page:") : -1]) if refers else None, fields["WARC-Payload-Digest"].removeprefix("sha1:"), int(fields["X-Payload-Length"]), body if fields["WARC-Type"] == "response" else None))
                         held += len(body)

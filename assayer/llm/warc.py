@@ -21,7 +21,6 @@ import uuid
 import zipfile
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -154,54 +153,56 @@ def archives(fs, root: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple
         yield close()
 
 
-def read(listed: DataFrame, folder: str) -> DataFrame:
-    """(page_id, record_type, refers_to, payload_digest, payload_bytes, payload) of every record, by the archives' indexes."""
+def read(listed: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
+    """(page_id, record_type, refers_to, payload_digest, payload_bytes[, payload]) of every record, by the archives' indexes.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    A response whose payload has not the digest and length that its header states stops the job.
+    """
+    fields = [("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())]
+    fields = fields if payloads else fields[:-1]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True))[: len(fields)]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = filesystem(folder)
         for batch in batches:
-            for archive in batch["archive"]:
+            for archive in batch.column(0).to_pylist():
                 with fs.open_input_file(archive) as file:
-                    places = members(file)
-                    start, length = places[INDEX]
-                    file.seek(start)
-                    lines = file.read(length).decode().split("\n")
-                    base, _ = places[DATA]
                     rows, held = [], 0
-                    for entry in map(json.loads, filter(None, lines)):
-                        file.seek(base + entry["at"])
-                        fields, body = parse_record(gzip.decompress(file.read(entry["length"])))
-                        refers = fields.get("WARC-Refers-To", "")
-                        rows.append((int(fields["WARC-Record-ID"][len("<urn:page:") : -1]), fields["WARC-Type"], int(refers[len("<urn:page:") : -1]) if refers else None, fields["WARC-Payload-Digest"].removeprefix("sha1:"), int(fields["X-Payload-Length"]), body if fields["WARC-Type"] == "response" else None))
-                        held += len(body)
+                    for row in records(file):
+                        rows.append(row)
+                        held += len(row[-1] or b"")
                         if held >= AHEAD:
-                            yield _frame(rows)
+                            yield batch_of(rows)
                             rows, held = [], 0
                     if rows:
-                        yield _frame(rows)
-
-    return listed.repartition("archive").mapInPandas(run, "page_id bigint, record_type string, refers_to bigint, payload_digest string, payload_bytes bigint, payload binary")
-
+                        yield batch_of(rows)
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["page_id", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload"])
-    return out.astype({"refers_to": "Int64"})
+    kinds = {pa.int64(): "bigint", pa.string(): "string", pa.binary(): "binary"}
+    return listed.select("archive").repartition(max(1, listed.count()), "archive").mapInArrow(run, ", ".join(f"{n} {kinds[t]}" for n, t in fields))
 
 
-def checked(records: DataFrame) -> DataFrame:
-    """Records as they are, where a response's payload has the digest and length that its header states; others stop the job."""
-
-    @F.arrow_udf("string")
-    def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.array([None if x is None else base64.b32encode(hashlib.sha1(x).digest()).decode() for x in batch.to_pylist()], pa.string())
-
-    own = records.withColumn("own", digest("payload"))
-    right = F.col("payload").isNull() | ((F.col("own") == F.col("payload_digest")) & (F.octet_length("payload") == F.col("payload_bytes")))
-    return own.select("page_id", F.when(right, F.col("payload_bytes")).otherwise(F.raise_error(F.lit("a payload differs from its digest")).cast("bigint")).alias("payload_bytes"), F.coalesce("own", "payload_digest").alias("payload_digest"), "record_type", "refers_to")
+def records(file) -> Iterator[tuple]:
+    """The records of an open archive, each read by range from its place in the index."""
+    places = members(file)
+    start, length = places[INDEX]
+    file.seek(start)
+    lines = file.read(length).decode().split("\n")
+    base, _ = places[DATA]
+    for entry in map(json.loads, filter(None, lines)):
+        file.seek(base + entry["at"])
+        fields, body = parse_record(gzip.decompress(file.read(entry["length"])))
+        kind, digest, n = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:"), int(fields["X-Payload-Length"])
+        if kind == "response" and (n != len(body) or digest != base64.b32encode(hashlib.sha1(body).digest()).decode()):
+            raise ValueError(f"{fields['WARC-Record-ID']}: the payload differs from its digest")
+        page, refers = (x[len("<urn:page:") : -1] for x in (fields["WARC-Record-ID"], fields.get("WARC-Refers-To", "")))
+        yield int(page), kind, int(refers) if refers else None, digest, n, body if kind == "response" else None
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to archives and read back."""
     folder = new_path(spark, "warc")
-    return checked(read(write(table(spark, sf_dir, "pages"), folder), folder))
+    found = read(write(table(spark, sf_dir, "pages"), folder), folder, payloads=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

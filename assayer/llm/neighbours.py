@@ -60,10 +60,10 @@ def neighbour_graph(vectors: np.ndarray) -> np.ndarray:
     """The LINKS nearest of each vector by inner product, itself left out."""
     k = min(LINKS, len(vectors) - 1)
     out = np.zeros((len(vectors), k), np.int64)
-    for i in range(0, len(vectors), 1024):
-        near = vectors[i : i + 1024] @ vectors.T
+    for i in range(0, len(vectors), 256):
+        near = vectors[i : i + 256] @ vectors.T
         near[np.arange(len(near)), np.arange(i, i + len(near))] = -np.inf
-        out[i : i + 1024] = np.argpartition(-near, k - 1, axis=1)[:, :k] if k else out[i : i + 1024]
+        out[i : i + 256] = np.argpartition(-near, k - 1, axis=1)[:, :k] if k else out[i : i + 256]
     return out
 
 
@@ -117,8 +117,8 @@ def probes_for(router: Router, vectors: np.ndarray, queries: np.ndarray) -> int:
     parts = router.weights.shape[1]
     home = router.order(vectors, 1)[:, 0]
     found = np.zeros(parts)
-    for i in range(0, len(queries), 1024):
-        q = queries[i : i + 1024]
+    for i in range(0, len(queries), 256):
+        q = queries[i : i + 256]
         near = vectors[q] @ vectors.T
         near[np.arange(len(q)), q] = -np.inf
         k = min(NEAR, len(vectors) - 1)

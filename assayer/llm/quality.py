@@ -80,8 +80,11 @@ class Space:
 
 
 def damped(counts: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    rows = np.log1p(1000.0 * counts) * weight
-    return (rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+    rows = counts * np.float32(1000)
+    np.log1p(rows, out=rows)
+    rows *= weight
+    rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
+    return rows
 
 
 def leading_axes(x: np.ndarray) -> np.ndarray:
@@ -102,13 +105,13 @@ def learn(df: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [terms(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"id": batch.column(0).cast(pa.string()), "y": batch.column(2), "terms": pa.array([r.tobytes() for r in rows], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"id": batch.column(0).cast(pa.string()), "y": batch.column(2), "terms": pa.array([(1000 * r).astype(np.float16).tobytes() for r in rows], pa.binary())})
 
     rows = texts.mapInArrow(run, "id string, y int, terms binary").toPandas().sort_values(["id", "y"])
     if rows.empty:
         none = np.zeros((0, LATENT), np.float32)
         return Space(np.zeros(SHAPES + REPEATS, np.float32), np.zeros((SHAPES + REPEATS, LATENT), np.float32), none, np.zeros(0))
-    counts = np.stack([np.frombuffer(t, np.float32) for t in rows["terms"]])
+    counts = np.stack([np.frombuffer(t, np.float16) for t in rows.pop("terms")]).astype(np.float32) / np.float32(1000)
     weight = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 1
     weight[SHAPES:] *= 2
     x = damped(counts, weight.astype(np.float32))

@@ -69,3 +69,53 @@ def test_near_copies_in_a_crowd(spark, monkeypatch):
     base = " ".join(f"w{i}" for i in range(500))
     df = spark.createDataFrame([(i, base + f" end{i}") for i in range(60)], "doc_id bigint, text string")
     assert {r.component_id for r in nearcopies.near_copies(df).collect()} == {0}
+
+
+def edited_families(rng, families, edits, length=200):
+    """Texts by id, and the ids of each family: a text and edited versions of it."""
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts, of = {}, []
+    for f in range(families):
+        base = [word() for _ in range(length)]
+        of.append([])
+        for k in range(1 + edits):
+            own = list(base)
+            for at in rng.sample(range(length), rng.randrange(1, 9)) if k else []:
+                own[at] = word()
+            texts[10_000 + 100 * f + k] = " ".join(own)
+            of[-1].append(10_000 + 100 * f + k)
+    return texts, of
+
+
+def by_brute_force(texts, family):
+    """The pairs of a family at 0.8 or more, and the least id that each of it reaches by them."""
+    runs = {i: (lambda w: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})(texts[i].split()) for i in family}
+    pairs = [(a, b) for a in family for b in family if a < b and 5 * len(runs[a] & runs[b]) >= 4 * len(runs[a] | runs[b])]
+    least = {i: i for i in family}
+    for _ in family:
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    return pairs, least
+
+
+def test_near_copies_are_confirmed(spark):
+    """No link below 0.8; of the pairs at 0.8 or more, 98 % at least are found."""
+    texts, families = edited_families(random.Random(3), 40, 5)
+    crowd, more = edited_families(random.Random(4), 1, 40)
+    texts, families = texts | {i - 10_000: t for i, t in crowd.items()}, families + [[i - 10_000 for i in more[0]]]
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in nearcopies.near_copies(df).collect()}
+    met = total = 0
+    for family in families:
+        pairs, least = by_brute_force(texts, family)
+        assert all(least[i] == least[got[i]] for i in family)
+        met, total = met + sum(got[a] == got[b] for a, b in pairs), total + len(pairs)
+    assert total > 250 and met >= 0.98 * total
+
+
+def test_a_repeated_line_makes_no_copies(spark):
+    rng = random.Random(5)
+    own = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(100))
+    line = "all rights reserved by the owner of this "
+    df = spark.createDataFrame([(i, line * 60 + own()) for i in range(30)], "doc_id bigint, text string")
+    assert nearcopies.dedupe(df).count() == 30

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from assayer.llm import nearcopies, pii, quality, toxicity
 from assayer.llm.common import stored, table
@@ -119,3 +121,15 @@ def test_a_repeated_line_makes_no_copies(spark):
     line = "all rights reserved by the owner of this "
     df = spark.createDataFrame([(i, line * 60 + own()) for i in range(30)], "doc_id bigint, text string")
     assert nearcopies.dedupe(df).count() == 30
+
+
+def test_buckets_are_met_at_any_size():
+    """Sets of similarity 0.8 exactly share a bucket in 99.5 % of cases at least; buckets do not depend on the table."""
+    rng = np.random.default_rng(0)
+    for shared, own in ((80, 10), (8, 1), (4, 0.5), (4000, 500)):
+        met, tries = 0, 200 if shared > 1000 else 2000
+        for _ in range(tries):
+            h = rng.integers(0, 2**64, int(shared + 2 * own), np.uint64)
+            a, b = np.sort(h[: int(shared + own)]), np.sort(np.concatenate([h[:shared], h[int(shared + own) :]]))
+            met += bool((nearcopies.buckets(a) == nearcopies.buckets(b)).any()) and int(np.bitwise_count(nearcopies.long_fingerprint(a) ^ nearcopies.long_fingerprint(b)).sum()) <= nearcopies.LIMIT
+        assert met >= 0.995 * tries, (shared, met)

@@ -6,7 +6,8 @@ components() links distinct fingerprints at `bits` or fewer differing bits.  Two
 every fingerprint goes to one bucket for each band.  Within a bucket a hierarchical index is built in Gray order:
 neighbours in that order share most bits, a node keeps the bits that all below it share (a mask and a pattern), and a
 pair of nodes whose patterns differ too often under both masks is pruned with all below it.  Each bucket returns a
-spanning forest of its links, never all pairs.  A bucket of more than CROWD fingerprints is dealt into parts, and a task
+spanning forest of its links, nearest first, never all pairs but for those of a single leaf.  Fingerprints may have several
+words: their Gray order, masks and patterns go over all of them, and the pipeline deals them out by buckets of its own.  A bucket of more than CROWD fingerprints is dealt into parts, and a task
 takes each pair of parts.  Large-star and small-star rounds then make components of the forests.
 
 Cases: null and empty texts have fingerprint 0 and are linked like any other; texts of fewer words than a shingle count as
@@ -61,50 +62,60 @@ def fingerprints(df: DataFrame, words: int = 3, id_col: str = "doc_id", text_col
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp bigint").withColumnRenamed("id", id_col)
 
 
-def gray_rank(fps: np.ndarray) -> np.ndarray:
-    """The place of each word in the reflected Gray sequence."""
-    rank = fps.copy()
+def gray_order(fps: np.ndarray) -> np.ndarray:
+    """The order of fingerprints (one word each, or a row of words, the first leading) in the reflected Gray sequence."""
+    rank = (fps if fps.ndim > 1 else fps[:, None]).copy()
     for shift in (1, 2, 4, 8, 16, 32):
         rank ^= rank >> np.uint64(shift)
-    return rank
+    for word in range(1, rank.shape[1]):  # after an odd number of ones the sequence runs backwards
+        rank[:, word] ^= np.uint64(0) - (rank[:, word - 1] & np.uint64(1))
+    return np.lexsort(rank.T[::-1])
+
+
+def ones(bits: np.ndarray) -> np.ndarray:
+    """Bits set in each fingerprint."""
+    counts = np.bitwise_count(bits)
+    return counts if bits.ndim == 1 else counts.sum(1, dtype=np.int64)
 
 
 def forest(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
     """Links that connect what pairs at `bits` or fewer differing bits connect, as places; one fewer than each component has members."""
-    order = np.argsort(gray_rank(fps))
+    order = gray_order(fps)
     sorted_fps = fps[order]
-    levels = [(sorted_fps, np.full(len(fps), ~np.uint64(0)))]  # (pattern, mask of the bits that all below share)
+    at_once = AT_ONCE // (fps[:1].size or 1)
+    levels = [(sorted_fps, np.full(fps.shape, ~np.uint64(0)))]  # (pattern, mask of the bits that all below share)
     while len(levels[-1][0]) > CHILDREN:
         pattern, mask = levels[-1]
         at = np.arange(0, len(pattern), CHILDREN)
-        ones, zeros = np.bitwise_and.reduceat(pattern & mask, at), np.bitwise_and.reduceat(~pattern & mask, at)
-        levels.append((ones, ones | zeros))
+        set_, clear = np.bitwise_and.reduceat(pattern & mask, at), np.bitwise_and.reduceat(~pattern & mask, at)
+        levels.append((set_, set_ | clear))
     top = len(levels[-1][0])
     first = np.triu_indices(top)
     work, label = [(len(levels) - 1, first[0], first[1])], np.arange(len(fps))
     links: list[tuple[int, int]] = []
     while work:
         level, a, b = work.pop()
-        if len(a) > AT_ONCE:
-            work += [(level, a[i : i + AT_ONCE], b[i : i + AT_ONCE]) for i in range(0, len(a), AT_ONCE)]
+        if len(a) > at_once:
+            work += [(level, a[i : i + at_once], b[i : i + at_once]) for i in range(0, len(a), at_once)]
             continue
         pattern, mask = levels[level]
-        near = np.bitwise_count((pattern[a] ^ pattern[b]) & mask[a] & mask[b]) <= bits
-        a, b = a[near], b[near]
+        apart = ones((pattern[a] ^ pattern[b]) & mask[a] & mask[b])
+        near = apart <= bits
+        a, b, apart = a[near], b[near], apart[near]
         if level:
             size, child = len(levels[level - 1][0]), np.arange(CHILDREN)
-            step = AT_ONCE // (CHILDREN * CHILDREN)
+            step = at_once // (CHILDREN * CHILDREN)
             for i in range(0, len(a), step):
                 left, right = np.broadcast_arrays((a[i : i + step, None] * CHILDREN + child)[:, :, None], (b[i : i + step, None] * CHILDREN + child)[:, None, :])
                 left, right = left.ravel(), right.ravel()
                 ok = (left <= right if level > 1 else left < right) & (right < size)
                 work.append((level - 1, left[ok], right[ok]))
             continue
-        ok = a != b
-        a, b = a[ok], b[ok]
+        nearest = np.argsort(apart, kind="stable")
+        a, b = a[nearest], b[nearest]
         while True:  # link what is not yet connected
-            apart = label[a] != label[b]
-            a, b = a[apart], b[apart]
+            new = label[a] != label[b]
+            a, b = a[new], b[new]
             if not len(a):
                 break
             high, low = np.maximum(label[a], label[b]), np.minimum(label[a], label[b])
@@ -116,17 +127,16 @@ def forest(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
     return links
 
 
-def links(classes: DataFrame, bits: int) -> DataFrame:
-    """(a, b): forests of links between rows (rep, fp); fps are distinct."""
-    width, bands = 64 // (bits + 1), bits + 1
-    band = lambda i: F.shiftrightunsigned("fp", i * width).bitwiseAND(F.lit((1 << width) - 1)) + F.lit(i << width)
-    placed = classes.select("rep", "fp", F.explode(F.array(*[band(i) for i in range(bands)])).alias("bucket"))
-    sizes = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    parts = F.ceil(F.col("n") / CROWD).cast("int")
-    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    dealt = placed.join(sizes.select("bucket", parts.alias("parts")), "bucket").withColumn("own", own)
-    dealt = dealt.select("bucket", "rep", "fp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"), "own")
-    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "fp")
+def dealt(places: DataFrame, crowd: int) -> DataFrame:
+    """(bucket, i, j, rep, fp) of (bucket, rep, fp): each bucket of more than `crowd` rows as pairs of parts; rows that are alone are left out."""
+    sizes = places.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket", F.ceil(F.col("n") / crowd).cast("int").alias("parts"))
+    out = places.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    out = out.select("bucket", "rep", "fp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"), "own")
+    return out.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "fp")
+
+
+def forests(rows: DataFrame, bits: int) -> DataFrame:
+    """(bucket, i, j, u, v, listed): forests of links between dealt rows, or where `listed` all links; fp is one word, or the bytes of several."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -135,28 +145,40 @@ def links(classes: DataFrame, bits: int) -> DataFrame:
             keys = part[["bucket", "i", "j"]].to_numpy()
             cut = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
             rest = part.iloc[cut[-1] if len(cut) else 0 :]
-            yield linked(part.iloc[: cut[-1]], cut[:-1]) if len(cut) else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+            if len(cut):
+                yield linked(part.iloc[: cut[-1]], cut[:-1])
         if rest is not None:
             yield linked(rest, np.zeros(0, np.int64))
 
     def linked(part: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
-        rep, fps = part["rep"].to_numpy(np.int64), part["fp"].to_numpy(np.int64).view(np.uint64)
+        rep = part["rep"].to_numpy(np.int64)
+        fps = part["fp"].to_numpy(np.int64).view(np.uint64) if part["fp"].dtype == np.int64 else np.frombuffer(b"".join(part["fp"]), np.uint64).reshape(len(part), -1)
         starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(part)]])
         sizes, pairs = ends - starts, []
         run_of = np.repeat(np.arange(len(starts)), sizes)
         few = sizes <= CHILDREN  # one leaf: all its pairs at once, for all such runs
         for gap in range(1, int(sizes[few].max(initial=0))):
             at = np.flatnonzero((run_of[gap:] == run_of[:-gap]) & few[run_of[gap:]])
-            at = at[np.bitwise_count(fps[at] ^ fps[at + gap]) <= bits]
-            pairs.append(np.stack([rep[at], rep[at + gap]], 1))
+            at = at[ones(fps[at] ^ fps[at + gap]) <= bits]
+            pairs.append(np.stack([at, at + gap], 1))
         for r in np.flatnonzero(~few).tolist():
             found = np.array(forest(fps[starts[r] : ends[r]], bits), np.int64).reshape(-1, 2) + starts[r]
-            pairs.append(rep[found])
+            pairs.append(found)
         both = np.concatenate([np.zeros((0, 2), np.int64), *pairs])
-        return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
+        a, b = rep[both[:, 0]], rep[both[:, 1]]
+        keys = part[["bucket", "i", "j"]].iloc[both[:, 0]].reset_index(drop=True)
+        return keys.assign(u=np.maximum(a, b), v=np.minimum(a, b), listed=few[run_of[both[:, 0]]])
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInPandas(run, "bucket bigint, i int, j int, u bigint, v bigint, listed boolean")
 
-    n = classes.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    return dealt.repartition(int(n), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInPandas(run, "a bigint, b bigint").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+
+def links(classes: DataFrame, bits: int) -> DataFrame:
+    """(u, v): forests of links between rows (rep, fp); fps are distinct."""
+    width, bands = 64 // (bits + 1), bits + 1
+    band = lambda i: F.shiftrightunsigned("fp", i * width).bitwiseAND(F.lit((1 << width) - 1)) + F.lit(i << width)
+    placed = classes.select("rep", "fp", F.explode(F.array(*[band(i) for i in range(bands)])).alias("bucket"))
+    return forests(dealt(placed, CROWD), bits).select("u", "v").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

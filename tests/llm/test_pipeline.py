@@ -133,3 +133,27 @@ def test_buckets_are_met_at_any_size():
             a, b = np.sort(h[: int(shared + own)]), np.sort(np.concatenate([h[:shared], h[int(shared + own) :]]))
             met += bool((nearcopies.buckets(a) == nearcopies.buckets(b)).any()) and int(np.bitwise_count(nearcopies.long_fingerprint(a) ^ nearcopies.long_fingerprint(b)).sum()) <= nearcopies.LIMIT
         assert met >= 0.995 * tries, (shared, met)
+
+
+def test_the_stage_uses_the_gray_order_index(spark, monkeypatch):
+    """Operator 10's forest over several words connects what brute force does, and the stage calls it."""
+    from assayer.llm import simhash
+
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**64, (30, 8), np.uint64)
+    fps = np.concatenate([base, *[base ^ (rng.integers(0, 2**64, base.shape, np.uint64) & rng.integers(0, 2**64, base.shape, np.uint64) & rng.integers(0, 2**64, base.shape, np.uint64)) for _ in range(9)]])
+    near = np.bitwise_count(fps[:, None] ^ fps[None]).sum(2, dtype=np.int64) <= 100
+    reach = near.copy()
+    for _ in range(9):
+        reach = reach @ reach
+    found = simhash.forest(fps, 100)
+    assert all(near[a, b] for a, b in found)
+    assert len(found) == len(fps) - len({tuple(r) for r in reach})
+    order = simhash.gray_order(np.array([[a, b] for a in range(4) for b in (0, 1 << 63)], np.uint64))
+    whole = [int(f"{a:064b}{b:064b}", 2) for a in range(4) for b in (0, 1 << 63)]
+    rank = lambda x: x if not x else x ^ rank(x >> 1)
+    assert order.tolist() == sorted(range(8), key=lambda k: rank(whole[k]))
+    used = []
+    monkeypatch.setattr(nearcopies, "forests", lambda rows, bits: used.append(bits) or simhash.forests(rows, bits))
+    nearcopies.near_copies(spark.createDataFrame([(1, "a b"), (2, "a b c")], "doc_id bigint, text string"))
+    assert used == [nearcopies.LIMIT]

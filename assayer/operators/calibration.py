@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,20 +61,25 @@ def auc_bootstrap(rows: DataFrame, by: str, reps: int, seed: str = "auc") -> Dat
 
 
 def admitted(requests: DataFrame, key: list[str], seconds: float, limit: int) -> DataFrame:
-    """Moving window in which only admitted requests count; each key is one ordered run of its own requests (key, ts, id)."""
+    """Moving window in which only admitted requests count, for (key, ts, id); a key's ordered run is read in batches, of which only the window is held."""
+    kinds = dict(requests.dtypes)
+    names = [*key, "id"]
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["ts", "id"])
-        held: list[float] = []
-        out, first = [], 0
-        for t in (part["ts"].astype("int64") / (1e9 if str(part["ts"].dtype).endswith("[ns]") else 1e6)).tolist():
-            while first < len(held) and held[first] <= t - seconds:
-                first += 1
-            ok = len(held) - first < limit
-            if ok:
-                held.append(t)
-            out.append(ok)
-        return part.assign(admitted=out)[[*key, "id", "admitted"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, held = None, deque()
+        for batch in batches:
+            out = []
+            for k, micros in zip(batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True):
+                if k != of:
+                    of, held = k, deque()
+                t = -(2.0**53) if micros is None else micros / 1e6
+                while held and held[0] <= t - seconds:
+                    held.popleft()
+                out.append(len(held) < limit)
+                if out[-1]:
+                    held.append(t)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(out, pa.bool_())], names=[*names, "admitted"])
 
-    kinds = dict(requests.dtypes)
-    return requests.select(*key, "ts", "id").groupBy(*key).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in key) + f", id {kinds['id']}, admitted boolean")
+    rows = requests.select(*names, F.to_json(F.struct(*key)).alias("_key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("_micros"))
+    rows = rows.repartition("_key").sortWithinPartitions("_key", F.asc_nulls_last("_micros"), F.asc_nulls_last("id"))
+    return rows.mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in names) + ", admitted boolean")

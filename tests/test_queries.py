@@ -112,3 +112,32 @@ def test_stream_windows_match_the_table(spark, data, tmp_path):
     q.stop()
     key = lambda df: sorted(map(tuple, df.select("window_start", "detector", "runs", "failed", "inconclusive").collect()))
     assert key(spark.table("w")) == key(windows.outcome_windows(runs))
+
+
+def test_moving_window_reads_a_key_in_batches(spark, monkeypatch):
+    """One key of many batches; a frame of the whole key is never asked for."""
+    import datetime
+    import random
+
+    from pyspark.sql.group import GroupedData
+
+    from assayer.operators.calibration import admitted
+
+    def whole(*_):
+        raise AssertionError("a whole key in one frame")
+
+    monkeypatch.setattr(GroupedData, "applyInPandas", whole, raising=False)
+    rng, start = random.Random(0), datetime.datetime(2024, 1, 1)
+    rows = [(u, start + datetime.timedelta(seconds=rng.randrange(20_000)), i) for i, u in enumerate([1] * 900 + [2] * 40 + [None] * 40)]
+    expected, held = {}, {}
+    for u, t, i in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2])):
+        own = held[u] = [x for x in held.get(u, []) if x > t - datetime.timedelta(seconds=600)]
+        expected[i] = len(own) < 3
+        if expected[i]:
+            own.append(t)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = {r.id: r.admitted for r in admitted(spark.createDataFrame(rows, "u bigint, ts timestamp, id bigint"), ["u"], 600, 3).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == expected

@@ -2,18 +2,24 @@
 
 learn() takes a bounded sample of vectors (SAMPLE, the first by hash), links each to its nearest, and halves this
 neighbour graph again and again: values spread over the links until neighbours have like ones, and the median parts them, so
-that partitions are balanced.  A softmax classifier learns from each sampled vector how its neighbours are spread over
-the partitions.  Every vector is indexed in its most probable partition; a query goes to several of the most probable and
-is compared there with all vectors, in blocks, exactly and in double precision.  How many are probed is learned too: as many
-as find TARGET of the nearest of held-out vectors within the sample.  Where vectors have structure they are few;
+that partitions are balanced.  Their number is the square root of the table's over DENSITY, as a power of two (SAMPLE / 16 at
+most: a partition has that many sampled vectors).  A softmax classifier learns from each sampled vector how its neighbours are
+spread over the partitions.  Every vector is indexed in its most probable partition; a query goes to several of the most
+probable and is compared there exactly and in double precision, in blocks of both sides.  How many are probed is learned too:
+as many as find TARGET of the nearest of held-out vectors within the sample.  Where vectors have structure they are few;
 vectors without any (uniform on a sphere of 64 dimensions) need about three quarters of them.
 
+The comparison has two passes.  The first takes the FIRST most probable partitions of a query and gives it a bound, the
+score of the worst that it would keep; in the others only candidates that reach the bound leave a task, so that the
+rows that are merged grow with the queries, not with queries times partitions.
+
 Equal vectors are one class.  Ties go to the smaller id, so of each class only the k + 1 smallest ids can be
 among the k nearest of any vector; the others are not compared, and nothing is lost.
 
-Cases: vectors that are null, zero, empty or hold null or non-finite components take no part, nor do null ids; with no more
-candidates than k all come back, if their partition was probed; repeated (id, vector) rows count once; other columns are neither read nor
-returned; an empty table gives an empty one.
+Cases: vectors that are null, zero, empty or hold null or non-finite components take no part, nor do null ids; partitions are
+added to a query's until they hold more than k others, so k come back wherever there are as many, and all where there are
+fewer; repeated rows count once, and of an id with several vectors the one of least digest counts; other columns, whatever their names, are neither
+read nor returned; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -29,12 +35,12 @@ from pyspark.sql import functions as F
 
 from assayer.llm.common import stored, table
 
-#: Sampled vectors, links of each, classes that a partition holds about, and the most partitions.
-SAMPLE, LINKS, AIM, MOST = 8_192, 12, 1_024, 256
+#: Sampled vectors, links of each, and what the square root of the number of classes is divided by for the number of partitions.
+SAMPLE, LINKS, DENSITY = 8_192, 12, 8
 #: Recall that the number of probes must reach on held-out vectors of the sample, one in EIGHTH of them, and the k of that recall.
 TARGET, EIGHTH, NEAR = 0.95, 8, 20
-#: Rows of a partition that one task compares.
-BLOCK = 4_096
+#: Rows of a partition, and queries, that a task compares; partitions that give a query its bound.
+BLOCK, FIRST = 4_096, 2
 
 
 def usable(vector: Column) -> Column:
@@ -129,71 +135,102 @@ def probes_for(router: Router, vectors: np.ndarray, queries: np.ndarray) -> int:
 
 def learn(classes: DataFrame, count: int) -> tuple[Router, int]:
     """The router, and how many partitions a query probes."""
-    parts = 1 << max(2, min(MOST, -(-count // AIM)).bit_length() - 1)
     rows = classes.select("cid", "vector").orderBy(F.xxhash64("cid"), "cid").limit(SAMPLE).toPandas().sort_values("cid")
     vectors = np.stack(rows["vector"].to_numpy()).astype(np.float64)
-    if len(vectors) < 2 * EIGHTH:
-        return fit(vectors, 1), 1
+    parts = 1 << max(0, int(np.log2(max(1.0, min(count**0.5 / DENSITY, len(vectors) / 16)))))
+    if parts == 1:  # nothing to choose from
+        return Router(np.zeros((vectors.shape[1] + 1, 1))), 1
     out = np.arange(len(vectors)) % EIGHTH == 0
-    router = fit(vectors[~out], min(parts, 1 << max(0, len(rows).bit_length() - 3)))
-    return router, min(router.weights.shape[1], probes_for(router, vectors, np.flatnonzero(out)))
+    router = fit(vectors[~out], parts)
+    return router, probes_for(router, vectors, np.flatnonzero(out))
+
+
+def best_of(queries: pd.DataFrame, own: pd.DataFrame, n: int) -> pd.DataFrame:
+    """(qid, cid, score): of each query's scores in a block the n best, those that do not reach its bound left out."""
+    out = [pd.DataFrame({"qid": np.zeros(0, np.int64), "cid": np.zeros(0, np.int64), "score": np.zeros(0)})]
+    if len(queries) and len(own):
+        own = own.sort_values("cid")
+        ids, b = own["cid"].to_numpy(), np.stack(own["vector"].to_numpy())
+        n = min(n, len(ids))
+        for i in range(0, len(queries), 256):
+            part = queries.iloc[i : i + 256]
+            a = np.stack(part["asked"].to_numpy())
+            score = a @ b.T
+            least = np.maximum(-np.partition(-score, n - 1, axis=1)[:, n - 1], part["bound"].to_numpy())[:, None]
+            q, c = np.nonzero(score >= least - 1e-9 * np.abs(least))  # ties at the edge stay
+            exact = np.einsum("ij,ij->i", a[q], b[c])
+            order = np.lexsort((ids[c], -exact, q))
+            q, c, exact = q[order], c[order], exact[order]
+            keep = np.arange(len(q)) - np.searchsorted(q, q) < n
+            out.append(pd.DataFrame({"qid": part["qid"].to_numpy()[q[keep]], "cid": ids[c[keep]], "score": exact[keep]}))
+    return pd.concat(out)
+
+
+def compared(probing: DataFrame, index: DataFrame, sizes: DataFrame, n: int) -> DataFrame:
+    """(qid, cid, score) of queries (qid, asked, bound, part) with the index rows of their partitions; both sides come in blocks."""
+    few = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    asked = probing.groupBy("part").agg(F.count("*").alias("asking"))  # a row for each partition, as in sizes
+    blocks = F.broadcast(sizes.join(asked, "part").select("part", few("size").alias("blocks"), few("asking").alias("sides")))
+    block = lambda key, of: F.pmod(F.xxhash64(key), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    left = probing.join(blocks, "part").withColumn("block", every("blocks")).select("part", "block", block("qid", "sides").alias("side"), "qid", "asked", "bound")
+    right = index.join(blocks, "part").withColumn("side", every("sides")).select("part", block("cid", "blocks").alias("block"), "side", "cid", "vector")
+    key = ["part", "block", "side"]
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(lambda q, own: best_of(q, own, n), "qid bigint, cid bigint, score double")
 
 
 def search(df: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row whose id is divisible by `every`."""
+    spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("vector"))).withColumn("key", F.sha2(F.array_join(F.transform("vector", lambda x: (x + F.lit(0.0)).cast("string")), ",").cast("binary"), 256))
-    first = rows.select("key", "id").distinct().withColumn("place", F.row_number().over(W.partitionBy("key").orderBy("id"))).where(F.col("place") <= k + 1)
+    ids = rows.groupBy("id").agg(F.min("key").alias("key"))
+    first = ids.withColumn("place", F.row_number().over(W.partitionBy("key").orderBy("id"))).where(F.col("place") <= k + 1)
     named = first.groupBy("key").agg(F.min("id").alias("cid"), F.sort_array(F.collect_list("id")).alias("ids"))
-    asked = rows.where(F.col("id") % every == 0).select("key", F.col("id").alias("query_id")).distinct()
+    asked = ids.where(F.col("id") % every == 0).select("key", F.col("id").alias("query_id"))
     wanted = asked.select("key").distinct().withColumn("wanted", F.lit(True))
     vectors = rows.select("id", "vector", F.col("key").alias("own")).join(named, (F.col("own") == F.col("key")) & (F.col("id") == F.col("cid")))
     vectors = vectors.dropDuplicates(["key"]).select("key", "cid", "ids", "vector")
     classes = stored(vectors.join(wanted, "key", "left").withColumn("wanted", F.coalesce("wanted", F.lit(False))), "classes")
     count = classes.count()
     if not count:
-        return df.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     router, probes = learn(classes, count)
 
     def routed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                best = router.order(np.stack(batch["vector"].to_numpy()), probes)
-                yield pd.DataFrame({"cid": batch["cid"], "vector": batch["vector"], "wanted": batch["wanted"], "parts": list(best.astype(np.int32))})
-
-    placed = stored(classes.select("cid", "vector", "wanted").mapInPandas(routed, "cid bigint, vector array<double>, wanted boolean, parts array<int>"), "placed")
-    home = placed.select("cid", "vector", F.col("parts")[0].alias("part"))
-    blocks = home.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    index = home.join(F.broadcast(blocks), "part").select("part", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("block"), "cid", "vector")
-    probing = placed.where("wanted").select(F.col("cid").alias("qid"), F.col("vector").alias("asked"), F.explode("parts").alias("part")).join(F.broadcast(blocks), "part")
-    probing = probing.select("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "qid", "asked")
-
-    def compare(queries: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(queries) and len(own):
-            own = own.sort_values("cid")
-            ids, b = own["cid"].to_numpy(), np.stack(own["vector"].to_numpy())
-            n = min(k + 1, len(ids))
-            for i in range(0, len(queries), 256):
-                a = np.stack(queries["asked"].to_numpy()[i : i + 256])
-                score = a @ b.T
-                least = -np.partition(-score, n - 1, axis=1)[:, n - 1 :n]
-                q, c = np.nonzero(score >= least - 1e-9 * np.abs(least))  # ties at the edge stay
-                exact = np.einsum("ij,ij->i", a[q], b[c])
-                order = np.lexsort((ids[c], -exact, q))
-                q, c, exact = q[order], c[order], exact[order]
-                place = np.arange(len(q)) - np.searchsorted(q, q)
-                keep = place < n
-                out.append(pd.DataFrame({"qid": queries["qid"].to_numpy()[i : i + 256][q[keep]], "cid": ids[c[keep]], "score": exact[keep]}))
-        return pd.concat(out) if out else pd.DataFrame({"qid": np.zeros(0, np.int64), "cid": np.zeros(0, np.int64), "score": np.zeros(0)})
-
-    near = probing.groupBy("part", "block").cogroup(index.groupBy("part", "block")).applyInPandas(compare, "qid bigint, cid bigint, score double")
-    best = near.withColumn("place", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "cid"))).where(F.col("place") <= k + 1)
+                best = router.order(np.stack(batch["vector"].to_numpy()), 1)[:, 0]
+                yield pd.DataFrame({"cid": batch["cid"], "vector": batch["vector"], "wanted": batch["wanted"], "part": best.astype(np.int32)})
+
+    index = stored(classes.select("cid", "vector", "wanted").mapInPandas(routed, "cid bigint, vector array<double>, wanted boolean, part int"), "index")
+    sizes = stored(index.groupBy("part").agg(F.count("*").alias("size")), "sizes")
+    held = np.zeros(router.weights.shape[1], np.int64)
+    for r in sizes.collect():  # a row for each partition
+        held[r["part"]] = r["size"]
+
+    def probed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                order = router.order(np.stack(batch["vector"].to_numpy()), len(held))
+                enough = 1 + (np.cumsum(held[order], axis=1) < k + 2).sum(1)  # itself and k + 1 others
+                parts = [o[:n].astype(np.int32) for o, n in zip(order, np.maximum(probes, enough), strict=True)]
+                yield pd.DataFrame({"qid": batch["cid"], "asked": batch["vector"], "parts": parts})
+
+    queries = stored(index.where("wanted").select("cid", "vector").mapInPandas(probed, "qid bigint, asked array<double>, parts array<int>"), "queries")
+    near = lambda hits: hits.withColumn("place", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "cid"))).where(F.col("place") <= k + 1)
+    probing = lambda q, parts, bound: q.select("qid", "asked", bound.alias("bound"), F.explode(parts).alias("part"))
+    lowest = F.lit(float("-inf"))
+    one = stored(near(compared(probing(queries, F.slice("parts", 1, FIRST), lowest), index, sizes, k + 1)), "near")
+    bounds = one.where(F.col("place") == k + 1).select("qid", F.col("score").alias("worst"))
+    more = queries.where(F.size("parts") > FIRST).join(bounds, "qid", "left")
+    two = compared(probing(more, F.expr(f"slice(parts, {FIRST + 1}, size(parts))"), F.coalesce("worst", lowest)), index, sizes, k + 1)
+    best = near(one.drop("place").unionByName(two))
     hits = best.join(classes.select("cid", "ids"), "cid").select("qid", F.explode("ids").alias("vec_id"), "score")
     lists = hits.groupBy("qid").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))), 1, k + 1).alias("near"))
-    queries = asked.join(classes.where("wanted").select("key", F.col("cid").alias("qid")), "key").join(lists, "qid")
+    asking = asked.join(classes.where("wanted").select("key", F.col("cid").alias("qid")), "key").join(lists, "qid")
     others = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
-    return queries.select("query_id", F.posexplode(others).alias("place", "hit")).select("query_id", (F.col("place") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.minus")).alias("score"))
+    return asking.select("query_id", F.posexplode(others).alias("place", "hit")).select("query_id", (F.col("place") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.minus")).alias("score"))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

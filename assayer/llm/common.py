@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 FOLDS = 5
 #: Bytes of text that a Python task handles at once.
 BATCH_BYTES = 2_000_000
+#: A key that more than one in HEAVY of all rows have is joined by broadcast; there are fewer than HEAVY such keys.
+HEAVY = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +57,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def joined(rows: DataFrame, keyed: DataFrame, key: str, total: int, how: str = "left") -> DataFrame:
+    """rows with the columns of keyed (one row for each key, n: how many rows have it; total: all rows); no frequent key fills a task.
+
+    The rows of frequent keys stay where they are and meet a broadcast of fewer than HEAVY keys; the others are joined by key.
+    """
+    often = keyed.where(F.col("n") * HEAVY > total)
+    at_home = rows.join(F.broadcast(often), key)
+    others = rows.join(F.broadcast(often.select(key)), key, "left_anti").join(keyed.where(F.col("n") * HEAVY <= total), key, how)
+    return at_home.unionByName(others)
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a table that stored() wrote, once nothing reads them any more."""
     spark = df.sparkSession

@@ -154,6 +154,7 @@ def test_the_stage_uses_the_gray_order_index(spark, monkeypatch):
     rank = lambda x: x if not x else x ^ rank(x >> 1)
     assert order.tolist() == sorted(range(8), key=lambda k: rank(whole[k]))
     used = []
-    monkeypatch.setattr(nearcopies, "forests", lambda rows, bits: used.append(bits) or simhash.forests(rows, bits))
+    forests = nearcopies.forests
+    monkeypatch.setattr(nearcopies, "forests", lambda rows, bits: used.append(bits) or forests(rows, bits))
     nearcopies.near_copies(spark.createDataFrame([(1, "a b"), (2, "a b c")], "doc_id bigint, text string"))
     assert used == [nearcopies.LIMIT]

@@ -6,8 +6,14 @@ it is used, and the central directory, finds both members' bytes from their loca
 range; nothing is unpacked.  Of records with equal payloads (at least `least` bytes long) that with the largest id is
 the response, the others are revisits of it without a body; their headers keep digest and length.
 
-Cases: null payload counts as empty; null URLs are written as empty; repeated rows of one id give one record each; ids must not
-be null and such rows are left out; other columns are neither read nor returned; an empty table gives no archives and no rows.
+Roles come from a table of the payloads that occur more than once.  Spark broadcasts it if it is small, and then no payload
+is shuffled; if not, payloads meet it by digest, frequent ones by broadcast, so that none fills a task.
+
+Cases: null payload counts as empty; null URLs are written as empty; a row gives a record, repeated ones too: of an id with
+several payloads each is judged by its own digest, and repeated rows with the largest id are all responses; rows with null ids
+are left out; other columns, whatever their names, are neither read nor returned; a payload is held whole in a task (Spark's
+limit of 2 GB a value holds); an empty table gives no archives and no rows.  The shared folder is one that pyarrow opens:
+file, hdfs, viewfs, s3 (s3a too), gs or abfs.
 """
 
 from __future__ import annotations
@@ -22,10 +28,10 @@ import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm.common import new_path, stored, table
+from assayer.llm.common import joined, new_path, stored, table
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.json"
 #: Bytes of records after which a task begins a new archive, and bytes of payload read at once.
@@ -54,6 +60,7 @@ def filesystem(path: str):
     """(file system, path in it) of a folder that all executors share."""
     from pyarrow import fs
 
+    path = path.replace("s3a://", "s3://", 1) if path.startswith("s3a://") else path
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
@@ -95,19 +102,22 @@ def members(file) -> dict[str, tuple[int, int]]:
     return out
 
 
-def roles(pages: DataFrame, id_col: str, payload: Column, least: int) -> DataFrame:
-    """(id, digest, kind, refers_to) of each row."""
-    rows = pages.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.sha1(payload).alias("digest"), F.octet_length(payload).alias("size"))
-    last = rows.where(F.col("size") >= least).groupBy("digest").agg(F.max("id").alias("last"))
-    revisit = F.col("last").isNotNull() & (F.col("id") < F.col("last"))
-    joined = rows.join(last, "digest", "left")
-    return joined.select("id", F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("last")).alias("refers_to"))
+def with_roles(rows: DataFrame, least: int) -> DataFrame:
+    """rows (id, payload, …) with kind and refers_to."""
+    rows = rows.withColumn("digest", F.sha1("payload"))
+    of = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.max("id").alias("last"), F.count("*").alias("n"))
+    several = stored(of.where("n > 1"), "several")
+    total = several.agg(F.sum("n")).first()[0] or 0
+    last = joined(rows, several, "digest", total)
+    revisit = F.col("last").isNotNull() & (F.octet_length("payload") >= least) & (F.col("id") < F.col("last"))
+    return last.withColumn("kind", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("last")))
 
 
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0) -> DataFrame:
     """(archive, records): archives of all rows in `folder`; a list stored beside them names the ones that count."""
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
-    kind = dict(pages.dtypes)[id_col]
+    if dict(pages.dtypes)[id_col] not in ("bigint", "int", "smallint", "tinyint"):
+        raise TypeError("page ids are whole numbers")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = filesystem(folder)
@@ -115,9 +125,8 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
         for archive, n in archives(fs, root, batches):
             yield pa.RecordBatch.from_pydict({"archive": pa.array([archive]), "records": pa.array([n], pa.int64())})
 
-    rows = pages.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), payload.alias("payload"))
-    rows = rows.join(roles(pages, id_col, payload, least).distinct(), "id").select(F.col("id").cast("bigint"), "url", "payload", "kind", F.col("refers_to").cast("bigint"))
-    assert kind in ("bigint", "int", "smallint", "tinyint"), "page ids are whole numbers"
+    rows = pages.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), payload.alias("payload"))
+    rows = with_roles(rows, least).select("id", "url", "payload", "kind", "refers_to")
     return stored(rows.mapInArrow(run, "archive string, records bigint"), "archives")
 
 

@@ -133,7 +133,7 @@ def test_op6_permutes_valid_values(spark):
     cards = ["4111 1111 1111 1111", "4111111111111111", "5500000000000004"]
     rows = [(i, f"pay {c} on 2024-02-29 from 10.0.0.255 ssn 123-45-6789 call +1 (212) 555-0100 a.b@c.org ok") for i, c in enumerate(cards)]
     rows += [(8, "no 4111111111111112 1.2.3 999.1.1.1 2024-13-01"), (9, None), (10, ""), (11, "\u0001 4111111111111111 \u0002b")]
-    out = {r.doc_id: r for r in pii.pseudonyms(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    out = {r.doc_id: r for r in pii.pseudonyms(spark.createDataFrame(rows, "doc_id bigint, text string"), "k").collect()}
     pattern = re.compile(r"pay ([\d ]+) on (\d{4}-\d\d-\d\d) from (\S+) ssn (\d{3}-\d\d-\d{4}) call (\+1 \(\d{3}\) \d{3}-\d{4}) (\S+@\S+) ok")
     a, b, c = (pattern.fullmatch(out[i].text).groups() for i in range(3))
     assert a[0].replace(" ", "") == b[0] != c[0] and a[1:] == b[1:] == c[1:] and a[0] != cards[0]
@@ -146,7 +146,7 @@ def test_op6_permutes_valid_values(spark):
 
 def test_op6_is_a_permutation(spark):
     rows = spark.createDataFrame([(i, f"1.2.{i // 256}.{i % 256}") for i in range(2000)], "doc_id bigint, text string")
-    assert pii.pseudonyms(rows).select("text").distinct().count() == 2000
+    assert pii.pseudonyms(rows, "k").select("text").distinct().count() == 2000
 
 
 def test_op7_is_balanced_and_gapless(spark, data, odd, empty):
@@ -258,7 +258,7 @@ def test_op10_forest_of_a_crowd():
     lambda df: media.features(media.store(df)),
     lambda df: toxicity.score(df, toxicity.Lexicon({"idiot": 1.0})),
     lambda df: quality.score(df, quality.learn(df, df.selectExpr("doc_id", "1 as quality").limit(0))),
-    lambda df: pii.pseudonyms(df),
+    lambda df: pii.pseudonyms(df, "k"),
 ])
 def test_odd_rows(odd, empty, run):
     out = run(odd)

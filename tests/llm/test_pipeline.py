@@ -32,7 +32,7 @@ def test_stages(spark, data):
             assert len(set(texts)) == len(texts)
         else:
             assert kept.keys() == rows.keys()
-            expected = {r.doc_id: r.text for r in pii.pseudonyms(before).collect()}
+            expected = {r.doc_id: r.text for r in pii.pseudonyms(before, pii.key_of(spark)).collect()}
             assert kept == expected
         assert set(kept) <= set(rows)
         before = out

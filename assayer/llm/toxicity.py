@@ -7,12 +7,15 @@ A text's strength is the weighted number of its matches, normalised by its numbe
 bare number; a logistic curve makes a score of both.
 
 learn() finds the lexicon in labelled texts: the stems that toxic texts use much more often, word for word, and
-of stems that begin with one another the best.  It reads at most SAMPLE labelled texts, the first by hash of
-their ids.
-
-Cases: null and empty texts have no matches and get the score of such texts; null labels are not learned from; if no
-toxic text is labelled, the given seed terms are the lexicon; other columns are neither
-read nor returned; repeated rows are scored one by one; an empty table gives an empty one.
+of stems that begin with one another the best.  Exception phrases, a match with the word before or behind it, are learned beside
+the given ones: those that other texts use and toxic ones hardly.  It reads at most SAMPLE labelled texts, the first by hash of
+their ids, once.
+
+Cases: null and empty texts have no matches and get the score of such texts; very long texts are matched whole, in time that
+grows with their length; null labels are not learned from, and of a text with several labels the highest counts; stems of equal
+weight come longest first, then in alphabetical order; if no toxic text is labelled, the given seed terms are the lexicon; other
+columns, whatever their names, are neither read nor returned (reject() returns them); repeated rows are scored one by one; an
+empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -20,19 +23,21 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm.common import held_out, table, text_batches
+from assayer.llm.common import forget, held_out, stored, table, text_batches
 
-#: Labelled texts that a lexicon is learned from, at most.
+#: Labelled texts that a lexicon is learned from, at most; also the exceptions and the curve.
 SAMPLE = 10_000
 #: A stem's least share of the toxic texts, least log ratio of its rates, and the most stems of a lexicon.
 SUPPORT, RATIO, TERMS = 0.015, 1.4, 500
@@ -46,11 +51,14 @@ ALIKE = {
     "р": "p", "ԛ": "q", "с": "c", "ѕ": "s", "т": "t", "у": "y", "х": "x", "ԝ": "w", "α": "a", "β": "b", "ε": "e", "η": "n",
     "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ω": "w", "ı": "i", "ø": "o", "đ": "d", "ł": "l",
 }
-#: Phrases in which a term is no insult.
-EXCEPTIONS = ("trash can", "trash cans", "trash bag", "trash bin", "clown fish", "idiot proof", "idiot light", "pond scum", "soap scum", "stupid question", "sore loser rule")
+#: Phrases in which a term is no insult, beside those that are learned.
+EXCEPTIONS = ("trash can", "trash bag", "trash bin", "idiot proof", "idiot light", "pond scum", "soap scum", "stupid question")
+#: Texts, none of them toxic, that a learned exception needs, and how many times its rate there is that in toxic ones.
+SPARED, RARER = 5, 4.0
 #: Terms that stand in for a lexicon where nothing was learned.
 SEED = ("idiot", "moron", "stupid", "scum", "loser", "pathetic", "worthless", "disgusting")
 WORD = re.compile(r"[^\W\d_]+")
+BEFORE, BEHIND = re.compile(r"[^\W\d_]{2,20} $"), re.compile(r"[^\W\d_]+ [^\W\d_]{2,20}")
 _INVISIBLE = dict.fromkeys([0xAD, *range(0x200B, 0x2010), *range(0x202A, 0x202F), 0x2060, 0xFEFF, *range(0xFE00, 0xFE10)])
 
 
@@ -110,7 +118,12 @@ class Lexicon:
             start, end = last + 1 - length, last + 1
             if start == 0 or not text[start - 1].isalnum():
                 (hits if weight else spared).append((start, end, weight))
-        return [h for h in hits if not any(s <= h[0] and h[1] <= e for s, e, _ in spared)] if spared else hits
+        if not spared:
+            return hits
+        spared.sort()
+        starts, reach = [s for s, _, _ in spared], list(accumulate((e for _, e, _ in spared), max))  # how far those that begin so early go
+        place = [bisect_right(starts, s) - 1 for s, _, _ in hits]
+        return [h for h, i in zip(hits, place, strict=True) if i < 0 or reach[i] < h[1]]
 
     def strength(self, text: str, spans: list[tuple[int, int, float]] | None = None) -> tuple[float, float]:
         """Weighted matches, and those in a thousand words; both as log(1 + x)."""
@@ -130,11 +143,30 @@ def sample(df: DataFrame, labels: DataFrame, label: str, id_col: str, text_col:
     return df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(chosen, "id").select("text", "y")
 
 
+def labelled(batch: pa.RecordBatch) -> Iterator[tuple[str, int]]:
+    """(text, y) of a batch, a few texts in memory at once."""
+    for at, texts in text_batches(batch.column(0)):
+        yield from zip(texts, batch.column(1).slice(at, len(texts)).to_pylist(), strict=True)
+
+
+def phrases(text: str, lexicon: Lexicon) -> set[str]:
+    """Matches with the word before, and with the word behind them."""
+    shown = visible(text)
+    spans, flat, out = lexicon.spans(shown), folded(shown), set()
+    for start, _, _ in spans:
+        if whole := WORD.match(flat, start):
+            if before := BEFORE.search(flat, max(0, start - 21), start):
+                out.add(flat[before.start() : whole.end()])
+            if behind := BEHIND.match(flat, start):
+                out.add(behind.group())
+    return out
+
+
 def _stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(stem, texts, toxic_rate, other_rate): toxic texts of a batch with the stem, and its damped rates in both kinds, summed."""
     for batch in batches:
         rates, texts = {0: Counter(), 1: Counter()}, Counter()
-        for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for text, y in labelled(batch):
             words = WORD.findall(folded(visible(text)))
             own: Counter = Counter()
             for word, n in Counter(words).items():
@@ -151,7 +183,7 @@ def _stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn(df: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Lexicon:
     """The lexicon and its curve."""
-    rows = sample(df, labels, label, id_col, text_col, SAMPLE)
+    rows = stored(sample(df, labels, label, id_col, text_col, SAMPLE), "sample")
     n = {r["toxic"]: r["n"] for r in rows.groupBy((F.col("y") > 0).alias("toxic")).agg(F.count("*").alias("n")).collect()}
     toxic, other = n.get(True, 0), n.get(False, 0)
     if not toxic:
@@ -167,13 +199,23 @@ def learn(df: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
         return Lexicon(dict.fromkeys(SEED, 1.0))
     lexicon = Lexicon({t: w / max(weights.values()) for t, w in weights.items()})
 
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = [(p, int(y > 0)) for t, y in labelled(batch) for p in phrases(t, lexicon)]
+            yield pa.RecordBatch.from_pydict({"phrase": pa.array([p for p, _ in pairs], pa.string()), "toxic": pa.array([y for _, y in pairs], pa.int32())})
+
+    uses = rows.mapInArrow(found, "phrase string, toxic int").groupBy("phrase").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
+    spared = uses.where((F.col("good") >= SPARED) & (F.col("good") * toxic >= RARER * F.col("bad") * max(1, other)) & (F.col("bad") * max(1, other) < F.col("good") * toxic))
+    lexicon = Lexicon(lexicon.weights, (*EXCEPTIONS, *[r["phrase"] for r in spared.orderBy(F.desc("good"), "phrase").limit(TERMS).collect()]))
+
     def strengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = [lexicon.strength(t) for t in batch.column(0).to_pylist()]
+            pairs = [lexicon.strength(t) for t, _ in labelled(batch)]
             yield pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in pairs], pa.float64()), "b": pa.array([p[1] for p in pairs], pa.float64()), "y": batch.column(1)})
 
     seen = rows.mapInArrow(strengths, "a double, b double, y int").toPandas().sort_values(["a", "b", "y"])
     lexicon.curve = logistic(seen[["a", "b"]].to_numpy(), seen["y"].to_numpy() > 0)
+    forget(rows)
     return lexicon
 
 

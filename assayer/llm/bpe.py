@@ -4,10 +4,11 @@ A text is cut by a pre-tokenization pattern and every match is merged by itself.
 the match's byte positions keeps, at its root, the leftmost pair of least rank.  A merge
 changes three leaves (the merged position, its live left neighbour, the position that dies) and
 repairs their paths to the root, so n bytes take O(n log n).  The trees of many matches lie in
-one NumPy array and step together; matches seen before come from a bounded cache.
+one NumPy array and step together, as do a long match's own merges in plain lists; matches seen before come from a bounded cache.
 
-Cases: null text counts as empty and gives an empty id list; ids and texts of repeated rows
-are repeated; other columns of the input are neither read nor returned; an empty table gives an empty one.
+Cases: null text counts as empty and gives an empty id list; very long texts are encoded whole, and a match of a megabyte
+takes a minute; of pairs of equal rank the leftmost is merged first; ids and texts of repeated rows are repeated; other columns
+of the input, whatever their names, are neither read nor returned; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from assayer.llm.common import Remembered, table, text_batches
 CACHE = 200_000
 #: Longer matches are not remembered.
 CACHE_BYTES = 48
-#: Matches whose trees step together.
-TOGETHER = 16_384
+#: Matches whose trees step together, and bytes of one that has a tree of plain lists.
+TOGETHER, LONG = 16_384, 512
 _NONE = np.iinfo(np.int64).max
 
 
@@ -51,7 +52,7 @@ class Codec:
         order = np.argsort(keys)
         self.keys, self.merged = keys[order], np.array(merged, np.int64)[order]
         tokens = {rank: token for token, rank in ranks.items()}
-        known = [tokens.get(i, b"") for i in range(self.base)]
+        self.tokens = known = [tokens.get(i, b"") for i in range(self.base)]
         self.length = np.array([len(t) for t in known], np.int64)
         self.start = np.concatenate([[0], np.cumsum(self.length)])
         self.blob = np.frombuffer(b"".join(known), np.uint8)
@@ -112,6 +113,46 @@ class Codec:
         flat, ends = ids[live].astype("<i4").tobytes(), np.cumsum(live.sum(1)) * 4
         return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
+    def merge_long(self, raw: bytes) -> bytes:
+        """Ids of one long match: the same tree in plain lists."""
+        n, ranks, tokens = len(raw), self.ranks, self.tokens
+        width, none = 1 << (n - 1).bit_length(), _NONE
+        ids: list[int | None] = self.bytes_of[np.frombuffer(raw, np.uint8)].tolist()
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        first = np.frombuffer(raw, np.uint8).astype(np.int64)
+        pair = self.pair_rank(self.bytes_of[first[:-1]], self.bytes_of[first[1:]])
+        leaves = np.full(width, none, np.int64)
+        leaves[: n - 1] = np.where(pair < none, np.where(pair < none, pair, 0) * width + np.arange(n - 1), none)
+        levels = [leaves]
+        while len(levels[-1]) > 1:
+            levels.append(np.minimum(levels[-1][::2], levels[-1][1::2]))
+        tree = [none, *[x for level in reversed(levels) for x in level.tolist()]]
+
+        def put(at: int) -> None:
+            right = after[at]
+            rank = ranks.get(tokens[ids[at]] + tokens[ids[right]]) if ids[at] is not None and right < n else None
+            node, value = at + width, none if rank is None else rank * width + at
+            tree[node] = value
+            while node > 1:
+                other = tree[node ^ 1]
+                value = other if other < value else value
+                node >>= 1
+                if tree[node] == value:
+                    break  # nothing above changes
+                tree[node] = value
+
+        while (best := tree[1]) < none:
+            rank, at = divmod(best, width)
+            gone = after[at]
+            ids[at], ids[gone] = rank, None
+            after[at] = right = after[gone]
+            if right < n:
+                before[right] = at
+            put(gone), put(at)
+            if before[at] >= 0:
+                put(before[at])
+        return np.array([i for i in ids if i is not None], "<i4").tobytes()
+
     @staticmethod
     def _put(tree: np.ndarray, width: int, rows: np.ndarray, at: np.ndarray, rank: np.ndarray) -> None:
         """Set one leaf of each row and repair the path above it."""
@@ -130,6 +171,8 @@ class Codec:
             raw = piece.encode()
             if (rank := self.ranks.get(raw)) is not None:
                 found[piece] = rank.to_bytes(4, "little")
+            elif len(raw) > LONG:
+                found[piece] = self.merge_long(raw)
             else:
                 groups.setdefault((len(raw) - 1).bit_length(), []).append((piece, raw))
         for bits, group in groups.items():

@@ -32,7 +32,7 @@ from assayer.llm.common import forget, joined, stored, table, text_batches
 
 SEED = 42
 #: Fingerprints of a node that one task takes, nodes below one of the next level (a power of two), and pairs of nodes that a task takes.
-NODE, FAN, PAIRS = 16_384, 16, 32
+NODE, FAN, PAIRS = 16_384, 16, 4
 #: Within a task: children of a node, and node pairs compared at once.
 CHILDREN, AT_ONCE = 16, 1 << 19
 

@@ -1,14 +1,14 @@
 """Balanced shards that keep linked rows together: label propagation under capacity quotas, in DataFrame operations.
 
-Rows with equal texts are linked.  A group larger than four fifths of a shard is first cut into parts of that size; all linked
-rows begin in a shard by hash of their id.  What moves is a unit, the rows of one part that began in one shard, so a group has no
+Rows with equal texts are linked.  A group larger than four fifths of a shard is first cut into parts of that size,
+which begin in shards next to one another; all other linked rows begin in a shard by hash of their id.  What moves is a unit, the rows of one part that began in one shard, so a group has no
 more units than there are shards, however many rows it has.  In every round each part votes for the shard that most of its rows
 are in, and units move there under quotas: between two shards as many rows as want to go the other way, and beyond that as
 many as the goal has room for, admitted in the order of a hash that each round draws anew, from counts of BUCKETS hash ranges.
 Rounds go on until two in a row no longer lower the rows that are apart from their part's shard by a hundredth, ROUNDS at most.  At the end rows of
 linked groups keep their shard within its exact quota; all others, in the order of their group, fill what is left.
 The law is `rows`: shard sizes differ by one row at most.  Ranks come from two levels (counts of hash ranges, then a window
-within one), so no task sorts a shard, and rows of large groups are spread over the ranges.
+within one), so no task sorts a shard, and rows of large groups are spread over ranges of their own, which come first.
 
 Cases: null text counts as empty, with 0 bytes; very long texts count their bytes; null ids are rows like any other; repeated
 rows are placed one by one, in any order among themselves; ties of votes are decided by a hash; texts are told apart by a
@@ -88,8 +88,9 @@ def shard(df: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str
     groups = stored(rows.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") * 1.25 / max(1, quota)).cast("int")), "groups")
     rows = joined(rows, groups, "g", total).drop("n").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod("key", F.col("parts"))).cast("int"))
     own = F.when(F.col("part").isNull(), F.xxhash64("g")).when(F.col("parts") > 1, F.xxhash64("key", F.lit(7))).otherwise(F.xxhash64("g", F.lit(7)))
-    began = F.when(F.col("part").isNotNull(), F.pmod(F.xxhash64("key", F.lit(1)), F.lit(shards)).cast("int"))
-    rows = stored(rows.withColumn("range", _range(own)).withColumn("began", began).withColumn("unit", F.concat_ws(":", "g", "part", "began")), "rows")
+    start = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("g"), F.lit(shards)) + F.col("part")).otherwise(F.xxhash64("key", F.lit(1)))
+    began = F.when(F.col("part").isNotNull(), F.pmod(start, F.lit(shards)).cast("int"))
+    rows = stored(rows.withColumn("range", _range(own) - F.when(F.col("parts") > 1, BUCKETS).otherwise(0)).withColumn("began", began).withColumn("unit", F.concat_ws(":", "g", "part", "began")), "rows")
     linked = rows.where("part is not null")
     units = linked.groupBy("g", "part", "began").agg(F.count("*").alias("n")).withColumn("shard", F.col("began"))
     homes = stored(settled(units, quota).select(F.concat_ws(":", "g", "part", "began").alias("unit"), F.col("shard").alias("near"), "n"), "homes")

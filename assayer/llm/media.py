@@ -2,14 +2,16 @@
 
 store() writes each text's UTF-8 bytes, filled up with bytes 255 to a positive multiple of UNIT, as the
 samples of a one-channel 8-bit WAV, so that the bytes come back exactly.  features() reads a WAV column
-with the wave module, takes a short-time Fourier transform (Hann window, FRAME samples, no overlap), keeps the
+with the wave module, takes a short-time Fourier transform (Hann window, FRAME samples, a frame begins every HOP), keeps the
 strongest local maxima of each frame and pairs every one with those of the frames after it.  A pair is
 coded as (first bin, second bin, frames between) and kept with the time of its first frame, in two arrays
-of equal length.
+of equal length, by time, then code.
 
 Cases: null text counts as empty (UNIT bytes of 255); silence and constant tones have no maxima and give empty
-arrays; a null WAV gives null features; equal bytes give equal features, as a text is never transformed together with
-another; other columns are neither read nor returned; an empty table gives an empty one.
+arrays; of maxima of equal strength the lower bin comes first; very long texts are transformed BLOCK frames at a time (Spark's
+limit of 2 GB a value holds); a null WAV gives null features; equal bytes give equal features, as a text is never transformed
+together with another, so repeated rows are equal; other columns, whatever their names, are neither read nor returned by store()
+(features() keeps them, and replaces one named `features`); an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ from assayer.llm.common import table, text_batches
 
 UNIT = 576
 RATE = 8000
-#: Samples of a frame (UNIT is a multiple), peaks kept of it, and frames ahead with which they are paired.
-FRAME, PEAKS, AHEAD = 192, 2, 2
+#: Samples of a frame and between the beginnings of two (UNIT is a multiple of both), peaks kept, and frames ahead with which they are paired.
+FRAME, HOP, PEAKS, AHEAD = 192, 96, 2, 2
 #: Frames transformed at once.
 BLOCK = 4096
 
@@ -56,7 +58,7 @@ def spectral_peaks(samples: np.ndarray) -> np.ndarray:
     """Bins of the strongest local maxima of each frame, strongest first; 0 where there are fewer."""
     window = np.hanning(FRAME)
     found = []
-    frames = samples.reshape(-1, FRAME)
+    frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP]
     for i in range(0, len(frames), BLOCK):
         power = np.abs(np.fft.rfft((frames[i : i + BLOCK].astype(np.float64) - 128.0) * window, axis=1))
         inner = power[:, 1:-1]
@@ -123,8 +125,8 @@ def features(df: DataFrame, media_col: str = "media") -> DataFrame:
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document stored as a WAV and read back; `feature` sums up the fingerprint's arrays."""
+    """Every document stored as a WAV and read back; `feature` sums up the fingerprint's arrays, which come beside it."""
     read = features(store(table(spark, sf_dir, "documents")))
     joined = lambda c: F.array_join(F.col(f"features.{c}").cast("array<string>"), " ")
     feature = F.concat(F.size("features.codes").cast("string"), F.lit(":"), F.sha2(F.concat_ws("|", joined("times"), joined("codes")).cast("binary"), 256))
-    return read.select("doc_id", "n_bytes", *[f"features.{c}" for c in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")], feature.alias("feature"))
+    return read.select("doc_id", "n_bytes", *[f"features.{c}" for c in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")], feature.alias("feature"), "features.times", "features.codes")

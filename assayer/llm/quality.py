@@ -1,15 +1,17 @@
 """Quality by nearest-neighbour voting in a latent space.
 
-A text's terms are the four-character shapes that it is made of (letters, capitals, digits, blanks and each
-punctuation mark are told apart, letters are not), in hashed counts, beside how many of its words
-and lines repeat.  Damped counts are weighed by inverse document frequency, and a singular value decomposition of a
-bounded, balanced set of labelled texts gives the latent space and the labelled vectors.
-Both are small and sent to every task, which multiplies each text's vector with all labelled vectors in
-blocks: the cosines are exact.  The nearest vote with their label, weighed by a power of the cosine.
+A text's terms are hashed: the runs of GRAM bytes that it is made of, letters lowered (its content), the four-character shapes
+(letters, capitals, digits, blanks and each punctuation mark told apart: its layout), and how many of its words and lines repeat.
+Damped counts are weighed by inverse document frequency, counted over all documents, and a singular value decomposition of a
+bounded, balanced set of labelled texts gives the latent space and the labelled vectors.  The space leaves out word order beyond
+a run and what no labelled text uses.  Both are small and sent to every task, which multiplies each text's vector with all
+labelled vectors in blocks: the cosines are exact.  The nearest vote with their label, weighed by a power of the cosine.
 
 Cases: null and empty texts have the zero vector and get the share of label 1 among all voters (one half when both
-labels occur); without any label every text gets 0.5; null labels are not learned from; repeated rows are scored one by
-one; other columns are neither read nor returned; an empty table gives an empty one.
+labels occur); very long texts are counted whole, SPAN bytes at a time; without any label every text gets 0.5; null labels are
+not learned from, and of a text with several the highest counts; of voters at equal cosines any may vote; repeated rows are scored
+one by one; other columns, whatever their names, are neither read nor returned (keep() returns them); an empty table gives an
+empty one.
 """
 
 from __future__ import annotations
@@ -27,8 +29,10 @@ from assayer.llm.common import held_out, table, text_batches
 
 #: Labelled texts of each label in the vote, at most: the first by hash of their ids.
 VOTERS = 2_000
-#: Hashed shapes, latent dimensions, neighbours that vote, the power of their cosines, and texts multiplied at once.
-SHAPES, LATENT, NEAREST, POWER, BLOCK = 4096, 48, 15, 8, 512
+#: Hashed shapes and runs of bytes, bytes of a run, latent dimensions, neighbours that vote, and the power of their cosines.
+SHAPES, GRAMS, GRAM, LATENT, NEAREST, POWER = 4096, 2048, 5, 64, 15, 8
+#: Texts multiplied at once, and bytes of a text that are counted at once.
+BLOCK, SPAN = 512, 1 << 20
 #: predicted is 1 from this score on.
 KEEP = 0.3
 REPEATS = 4
@@ -36,19 +40,33 @@ _CLASS = np.zeros(256, np.uint64)
 for _i, _b in enumerate(b" \n\t.,;:!?'\"-_()[]{}<>/\\|#$%&*+=@^~`"):
     _CLASS[_b] = 3 + _i
 _CLASS[ord("A") : ord("Z") + 1], _CLASS[ord("0") : ord("9") + 1] = 1, 2
+_LOWER = np.arange(256, dtype=np.uint64)
+_LOWER[ord("A") : ord("Z") + 1] += 32
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+TERMS = SHAPES + GRAMS + REPEATS
+
+
+def hashed(code: np.ndarray, run: int, factor: int, size: int) -> np.ndarray:
+    """One of `size` (a power of two) numbers for each run of codes."""
+    n = len(code) - run + 1
+    gram = code[:n].copy()
+    for k in range(1, run):
+        gram *= np.uint64(factor)
+        gram += code[k : k + n]
+    return ((gram * _MIX) >> np.uint64(65 - size.bit_length())).astype(np.int64)
 
 
 def terms(text: str) -> np.ndarray:
-    """Shares of each shape, and of repeated words and lines."""
-    out = np.zeros(SHAPES + REPEATS, np.float32)
-    code = _CLASS[np.frombuffer(text.encode(), np.uint8)]
-    if len(code) >= 4:
-        gram = ((code[:-3] * np.uint64(64) + code[1:-2]) * np.uint64(64) + code[2:-1]) * np.uint64(64) + code[3:]
-        out[:SHAPES] = np.bincount(((gram * _MIX) >> np.uint64(52)).astype(np.int64), minlength=SHAPES) / len(gram)
+    """Shares of each shape and each run of bytes, and of repeated words and lines."""
+    out = np.zeros(TERMS, np.float32)
+    raw = np.frombuffer(text.encode(), np.uint8)
+    for at, size, run, table_, factor in ((0, SHAPES, 4, _CLASS, 64), (SHAPES, GRAMS, GRAM, _LOWER, 257)):
+        total = len(raw) - run + 1
+        for i in range(0, max(0, total), SPAN):
+            out[at : at + size] += np.bincount(hashed(table_[raw[i : i + SPAN + run - 1]], run, factor, size), minlength=size) / np.float32(total)
     words, lines = text.split(), text.split("\n")
     if words:
-        out[SHAPES:] = sum(map(eq, words, words[1:])) / len(words), 1 - len(set(words)) / len(words), 1 - len(set(lines)) / len(lines), sum(map(eq, words, words[2:])) / len(words)
+        out[-REPEATS:] = sum(map(eq, words, words[1:])) / len(words), 1 - len(set(words)) / len(words), 1 - len(set(lines)) / len(lines), sum(map(eq, words, words[2:])) / len(words)
     return out
 
 
@@ -87,13 +105,40 @@ def damped(counts: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return rows
 
 
-def leading_axes(x: np.ndarray) -> np.ndarray:
-    """The right singular vectors of the largest singular values, by subspace iteration from a fixed start."""
-    basis = np.random.default_rng(0).standard_normal((x.shape[1], LATENT + 16)).astype(np.float32)
-    for _ in range(6):
-        basis, _ = np.linalg.qr(x.T @ (x @ basis))
-    _, _, turn = np.linalg.svd(x @ basis, full_matrices=False)
-    return np.ascontiguousarray((basis @ turn.T)[:, :LATENT], np.float32)
+def leading_axes(counts: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The right singular vectors of the largest singular values of the damped counts, by subspace iteration from a fixed start, a block of rows at a time."""
+    basis = np.random.default_rng(0).standard_normal((counts.shape[1], LATENT + 16)).astype(np.float32)
+    for _ in range(7):
+        basis, _ = np.linalg.qr(basis)
+        seen, after = [], np.zeros_like(basis)
+        for i in range(0, len(counts), BLOCK):
+            rows = damped(unpacked(counts[i : i + BLOCK]), weight)
+            seen.append(rows @ basis)
+            after += rows.T @ seen[-1]
+        last, basis = basis, after
+    _, _, turn = np.linalg.svd(np.concatenate(seen), full_matrices=False)
+    return np.ascontiguousarray((last @ turn.T)[:, :LATENT], np.float32)
+
+
+def unpacked(counts: np.ndarray) -> np.ndarray:
+    """Shares, of thousandths in half precision."""
+    return counts.astype(np.float32) / np.float32(1000)
+
+
+def frequencies(df: DataFrame, text_col: str) -> tuple[int, np.ndarray]:
+    """How many texts there are, and how many have each term: a task sums up its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        has, n = np.zeros(TERMS, np.int64), 0
+        for batch in batches:
+            for _, texts in text_batches(batch.column(0)):
+                for t in texts:
+                    has += terms(t) > 0
+                n += len(texts)
+        yield pa.RecordBatch.from_pydict({"term": pa.array(range(-1, TERMS), pa.int32()), "n": pa.array([n, *has.tolist()], pa.int64())})
+
+    counts = {r["term"]: r["n"] for r in df.select(text_col).mapInArrow(run, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    return counts.get(-1, 0), np.array([counts.get(i, 0) for i in range(TERMS)], np.float64)
 
 
 def learn(df: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Space:
@@ -104,19 +149,23 @@ def learn(df: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [terms(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"id": batch.column(0).cast(pa.string()), "y": batch.column(2), "terms": pa.array([(1000 * r).astype(np.float16).tobytes() for r in rows], pa.binary())})
+            rows = [(1000 * terms(t)).astype(np.float16).tobytes() for _, texts in text_batches(batch.column(1)) for t in texts]
+            yield pa.RecordBatch.from_pydict({"id": batch.column(0).cast(pa.string()), "y": batch.column(2), "terms": pa.array(rows, pa.binary())})
 
     rows = texts.mapInArrow(run, "id string, y int, terms binary").toPandas().sort_values(["id", "y"])
     if rows.empty:
         none = np.zeros((0, LATENT), np.float32)
-        return Space(np.zeros(SHAPES + REPEATS, np.float32), np.zeros((SHAPES + REPEATS, LATENT), np.float32), none, np.zeros(0))
-    counts = np.stack([np.frombuffer(t, np.float16) for t in rows.pop("terms")]).astype(np.float32) / np.float32(1000)
-    weight = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 1
-    weight[SHAPES:] *= 2
-    x = damped(counts, weight.astype(np.float32))
-    space = Space(weight.astype(np.float32), leading_axes(x), np.zeros((0, LATENT), np.float32), rows["y"].to_numpy(np.float64))
-    space.voters = space.vectors(counts)
+        return Space(np.zeros(TERMS, np.float32), np.zeros((TERMS, LATENT), np.float32), none, np.zeros(0))
+    labels_of, packed = rows["y"].to_numpy(np.float64), rows.pop("terms").tolist()
+    counts = np.zeros((len(packed), TERMS), np.float16)
+    for i in range(len(packed)):
+        counts[i], packed[i] = np.frombuffer(packed[i], np.float16), None  # one copy in memory
+    total, has = frequencies(df, text_col)
+    weight = np.log((1 + total) / (1 + has)) + 1
+    weight[-REPEATS:] *= 2
+    weight = weight.astype(np.float32)
+    space = Space(weight, leading_axes(counts, weight), np.zeros((0, LATENT), np.float32), labels_of)
+    space.voters = np.concatenate([space.vectors(unpacked(counts[i : i + BLOCK])) for i in range(0, len(counts), BLOCK)])
     return space
 
 

@@ -1,4 +1,4 @@
-"""Text, URL and token functions as column expressions."""
+"""Text, URL, token and content functions as column expressions."""
 
 from __future__ import annotations
 
@@ -30,14 +30,154 @@ def truncate_text(text: Column, n: int, marker: str = "...") -> Column:
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit(marker))).otherwise(text)
 
 
-def numbers(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"(?<![\w.])(\d+(?:\.\d+)?)(?![\w])"), F.lit(1))
+#: How citations, addresses, times, numbers and the ends of sentences are written.
+CITED = r"[\[【［〔]\s*(T\d+(?:\s*[,;，、]\s*T\d+)*)\s*[\]】］〕]"
+ADDRESS = r"https?://[^\s<>\"'\[\]\)【】［］〔〕]+"
+TIME = r"\b\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:Z|[+-]\d{2}:?\d{2})?)?|\b\d{4}:\d{2}:\d{2} \d{2}:\d{2}:\d{2}"
+NUMBER = r"(?<![\w.])(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?(?!\w)%?"
+BREAK = r"(?<=[.!?])\s+(?=[A-Z0-9*\-•\"(])"
+LIST_MARK = r"^\s*(?:[-*•]\s*)?\d+[.)](?=\s)"
+
+
+def every(text: Column, pattern: str, group: int = 0) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?U){pattern}"), F.lit(group))
 
 
 def citations(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"[\[【](T\d+)[\]】]"), F.lit(1))
+    """Cited ids in order, each bracket's ids one by one."""
+    return F.flatten(F.transform(every(text, CITED, 1), lambda c: F.regexp_extract_all(c, F.lit(r"T\d+"), F.lit(0))))
+
+
+def addresses(text: Column) -> Column:
+    """URLs without the marks that end a sentence."""
+    return F.transform(every(text, ADDRESS), lambda u: F.regexp_replace(u, r"[.,;:!?]+$", ""))
+
+
+def times(text: Column) -> Column:
+    return every(text, TIME)
+
+
+def numbers(text: Column) -> Column:
+    """Numbers as written, with separators and percent signs; those within identifiers are none."""
+    return every(text, NUMBER)
+
+
+def number_value(token: Column) -> Column:
+    return F.regexp_replace(token, "[,%]", "").cast("double")
+
+
+def number_tolerance(token: Column) -> Column:
+    """Half a unit of the last printed place."""
+    return 0.5 * F.pow(F.lit(10.0), -F.length(F.regexp_extract(token, r"\.(\d+)", 1))) + 1e-9
 
 
 def sentences(text: Column) -> Column:
-    """Parts after . ? ! before a capital, and lines."""
-    return F.filter(F.transform(F.split(text, r"(?<=[.?!])\s+(?=[A-Z])|\n"), F.trim), lambda s: s != "")
+    """Sentences of each line, in order."""
+    lines = F.transform(F.split(text, r"\r?\n"), lambda line: F.split(line, BREAK))
+    return F.filter(F.flatten(lines), lambda s: F.trim(F.regexp_replace(s, r"\s+", " ")) != "")
+
+
+def is_claim(sentence: Column) -> Column:
+    """Headings, list labels and bare punctuation state nothing."""
+    bare = F.trim(F.regexp_replace(F.trim(sentence), r"^[#*\->• ]+", ""))
+    return ~F.trim(sentence).rlike(r"^(?:#+\s.*|\*\*[^*]+\*\*:?)$") & bare.rlike("[A-Za-z]{3}") & ~bare.endswith(":")
+
+
+#: Fixed value: the reason that stands for a database's message.
+DATABASE_ERROR = "a database error occurred while saving this step"
+_TAIL = r"[^\s\\/'\"\],;)]*"
+_PLACE = rf"(?:(?<!\w)[A-Za-z]:[\\/]|\\\\)(?:[^\\/\n'\"\],;)]*[\\/])*{_TAIL}|(?<![\w.:/])/(?:[^/\n'\"\],;)]+/)+{_TAIL}"
+
+
+def scrub(reason: Column, most: int = 240) -> Column:
+    """A reason without statements and file paths, on one line and not too long."""
+    head = F.substring_index(reason, "[SQL:", 1)
+    line = F.trim(F.regexp_replace(F.regexp_replace(head, _PLACE, "<file>"), r"\s+", " "))
+    short = F.when(F.length(line) <= most, line).otherwise(F.concat(F.substring(line, 1, most - 1), F.lit("…")))
+    return F.when(reason == "", reason).when(head.contains("Session's transaction has been rolled back") | head.contains("(sqlite3."), DATABASE_ERROR).otherwise(short)
+
+
+def stated_date(value: Column) -> Column:
+    """struct<iso, precision> of a date as metadata writes it; nulls where it is none. No zone is added."""
+    v = F.trim(value)
+    camera = F.try_to_timestamp(F.regexp_replace(F.regexp_extract(v, r"^(\d{4}:\d{2}:\d{2}[ T]\d{2}:\d{2}:\d{2})", 1), "T", " "), F.lit("yyyy:MM:dd HH:mm:ss"))
+    day = F.when(v.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(v, "yyyy-MM-dd"))
+    iso = F.when(v.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(?::\d{2})?(?:Z|[+-]\d{2}:\d{2})?$"), F.try_to_timestamp(F.rpad(F.regexp_replace(F.regexp_replace(v, r"(?:Z|[+-]\d{2}:\d{2})$", ""), "T", " "), 19, ":00"), F.lit("yyyy-MM-dd HH:mm:ss")))
+    text = F.coalesce(F.date_format(camera, "yyyy-MM-dd'T'HH:mm:ss"), F.date_format(day, "yyyy-MM-dd"), F.date_format(iso, "yyyy-MM-dd'T'HH:mm:ss"))
+    return F.struct(text.alias("iso"), F.when(text.isNull(), F.lit(None).cast("string")).when(camera.isNull() & day.isNotNull(), "day").otherwise("second").alias("precision"))
+
+
+def capture_time(stamp: Column) -> Column:
+    """An archive's 14 digits as a time in UTC."""
+    return F.try_to_timestamp(stamp, F.lit("yyyyMMddHHmmss"))
+
+
+#: Blocks of IPv4 addresses that are not globally routable (first address, prefix length), and exceptions within them.
+NOT_PUBLIC = [("0.0.0.0", 8), ("10.0.0.0", 8), ("100.64.0.0", 10), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.0.0.0", 24), ("192.0.2.0", 24), ("192.168.0.0", 16), ("198.18.0.0", 15), ("198.51.100.0", 24), ("203.0.113.0", 24), ("224.0.0.0", 4), ("240.0.0.0", 4)]
+ROUTED = ["192.0.0.9", "192.0.0.10"]
+_QUAD = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?:\.(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}"
+
+
+def ipv4_number(address: Column) -> Column:
+    """A dotted quad as a number; null for anything else."""
+    parts = F.split(address, r"\.")
+    return F.when(address.rlike(f"^{_QUAD}$"), F.aggregate(parts, F.lit(0).cast("bigint"), lambda s, x: s * 256 + x.cast("bigint")))
+
+
+def ip_is_public(address: Column) -> Column:
+    """Whether a literal IPv4 address, or one mapped into IPv6, is globally routable unicast; null where it is no such literal."""
+    quad = F.regexp_replace(F.substring_index(address, "%", 1), "(?i)^::ffff:", "")
+    n, value = ipv4_number(quad), lambda q: sum(int(x) << 8 * (3 - i) for i, x in enumerate(q.split(".")))
+    inside = F.lit(False)
+    for first, prefix in NOT_PUBLIC:
+        inside = inside | n.between(value(first), value(first) + (1 << (32 - prefix)) - 1)
+    return F.when(n.isNotNull(), ~inside | quad.isin(*ROUTED))
+
+
+def url_policy(url: Column) -> Column:
+    """'allowed', or the first rule that a URL breaks; names are not resolved."""
+    u = F.trim(url)
+    scheme, authority = F.lower(F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)), F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
+    host = F.lower(F.regexp_extract(authority, r"^(\[[^\]]*\]|[^:]*)", 1))
+    port = F.regexp_extract(authority, r":([^:\]]*)$", 1)
+    public = ip_is_public(F.regexp_replace(host, r"[\[\]]", ""))
+    return (
+        F.when(url.isNull() | (F.length(url) > 2048), "too long or missing").when(~scheme.isin("http", "https"), "scheme").when(authority.contains("@"), "credentials")
+        .when(host == "", "no host").when((port != "") & ~port.isin("80", "443"), "port").when(public == F.lit(False), "not public").otherwise("allowed")
+    )
+
+
+def image_links(html: Column, base: Column) -> Column:
+    """Declared images first, then those shown, resolved against the page, without tracking parameters, each once in order."""
+    tags = lambda name: F.regexp_extract_all(html, F.lit(rf"(?is)<{name}\b[^>]*>"), F.lit(0))
+    value = lambda tag, name: F.coalesce(F.nullif(F.regexp_extract(tag, rf"(?is)[\s\"']{name}\s*=\s*\"([^\"]*)\"", 1), F.lit("")), F.nullif(F.regexp_extract(tag, rf"(?is)[\s\"']{name}\s*=\s*'([^']*)'", 1), F.lit("")))
+    named = lambda t: F.lower(F.coalesce(value(t, "property"), value(t, "name"), F.lit(""))).isin("og:image", "og:image:url", "og:image:secure_url", "twitter:image", "twitter:image:src")
+    declared = F.transform(F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<(?:meta|link)\b[^>]*>"), F.lit(0)), lambda t: (F.lower(F.substring(t, 2, 4)) == "link") & (F.lower(F.coalesce(value(t, "rel"), F.lit(""))) == "image_src") | (F.lower(F.substring(t, 2, 4)) == "meta") & named(t)), lambda t: F.coalesce(value(t, "content"), value(t, "href")))
+    shown = F.filter(F.transform(tags("img"), lambda t: F.coalesce(value(t, "src"), value(t, "data-src"))), lambda x: ~x.startswith("data:"))
+    root, folder = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1), F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^?#]*/)", 1)
+    scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
+    whole = lambda x: F.when(x.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), x).when(x.startswith("//"), F.concat(scheme, x)).when(x.startswith("/"), F.concat(root, x)).otherwise(F.concat(F.coalesce(F.nullif(folder, F.lit("")), F.concat(root, F.lit("/"))), x))
+    found = F.transform(F.filter(F.concat(declared, shown), lambda x: x.isNotNull()), lambda x: url_clean(whole(F.trim(x))))
+    return F.array_distinct(F.filter(found, lambda u: u.rlike("^https?:")))
+
+
+#: What a file's first bytes tell (hexadecimal bytes at a place, type), in this order.
+SIGNATURES = [(1, "FFD8FF", "image/jpeg"), (1, "89504E470D0A1A0A", "image/png"), (1, "49492A00", "image/tiff"), (1, "4D4D002A", "image/tiff")]
+CONTAINERS = [("57454250", "image/webp"), ("41564920", "video/x-msvideo"), ("57415645", "audio/wav")]
+BRANDS = [("71742020", "video/quicktime"), ("4D344120", "audio/mp4"), ("4D344220", "audio/mp4")]
+
+
+def media_type(content: Column) -> Column:
+    """The type by a file's own bytes, never the declared one; null where no signature matches."""
+    at = lambda place, hexa: F.hex(F.substring(content, place, len(hexa) // 2)) == hexa
+    kind = F
+    for place, hexa, name in SIGNATURES:
+        kind = kind.when(at(place, hexa), name)
+    for hexa, name in CONTAINERS:
+        kind = kind.when(at(1, "52494646") & at(9, hexa), name)
+    for hexa, name in BRANDS:
+        kind = kind.when(at(5, "66747970") & at(9, hexa), name)
+    second = F.conv(F.hex(F.substring(content, 2, 1)), 16, 10).cast("int")
+    sync = at(1, "FF") & (second.bitwiseAND(F.lit(0xE0)) == 0xE0)
+    kind = kind.when(at(5, "66747970"), "video/mp4").when(at(1, "1A45DFA3"), "video/x-matroska").when(at(1, "494433"), "audio/mpeg")
+    return kind.when(sync & (second.bitwiseAND(F.lit(6)) == 0), "audio/aac").when(sync, "audio/mpeg")

@@ -442,15 +442,3 @@ def conflict_pairs(s, d):
 
 # --- grounding
 
-
-@query("""SELECT l_orderkey, l_linenumber, CAST(regexp_extract(claim, 'shipped (\\d+)', 1) AS BIGINT) AS stated, CAST(regexp_extract(claim, 'shipped (\\d+)', 1) AS BIGINT) = true_qty AS supported, regexp_extract(claim, '\\[(T\\d+)\\]', 1) AS cited FROM v_claims""")
-def ground_claims(s, d):
-    c = tables.claims(s, d)
-    stated = F.element_at(text.numbers(F.col("claim")), 2).cast("bigint")
-    return c.select("l_orderkey", "l_linenumber", stated.alias("stated"), (F.abs(stated - F.col("true_qty")) <= 0).alias("supported"), F.element_at(text.citations(F.col("claim")), 1).alias("cited"))
-
-
-@query("""SELECT conv_id, turn, count(*) AS sentences FROM (SELECT conv_id, turn, unnest(string_split(regexp_replace(regexp_replace(text, '\\n', chr(1), 'g'), '([.?!])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1))) AS s FROM conversations) WHERE trim(s) <> '' GROUP BY 1, 2""")
-def split_sentences(s, d):
-    c = tables.table(s, d, "conversations")
-    return c.select("conv_id", "turn", F.size(text.sentences(F.col("text"))).cast("bigint").alias("sentences")).where("sentences > 0")

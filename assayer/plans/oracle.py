@@ -49,4 +49,6 @@ def with_views(sql: str) -> str:
     if not names:
         return sql
     ctes = ", ".join(f"{v} AS ({VIEWS[v]})" for v in names)
+    if sql.lstrip().upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes}, {sql.lstrip()[15:]}"
     return f"WITH {ctes}, {sql[5:].lstrip()}" if sql.lstrip().upper().startswith("WITH ") else f"WITH {ctes} {sql}"

@@ -25,11 +25,6 @@ def source_outcomes(s, d):
     return provenance.source_outcomes(tables.sources(s, d), ["corpus", "url_check", "archive", "reverse_image"])
 
 
-@query("SELECT concat('analysis:', analysis_id) AS from_node, concat('source:', source_id) AS to_node, CASE WHEN status='VERIFIED_MATCH' THEN 'same_image_as' ELSE 'visually_similar_to' END AS relation FROM v_sources WHERE status <> 'NO_MATCH'")
-def provenance_graph(s, d):
-    return provenance.graph_edges(tables.sources(s, d))
-
-
 @query("SELECT regexp_extract(url, '://([^/?#]+)', 1) AS host, min(stamp) AS first_stamp, max(stamp) AS last_stamp, count(*) AS captures FROM v_sources GROUP BY 1")
 def captures_first_last(s, d):
     return tables.sources(s, d).groupBy(F.regexp_extract("url", "://([^/?#]+)", 1).alias("host")).agg(F.min("stamp").alias("first_stamp"), F.max("stamp").alias("last_stamp"), F.count("*").alias("captures"))
@@ -46,11 +41,6 @@ def drop_ambiguous(s, d):
     return provenance.unambiguous(tables.items(s, d), "grp", "label").select("id", "tag", "label")
 
 
-@query("SELECT id, tag FROM v_items WHERE tag IN ('jpeg_q70', 'webp_q75', 'social')")
-def tag_intersect(s, d):
-    return tables.items(s, d).where(F.arrays_overlap(F.array("tag"), F.array(F.lit("jpeg_q70"), F.lit("webp_q75"), F.lit("social")))).select("id", "tag")
-
-
 @query("SELECT DISTINCT c_custkey AS owner FROM customer WHERE c_custkey NOT IN (SELECT owner FROM v_media WHERE owner IS NOT NULL)")
 def set_difference(s, d):
     return tables.table(s, d, "customer").select(F.col("c_custkey").alias("owner")).distinct().exceptAll(tables.media(s, d).where("owner is not null").select("owner").distinct())
@@ -179,18 +169,6 @@ def verdict_counts(s, d):
     return rows.groupingSets([key, [key[0], key[2]], [key[2]]], *key).agg(F.count("*").alias("n"))
 
 
-@query("SELECT user_id, max(event_id) AS head, count(*) AS events FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) GROUP BY user_id, r HAVING r = 1")
-def chain_head(s, d):
-    return tables.table(s, d, "events").groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("head")).withColumn("events", F.lit(1).cast("bigint"))
-
-
-@query("SELECT l_orderkey, l_linenumber, unnest(regexp_extract_all(claim, '\\[(T\\d+)\\]', 1)) AS cited FROM v_claims")
-def citation_table(s, d):
-    from assayer.functions.text import citations
-
-    return tables.claims(s, d).select("l_orderkey", "l_linenumber", F.explode(citations(F.col("claim"))).alias("cited"))
-
-
 @query("SELECT media_id, start_frame, end_frame, round(peak_score, 6) AS peak_score FROM (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY peak_score DESC, start_frame) AS r FROM (SELECT media_id, min(frame_index) AS start_frame, max(frame_index) AS end_frame, max(combined_score) AS peak_score FROM (SELECT *, sum((hot AND NOT was)::INT) OVER (PARTITION BY media_id ORDER BY frame_index) AS run FROM (SELECT *, combined_score >= 0.45 AS hot, coalesce(lag(combined_score >= 0.45) OVER (PARTITION BY media_id ORDER BY frame_index), false) AS was FROM v_frames)) WHERE hot OR was GROUP BY media_id, run)) WHERE r <= 5")
 def slice_lists(s, d):
     from assayer.operators.sequences import suspicious_segments

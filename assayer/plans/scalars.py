@@ -6,15 +6,22 @@ from pyspark.sql import functions as F
 
 from assayer.functions import stats, text
 from assayer.operators import calibration
-from assayer.plans.evidence import QUERIES, query, rounded, rows_of
+from assayer.plans.evidence import QUERIES, _wilson, query, rounded, rows_of
 from assayer.plans.oracle import hb
 from assayer.sources import tables
 
 
-@query("SELECT id, round(least(greatest(v, -log10(41)), log10(21)), 6) AS capped FROM (SELECT id, detector, raw_score * 6 - 3 AS v FROM v_scores WHERE detector = 'gen_b')")
+#: (detector, positives, negatives, independent positives, independent negatives) that a calibration was fitted on; gen_a counts no originals.
+FITTED = [("learned_a", 60, 400, 40, 300), ("geometric_a", 50, 300, 20, 100), ("gen_a", 30, 90, None, None), ("gen_b", 20, 40, 20, 40)]
+
+
+@query(f"""SELECT id, detector, round(sign(v) * least(abs(v), cap), 6) AS capped_value, abs(v) > cap AS capped FROM (SELECT id, detector, v, log10(1 + CASE WHEN v > 0 THEN coalesce(ine, n) ELSE coalesce(ip, p) END) AS cap FROM (SELECT id, detector, raw_score * 6 - 3 AS v FROM v_scores) JOIN (VALUES {", ".join(str(x).replace("None", "NULL") for x in FITTED)}) f(detector, p, n, ip, ine) USING (detector))""")
 def lr_cap(s, d):
-    v = F.col("raw_score") * 6 - 3
-    return rounded(tables.scores(s, d).where("detector = 'gen_b'").select("id", stats.lr_cap(v, F.lit(40), F.lit(20)).alias("capped")))
+    fitted = s.createDataFrame(FITTED, "detector string, p int, n int, ip int, ine int")
+    v, p, n = F.col("raw_score") * 6 - 3, F.coalesce("ip", "p"), F.coalesce("ine", "n")
+    each = tables.scores(s, d).join(F.broadcast(fitted), "detector")  # a row for each detector
+    capped = stats.lr_cap(v, p, n)
+    return rounded(each.select("id", "detector", capped.alias("capped_value"), (capped != v).alias("capped")))
 
 
 @query("SELECT id, detector, round(CASE WHEN lo <= 0 AND hi >= 0 THEN 0.0 WHEN lo > 0 THEN lo ELSE hi END, 6) AS cautious FROM (SELECT id, detector, raw_score - 0.6 AS lo, raw_score - 0.2 AS hi FROM v_scores)")
@@ -27,26 +34,25 @@ def verbal_scale(s, d):
     return tables.scores(s, d).select("id", "detector", stats.verbal_scale(F.col("raw_score") * 10 - 5).alias("strength"))
 
 
-@query("SELECT branch, detector, round(k / n::DOUBLE, 6) AS rate FROM (SELECT branch, detector, count(*) FILTER (verdict = 'FLAGGED') AS k, count(*) AS n FROM v_rows GROUP BY 1, 2)")
+@query(f"SELECT branch, detector, k, n, {_wilson('k', 'n', 'rate')} FROM (SELECT branch, detector, count(*) FILTER (verdict = 'FLAGGED' AND tag <> 'social') AS k, count(*) FILTER (tag <> 'social') AS n FROM v_rows GROUP BY 1, 2)")
 def wilson_interval(s, d):
-    n = rows_of(s, d).groupBy("branch", "detector").agg(F.count_if(F.col("verdict") == "FLAGGED").alias("k"), F.count("*").alias("n"))
-    return rounded(n.select("branch", "detector", stats.wilson(F.col("k"), F.col("n"))[0].alias("rate")))
+    n = rows_of(s, d).groupBy("branch", "detector").agg(F.count_if((F.col("verdict") == "FLAGGED") & (F.col("tag") != "social")).alias("k"), F.count_if(F.col("tag") != "social").alias("n"))
+    rate, low, high = stats.wilson(F.col("k"), F.col("n"))
+    return rounded(n.select("branch", "detector", "k", "n", rate.alias("rate"), low.alias("rate_low"), high.alias("rate_high")))
 
 
-@query("SELECT id, detector, round(ln(greatest(1e-6, least(1-1e-6, raw_score)) / (1 - greatest(1e-6, least(1-1e-6, raw_score)))), 6) AS logit FROM v_scores")
+@query("SELECT id, detector, round(x, 6) AS logit, round(1 / (1 + exp(-(1.7::DOUBLE * x - 0.3::DOUBLE))), 6) AS sigmoid FROM (SELECT id, detector, ln(greatest(1e-6, least(1-1e-6, raw_score)) / (1 - greatest(1e-6, least(1-1e-6, raw_score)))) AS x FROM v_scores)")
 def logit_sigmoid(s, d):
-    return rounded(tables.scores(s, d).select("id", "detector", stats.logit(F.col("raw_score")).alias("logit")))
+    x = stats.logit(F.col("raw_score"))
+    return rounded(tables.scores(s, d).select("id", "detector", x.alias("logit"), stats.sigmoid(1.7 * x - 0.3).alias("sigmoid")))
 
 
-@query("SELECT detection_id, coalesce(family, 'unclassified') AS family FROM v_detections LEFT JOIN (VALUES ('learned_a','learned'), ('geometric_a','geometric'), ('gen_a','ai_generation'), ('gen_b','ai_generation')) f(detector, family) USING (detector)")
+@query("SELECT detection_id, coalesce(family, 'unclassified') AS family, CASE coalesce(family, 'unclassified') WHEN 'ai_generation' THEN 'ai_generation' WHEN 'non_evidential' THEN NULL ELSE 'manipulation' END AS branch FROM v_detections LEFT JOIN (VALUES ('learned_a','learned'), ('geometric_a','geometric'), ('gen_a','ai_generation'), ('gen_b','ai_generation'), ('face_a','non_evidential')) f(detector, family) USING (detector)")
 def signal_family(s, d):
-    f = s.createDataFrame([(x[0], x[2]) for x in tables.DETECTORS], "detector string, family string")
-    return tables.detections(s, d).join(F.broadcast(f), "detector", "left").select("detection_id", F.coalesce("family", F.lit("unclassified")).alias("family"))
-
-
-@query("SELECT doc_id, least(n_chars, doc_id % 5000) AS short_side FROM documents")
-def short_side(s, d):
-    return tables.table(s, d, "documents").select("doc_id", F.least("n_chars", F.col("doc_id") % 5000).alias("short_side"))
+    known = s.createDataFrame([*[(x[0], x[2]) for x in tables.DETECTORS], ("face_a", "non_evidential")], "detector string, family string")  # one row a detector
+    family = F.coalesce("family", F.lit("unclassified"))
+    branch = F.when(family == "ai_generation", "ai_generation").when(family != "non_evidential", "manipulation")
+    return tables.detections(s, d).join(F.broadcast(known), "detector", "left").select("detection_id", family.alias("family"), branch.alias("branch"))
 
 
 @query("SELECT doc_id, length(text) > 200 AS cut, CASE WHEN length(text) > 200 THEN concat(substr(text, 1, 200), '...') ELSE text END AS short_text FROM documents")
@@ -61,12 +67,6 @@ def frame_score(s, d):
     return rounded(tables.frames(s, d).select("media_id", "frame_index", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 * c + 0.3 * F.least(c * 12 / 8, F.lit(1.0)) + 0.2 * c)).alias("score")))
 
 
-@query("SELECT id, detector, CASE WHEN execution_status = 'FAILED' THEN 'UNAVAILABLE' WHEN execution_status = 'INCONCLUSIVE' THEN 'UNDETERMINED' WHEN raw_score >= 0.5 THEN 'SUSPICIOUS' ELSE 'NO_ANOMALY' END AS assessment, execution_status = 'COMPLETED' AS produced_observations FROM v_scores")
-def status_reconcile(s, d):
-    e = F.col("execution_status")
-    return tables.scores(s, d).select("id", "detector", F.when(e == "FAILED", "UNAVAILABLE").when(e == "INCONCLUSIVE", "UNDETERMINED").when(F.col("raw_score") >= 0.5, "SUSPICIOUS").otherwise("NO_ANOMALY").alias("assessment"), (e == "COMPLETED").alias("produced_observations"))
-
-
 @query("SELECT event_id, CASE WHEN event_type = 'view' AND stale THEN 'FAILED' WHEN event_type = 'view' THEN 'RUNNING' ELSE 'DONE' END AS state FROM (SELECT *, ts < (SELECT max(ts) FROM events) - INTERVAL 3 DAY AS stale FROM events)")
 def stale_runs(s, d):
     e = tables.table(s, d, "events")
@@ -75,12 +75,6 @@ def stale_runs(s, d):
     return e.crossJoin(F.broadcast(last)).select("event_id", F.when((F.col("event_type") == "view") & stale, "FAILED").when(F.col("event_type") == "view", "RUNNING").otherwise("DONE").alias("state"))
 
 
-@query("SELECT conv_id, turn, text LIKE '%:' OR regexp_matches(text, '^[^A-Za-z]*$') AS bare FROM conversations")
-def is_claim(s, d):
-    t = F.col("text")
-    return tables.table(s, d, "conversations").select("conv_id", "turn", (t.endswith(":") | t.rlike("^[^A-Za-z]*$")).alias("bare"))
-
-
 @query("SELECT detector, count(DISTINCT version) AS versions, count(DISTINCT version) = 1 AS usable FROM (SELECT detector, CASE WHEN detector = 'gen_a' AND id LIKE '%7' THEN 'v2' ELSE 'v1' END AS version FROM v_scores) GROUP BY 1")
 def version_guard(s, d):
     v = F.when((F.col("detector") == "gen_a") & F.col("id").endswith("7"), "v2").otherwise("v1")

@@ -90,3 +90,34 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each embedding as a map of 8 by 8 values."""
     return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v")).selectExpr("vec_id", "CAST(floor(i / 8) AS BIGINT) AS y", "CAST(i % 8 AS BIGINT) AS x", "CAST(v AS DOUBLE) AS value")
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four lines of prose on each order: a heading, three sentences, a list label and a claim; some state what no result says."""
+    off = lambda p: hash_bucket(F.concat(F.lit(p), F.col("o_orderkey").cast("string"))) < 0.2
+    key, day = F.col("o_orderkey").cast("string"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    buyer = (F.col("o_custkey") + F.when(off("w:"), 100_000).otherwise(0)).cast("string")
+    text = F.concat(
+        F.lit("## Order "), key, F.lit("\nBuyer "), buyer, F.lit(" ordered on "), F.when(off("d:"), "1901-01-01").otherwise(day), F.when(off("c:"), " [T1, T7]. ").otherwise(" [T1]. "),
+        F.lit("The discount was "), (F.col("o_orderkey") % 40 + F.when(off("p:"), 50.5).otherwise(0.5)).cast("string"), F.lit("% 【T2】. See https://shop.example.org/"), F.when(off("u:"), "none").otherwise(key), F.lit(". Thanks\nTotals:\n2) Nobody checked this"),
+    )
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text"))
+
+
+def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two results behind each answer: T1 the order, T2 its discount as a share."""
+    o = table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey").cast("string")
+    one = F.concat(F.lit('{"order": '), key, F.lit(', "buyer": '), F.col("o_custkey").cast("string"), F.lit(', "placed": "'), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit('T00:00:00", "page": "https://shop.example.org/'), key, F.lit('/"}'))
+    two = F.concat(F.lit('{"discount": '), ((F.col("o_orderkey") % 40 + 0.5) / 100).cast("decimal(6,4)").cast("string"), F.lit(', "steps": [1, [2, 3]]}'))
+    return o.select("o_orderkey", F.explode(F.array(F.struct(F.lit("T1").alias("id"), one.alias("text")), F.struct(F.lit("T2").alias("id"), two.alias("text")))).alias("x")).select("o_orderkey", "x.*")
+
+
+def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each user did, numbered in order: the events of audit chains before they are linked."""
+    w = W.partitionBy("user_id").orderBy("ts", "event_id")
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("chain"), F.row_number().over(w).cast("bigint").alias("sequence"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("occurred_at"),
+        F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("actor"), F.col("event_type").alias("action"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("c"), (F.col("event_id") % 10).cast("string"))).alias("case_id"),
+        F.lit(None).cast("string").alias("media_id"), F.concat(F.lit("a"), F.col("event_id").cast("string")).alias("analysis_id"), F.create_map(F.lit("k"), F.get_json_object("props", "$.k")).alias("details"),
+    )

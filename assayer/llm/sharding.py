@@ -90,7 +90,7 @@ def shard(df: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str
     own = F.when(F.col("part").isNull(), F.xxhash64("g")).when(F.col("parts") > 1, F.xxhash64("key", F.lit(7))).otherwise(F.xxhash64("g", F.lit(7)))
     start = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("g"), F.lit(shards)) + F.col("part")).otherwise(F.xxhash64("key", F.lit(1)))
     began = F.when(F.col("part").isNotNull(), F.pmod(start, F.lit(shards)).cast("int"))
-    rows = stored(rows.withColumn("range", _range(own) - F.when(F.col("parts") > 1, BUCKETS).otherwise(0)).withColumn("began", began).withColumn("unit", F.concat_ws(":", "g", "part", "began")), "rows")
+    rows = stored(rows.withColumn("range", F.when(F.col("parts") > 1, F.pmod(own, F.lit(GATES)).cast("int") - GATES).otherwise(_range(own))).withColumn("began", began).withColumn("unit", F.concat_ws(":", "g", "part", "began")), "rows")
     linked = rows.where("part is not null")
     units = linked.groupBy("g", "part", "began").agg(F.count("*").alias("n")).withColumn("shard", F.col("began"))
     homes = stored(settled(units, quota).select(F.concat_ws(":", "g", "part", "began").alias("unit"), F.col("shard").alias("near"), "n"), "homes")

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assayer.functions.stats import wilson
+from assayer.operators import ranks
+from assayer.sources.scratch import kept
 
 
 def branch_targets(items: DataFrame) -> DataFrame:
@@ -37,10 +39,12 @@ def binary_metrics(rows: DataFrame, *by: str) -> DataFrame:
 
 
 def auc(rows: DataFrame, *by: str) -> DataFrame:
-    """Share of (positive, negative) pairs that are ranked right, ties half; from counts by score, never from pairs."""
-    counts = rows.where("score is not null").groupBy(*by, "score").agg(F.count_if("target").alias("p"), F.count_if(~F.col("target")).alias("n"))
-    below = F.coalesce(F.sum("n").over(W.partitionBy(*by).orderBy("score").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    won = counts.withColumn("won", F.col("p") * (below + 0.5 * F.col("n")))
+    """Share of (positive, negative) pairs that are ranked right, ties half; from counts by score and by score range, never from pairs."""
+    keys = list(by)
+    counts = ranks.ranged(rows.select(*keys, "score", "target"), keys, "score").groupBy(*keys, "range", "score").agg(F.count_if("target").alias("p"), F.count_if(~F.col("target")).alias("n"))
+    ranges = ranks.below(counts.groupBy(*keys, "range").agg(F.sum("n").alias("all")), keys, "all", "before").drop("all")
+    within = F.coalesce(F.sum("n").over(W.partitionBy(*keys, "range").orderBy("score").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    won = counts.join(ranges, [*keys, "range"]).withColumn("won", F.col("p") * (F.col("before") + within + 0.5 * F.col("n")))
     return won.groupBy(*by).agg(F.sum("won").alias("won"), F.sum("p").alias("pos"), F.sum("n").alias("neg")).select(*by, F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.col("won") / (F.col("pos") * F.col("neg"))).alias("auc"))
 
 
@@ -53,7 +57,8 @@ def subgroup_metrics(rows: DataFrame, keys: list[str]) -> DataFrame:
 def detector_ops(scores: DataFrame) -> DataFrame:
     """Outcomes and run times of each detector."""
     s = F.col("execution_status")
-    return scores.groupBy("detector").agg(F.count("*").alias("runs"), *[F.count_if(s == x).alias(x.lower()) for x in ("COMPLETED", "INCONCLUSIVE", "FAILED")], F.expr("percentile(duration_ms, 0.5)").alias("p50_ms"), F.expr("percentile(duration_ms, 0.95)").alias("p95_ms"))
+    counts = scores.groupBy("detector").agg(F.count("*").alias("runs"), *[F.count_if(s == x).alias(x.lower()) for x in ("COMPLETED", "INCONCLUSIVE", "FAILED")])
+    return counts.join(ranks.percentiles(scores, ["detector"], "duration_ms", {"p50_ms": 0.5, "p95_ms": 0.95}), "detector", "left")
 
 
 def silent_failures(scores: DataFrame) -> DataFrame:
@@ -70,11 +75,14 @@ def ece(rows: DataFrame, probability: Column, *by: str) -> DataFrame:
 
 
 def threshold_for_fpr(rows: DataFrame, target: float, *by: str) -> DataFrame:
-    """The score above which at most floor(target * n) negatives lie; flag what is strictly greater."""
-    counts = rows.where("score is not null and not target").groupBy(*by, "score").agg(F.count("*").alias("n"))
-    total = F.sum("n").over(W.partitionBy(*by))
-    above = F.sum("n").over(W.partitionBy(*by).orderBy(F.desc("score")))
-    ranked = counts.withColumn("allowed", F.floor(F.lit(target) * total)).withColumn("above", above).where("above > allowed")
+    """The score above which at most floor(target * n) negatives lie; flag what is strictly greater.  Only the range that holds it is sorted."""
+    keys = list(by)
+    counts = ranks.ranged(rows.where("not target").select(*keys, "score"), keys, "score").groupBy(*keys, "range", "score").agg(F.count("*").alias("n"))
+    ranges = ranks.below(counts.groupBy(*keys, "range").agg(F.sum("n").alias("all")), keys, "all", "before", descending=True)
+    total = ranges.groupBy(*keys).agg(F.floor(F.lit(target) * F.sum("all")).alias("allowed"))
+    hit = ranges.join(total, keys).where((F.col("before") <= F.col("allowed")) & (F.col("allowed") < F.col("before") + F.col("all"))).select(*keys, "range", "before", "allowed")
+    above = F.sum("n").over(W.partitionBy(*keys, "range").orderBy(F.desc("score")))
+    ranked = counts.join(hit, [*keys, "range"]).withColumn("above", F.col("before") + above).where("above > allowed")
     return ranked.groupBy(*by).agg(F.max("score").alias("exceed"), F.max("allowed").cast("bigint").alias("allowed"))
 
 
@@ -110,3 +118,53 @@ def flag_rates(rows: DataFrame, *by: str) -> DataFrame:
     a = (c(F.col("target") & flagged) + 0.5) / (c(F.col("target") & known) + 1)
     b = (c(~F.col("target") & flagged) + 0.5) / (c(~F.col("target") & known) + 1)
     return rows.groupBy(*by).agg(a.alias("a"), b.alias("b"), c(F.col("target") & known).alias("positives"), c(~F.col("target") & known).alias("negatives")).withColumn("usable", F.col("a") > F.col("b"))
+
+
+def per_detector(predictions: DataFrame) -> DataFrame:
+    """predictions (…, detectors: map of detector to its status and score) as binary rows of each detector's own decision."""
+    each = predictions.select("*", F.explode("detectors").alias("detector", "own")).drop("detectors")
+    own = F.when(F.col("own.execution_status") != "COMPLETED", "ABSTAINED").when(F.col("own.raw_score") >= 0.5, "FLAGGED").otherwise("CLEARED")
+    return each.withColumn("verdict", own).withColumn("branch", F.col("own.branch"))
+
+
+def report(rows: DataFrame, scores: DataFrame) -> DataFrame:
+    """(split, section, name, value): every split's branch metrics, ranks and detectors in one long table; both inputs have a split."""
+    def long(df: DataFrame, section: str, name: Column, columns: list[str]) -> DataFrame:
+        each = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in columns]))
+        return df.select("split", F.lit(section).alias("section"), name.alias("of"), each.alias("x")).select("split", "section", F.concat_ws(".", "of", "x.metric").alias("name"), "x.value")
+
+    branches = long(binary_metrics(rows, "split", "branch"), "branch", F.col("branch"), ["positives", "negatives", "tp", "fn", "fp", "tn", "recall", "fpr", "precision", "balanced_accuracy"])
+    own = long(auc(rows, "split", "detector"), "detector", F.col("detector"), ["auc"])
+    times = ranks.percentiles(scores, ["split", "detector"], "duration_ms", {"p50_ms": 0.5, "p95_ms": 0.95})
+    runs = scores.groupBy("split", "detector").agg(F.count_if(F.col("execution_status") == "FAILED").alias("failed"))
+    files = scores.groupBy("split").agg(F.count_distinct("id").alias("files"))
+    return branches.unionByName(own).unionByName(long(times, "detector", F.col("detector"), ["p50_ms", "p95_ms"])).unionByName(long(runs, "detector", F.col("detector"), ["failed"])).unionByName(long(files, "all", F.lit(None).cast("string"), ["files"]))
+
+
+def spearman(rows: DataFrame, a: str, b: str) -> float | None:
+    """Rank correlation of two columns, ties at their mean rank; null where one does not vary."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation
+
+    known = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    both = VectorAssembler(inputCols=[a, b], outputCol="v").transform(known.select(F.col(a).cast("double").alias(a), F.col(b).cast("double").alias(b)))
+    value = float(Correlation.corr(both, "v", "spearman").first()[0].toArray()[0, 1])
+    return None if value != value else value
+
+
+def cllr_min(rows: DataFrame, by: str) -> DataFrame:
+    """(by, cllr_min): the cost that is left when scores are recalibrated as well as any order-keeping map can, by isotonic regression."""
+    from pyspark.ml.regression import IsotonicRegression
+
+    rows = kept(rows.where("score is not null and target is not null").select(by, "score", F.col("target").cast("double").alias("y")), "isotonic")
+    out = None
+    for r in rows.groupBy(by).agg(F.avg("y").alias("prior")).collect():  # a row for each detector
+        own = rows.where(F.col(by) == r[by])
+        fitted = IsotonicRegression(featuresCol="score", labelCol="y").fit(own).transform(own)
+        p, odds = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), F.col("prediction"))), r["prior"] / (1 - r["prior"]) if 0 < r["prior"] < 1 else None
+        if odds is None:
+            continue
+        l = F.log10(p / (1 - p)) - F.log10(F.lit(odds))  # noqa: E741
+        cost = cllr(fitted.select(F.lit(r[by]).alias(by), (F.col("y") > 0).alias("target"), l.alias("l")), F.col("l"), by).select(by, F.col("cllr").alias("cllr_min"))
+        out = cost if out is None else out.unionByName(cost)
+    return out if out is not None else rows.limit(0).select(by, F.col("score").alias("cllr_min"))

@@ -35,6 +35,14 @@ def graph_edges(sources: DataFrame) -> DataFrame:
     return sources.where("status <> 'NO_MATCH'").select(F.concat(F.lit("analysis:"), F.col("analysis_id").cast("string")).alias("from_node"), F.concat(F.lit("source:"), F.col("source_id").cast("string")).alias("to_node"), relation.alias("relation"))
 
 
+def graph(sources: DataFrame) -> DataFrame:
+    """(record, a, b, label): the distinct nodes (b null) and the edges of all evidence graphs."""
+    edges = graph_edges(sources)
+    node = lambda c: edges.select(F.col(c).alias("a"))
+    nodes = node("from_node").unionByName(node("to_node")).distinct().select(F.lit("node").alias("record"), "a", F.lit(None).cast("string").alias("b"), F.substring_index("a", ":", 1).alias("label"))
+    return nodes.unionByName(edges.select(F.lit("edge").alias("record"), F.col("from_node").alias("a"), F.col("to_node").alias("b"), F.col("relation").alias("label")))
+
+
 def first_occurrence(df: DataFrame, key: str, position: str) -> DataFrame:
     """Ordered distinct: each value where it comes first."""
     return df.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(position))).where("_r = 1").drop("_r")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,13 +26,37 @@ def hamming_join(a: DataFrame, b: DataFrame, distance: int) -> DataFrame:
     return bands(a, "a").join(bands(b, "b"), ["band", "bits"]).withColumn("distance", d).where(F.col("distance") <= distance).select("a_id", "b_id", "distance").distinct()
 
 
-def cosine_candidates(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
-    """The k best cosines of each query among the items of its own model version."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    q, i = [df.withColumn("norm", F.sqrt(dot("vector", "vector"))).where("norm > 0") for df in (queries, items)]
-    pairs = q.select(F.col("id").alias("query_id"), F.col("vector").alias("qv"), F.col("norm").alias("qn"), "version").join(i.select("id", "vector", "norm", "version"), "version").where("query_id <> id")
-    scored = pairs.withColumn("cosine", F.round(dot("qv", "vector") / (F.col("qn") * F.col("norm")), 6))
-    return scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("cosine"), "id"))).where(F.col("rank") <= k).select("query_id", "id", "cosine", "rank")
+def cosine_candidates(queries: DataFrame, items: DataFrame, k: int, block: int = 4096) -> DataFrame:
+    """(query_id, id, cosine, rank): the k best cosines, rounded, of each query among the items of its own model version; ties to the smaller id.
+
+    Both sides come in blocks by hash, so no task holds a version; a task multiplies one block with another and keeps k a query.
+    """
+    def best(q: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "cosine": np.zeros(0)})]
+        if len(q) and len(i):
+            unit = lambda vectors: (lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300))(np.stack(vectors.to_numpy()).astype(np.float64))
+            i = i.sort_values("id")
+            ids, b = i["id"].to_numpy(), unit(i["vector"])
+            for at in range(0, len(q), 256):
+                part = q.iloc[at : at + 256]
+                c = np.round(unit(part["asked"]) @ b.T, 6)
+                c[part["asking"].to_numpy()[:, None] == ids[None, :]] = -2.0
+                order = np.argsort(-c, axis=1, kind="stable")[:, :k]
+                found = np.take_along_axis(c, order, 1)
+                rows, place = np.nonzero(found > -2.0)
+                out.append(pd.DataFrame({"query_id": part["asking"].to_numpy()[rows], "id": ids[order[rows, place]], "cosine": found[rows, place]}))
+        return pd.concat(out)
+
+    usable = lambda df: df.where(F.exists("vector", lambda x: x != 0)).select(F.col("id").cast("bigint").alias("id"), "vector", "version")
+    q, i = usable(queries), usable(items)
+    few = lambda df, name: df.groupBy("version").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    shape = few(q, "sides").join(few(i, "blocks"), "version")  # a row for each version
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = q.join(shape, "version").withColumn("block", every("blocks")).select(F.col("version").alias("of"), F.col("block").alias("at"), own("sides").alias("part"), F.col("id").alias("asking"), F.col("vector").alias("asked"))
+    right = i.join(shape, "version").withColumn("side", every("sides")).select("version", own("blocks").alias("block"), "side", "id", "vector")
+    scored = left.groupBy("of", "at", "part").cogroup(right.groupBy("version", "block", "side")).applyInPandas(best, "query_id bigint, id bigint, cosine double")
+    return scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("cosine"), "id"))).where(F.col("rank") <= k)
 
 
 def rank_candidates(candidates: DataFrame, k: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assayer.functions.stats import hash_bucket
+from assayer.sources.scratch import kept
 
 
 def assign_splits(items: DataFrame, fractions: dict[str, float], seed: str, key: Column) -> DataFrame:
@@ -50,6 +51,14 @@ def capped_sample(items: DataFrame, owner: str, group: str, per_owner: int, per_
     return ranked.withColumn("r", F.row_number().over(W.partitionBy(group).orderBy("u", "id"))).where(F.col("r") <= per_group).drop("r", "u")
 
 
+def fingerprint(items: DataFrame, split: str, fields: list[str], ranges: int = 4) -> DataFrame:
+    """(split, fingerprint): a digest that any change of a row changes, whatever the order: of the digests of hash ranges (by so many hexadecimal digits)."""
+    rows = items.select(split, F.sha2(F.concat_ws("|", *fields).cast("binary"), 256).alias("h"))
+    digest = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "").cast("binary"), 256)
+    parts = rows.groupBy(split, F.substring("h", 1, ranges).alias("range")).agg(digest("h").alias("part"))
+    return parts.groupBy(split).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("range", "part"))), lambda x: x["part"]), "").cast("binary"), 256).alias("fingerprint"))
+
+
 def contamination(docs: DataFrame, passages: DataFrame, words: int = 5) -> DataFrame:
     """(doc_id, item_id, shared, coverage): passages of which a document has a share of the distinct word runs."""
     def shingles(df: DataFrame, key: str) -> DataFrame:
@@ -57,7 +66,7 @@ def contamination(docs: DataFrame, passages: DataFrame, words: int = 5) -> DataF
         runs = F.transform(F.sequence(F.lit(0), F.size("w") - words), lambda i: F.xxhash64(F.array_join(F.slice("w", i + 1, words), " ")))
         return df.select(key, w.alias("w")).where(F.size("w") >= words).select(key, F.explode(F.array_distinct(runs)).alias("h"))
 
-    of = shingles(passages, "item_id")
+    of = kept(shingles(passages, "item_id"), "passages")  # its size known, Spark broadcasts it if it is small
     size = of.groupBy("item_id").agg(F.count("*").alias("size"))
     shared = shingles(docs, "doc_id").join(of, "h").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
     return shared.join(size, "item_id").select("doc_id", "item_id", "shared", (F.col("shared") / F.col("size")).alias("coverage"))

@@ -97,12 +97,6 @@ def mask_iou_f1(s, d):
     return rounded(provenance.mask_scores(m, "vec_id"))
 
 
-@query(f"SELECT count(*) AS items, round(avg(iou), 6) AS mean_iou, round(quantile_cont(iou, 0.5), 6) AS median_iou, round(avg(f1), 6) AS mean_f1, count(*) FILTER (iou >= 0.35) AS good FROM (SELECT vec_id, count(*) FILTER (p AND t) / count(*) FILTER (p OR t)::DOUBLE AS iou, 2 * count(*) FILTER (p AND t) / (count(*) FILTER (p) + count(*) FILTER (t))::DOUBLE AS f1 FROM ({_MASK}) GROUP BY 1)")
-def localisation_summary(s, d):
-    m = tables.pixels(s, d).select("vec_id", (F.col("value") > 0).alias("p"), (F.col("y") < 4).alias("t"))
-    return rounded(provenance.mask_scores(m, "vec_id").agg(F.count("*").alias("items"), F.avg("iou").alias("mean_iou"), F.expr("percentile(iou, 0.5)").alias("median_iou"), F.avg("f1").alias("mean_f1"), F.count_if(F.col("iou") >= 0.35).alias("good")))
-
-
 @query("""WITH t AS (SELECT vec_id, CAST(floor(y / 2) AS BIGINT) AS ty, CAST(floor(x / 2) AS BIGINT) AS tx, avg(value) AS mean FROM v_pixels GROUP BY 1,2,3), k AS (SELECT vec_id, avg(mean) AS m, stddev_pop(mean) AS sd FROM t GROUP BY 1)
 SELECT vec_id, ty, tx, round(mean, 6) AS mean FROM t JOIN k USING (vec_id) WHERE mean > m + 1.5 * sd""")
 def patch_outliers(s, d):

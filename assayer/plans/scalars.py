@@ -95,27 +95,10 @@ def exclude_known(s, d):
     return items.join(known, "id", "left_anti").join(groups, "grp", "left_anti").select("id")
 
 
-@query("SELECT split, sha256(string_agg(h, '' ORDER BY h)) AS fingerprint FROM (SELECT label AS split, sha256(concat(id, '|', grp)) AS h FROM v_items) GROUP BY 1")
-def dataset_fingerprint(s, d):
-    h = tables.items(s, d).select(F.col("label").alias("split"), F.sha2(F.concat("id", F.lit("|"), "grp").cast("binary"), 256).alias("h"))
-    return h.groupBy("split").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "").cast("binary"), 256).alias("fingerprint"))
-
-
-def fit_platt(s, d):
-    """Slope and intercept of each detector's calibration."""
-    fits = calibration.fit_platt(rows_of(s, d), "detector")
-    return rounded(s.createDataFrame([(g, *(t or (None, None)), t is not None) for g, t in sorted(fits.items())], "detector string, a double, b double, usable boolean"))
-
-
-def auc_bootstrap_ci(s, d):
-    """An interval of each detector's AUC from 200 resamples."""
-    return rounded(calibration.auc_bootstrap(rows_of(s, d), "detector", 200))
-
-
 def moving_window_limit(s, d):
     """Which requests of each client and endpoint are admitted: five a day, and refused ones do not count."""
     e = tables.table(s, d, "events").select("user_id", "event_type", "ts", F.col("event_id").alias("id"))
     return calibration.admitted(e, ["user_id", "event_type"], 86_400, 5)
 
 
-QUERIES |= {f.__name__: f for f in (fit_platt, auc_bootstrap_ci, moving_window_limit)}
+QUERIES["moving_window_limit"] = moving_window_limit

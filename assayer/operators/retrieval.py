@@ -17,13 +17,43 @@ def exact_classes(df: DataFrame, id_col: str, content: str) -> DataFrame:
 
 
 def hamming_join(a: DataFrame, b: DataFrame, distance: int) -> DataFrame:
-    """(a_id, b_id, distance) of 64-bit codes at most `distance` < 4 bits apart: they agree in one of four bands."""
-    def bands(df: DataFrame, name: str) -> DataFrame:
-        each = F.explode(F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("code", 16 * i).bitwiseAND(F.lit(0xFFFF)).alias("bits")) for i in range(4)]))
+    """(a_id, b_id, distance) of 64-bit codes at most `distance` < 8 bits apart: they agree in one of distance + 1 bands."""
+    if not 0 <= distance < 8:
+        raise ValueError("bands of codes that may differ in eight bits or more select nothing")
+    bands, width = distance + 1, 64 // (distance + 1)
+
+    def banded(df: DataFrame, name: str) -> DataFrame:
+        each = F.explode(F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("code", width * i).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1)).alias("bits")) for i in range(bands)]))
         return df.select(F.col("id").alias(f"{name}_id"), F.col("code").alias(f"{name}_code"), each.alias("k")).select(f"{name}_id", f"{name}_code", "k.band", "k.bits")
 
     d = F.bit_count(F.col("a_code").bitwiseXOR(F.col("b_code")))
-    return bands(a, "a").join(bands(b, "b"), ["band", "bits"]).withColumn("distance", d).where(F.col("distance") <= distance).select("a_id", "b_id", "distance").distinct()
+    return banded(a, "a").join(banded(b, "b"), ["band", "bits"]).withColumn("distance", d).where(F.col("distance") <= distance).select("a_id", "b_id", "distance").distinct()
+
+
+def text_codes(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(id, code): 64 signs of the words' summed hashes, a fingerprint in which like texts differ little; each word's bits come from its MD5."""
+    words = docs.select(F.col(id_col).alias("id"), F.explode(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")).alias("w")).groupBy("id", "w").agg(F.count("*").alias("n"))
+    half = lambda at: F.conv(F.substring(F.md5(F.col("w").cast("binary")), at, 8), 16, 10).cast("bigint")
+    hashed = words.select("id", "n", half(1).alias("h0"), half(9).alias("h1"))
+    sign = lambda h, i: F.sum(F.when(F.shiftright(h, i).bitwiseAND(F.lit(1)) == 1, F.col("n")).otherwise(-F.col("n")))
+    signs = hashed.groupBy("id").agg(*[sign(h, i).alias(f"{h}_{i}") for h in ("h0", "h1") for i in range(32)])
+    code = F.lit(0).cast("bigint")
+    for k, (h, i) in enumerate((h, i) for h in ("h1", "h0") for i in range(32)):
+        code = code.bitwiseOR(F.when(F.col(f"{h}_{i}") > 0, F.lit((1 << k) - (1 << 64 if k == 63 else 0))).otherwise(F.lit(0)))
+    return signs.select("id", code.alias("code"))
+
+
+def near_documents(docs: DataFrame, id_col: str, text: str, distance: int = 3, words: int = 5, least: float = 0.8) -> DataFrame:
+    """(a_id, b_id, similarity): retrieved by code, verified by the exact share of common word runs; equal texts are one, under the least id."""
+    one = docs.groupBy(F.sha2(F.col(text).cast("binary"), 256).alias("_same")).agg(F.min(id_col).alias("id"), F.first(text).alias("text"))
+    codes = text_codes(one, "id", "text")
+    pairs = hamming_join(codes, codes, distance).where("a_id < b_id").select("a_id", "b_id")
+    w = F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != "")
+    runs = F.when(F.size("w") <= words, F.array(F.array_join("w", " "))).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - words)), lambda i: F.array_join(F.slice("w", i + 1, words), " ")))
+    sets = one.select("id", w.alias("w")).select("id", F.array_distinct(runs).alias("runs"))
+    both = pairs.join(sets.select(F.col("id").alias("a_id"), F.col("runs").alias("a")), "a_id").join(sets.select(F.col("id").alias("b_id"), F.col("runs").alias("b")), "b_id")
+    common = F.size(F.array_intersect("a", "b"))
+    return both.select("a_id", "b_id", (common / (F.size("a") + F.size("b") - common)).alias("similarity")).where(F.col("similarity") >= least)
 
 
 def cosine_candidates(queries: DataFrame, items: DataFrame, k: int, block: int = 4096) -> DataFrame:

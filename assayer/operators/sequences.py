@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from assayer.functions.stats import box_iou
+from assayer.sources.scratch import kept
+
 ANOMALY, SHARE = 0.45, 0.3
 
 
@@ -85,3 +88,101 @@ def robust_z(frames: DataFrame) -> DataFrame:
     mad = near.groupBy("media_id").agg(F.expr("percentile(abs(combined_score - median), 0.5)").alias("mad"))
     off = F.col("combined_score") - F.col("median")
     return near.join(mad, "media_id").select("media_id", "frame_index", F.when(F.col("mad") > 0, off / (1.4826 * F.col("mad"))).when(F.col("sd") > 0, off / F.col("sd")).otherwise(0.0).alias("z"))
+
+
+def scene_scores(frames: DataFrame, feature: str = "feature") -> DataFrame:
+    """Mean absolute difference of each frame's features (0 to 255) to the frame before, as a share; the first has 1."""
+    before = F.lag(feature).over(W.partitionBy("media_id").orderBy("frame_index"))
+    apart = F.aggregate(F.zip_with(F.col(feature), before, lambda a, b: F.abs(a.cast("double") - b)), F.lit(0.0), lambda t, x: t + x) / F.size(feature) / 255
+    return frames.withColumn("scene", F.when(before.isNull(), F.lit(1.0)).otherwise(apart)).select("media_id", "frame_index", "scene")
+
+
+def shot_keyframes(frames: DataFrame, shots_: DataFrame, cuts: DataFrame, most: int = 24) -> DataFrame:
+    """(media_id, frame_index, why): shot midpoints and the frames beside cuts; few of them are filled up evenly, many are thinned, those beside cuts last."""
+    key = "media_id"
+    middle = shots_.select(key, F.floor((F.col("start_frame") + F.col("end_frame")) / 2).alias("frame_index"), F.lit(0).alias("rank"), F.lit("shot_midpoint").alias("why"))
+    beside = cuts.select(key, F.explode(F.array(F.struct((F.col("frame_index") - 1).alias("f"), F.lit("before_cut").alias("why")), F.struct(F.col("frame_index").alias("f"), F.lit("after_cut").alias("why")))).alias("x")).select(key, F.col("x.f").alias("frame_index"), F.when(F.col("x.why") == "before_cut", 1).otherwise(2).alias("rank"), "x.why")
+    first = lambda df: df.groupBy(key, "frame_index").agg(F.min_by("why", "rank").alias("why"))
+    chosen = first(middle.unionByName(beside))
+    total = frames.groupBy(key).agg((F.max("frame_index") + 1).alias("total"))
+    few = total.join(chosen.groupBy(key).agg(F.count("*").alias("n")), key, "left").where(F.coalesce("n", F.lit(0)) < 3)
+    fill = few.select(key, F.explode(F.array(*[F.floor(F.lit(q) * (F.col("total") - 1)) for q in (0.1, 0.3, 0.5, 0.7, 0.9)])).alias("frame_index")).distinct().join(chosen, [key, "frame_index"], "left_anti").withColumn("why", F.lit("uniform"))
+    every = chosen.unionByName(fill).withColumn("cut", F.col("why").isin("before_cut", "after_cut"))
+    order = W.partitionBy(key, "cut").orderBy("frame_index")
+    placed = every.withColumns({"place": F.row_number().over(order) - 1, "kind": F.count("*").over(W.partitionBy(key, "cut")), "cuts": F.count_if("cut").over(W.partitionBy(key)), "all": F.count("*").over(W.partitionBy(key))})
+    room = F.least(F.greatest(F.lit(0), F.lit(most) - F.col("cuts")), F.col("kind"))
+    step = (F.col("kind") - 1) / F.greatest(F.lit(1), room - 1)
+    picked = F.exists(F.sequence(F.lit(0), F.greatest(F.lit(0), room.cast("int") - 1)), lambda i: F.rint(i * step) == F.col("place")) & (room > 0)
+    keep = (F.col("all") <= most) | F.when(F.col("cut"), F.col("place") < most).otherwise(picked)
+    return placed.where(keep).select(key, "frame_index", "why")
+
+
+def confidence_decay(seen: DataFrame, decay: float = 0.85, lost: int = 5) -> DataFrame:
+    """(track_id, frame_index, confidence, state) of every frame from a track's first to its last, seen (track_id, frame_index, confidence).
+
+    In frames between, what was last seen fades by `decay` a frame; after `lost` of them the track is inactive, until it is seen again.
+    """
+    after = F.lead("frame_index").over(W.partitionBy("track_id").orderBy("frame_index"))
+    gaps = seen.withColumn("after", after).withColumn("gap", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("after") - F.col("frame_index") - 1, F.lit(0)))))
+    state = F.when(F.col("gap") == 0, "seen").when(F.col("gap") <= lost, "fading").otherwise("inactive")
+    faded = F.when(F.col("gap") <= lost, F.col("confidence") * F.pow(F.lit(decay), F.col("gap")))
+    return gaps.select("track_id", (F.col("frame_index") + F.col("gap")).alias("frame_index"), faded.alias("confidence"), state.alias("state"))
+
+
+def top_regions(regions: DataFrame, tracks: DataFrame, frames: int = 5, each: int = 2, best: int = 5) -> DataFrame:
+    """(media_id, kind, place, id): the first regions of the worst frames, then the tracks of highest confidence."""
+    worst = regions.select("media_id", "frame_index", "frame_score").distinct().withColumn("f", F.row_number().over(W.partitionBy("media_id").orderBy(F.desc("frame_score"), "frame_index"))).where(F.col("f") <= frames)
+    own = regions.join(worst.select("media_id", "frame_index", "f"), ["media_id", "frame_index"]).withColumn("r", F.row_number().over(W.partitionBy("media_id", "frame_index").orderBy("region_id"))).where(F.col("r") <= each)
+    found = own.select("media_id", F.lit("frame").alias("kind"), ((F.col("f") - 1) * each + F.col("r")).alias("place"), F.col("region_id").alias("id"))
+    ranked = tracks.withColumn("place", F.row_number().over(W.partitionBy("media_id").orderBy(F.desc("confidence"), "track_id"))).where(F.col("place") <= best)
+    return found.unionByName(ranked.select("media_id", F.lit("track").alias("kind"), "place", F.col("track_id").alias("id")))
+
+
+def blend_chunks(chunks: DataFrame, key: str, overlap: int) -> DataFrame:
+    """(key, at, value): overlapping chunks (key, start, values, length) put together; weights rise over an edge that is shared with a neighbour."""
+    at = chunks.select(key, "start", "length", F.size("values").alias("n"), F.posexplode("values").alias("i", "v"))
+    rise = F.when((F.col("start") > 0) & (F.col("i") < overlap), (F.col("i") + 1) / (overlap + 1)).otherwise(1.0)
+    fall = F.when((F.col("start") + F.col("n") < F.col("length")) & (F.col("n") - F.col("i") <= overlap), (F.col("n") - F.col("i")) / (overlap + 1)).otherwise(1.0)
+    w = F.least(rise, fall)
+    return at.groupBy(key, (F.col("start") + F.col("i")).alias("at")).agg((F.sum(w * F.col("v")) / F.sum(w)).alias("value"))
+
+
+def region_match(tracks: DataFrame, found: DataFrame, least: float = 0.3) -> DataFrame:
+    """(frame, track_id, region_id, iou): one to one within a frame, the largest overlap first, ties to smaller ids.
+
+    Rounds of mutually best pairs give what taking pairs one by one in order does, and need no ordered loop: a pair that is first
+    for both of its sides is taken, and pairs of either side go.
+    """
+    box = lambda p: [F.col(f"{p}{c}") for c in "xywh"]
+    named = lambda df, p: df.select(*[F.col(c).alias(f"{p}{c}") if c in "xywh" else F.col(c) for c in df.columns])
+    left = kept(named(tracks, "t").join(named(found, "r"), "frame").withColumn("iou", box_iou(*box("t"), *box("r"))).where(F.col("iou") > least).select("frame", "track_id", "region_id", "iou"), "pairs")
+    order = (F.desc("iou"), "track_id", "region_id")
+    taken = None
+    while True:
+        ranked = left.withColumns({"t": F.row_number().over(W.partitionBy("frame", "track_id").orderBy(*order)), "r": F.row_number().over(W.partitionBy("frame", "region_id").orderBy(*order))})
+        now = kept(ranked.where("t = 1 and r = 1").select("frame", "track_id", "region_id", "iou"), "matched")
+        if now.isEmpty():
+            return now if taken is None else taken
+        taken = now if taken is None else taken.unionByName(now)
+        left = kept(left.join(now.select("frame", "track_id"), ["frame", "track_id"], "left_anti").join(now.select("frame", "region_id"), ["frame", "region_id"], "left_anti"), "pairs")
+
+
+def mask_summary(pixels: DataFrame, key: str, threshold: float, least: float = 0.001) -> DataFrame:
+    """(key, share, areas, kept_share): the share of an item's map at the threshold or above, and its connected areas (by edges) that are not speckle.
+
+    Labels spread to the least place within an area by joins of neighbours; an item's map is small, but all items go at once.
+    """
+    size = pixels.groupBy(key).agg(F.count("*").alias("size"))
+    at = F.struct("y", "x")
+    hot = kept(pixels.where(F.col("value") >= threshold).select(key, "y", "x", at.alias("area")), "cells")
+    near = F.explode(F.array(*[F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy, dx in ((0, 0), (0, 1), (1, 0), (0, -1), (-1, 0))])).alias("to")
+    while True:
+        told = hot.select(key, near, "area").select(key, "to.y", "to.x", "area").groupBy(key, "y", "x").agg(F.min("area").alias("least"))
+        after = kept(hot.join(told, [key, "y", "x"]).select(key, "y", "x", "least", "area"), "cells")
+        moved = after.where("least < area").limit(1).count()
+        hot = after.select(key, "y", "x", F.col("least").alias("area"))
+        if not moved:
+            break
+    areas = hot.groupBy(key, "area").agg(F.count("*").alias("n")).join(size, key)
+    sums = areas.groupBy(key).agg(F.sum("n").alias("n"), F.count_if(F.col("n") >= F.col("size") * least).alias("areas"), F.sum(F.when(F.col("n") >= F.col("size") * least, F.col("n"))).alias("large"))
+    return size.join(sums, key, "left").select(key, (F.coalesce("n", F.lit(0)) / F.col("size")).alias("share"), F.coalesce("areas", F.lit(0)).alias("areas"), (F.coalesce("large", F.lit(0)) / F.col("size")).alias("kept_share"))

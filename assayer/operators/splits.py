@@ -70,3 +70,72 @@ def contamination(docs: DataFrame, passages: DataFrame, words: int = 5) -> DataF
     size = of.groupBy("item_id").agg(F.count("*").alias("size"))
     shared = shingles(docs, "doc_id").join(of, "h").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
     return shared.join(size, "item_id").select("doc_id", "item_id", "shared", (F.col("shared") / F.col("size")).alias("coverage"))
+
+
+def fit_guard(rows: DataFrame, locked: DataFrame, split: str) -> DataFrame:
+    """(split, rows, frozen, refused): nothing is fitted on the holdout, nor where rows of it carry another split's name."""
+    hit = rows.join(locked.select("id").distinct().withColumn("_locked", F.lit(True)), "id", "left")
+    n = hit.agg(F.count("*").alias("rows"), F.count_if("_locked").alias("frozen"))
+    return n.select(F.lit(split).alias("split"), "rows", "frozen", ((F.lit(split) == "holdout") | (F.col("frozen") > 0)).alias("refused"))
+
+
+def variants(docs: DataFrame, text: str = "text", group: str = "grp") -> DataFrame:
+    """Tagged copies of each text, as it may be passed on; a copy keeps its original's group."""
+    t = F.col(text)
+    words = F.split(t, " ")
+    half = F.array_join(F.filter(words, lambda w, i: i % 2 == 0), " ")
+    copies = {"original": t, "cut_80": F.substring(t, F.lit(1), F.floor(F.length(t) * F.lit(0.8)).cast("int")), "half": half, "lower": F.lower(t), "blanks": F.regexp_replace(t, r"\s+", " "), "bare": F.regexp_replace(t, r"[.,;:!?]", "")}
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("tag"), c.alias("copy")) for k, c in copies.items()]))
+    return docs.select("id", group, each.alias("x")).select("id", group, "x.tag", "x.copy")
+
+
+def quota_plan(counts: DataFrame, quotas: dict[str, int], each: int) -> list[tuple[str, int]]:
+    """Sources to read, in order: always the one with most wanted rows a byte, `each` at most of a class from one source.
+
+    counts: (source, class, rows, bytes), summed up on Spark; only sources that hold a wanted class come to the driver, and a
+    quota is filled by the time that many of them are chosen.
+    """
+    small = counts.where(F.col("class").isin(*quotas)).groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("class", "rows"))).alias("rows"), F.max("bytes").alias("bytes"))
+    rest = {r["source"]: (r["rows"], r["bytes"]) for r in small.collect()}
+    want, plan = dict(quotas), []
+    while rest and any(n > 0 for n in want.values()):
+        gain = {k: sum(min(rows.get(c, 0), each, n) for c, n in want.items() if n > 0) for k, (rows, _) in rest.items()}
+        best = min(rest, key=lambda k: (-gain[k] / rest[k][1], k))
+        if not gain[best]:
+            break
+        rows, _ = rest.pop(best)
+        want = {c: n - min(rows.get(c, 0), each, max(0, n)) for c, n in want.items()}
+        plan.append((best, gain[best]))
+    return plan
+
+
+def drop_near(items: DataFrame, reference: DataFrame, distance: int) -> DataFrame:
+    """(id, near_duplicate_of, distance): each item's nearest within the distance among other sets' codes (id, code); null: it is kept."""
+    from assayer.operators.retrieval import hamming_join
+
+    hits = hamming_join(items, reference, distance).groupBy("a_id").agg(F.min(F.struct("distance", F.col("b_id").alias("of"))).alias("x"))
+    return items.select("id").join(hits.select(F.col("a_id").alias("id"), F.col("x.of").alias("near_duplicate_of"), F.col("x.distance").alias("distance")), "id", "left")
+
+
+def near_groups(items: DataFrame, distance: int) -> DataFrame:
+    """(id, group): items (id, code) share a group if links within the distance lead from one to the other; the least id names it.
+
+    Equal codes are one row before that, and codes that link to many do not gather in a task: labels spread by least values.
+    """
+    from assayer.operators.retrieval import hamming_join
+
+    codes = kept(items.groupBy("code").agg(F.min("id").alias("rep")), "codes")
+    own = codes.select(F.col("rep").alias("id"), "code")
+    links = hamming_join(own, own, distance).where("a_id <> b_id").select(F.col("a_id").alias("id"), F.col("b_id").alias("other"))
+    links = kept(links, "links")
+    labels = kept(own.select("id", F.col("id").alias("group")), "labels")
+    while True:
+        seen = links.join(labels.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("group").alias("least"))
+        after = labels.join(seen, "id", "left").select("id", F.least("group", F.coalesce("least", "group")).alias("next"), "group")
+        jump = after.select(F.col("id").alias("next"), F.col("next").alias("further"))
+        moved = kept(after.join(jump, "next", "left").select("id", F.least("next", F.coalesce("further", "next")).alias("next"), "group"), "labels")
+        still = moved.where("next < group").limit(1).count() == 0
+        labels = moved.select("id", F.col("next").alias("group"))
+        if still:
+            break
+    return items.select("id", "code").join(codes, "code").join(labels.withColumnRenamed("id", "rep"), "rep").select("id", "group")

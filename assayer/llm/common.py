@@ -60,8 +60,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def joined(rows: DataFrame, keyed: DataFrame, key: str, total: int, how: str = "left") -> DataFrame:
     """rows with the columns of keyed (one row for each key, n: how many rows have it; total: all rows); no frequent key fills a task.
 
-    The rows of frequent keys stay where they are and meet a broadcast of fewer than HEAVY keys; the others are joined by key.
+    If there are frequent keys, their rows stay where they are and meet a broadcast of fewer than HEAVY keys; the others are joined by
+    key.  keyed is read several times, so it should be a stored table.
     """
+    if (keyed.agg(F.max("n")).first()[0] or 0) * HEAVY <= total:
+        return rows.join(keyed, key, how)
     often = keyed.where(F.col("n") * HEAVY > total)
     at_home = rows.join(F.broadcast(often), key)
     others = rows.join(F.broadcast(often.select(key)), key, "left_anti").join(keyed.where(F.col("n") * HEAVY <= total), key, how)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from assayer.llm.common import joined, stored, table
+from assayer.llm.common import forget, joined, stored, table
 
 #: Hash ranges of a count, rounds of propagation at most, and bytes that a row counts beside its text.
 BUCKETS, ROUNDS, EXTRA = 1024, 8, 16
@@ -74,7 +74,9 @@ def settled(units: DataFrame, quota: int) -> DataFrame:
         vain = vain + 1 if apart > 0.99 * best else 0
         if not apart or turn == ROUNDS or vain == 2:
             break
-        units, best = stored(propagate(asked, quota, turn), "units"), min(best, apart)
+        after = stored(propagate(asked, quota, turn), "units")
+        forget(units)
+        units, best = after, min(best, apart)
     return units
 
 
@@ -86,11 +88,13 @@ def shard(df: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str
     total = rows.count()
     quota, more = total // shards, total % shards
     groups = stored(rows.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") * 1.25 / max(1, quota)).cast("int")), "groups")
+    first = rows
     rows = joined(rows, groups, "g", total).drop("n").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod("key", F.col("parts"))).cast("int"))
     own = F.when(F.col("part").isNull(), F.xxhash64("g")).when(F.col("parts") > 1, F.xxhash64("key", F.lit(7))).otherwise(F.xxhash64("g", F.lit(7)))
     start = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("g"), F.lit(shards)) + F.col("part")).otherwise(F.xxhash64("key", F.lit(1)))
     began = F.when(F.col("part").isNotNull(), F.pmod(start, F.lit(shards)).cast("int"))
     rows = stored(rows.withColumn("range", F.when(F.col("parts") > 1, F.pmod(own, F.lit(GATES)).cast("int") - GATES).otherwise(_range(own))).withColumn("began", began).withColumn("unit", F.concat_ws(":", "g", "part", "began")), "rows")
+    forget(first)
     linked = rows.where("part is not null")
     units = linked.groupBy("g", "part", "began").agg(F.count("*").alias("n")).withColumn("shard", F.col("began"))
     homes = stored(settled(units, quota).select(F.concat_ws(":", "g", "part", "began").alias("unit"), F.col("shard").alias("near"), "n"), "homes")

@@ -204,7 +204,10 @@ def links(classes: DataFrame, bits: int) -> DataFrame:
 
     sides = [index.select(F.col("node").alias(k), F.col("fps").alias(f"{k}_fps"), F.col("reps").alias(f"{k}_reps")) for k in "ab"]
     both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "a_fps", "a_reps", "b_fps", "b_reps")
-    return both.repartition(max(1, -(-pairs.count() // PAIRS)), "a", "b").mapInArrow(run, f"u {kind}, v {kind}")
+    found = stored(both.repartition(max(1, -(-pairs.count() // PAIRS)), "a", "b").mapInArrow(run, f"u {kind}, v {kind}"), "links")
+    for done in (index, pairs):
+        forget(done)
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -213,12 +216,13 @@ def components(edges: DataFrame) -> DataFrame:
     seen, total = None, edges.count()
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = joined(both.where("v > u"), least, "u", 2 * total, "inner").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "least")
+        large = stored(joined(both.where("v > u"), least, "u", 2 * total, "inner").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        low = stored(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "low")
         small = joined(large, low, "u", total, "inner").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         after = stored(small, "edges")
-        forget(edges)
+        for done in (edges, least, large, low):
+            forget(done)
         edges, state = after, after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

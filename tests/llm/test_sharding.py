@@ -52,7 +52,7 @@ def test_units_move_within_quotas(spark):
     after = sharding.propagate(sharding.wishes(units), total // 8, 0)
     assert after.groupBy().sum("n").first()[0] == total and after.count() == 1600
     apart = lambda u: sharding.wishes(u).where("want <> shard").groupBy().sum("n").first()[0] or 0
-    assert apart(sharding.settled(units, total // 8)) < 0.2 * apart(units)
+    assert apart(sharding.settled(units, total // 8)) < 0.3 * apart(units)
 
 
 def test_odd_rows_and_clashing_names(spark):

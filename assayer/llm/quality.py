@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm.common import held_out, table, text_batches
+from assayer.llm.common import forget, held_out, stored, table, text_batches
 
 #: Labelled texts of each label in the vote, at most: the first by hash of their ids.
 VOTERS = 2_000
 #: Hashed shapes and runs of bytes, bytes of a run, latent dimensions, neighbours that vote, and the power of their cosines.
-SHAPES, GRAMS, GRAM, LATENT, NEAREST, POWER = 4096, 2048, 5, 64, 15, 8
+SHAPES, GRAMS, GRAM, LATENT, NEAREST, POWER = 2048, 2048, 5, 64, 15, 8
 #: Texts multiplied at once, and bytes of a text that are counted at once.
 BLOCK, SPAN = 512, 1 << 20
 #: predicted is 1 from this score on.
@@ -152,14 +152,23 @@ def learn(df: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
             rows = [(1000 * terms(t)).astype(np.float16).tobytes() for _, texts in text_batches(batch.column(1)) for t in texts]
             yield pa.RecordBatch.from_pydict({"id": batch.column(0).cast(pa.string()), "y": batch.column(2), "terms": pa.array(rows, pa.binary())})
 
-    rows = texts.mapInArrow(run, "id string, y int, terms binary").toPandas().sort_values(["id", "y"])
-    if rows.empty:
+    rows = stored(texts.mapInArrow(run, "id string, y int, terms binary"), "voters")
+    ids, counts, labels_of = [], [], []
+    for y in (0, 1):  # half of the voters at a time
+        part = rows.where(F.col("y") == y).toPandas()
+        ids += part["id"].tolist()
+        labels_of += [float(y)] * len(part)
+        packed = np.empty((len(part), TERMS), np.float16)
+        for i, raw in enumerate(part["terms"]):
+            packed[i] = np.frombuffer(raw, np.float16)
+        counts.append(packed)
+        del part
+    forget(rows)
+    if not ids:
         none = np.zeros((0, LATENT), np.float32)
         return Space(np.zeros(TERMS, np.float32), np.zeros((TERMS, LATENT), np.float32), none, np.zeros(0))
-    labels_of, packed = rows["y"].to_numpy(np.float64), rows.pop("terms").tolist()
-    counts = np.zeros((len(packed), TERMS), np.float16)
-    for i in range(len(packed)):
-        counts[i], packed[i] = np.frombuffer(packed[i], np.float16), None  # one copy in memory
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], labels_of[i]))
+    counts, labels_of = np.concatenate(counts)[order], np.array(labels_of)[order]
     total, has = frequencies(df, text_col)
     weight = np.log((1 + total) / (1 + has)) + 1
     weight[-REPEATS:] *= 2

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import deque
 from collections.abc import Iterator
 
@@ -209,14 +210,14 @@ def record(rows: DataFrame, by: str, calibrations: DataFrame, target_fpr: float,
 
 
 def admitted(requests: DataFrame, key: list[str], seconds: float, limit: int) -> DataFrame:
-    """Moving window in which only admitted requests count, for (key, ts, id); a key's ordered run is read in batches, of which only the window is held."""
+    """Moving window in which only admitted requests count, for (key, ts, id); a key's ordered run is read in batches, of which only the window is held.  retry_after: seconds until a refused one would be admitted."""
     kinds = dict(requests.dtypes)
     names = [*key, "id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, held = None, deque()
         for batch in batches:
-            out = []
+            out, wait = [], []
             for k, micros in zip(batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True):
                 if k != of:
                     of, held = k, deque()
@@ -224,10 +225,11 @@ def admitted(requests: DataFrame, key: list[str], seconds: float, limit: int) ->
                 while held and held[0] <= t - seconds:
                     held.popleft()
                 out.append(len(held) < limit)
+                wait.append(None if out[-1] else max(1, math.ceil(held[0] + seconds - t)))
                 if out[-1]:
                     held.append(t)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(out, pa.bool_())], names=[*names, "admitted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(out, pa.bool_()), pa.array(wait, pa.int64())], names=[*names, "admitted", "retry_after"])
 
     rows = requests.select(*names, F.to_json(F.struct(*key)).alias("_key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("_micros"))
     rows = rows.repartition("_key").sortWithinPartitions("_key", F.asc_nulls_last("_micros"), F.asc_nulls_last("id"))
-    return rows.mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in names) + ", admitted boolean")
+    return rows.mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in names) + ", admitted boolean, retry_after bigint")

@@ -55,7 +55,7 @@ def extract_tokens(s, d):
     return tables.answers(s, d).select("o_orderkey", joined(text.citations(t), ",").alias("cited"), joined(text.addresses(t), ",").alias("addresses"), joined(text.times(t), ",").alias("times"), joined(text.numbers(t), " ").alias("numbers"))
 
 
-@query(f"""SELECT DISTINCT l_orderkey, l_linenumber, token, token = CAST(l_orderkey AS VARCHAR) OR CAST(token AS BIGINT) = true_qty AS supported FROM (SELECT l_orderkey, l_linenumber, true_qty, unnest([CAST(l_orderkey AS VARCHAR), regexp_extract(claim, 'shipped (\d+)', 1)]) AS token FROM v_claims)""")
+@query(f"""SELECT DISTINCT l_orderkey, l_linenumber, token, token = CAST(l_orderkey AS VARCHAR) OR CAST(token AS BIGINT) = true_qty AS supported FROM (SELECT l_orderkey, l_linenumber, true_qty, unnest([CAST(l_orderkey AS VARCHAR), regexp_extract(claim, 'shipped (\\d+)', 1)]) AS token FROM v_claims)""")
 def claim_range_join(s, d):
     c = tables.claims(s, d)
     claimed = c.select("l_orderkey", "l_linenumber", F.explode(text.numbers(F.col("claim"))).alias("token"))

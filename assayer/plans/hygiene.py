@@ -98,7 +98,7 @@ def fit_guard(s, d):
     return splits.fit_guard(i.where("split = 'val'").select("id").unionByName(mislabelled), locked, "val")
 
 
-@query("""SELECT id, grp, tag, sha256(CASE tag WHEN 'original' THEN t WHEN 'cut_80' THEN t[1:CAST(floor(length(t) * 0.8) AS BIGINT)] WHEN 'half' THEN array_to_string(list_filter(string_split(t, ' '), lambda w, i: i % 2 = 1), ' ') WHEN 'lower' THEN lower(t) WHEN 'blanks' THEN regexp_replace(t, '\s+', ' ', 'g') ELSE regexp_replace(t, '[.,;:!?]', '', 'g') END) AS sha
+@query("""SELECT id, grp, tag, sha256(CASE tag WHEN 'original' THEN t WHEN 'cut_80' THEN t[1:CAST(floor(length(t) * 0.8) AS BIGINT)] WHEN 'half' THEN array_to_string(list_filter(string_split(t, ' '), lambda w, i: i % 2 = 1), ' ') WHEN 'lower' THEN lower(t) WHEN 'blanks' THEN regexp_replace(t, '\\s+', ' ', 'g') ELSE regexp_replace(t, '[.,;:!?]', '', 'g') END) AS sha
 FROM (SELECT CAST(doc_id AS VARCHAR) AS id, source AS grp, text AS t FROM documents), (VALUES ('original'), ('cut_80'), ('half'), ('lower'), ('blanks'), ('bare')) k(tag)""")
 def robustness_variants(s, d):
     docs = tables.table(s, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("grp"), "text")

@@ -23,7 +23,7 @@ def least_reached(fps, bits):
         label = after
 
 
-@pytest.mark.parametrize(("node", "fan"), [(16_384, 16), (40, 2), (7, 4)])
+@pytest.mark.parametrize(("node", "fan"), [(16_384, 16), (40, 4), (25, 2)])
 def test_links_are_brute_forces(spark, monkeypatch, node, fan):
     monkeypatch.setattr(simhash, "NODE", node)
     monkeypatch.setattr(simhash, "FAN", fan)

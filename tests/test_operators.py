@@ -250,3 +250,17 @@ def test_scalars_at_the_edges(spark):
     assert one.select(*[text.ip_is_public(F.lit(k)).alias(f"c{i}") for i, k in enumerate(ips)]).first()[:] == tuple(ips.values())
     r = one.select(text.scrub(F.lit(None).cast("string")).alias("a"), text.scrub(F.lit("x" * 300)).alias("b"), text.stated_date(F.lit("2024:02:30 10:00:00")).alias("c"), text.stated_date(F.lit(None).cast("string")).alias("d"), stats.bits_apart(F.lit("01"), F.lit("0")).alias("e"), stats.cosine(F.array(F.lit(0.0)), F.array(F.lit(1.0))).alias("f")).first()
     assert r.a is None and len(r.b) == 240 and r.b.endswith("…") and tuple(r.c) == tuple(r.d) == (None, None) and r.e == 2 and r.f is None
+
+
+def test_statements_say_no_more_than_the_record(spark):
+    from assayer.operators import fusion
+
+    rows = [
+        (1, "manipulation", 2.31, 1.0, "SUPPORTS", "moderate"), (2, "manipulation", 1.5, 1.5, "AGAINST", "moderate"), (3, "ai_generation", -2.0, -1.2, "AGAINST", "moderate"),
+        (4, "manipulation", 0.4, 0.2, "LIMITED", "limited"), (5, "manipulation", 1.0, 0.5, "CONFLICTING", "limited"), (6, "ai_generation", None, None, "NOT_ASSESSED", None),
+    ]
+    got = {r.analysis_id: r.statement for r in fusion.statement(spark.createDataFrame(rows, "analysis_id int, branch string, independent double, dependent double, status string, strength string")).collect()}
+    assert got[1] == "What the detectors show is between 10 and 204 times more probable if the file was edited (moderate support)."
+    assert "is 31 times more probable if not the file was edited" in got[2]
+    assert "between 15 and 100 times more probable if not" in got[3] and got[3].endswith("That does not show that it came from a camera.")
+    assert "hardly tell" in got[4] and "opposite directions" in got[5] and got[6] == "No calibrated detector ran on this question."

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayer.llm import bpe, lexical, media, neighbours, packing, phrases, pii, quality, sharding, simhash, toxicity, warc
+from assayer.llm import bpe, decontamination, lexical, media, neighbours, packing, phrases, pii, quality, sharding, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.op1,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": simhash.op10,
     "op11_phrases": phrases.op11,
     "op12_lexical_search": lexical.op12,
+    "op13_decontamination": decontamination.op13,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -47,4 +48,11 @@ c AS (SELECT count(*) AS nn, sum(len(t))::BIGINT AS ll FROM d WHERE len(t) > 0),
 w AS (SELECT term, floor(1000 * ln((2 * nn + 2) / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM f GROUP BY term), c),
 s AS (SELECT item_id, doc_id, sum(many * w * (1000000000 * tf // (1000 * tf + 12 * (75 + 25 * n * nn // ll))))::BIGINT AS score FROM i JOIN w USING (term) JOIN f USING (term), c GROUP BY ALL)
 SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 20""",
+    "op13_decontamination": f"""WITH d AS (SELECT doc_id, row_number() OVER () AS d, coalesce(regexp_extract_all({_LOWER.format("text")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all({_LOWER.format("text")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+x AS (SELECT DISTINCT item_id, len, array_to_string(w[s : s + len - 1], ' ') AS run FROM (SELECT *, unnest(range(1, len(w) - len + 2)) AS s FROM (SELECT *, least(len(w), 10) AS len FROM i WHERE len(w) > 0))),
+r AS (SELECT d, len, s, array_to_string(w[s : s + len - 1], ' ') AS run FROM (SELECT d, w, len, unnest(range(1, len(w) - len + 2)) AS s FROM d, (SELECT DISTINCT len FROM x))),
+h AS (SELECT d, item_id, s, r.len FROM r JOIN x ON x.run = r.run AND x.len = r.len),
+n AS (SELECT d, count(DISTINCT p) AS n_hit FROM (SELECT d, unnest(range(s, s + len)) AS p FROM h) GROUP BY d), t AS (SELECT d, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM (SELECT DISTINCT d, item_id FROM h) GROUP BY d)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN n USING (d) LEFT JOIN t USING (d)""",
 }

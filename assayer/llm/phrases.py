@@ -35,8 +35,8 @@ from assayer.llm.common import forget, stored, table, text_batches
 MARKS = b".,;:!?\n\x0b\x0c\r"
 #: Lower case, one blank, and a line break for each mark.
 FOLD = bytes(10 if i in MARKS else 32 if i == 9 else i + 32 if 65 <= i <= 90 else i for i in range(256))
-#: Folded bytes that a scan handles at once; words or hashes that a task counts before it passes them on.
-RUN, HELD = 4_000_000, 2_000_000
+#: Folded bytes that a scan handles at once; hashes, words, and names of phrases that a task holds before it passes them on.
+RUN, HELD, WORDS, NAMES = 1_000_000, 1_000_000, 400_000, 100_000
 #: Bits of a bitmap: for each hash, and at most.
 SPREAD, BITMAP = 32, 1 << 27
 #: Keys of a trie, and tries that a scan holds.
@@ -240,7 +240,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
             for langs, texts in runs(batch):
                 for lang, text in zip(langs, texts, strict=True):
                     seen.setdefault(lang, Counter()).update(text.split())  # of white space a folded text has blanks and line breaks alone
-                if sum(map(len, seen.values())) >= HELD:
+                if sum(map(len, seen.values())) >= WORDS:
                     yield from out()
         yield from out()
 
@@ -297,7 +297,7 @@ def named(rows: DataFrame, n: int, kept: Bitmap, lower: Bitmap | None, hashes: D
                 at, h = at[good], h[good].view(np.int64)
                 text, langs = words.bytes.tobytes(), [words.langs[i] for i in words.lang[at].tolist()]
                 new = {(k, x, text[a:b]) for k, x, a, b in zip(h.tolist(), langs, words.starts[at].tolist(), words.ends[at + n - 1].tolist(), strict=True)} - seen
-                if len(seen) + len(new) > HELD // 4:
+                if len(seen) + len(new) > NAMES:
                     seen.clear()
                 seen |= new
                 if new:

@@ -9,11 +9,16 @@ equal pseudonyms in all documents, different ones different pseudonyms, and the
 E-mail addresses and quoted secrets are no numbers: keyed digests replace them, letter case aside, and all others stay as they
 are.  Not found: IPv6 addresses, phone numbers of other countries, dates with slashes or month names.
 
+A candidate that fails its check may hide a value that begins within it (a card behind a wrong account number).  Such a text is searched
+again, the failed candidates' first characters set apart, until no candidate fails: PASSES times at most, which suffices, as
+a candidate holds no more groups in which others can begin.  Patterns begin at the start of a run of their own characters and
+their repetitions give nothing back, so that a word of any length takes linear time.
+
 The key comes from spark.assayer.pii.key; where that is unset a session has a random one, and pseudonyms of different
 sessions are then not linked.  It stands in the query's plan: keep event logs as safe as the key.
 
 Cases: null text stays null and empty text empty; numbers that fail their check stay; a text without valid values comes
-back unchanged, and very long ones are searched whole; U+0001 and U+0002 in a text are kept; repeated rows get equal results and
+back unchanged, and very long ones are searched whole; U+0001 to U+0004 in a text are kept; repeated rows get equal results and
 ties do not occur; other columns, whatever their names, are neither read nor returned by pseudonyms(), and kept by replace();
 an empty table gives an empty one.
 """
@@ -30,19 +35,27 @@ from assayer.llm.common import table
 #: The session's setting that holds the key.
 CONF = "spark.assayer.pii.key"
 ROUNDS = 8
+#: A valid value's characters are set apart by DONE, a failed candidate's first one by TRIED, while a text is searched.
+DONE, TRIED, PASSES = "\u0003", "\u0004", 10
+#: Characters of an IBAN by country.
+LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}"
+EMAIL = r"(?<![A-Za-z0-9._%+-])[._%+-]*+[A-Za-z0-9][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9-]{1,63}+\.){1,126}[A-Za-z]{2,24}"  # marks before the first letter stay
 IP = rf"(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?\d)"
 PHONE = r"\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
 SSN = r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\d-])"
 LOCAL = r"(?<![\d+.-])(?:\([2-9]\d\d\) ?|[2-9]\d\d[.-])[2-9]\d\d[.-]\d{4}(?![\d-])"
 DATE = r"(?<![\d-])(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?![\d-])"
 DOTTED = r"(?<![\d.])(?:0[1-9]|[12]\d|3[01])\.(?:0[1-9]|1[0-2])\.(?:19|20)\d\d(?!\.?\d)"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+_GROUPS = "|".join(rf"(?:{codes.replace(' ', '|')})\d\d(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, codes in LENGTHS.items())
+IBAN = rf"(?<![A-Za-z0-9])(?:{_GROUPS})(?![A-Za-z0-9@])"
 CARD = r"(?<![\d.])\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?![\d.]*\d)"
 SHORT = r"(?<![\d.])3[47]\d\d([ -]?)\d{6}\1\d{5}(?![\d.]*\d)"
 SECRET = r"(?<=\b(?:token|secret|password|api_key|apikey) ?[=:] ?\")[A-Za-z0-9+/_-]{16,}(?=\")"
-ANY = "|".join([EMAIL, IP, PHONE, LOCAL, SSN, DATE, DOTTED, CARD.replace(r"\1", r"\2"), SHORT.replace(r"\1", r"\3"), IBAN, SECRET])
+ANY = "|".join([EMAIL, IP, PHONE, LOCAL, SSN, DATE, DOTTED, CARD.replace(r"\1", r"\2"), SHORT.replace(r"\1", r"\3"), IBAN, SECRET]).replace("(?<![", f"(?<![{TRIED}")
 #: The days of 1900 to 2099 are _YEARS[0] * _YEARS[1].
 _YEARS = (17, 4_297)
 _made: dict[str, str] = {}
@@ -173,7 +186,8 @@ def digest(value: Column, key: str, tweak: str) -> Column:
 
 
 def email(value: Column, key: str) -> Column:
-    return F.concat(F.lit("user-"), F.substring(digest(F.lower(value), key, "email"), 1, 16), F.lit("@example.invalid"))
+    bare = F.regexp_extract(value, "[A-Za-z0-9].*", 0)
+    return F.concat(F.regexp_extract(value, "^[._%+-]*", 0), F.lit("user-"), F.substring(digest(F.lower(bare), key, "email"), 1, 16), F.lit("@example.invalid"))
 
 
 def secret(value: Column, key: str) -> Column:
@@ -190,28 +204,51 @@ def pseudonym(value: Column, key: str) -> Column:
     return out.otherwise(secret(value, key))
 
 
-def replaced(text: Column, key: str) -> Column:
-    """struct<text, found>: the text with pseudonyms, and how many values changed."""
-    safe = F.when(text.rlike("[\u0001\u0002]"), F.replace(F.replace(text, F.lit("\u0002"), F.lit("\u0002b")), F.lit("\u0001"), F.lit("\u0002a"))).otherwise(text)
-    parts = F.split(F.regexp_replace(safe, f"({ANY})", "\u0001$1\u0001"), "\u0001")
-    pairs = F.transform(parts, lambda p, i: F.when(i % 2 == 1, pseudonym(p, key)).otherwise(p))
-    changed = F.size(F.filter(F.zip_with(parts, pairs, lambda a, b: a != b), lambda x: x))
-    joined = F.array_join(pairs, "")
-    back = F.when(text.rlike("[\u0001\u0002]"), F.replace(F.replace(joined, F.lit("\u0002a"), F.lit("\u0001")), F.lit("\u0002b"), F.lit("\u0002"))).otherwise(joined)
-    return F.struct(back.alias("text"), changed.alias("found"))
+def searched(text: Column, key: str) -> Column:
+    """struct<text, found, again>: valid values replaced and set apart; again: some candidate failed, and its first character is set apart."""
+    parts = F.split(F.regexp_replace(text, f"({ANY})", "\u0001$1\u0001"), "\u0001")
+    pairs = F.transform(parts, lambda p, i: F.struct(p.alias("old"), F.when(i % 2 == 1, pseudonym(p, key)).alias("new")))
+    apart = lambda x: F.concat(F.array_join(F.split(x, ""), DONE), F.lit(DONE))
+    shown = lambda x: F.when(x["new"].isNull(), x["old"]).when(x["new"] != x["old"], apart(x["new"])).otherwise(F.concat(F.substring(x["old"], 1, 1), F.lit(TRIED), F.substring(x["old"], F.lit(2), F.length(x["old"]))))
+    count = lambda q, good: F.size(F.filter(q, lambda x: good(x["new"], x["old"])))
+    once = F.transform(F.array(pairs), lambda q: F.struct(F.array_join(F.transform(q, shown), "").alias("text"), count(q, lambda a, b: a != b).alias("found"), (count(q, lambda a, b: a == b) > 0).alias("again")))
+    return once[0]
+
+
+def replaced(rows: DataFrame, text_col: str, key: str, text_as: str, found_as: str) -> DataFrame:
+    """The rows with two more columns, the text with pseudonyms and how many values changed.  Step by step, so that each expression is planned once."""
+    text = F.col(text_col)
+    odd = text.rlike("[\u0001-\u0004]")
+    safe = text
+    for mark, name in (("\u0002", "b"), ("\u0001", "a"), (DONE, "c"), (TRIED, "d")):
+        safe = F.replace(safe, F.lit(mark), F.lit("\u0002" + name))
+    more = lambda s, _: F.when(s["again"], F.transform(F.array(searched(s["text"], key)), lambda x: F.struct(x["text"].alias("text"), (s["found"] + x["found"]).alias("found"), x["again"].alias("again")))[0]).otherwise(s)
+    begin = F.struct(F.when(odd, safe).otherwise(text).alias("text"), F.lit(0).alias("found"), text.rlike(r"[\d@]|[=:] ?\"").alias("again"))
+    out = rows.withColumn(found_as, F.aggregate(F.sequence(F.lit(1), F.lit(PASSES)), begin, more))
+    found = F.col(found_as)
+    plain = F.regexp_replace(found["text"], f"[{DONE}{TRIED}]", "")
+    for mark, name in (("\u0001", "a"), (DONE, "c"), (TRIED, "d"), ("\u0002", "b")):  # no change where there is no U+0002
+        plain = F.replace(plain, F.lit("\u0002" + name), F.lit(mark))
+    return out.withColumns({text_as: F.when(found["found"] > 0, plain).otherwise(text), found_as: F.coalesce(found["found"], F.lit(0))})
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df lacks."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
 
 
 def replace(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """All columns of df, with pseudonyms in the text."""
-    text = F.col(text_col)
-    return df.withColumn(text_col, F.when(text.rlike(r"[\d@]|[=:] ?\""), replaced(text, key)["text"]).otherwise(text))
+    found = unused(df, "n_replaced")
+    return replaced(df, text_col, key, text_col, found).drop(found)
 
 
 def pseudonyms(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, n_replaced)."""
-    text = F.col(text_col)
-    out = F.when(text.rlike(r"[\d@]|[=:] ?\""), replaced(text, key)).otherwise(F.struct(text.alias("text"), F.lit(0).alias("found")))
-    return df.select(id_col, out.alias("out")).select(id_col, F.col("out.text").alias("text"), F.col("out.found").alias("n_replaced"))
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return replaced(rows, "text", key, "new", "n_replaced").select(F.col("id").alias(id_col), F.col("new").alias("text"), "n_replaced")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ Documents are sorted by the length of their impact vectors and cut into buckets.
 the bucket's greatest can't reach the item's 20th best score so far (Cauchy-Schwarz); within a bucket the same bound cuts the tail of
 shorter vectors.  For the others the item's few heaviest coordinates are added up exactly and what is left is bounded by the lengths
 of both rests; survivors are rescored in 64-bit integers over all coordinates.  Bounds are in doubles, a billionth wider than they need be.
-The HEAD longest documents give every task its first 20th best scores, so no task starts from nothing.
+About HEAD of the longest documents give every task its first 20th best scores, so no task starts from nothing.
 
 Items come in blocks of ITEMS, each a pass over the documents; what a task is sent is one block's items, and what it returns the best
 of each item.
@@ -196,9 +196,12 @@ def block(df: DataFrame, items: list[tuple], k: int, id_col: str, text_col: str)
     number = {t: i for i, t in enumerate(vocabulary)}
     counts = [{number[t]: c for t, c in o.items()} for o in own]
     documents = weighed(rows, weights, n_docs, length)
-    longest = documents.orderBy(F.desc("norm"), "row").limit(HEAD)
-    first = {r["item"]: r["least"] for r in found(longest, counts, weights, np.ones(len(items), np.int64), k).groupBy("item").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(1).alias("least")).collect()}
-    least = np.array([first.get(i, 1) for i in range(len(items))], np.int64)
+    cut = documents.agg(F.percentile_approx("norm", max(0.0, 1 - HEAD / n_docs), 10_000)).first()[0]
+    longest = documents.where(F.col("norm") >= (cut or 0.0)).sortWithinPartitions(F.desc("norm"), "row")
+    first = found(longest, counts, weights, np.ones(len(items), np.int64), k).groupBy("item").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s"))  # at most k of each task
+    least = np.ones(len(items), np.int64)
+    for r in first.select("item", F.get("s", F.lit(k - 1)).alias("least")).where("least IS NOT NULL").collect():  # a row for each item
+        least[r["item"]] = r["least"]
     by_length = documents.repartitionByRange(-(-n_docs // RANGE), F.desc("norm"), "row").sortWithinPartitions(F.desc("norm"), "row")
     best = found(by_length, counts, weights, least, k)
     ranked = best.withColumn("rank", F.row_number().over(W.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("id"), "row"))).where(F.col("rank") <= k)

@@ -11,7 +11,6 @@ from assayer.functions import stats, text
 from assayer.operators import evaluation, fusion, records, retrieval, sequences, splits
 from assayer.plans.oracle import hb, with_views
 from assayer.sources import tables
-from assayer.streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -376,11 +375,6 @@ def run_status(s, d):
     return records.run_status(tables.detections(s, d))
 
 
-@query("""SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS window_start, detector, count(*) AS runs, count(*) FILTER (execution_status='FAILED') AS failed, count(*) FILTER (execution_status='INCONCLUSIVE') AS inconclusive FROM v_detections GROUP BY 1, 2""")
-def stream_outcome_windows(s, d):
-    return windows.outcome_windows(tables.detections(s, d)).withColumn("window_start", F.unix_timestamp("window_start"))
-
-
 # --- retrieval
 
 

@@ -1,18 +1,25 @@
 """Streams with a state for each key: health, admission, segments, tracks, chains, lost runs, and what arrives twice.
 
-Each operator keeps a bounded state a key, takes a micro-batch's rows of a key in the order of time, and gives what its batch form
-gives.  Rows that come later than a key's state has advanced are taken as they come; where a watermark is set, rows behind it
-are dropped by Spark, which counts them (numRowsDroppedByWatermark).
+Rows wait in their key's state, as Arrow, until the watermark has passed them; then they are taken in the order of time, whatever
+files or batches they came in.  So each operator gives what its batch form gives, as long as rows are no later than the
+watermark's delay; later ones are dropped and counted (`Drained.late`).  A timer wakes a key when its earliest waiting row is due, and
+again when it has been idle for so long that nothing can follow: then what is open is given and the state is removed.
+
+A feed reads a table as a stream, whether it is one file or a folder of files, a number of them a batch.  It can be closed, which moves
+the watermark past all rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import io
 import json
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -20,35 +27,132 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from assayer.operators.audit import FIELDS, GENESIS
 from assayer.sources.scratch import place
 
+#: When a closed feed ends; no row is as late.
+FAR = "9999-01-01 00:00:00"
+
+
+@dataclass
+class Feed:
+    """A table's files as a stream, and a folder whose one row closes it."""
+
+    rows: DataFrame
+    schema: object
+    time: str
+    end: str
+
+    def close(self, at: object = FAR) -> None:
+        """Let the watermark pass `at`, less its delay."""
+        spark = self.rows.sparkSession
+        one = [F.lit(at).cast(f.dataType).alias(f.name) if f.name == self.time else F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema]
+        spark.range(1).select(*one).coalesce(1).write.mode("append").parquet(self.end)
+
+
+def feed(spark: SparkSession, path: str, time: str = "ts", files: int = 100) -> Feed:
+    """`path` is a file or a folder of Parquet files, `files` of them a batch; times without zone are read as UTC, as watermarks need."""
+    table, (folder, _, name) = spark.read.parquet(path), path.rstrip("/").rpartition("/")
+    read = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files)
+    if any(f.rpartition("/")[2] == name for f in table.inputFiles()):  # a file is read from the folder that holds it
+        read, path = read.option("pathGlobFilter", name), folder
+    read = read.parquet(path)
+    rows = read.withColumns({f: F.col(f).cast("timestamp") for f, t in read.dtypes if t == "timestamp_ntz" or f == time})
+    end = place(spark, "end")
+    spark.createDataFrame([], rows.schema).write.parquet(end)
+    return Feed(rows.unionByName(spark.readStream.schema(rows.schema).parquet(end)), rows.schema, time, end)
+
+
+@dataclass
+class Drained:
+    """What a stream gave until its source was empty, and how many rows came behind the watermark."""
+
+    rows: DataFrame
+    late: int
+
+
+def drain(stream: DataFrame, name: str, closed: Feed | None = None, at: object = FAR) -> Drained:
+    """Run a stream until its source is empty; with a feed, close that and run on from the same checkpoint."""
+    spark, path, log, late = stream.sparkSession, place(stream.sparkSession, name), place(stream.sparkSession, f"{name}-log"), 0
+
+    def run() -> int:
+        q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", log).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+        return sum(o["numRowsDroppedByWatermark"] for p in q.recentProgress for o in p["stateOperators"])
+
+    late = run()
+    if closed is not None:
+        closed.close(at)
+        late += run()
+    return Drained(spark.read.schema(stream.schema).parquet(path), late)
+
+
+def drained(stream: DataFrame, name: str, closed: Feed | None = None, at: object = FAR) -> DataFrame:
+    return drain(stream, name, closed, at).rows
 
-def arriving(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:
-    """A table's files as a stream; times without zone are read as UTC, as watermarks need."""
-    df = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
-    return df.withColumns({f: F.col(f).cast("timestamp") for f, t in df.dtypes if t == "timestamp_ntz"})
 
+def timed(rows: DataFrame, late: str) -> DataFrame:
+    """The rows with a watermark; the row that closes a feed moves it and goes."""
+    return rows.withWatermark("ts", late).where(F.col("ts") < F.lit(FAR).cast("timestamp"))
 
-def drained(stream: DataFrame, name: str) -> DataFrame:
-    """What a stream gives until its source is empty, as a table."""
-    spark, path = stream.sparkSession, place(stream.sparkSession, name)
-    q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", place(spark, f"{name}-log")).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
 
+def _packed(rows: pd.DataFrame) -> bytes | None:
+    if not len(rows):
+        return None
+    out, table = io.BytesIO(), pa.Table.from_pandas(rows, preserve_index=False)
+    with pa.ipc.new_stream(out, table.schema) as w:
+        w.write_table(table)
+    return out.getvalue()
 
-def _ordered(parts: Iterator[pd.DataFrame], *by: str) -> pd.DataFrame:
-    frames = list(parts)
-    return pd.concat(frames).sort_values(list(by)) if frames else pd.DataFrame()
 
+def in_order(rows: DataFrame, key: list[str], order: list[str], fields: str, start: object, step: Callable, late: str, idle: float | None = None, finish: Callable | None = None) -> DataFrame:
+    """A stream of `fields` from rows (key…, ts, …), each key's rows by `order`.
 
-def health(runs: DataFrame, failing_after: int = 3, window: int = 50) -> DataFrame:
+    step(key, value, due) takes rows that the watermark has passed and returns the key's new value and rows of output; with `early` among its
+    attributes it also gets those that wait, and returns those that still do.  finish(key, value) gives what is open when a key has had
+    no row for `idle` seconds; its state is then removed.  Values are lists, numbers and texts, kept as JSON.
+    """
+    names = [c for c in rows.columns if c != "ts"]
+
+    def run(own: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        value, last, held = (json.loads(state.get[0]), *state.get[1:]) if state.exists else (start, 0, None)
+        waiting = [] if held is None else [pa.ipc.open_stream(held).read_pandas()]
+        if not state.hasTimedOut:
+            waiting += [p[[*names, "micros"]] for p in parts]
+        passed = state.getCurrentWatermarkMs()
+        wait = pd.concat(waiting).sort_values(order) if waiting else pd.DataFrame(columns=[*names, "micros"])
+        if len(wait):
+            last = max(last, int(wait["micros"].max()))
+        if getattr(step, "early", False):
+            value, out, wait = step(own, value, wait, passed * 1000)
+        else:
+            due = wait["micros"] <= passed * 1000
+            value, out = step(own, value, wait[due]) if due.any() else (value, [])
+            wait = wait[~due]
+        over = idle is not None and not len(wait) and last + idle * 1e6 <= passed * 1000
+        if over:
+            out = [*out, *(finish(own, value) if finish else [])]
+            if state.exists:
+                state.remove()
+        else:
+            state.update((json.dumps(value), last, _packed(wait)))
+            if len(wait):
+                state.setTimeoutTimestamp(max(passed + 1, int(wait["micros"].min()) // 1000 + 1))
+            elif idle is not None:
+                state.setTimeoutTimestamp(max(passed + 1, int(last + idle * 1e6) // 1000 + 1))
+        yield pd.DataFrame(out, columns=columns).astype(whole)
+
+    kinds = [f.strip().split(" ") for f in fields.split(",")]
+    columns, whole = [k[0] for k in kinds], {k[0]: "Int64" for k in kinds if k[1] in ("bigint", "int")}
+    ready = timed(rows, late).withColumn("micros", F.unix_micros("ts"))
+    return ready.groupBy(*key).applyInPandasWithState(run, fields, "value string, last bigint, held binary", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def health(runs: DataFrame, failing_after: int = 3, window: int = 50, late: str = "1 hour", idle: float | None = None) -> DataFrame:
     """(detector, detection_id, state, failures, p95): each detector's state after each run (detector, detection_id, ts, execution_status, duration).
 
     The state holds failures in a row and the last `window` durations of productive runs; skipped runs are neutral.
     """
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        failures, durations = state.get if state.exists else (0, [])
-        durations, out = list(durations), []
-        for r in _ordered(parts, "ts", "detection_id").itertuples(index=False):
+    def step(key: tuple, value: list, due: pd.DataFrame) -> tuple[list, list]:
+        (failures, durations), out = value, []
+        for r in due.itertuples(index=False):
             if r.execution_status == "FAILED":
                 failures += 1
             elif r.execution_status != "SKIPPED":
@@ -57,49 +161,52 @@ def health(runs: DataFrame, failing_after: int = 3, window: int = 50) -> DataFra
             ranked = sorted(durations)
             p95 = ranked[min(len(ranked) - 1, int(0.95 * len(ranked)))] if ranked else None
             out.append((key[0], r.detection_id, "FAILING" if failures >= failing_after else "DEGRADED" if failures else "OPERATIONAL", failures, p95))
-        state.update((failures, durations))
-        yield pd.DataFrame(out, columns=["detector", "detection_id", "state", "failures", "p95"])
+        return [failures, durations], out
 
     rows = runs.select("detector", "detection_id", "ts", "execution_status", F.col("duration").cast("double").alias("duration"))
-    return rows.groupBy("detector").applyInPandasWithState(run, "detector string, detection_id bigint, state string, failures int, p95 double", "failures int, durations array<double>", "append", GroupStateTimeout.NoTimeout)
+    return in_order(rows, ["detector"], ["micros", "detection_id"], "detector string, detection_id bigint, state string, failures int, p95 double", [0, []], step, late, idle)
 
 
-def admission(requests: DataFrame, key: list[str], seconds: int, limit: int) -> DataFrame:
-    """(key…, id, admitted, retry_after): moving window in which only admitted requests count; requests: key…, id, ts."""
-    fields = ", ".join(f"{k} {t}" for k, t in requests.dtypes if k in key)
+def admission(requests: DataFrame, key: list[str], seconds: int, limit: int, late: str = "1 hour") -> DataFrame:
+    """(key…, id, admitted, retry_after): moving window in which only admitted requests count; requests: key…, id, ts.
 
-    def run(own: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, out = (list(state.get[0]) if state.exists else []), []
-        for r in _ordered(parts, "micros", "id").itertuples(index=False):
+    A key without requests for the window's length is forgotten, which changes no answer.
+    """
+    kinds = ", ".join(f"{k} {t}" for k, t in requests.dtypes if k in key)
+
+    def step(own: tuple, held: list, due: pd.DataFrame) -> tuple[list, list]:
+        out = []
+        for r in due.itertuples(index=False):
             t = int(r.micros)
             held = [x for x in held if x > t - seconds * 1_000_000]
             ok = len(held) < limit
             out.append((*own, r.id, ok, None if ok else max(1, math.ceil((held[0] + seconds * 1_000_000 - t) / 1e6))))
             if ok:
                 held.append(t)
-        state.update((held,))
-        yield pd.DataFrame(out, columns=[*key, "id", "admitted", "retry_after"])
+        return held, out
 
-    rows = requests.select(*key, "id", F.unix_micros("ts").alias("micros"))
-    return rows.groupBy(*key).applyInPandasWithState(run, f"{fields}, id bigint, admitted boolean, retry_after double", "held array<bigint>", "append", GroupStateTimeout.NoTimeout)
+    return in_order(requests.select(*key, "id", "ts"), key, ["micros", "id"], f"{kinds}, id bigint, admitted boolean, retry_after double", [], step, late, seconds)
 
 
-def segments(frames: DataFrame, anomaly: float = 0.45) -> DataFrame:
-    """(media_id, start_frame, end_frame, peak_score): runs of anomalous frames, given when the first calm frame ends them; frames: media_id, ts, id, score."""
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at, start, peak = state.get if state.exists else (0, -1, 0.0)
-        out = []
-        for r in _ordered(parts, "ts", "id").itertuples(index=False):
+def segments(frames: DataFrame, anomaly: float = 0.45, late: str = "1 hour", idle: float = 86_400) -> DataFrame:
+    """(media_id, start_frame, end_frame, peak_score): runs of anomalous frames (media_id, ts, id, score), each ended by the first calm frame; a run
+    that is open when its medium has been idle for so many seconds ends with the last frame."""
+    def step(key: tuple, value: list, due: pd.DataFrame) -> tuple[list, list]:
+        (at, start, peak), out = value, []
+        for r in due.itertuples(index=False):
             if r.score >= anomaly:
                 start, peak = (at, r.score) if start < 0 else (start, max(peak, r.score))
             elif start >= 0:
                 out.append((key[0], start, at, max(peak, r.score)))
                 start = -1
             at += 1
-        state.update((at, start, float(peak)))
-        yield pd.DataFrame(out, columns=["media_id", "start_frame", "end_frame", "peak_score"])
+        return [at, start, float(peak)], out
 
-    return frames.select("media_id", "ts", "id", "score").groupBy("media_id").applyInPandasWithState(run, "media_id bigint, start_frame bigint, end_frame bigint, peak_score double", "at bigint, start bigint, peak double", "append", GroupStateTimeout.NoTimeout)
+    def finish(key: tuple, value: list) -> list:
+        at, start, peak = value
+        return [(key[0], start, at - 1, peak)] if start >= 0 else []
+
+    return in_order(frames.select("media_id", "ts", "id", "score"), ["media_id"], ["micros", "id"], "media_id bigint, start_frame bigint, end_frame bigint, peak_score double", [0, -1, 0.0], step, late, idle, finish)
 
 
 def overlap(a: list[float], b: list[float]) -> float:
@@ -109,18 +216,16 @@ def overlap(a: list[float], b: list[float]) -> float:
     return w * h / union if union > 0 else 0.0
 
 
-def tracks(regions: DataFrame, least: float = 0.3, sure: float = 0.4, decay: float = 0.85, lost: int = 5) -> DataFrame:
-    """(media_id, frame, id, track, confidence): the track of each region (media_id, frame, id, x, y, w, h, confidence), frame by frame.
+def tracks(regions: DataFrame, least: float = 0.3, sure: float = 0.4, decay: float = 0.85, lost: int = 5, late: str = "1 hour", idle: float | None = None) -> DataFrame:
+    """(media_id, frame, id, track, confidence): the track of each region (media_id, ts, frame, id, x, y, w, h, confidence), frame by frame.
 
-    Regions go to the active track that they overlap most, one to one; sure ones without a track begin one; a track that is not
-    seen fades, and after `lost` frames it is gone.  The state holds active tracks only.
+    Regions go to the active track that they overlap most, one to one; sure ones without a track begin one, named by its first frame and a
+    place there; a track that is not seen fades, and after `lost` frames it is gone.  The state holds active tracks only; set `idle` to
+    the time of `lost` frames or more, and a medium without regions leaves no state.
     """
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        number, flat = state.get if state.exists else (0, [])
-        active = {int(r[0]): list(r[1:]) for r in (flat[i : i + 7] for i in range(0, len(flat), 7))}  # track: last frame, box, confidence
-        out = []
-        rows = _ordered(parts, "frame", "id")
-        for frame, found in rows.groupby("frame", sort=True) if len(rows) else ():
+    def step(key: tuple, value: list, due: pd.DataFrame) -> tuple[list, list]:
+        active, out = {int(r[0]): list(r[1:]) for r in value}, []  # track: last frame, box, confidence
+        for frame, found in due.groupby("frame", sort=True):
             for t in [t for t, v in active.items() if frame - v[0] > lost]:
                 del active[t]
             boxes = {r.id: [r.x, r.y, r.w, r.h] for r in found.itertuples(index=False)}
@@ -129,10 +234,11 @@ def tracks(regions: DataFrame, least: float = 0.3, sure: float = 0.4, decay: flo
             for minus, t, i in pairs:
                 if -minus > least and i not in of and t not in of.values():
                     of[i] = t
+            new = 0
             for r in found.itertuples(index=False):
                 if r.id not in of and r.confidence >= sure:
-                    number += 1
-                    of[r.id] = number
+                    of[r.id] = int(frame) << 20 | new
+                    new += 1
                 if r.id in of:
                     active[of[r.id]] = [float(frame), r.x, r.y, r.w, r.h, r.confidence]
                 out.append((key[0], frame, r.id, of.get(r.id), r.confidence))
@@ -140,36 +246,39 @@ def tracks(regions: DataFrame, least: float = 0.3, sure: float = 0.4, decay: flo
             for t, v in active.items():
                 if t not in seen:
                     v[5] *= decay
-        state.update((number, [float(x) for t, v in active.items() for x in (t, *v)]))
-        yield pd.DataFrame(out, columns=["media_id", "frame", "id", "track", "confidence"]).astype({"track": "Int64"})
+        return [[t, *map(float, v)] for t, v in active.items()], out
 
-    cols = ["media_id", "frame", "id", "x", "y", "w", "h", "confidence"]
-    return regions.select(*cols).groupBy("media_id").applyInPandasWithState(run, "media_id bigint, frame bigint, id bigint, track bigint, confidence double", "number bigint, tracks array<double>", "append", GroupStateTimeout.NoTimeout)
+    cols = ["media_id", "ts", "frame", "id", "x", "y", "w", "h", "confidence"]
+    return in_order(regions.select(*cols), ["media_id"], ["micros", "frame", "id"], "media_id bigint, frame bigint, id bigint, track bigint, confidence double", [], step, late, idle)
 
 
-def chain_check(events: DataFrame) -> DataFrame:
-    """(chain, sequence, ok, reason): each event held against the digest before it; the state is the last number and digest.
+def chain_check(events: DataFrame, late: str = "1 hour") -> DataFrame:
+    """(chain, sequence, ok, reason): each event (chain, ts, …) held against the digest before it; the state is the last number and digest, and what came early.
 
-    Of a batch events go by number; an event that leaves a gap is reported, and the chain goes on from it.
+    An event waits until the one before it has come, or until the watermark has passed it: only then it leaves a gap, and the chain
+    goes on from it.  An event whose place the chain has left is reported as `late` and changes nothing.
     """
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        number, last = state.get if state.exists else (0, GENESIS)
-        out = []
-        for r in _ordered(parts, "sequence").to_dict("records"):
+    def step(key: tuple, value: list, wait: pd.DataFrame, passed: int) -> tuple[list, list, pd.DataFrame]:
+        (number, last), out, kept = value, [], []
+        for i, r in enumerate(wait.to_dict("records")):
+            if r["sequence"] > number + 1 and r["micros"] > passed:
+                kept.append(i)
+                continue
             fields = {f: json.loads(r[f]) if f == "details" else None if r[f] is None or r[f] != r[f] else r[f] for f in FIELDS}
             own = hashlib.sha256(json.dumps(fields, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
-            reason = "gap" if r["sequence"] != number + 1 else "link" if r["previous_event_hash"] != last else "contents" if own != r["event_hash"] else None
+            behind = r["sequence"] <= number
+            reason = "late" if behind else "gap" if r["sequence"] != number + 1 else "link" if r["previous_event_hash"] != last else "contents" if own != r["event_hash"] else None
             out.append((key[0], r["sequence"], reason is None, reason))
-            number, last = int(r["sequence"]), r["event_hash"]
-        state.update((number, last))
-        yield pd.DataFrame(out, columns=["chain", "sequence", "ok", "reason"])
+            number, last = (number, last) if behind else (int(r["sequence"]), r["event_hash"])
+        return [number, last], out, wait.iloc[kept]
 
-    rows = events.withColumn("details", F.to_json("details")).select("chain", *FIELDS, "event_hash")
-    return rows.groupBy("chain").applyInPandasWithState(run, "chain bigint, sequence bigint, ok boolean, reason string", "number bigint, last string", "append", GroupStateTimeout.NoTimeout)
+    step.early = True
+    rows = events.withColumn("details", F.to_json("details")).select("chain", "ts", *FIELDS, "event_hash")
+    return in_order(rows, ["chain"], ["sequence"], "chain bigint, sequence bigint, ok boolean, reason string", [0, GENESIS], step, late)
 
 
 def lost_runs(events: DataFrame, seconds: int, late: str = "0 seconds") -> DataFrame:
-    """(run_id, started): runs (run_id, ts, done) that no event ended within so many seconds, given when the watermark has passed that time."""
+    """(run_id, started): runs (run_id, ts, done) that no event ended within so many seconds, given when the watermark has passed that time; rows without a run are left out."""
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             started, done = state.get
@@ -183,5 +292,5 @@ def lost_runs(events: DataFrame, seconds: int, late: str = "0 seconds") -> DataF
         state.setTimeoutTimestamp(max(started // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"run_id": pd.Series(dtype="int64"), "started": pd.Series(dtype="datetime64[ns]")})
 
-    rows = events.select("run_id", "ts", F.unix_micros("ts").alias("micros"), "done").withWatermark("ts", late)
+    rows = events.select("run_id", "ts", F.unix_micros("ts").alias("micros"), "done").withWatermark("ts", late).where("run_id IS NOT NULL OR ts < '0001-01-02'")  # with the time in it the rule stays above the watermark
     return rows.groupBy("run_id").applyInPandasWithState(run, "run_id bigint, started timestamp", "started bigint, done boolean", "append", GroupStateTimeout.EventTimeTimeout)

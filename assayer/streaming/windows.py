@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayer.streaming.keyed import timed
+
 
 def outcome_windows(runs: DataFrame, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Outcomes of each detector in tumbling windows; works on a stream and on a table alike."""
-    timed = runs.withWatermark("ts", late) if runs.isStreaming else runs
+    rows = timed(runs, late) if runs.isStreaming else runs
     s = F.col("execution_status")
-    out = timed.groupBy(F.window("ts", length), "detector").agg(F.count("*").alias("runs"), F.count_if(s == "FAILED").alias("failed"), F.count_if(s == "INCONCLUSIVE").alias("inconclusive"))
+    out = rows.groupBy(F.window("ts", length), "detector").agg(F.count("*").alias("runs"), F.count_if(s == "FAILED").alias("failed"), F.count_if(s == "INCONCLUSIVE").alias("inconclusive"))
     return out.select(F.col("window.start").alias("window_start"), "detector", "runs", "failed", "inconclusive")
 
 
 def first_arrivals(arrivals: DataFrame, key: str, late: str = "1 day") -> DataFrame:
     """The first row of each content within the watermark."""
-    return arrivals.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
+    return timed(arrivals, late).dropDuplicatesWithinWatermark([key])

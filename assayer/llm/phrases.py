@@ -35,8 +35,8 @@ from assayer.llm.common import forget, stored, table, text_batches
 MARKS = b".,;:!?\n\x0b\x0c\r"
 #: Lower case, one blank, and a line break for each mark.
 FOLD = bytes(10 if i in MARKS else 32 if i == 9 else i + 32 if 65 <= i <= 90 else i for i in range(256))
-#: Folded bytes that a scan handles at once; hashes, words, and names of phrases that a task holds before it passes them on.
-RUN, HELD, WORDS, NAMES = 1_000_000, 1_000_000, 400_000, 100_000
+#: Folded bytes that a scan handles at once; hashes, and words, that a task holds before it passes them on.
+RUN, HELD, WORDS = 1_000_000, 1_000_000, 400_000
 #: Bits of a bitmap: for each hash, and at most.
 SPREAD, BITMAP = 32, 1 << 27
 #: Keys of a trie, and tries that a scan holds.
@@ -91,10 +91,10 @@ class Words:
         """One for each word of a language."""
         if not len(self.starts):
             return np.zeros(0, np.uint64)
-        longest = int((self.ends - self.starts).max()) + 1
-        powers = np.cumprod(np.full(longest + 1, _ODD))
-        place = np.arange(len(self.bytes)) - np.repeat(self.starts, self.ends - self.starts + 1)
-        own = np.add.reduceat((self.bytes + np.uint64(1)) * powers[place], self.starts) - (self.bytes[self.ends] + np.uint64(1)) * powers[self.ends - self.starts]
+        powers, back = _powers(len(self.bytes) + 1)
+        sums = np.cumsum((self.bytes + np.uint64(1)) * powers[: len(self.bytes)])  # of a word's bytes: a difference, moved to the start
+        before = np.where(self.starts > 0, sums[self.starts - 1], np.uint64(0))
+        own = (sums[self.ends - 1] - before) * back[self.starts]
         salt = np.array([xxhash.xxh64_intdigest(x.encode()) for x in self.langs], np.uint64)
         return mixed(own ^ salt[self.lang])
 
@@ -111,6 +111,29 @@ class Words:
         at = np.flatnonzero(good)
         return at, part[at]
 
+    def first(self, at: np.ndarray, n: int, h: np.ndarray) -> np.ndarray:
+        """Places of the first of each phrase of n words, and of any that has the hash of another phrase; texts are compared byte by byte."""
+        if not len(at):
+            return at
+        _, one, of = np.unique(h, return_index=True, return_inverse=True)
+        start, size = self.starts[at], self.ends[at + n - 1] - self.starts[at]
+        same = (size == size[one][of]) & (self.lang[at] == self.lang[at[one]][of])
+        hit = np.flatnonzero(same)
+        step = np.arange(size[hit].sum()) - np.repeat(np.cumsum(size[hit]) - size[hit], size[hit])
+        differ = self.bytes[np.repeat(start[hit], size[hit]) + step] != self.bytes[np.repeat(start[one][of][hit], size[hit]) + step]
+        same[hit] = ~np.logical_or.reduceat(differ, np.cumsum(size[hit]) - size[hit])
+        return np.union1d(one, np.flatnonzero(~same))
+
+
+_tables: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """At least n powers of an odd number, and of its inverse, modulo 2^64."""
+    if not _tables or len(_tables[0]) < n:
+        _tables[:] = [np.cumprod(np.concatenate([[1], np.full(max(n, 2 * RUN), x, np.uint64)]), dtype=np.uint64) for x in (int(_ODD), pow(int(_ODD), -1, 1 << 64))]
+    return _tables
+
 
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -170,7 +193,7 @@ class DoubleArray:
         order = np.argsort(parent, kind="stable")
         parents, begin, many = np.unique(parent[order], return_index=True, return_counts=True)
         labels = label[order]
-        room = 1 << int(np.ceil(np.log2(1.4 * (len(node) + 1) + 600)))
+        room = int(1.25 * len(node)) + 600
         base, used, claim, rng = np.zeros(len(parents), np.int64), np.zeros(room, bool), np.zeros(room, np.int64), np.random.default_rng(0)
         used[0] = True
         for least, most in ((65, 256), (33, 64), (17, 32), (9, 16), (5, 8), (3, 4), (2, 2), (1, 1)):
@@ -269,7 +292,7 @@ def frequent_hashes(rows: DataFrame, n: int, least: int, kept: Bitmap | None) ->
                     held, size = [], 0
         yield out()
 
-    return rows.mapInArrow(count, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least).select("h")
+    return rows.mapInArrow(count, "h bigint, c bigint").repartition("h").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least).select("h")
 
 
 def bitmap(hashes: DataFrame, count: int) -> Bitmap:
@@ -288,21 +311,18 @@ def named(rows: DataFrame, n: int, kept: Bitmap, lower: Bitmap | None, hashes: D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, below = sent.value
-        seen: set[tuple[int, str, bytes]] = set()
         for batch in batches:
             for part in runs(batch):
                 words = Words(*part)
                 at, h = words.phrases(n, below)
                 good = wanted.has(h)
                 at, h = at[good], h[good].view(np.int64)
-                text, langs = words.bytes.tobytes(), [words.langs[i] for i in words.lang[at].tolist()]
-                new = {(k, x, text[a:b]) for k, x, a, b in zip(h.tolist(), langs, words.starts[at].tolist(), words.ends[at + n - 1].tolist(), strict=True)} - seen
-                if len(seen) + len(new) > NAMES:
-                    seen.clear()
-                seen |= new
-                if new:
-                    h, langs, phrases = zip(*new, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(langs, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string())], names=["h", "lang", "phrase"])
+                at, h = (x[words.first(at, n, h)] for x in (at, h))
+                if len(at):
+                    text = words.bytes.tobytes()
+                    phrases = [text[a:b] for a, b in zip(words.starts[at].tolist(), words.ends[at + n - 1].tolist(), strict=True)]
+                    langs = pa.array(words.langs, pa.string()).take(pa.array(words.lang[at]))
+                    yield pa.RecordBatch.from_arrays([pa.array(h), langs, pa.array(phrases, pa.binary()).cast(pa.string())], names=["h", "lang", "phrase"])
 
     return rows.mapInArrow(run, "h bigint, lang string, phrase string").distinct().join(hashes, "h", "left_semi").select("lang", "phrase")
 
@@ -323,7 +343,7 @@ def sharded(candidates: DataFrame, total: int) -> DataFrame:
 
 
 def tries(shards: DataFrame) -> DataFrame:
-    """(shard, langs, keys, cells): the double array of each shard; a key is its language's number in four bytes, the phrase, a line break."""
+    """(shard, langs, low, high, cells): the double array of each shard, and the least and greatest first two bytes of its phrases; a key is its language's number in four bytes, the phrase, a line break."""
 
     def build(part: pa.Table) -> pa.Table:
         part = part.sort_by("key")
@@ -334,9 +354,10 @@ def tries(shards: DataFrame) -> DataFrame:
         trie = DoubleArray.build([keys[i] for i in order])
         leaf = trie.cells[:, 0] < 0
         trie.cells[leaf, 0] = -1 - part["key"].to_numpy()[np.array(order)[-1 - trie.cells[leaf, 0]]]
-        return pa.table({"shard": part["shard"][:1], "langs": pa.array([langs], pa.list_(pa.string())), "cells": pa.array([trie.cells.tobytes()], pa.binary())})
+        pairs = [int.from_bytes(k[4:6].ljust(2, b"\n"), "big") for k in keys]
+        return pa.table({"shard": part["shard"][:1], "langs": pa.array([langs], pa.list_(pa.string())), "low": pa.array([min(pairs)], pa.int32()), "high": pa.array([max(pairs)], pa.int32()), "cells": pa.array([trie.cells.tobytes()], pa.binary())})
 
-    return shards.groupBy("shard").applyInArrow(build, "shard bigint, langs array<string>, cells binary")
+    return shards.groupBy("shard").applyInArrow(build, "shard bigint, langs array<string>, low int, high int, cells binary")
 
 
 def counted(rows: DataFrame, built: DataFrame) -> DataFrame:
@@ -363,9 +384,10 @@ def _counting(sent):
         for batch in batches:
             for part in runs(batch):
                 words = Words(*part)
-                for trie, root, total in zip(some, roots, sums, strict=True):
+                begin = words.bytes[words.starts].astype(np.int32) << 8 | words.bytes[words.starts + 1]
+                for r, trie, root, total in zip(sent.value, some, roots, sums, strict=True):
                     state = np.array([root.get(x, -1) for x in words.langs], np.int64)[words.lang]
-                    at = np.flatnonzero(state >= 0)
+                    at = np.flatnonzero((state >= 0) & (begin >= r["low"]) & (begin <= r["high"]))
                     total += np.bincount(trie.found(words.bytes, words.starts[at], state[at]), minlength=SHARD)
         for r, total in zip(sent.value, sums, strict=True):
             keys = np.flatnonzero(total)

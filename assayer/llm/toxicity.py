@@ -59,7 +59,8 @@ SPARED, RARER = 5, 4.0
 SEED = ("idiot", "moron", "stupid", "scum", "loser", "pathetic", "worthless", "disgusting")
 WORD = re.compile(r"[^\W\d_]+")
 BEFORE, BEHIND = re.compile(r"[^\W\d_]{2,20} $"), re.compile(r"[^\W\d_]+ [^\W\d_]{2,20}")
-_INVISIBLE = dict.fromkeys([0xAD, *range(0x200B, 0x2010), *range(0x202A, 0x202F), 0x2060, 0xFEFF, *range(0xFE00, 0xFE10)])
+#: Characters that do not show by themselves; combining accents too, as letters lose theirs.
+_INVISIBLE = dict.fromkeys([0xAD, *range(0x300, 0x370), *range(0x200B, 0x2010), *range(0x202A, 0x202F), 0x2060, 0xFEFF, *range(0xFE00, 0xFE10)])
 
 
 @cache

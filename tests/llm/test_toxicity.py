@@ -54,3 +54,8 @@ def test_odd_rows_and_clashing_names(spark):
     assert toxicity.reject(df.limit(0), lexicon).count() == 0 and toxicity.score(df, lexicon).count() == 6
     none = toxicity.learn(df, df.selectExpr("doc_id", "cast(null as int) as toxic"))
     assert none.weights.keys() == set(toxicity.SEED)
+
+
+def test_decomposed_accents_fold():
+    lexicon = toxicity.Lexicon(dict.fromkeys(toxicity.SEED, 1.0))
+    assert [len(lexicon.spans(toxicity.visible(t))) for t in ("you idi\u00f3t", "you idio\u0301t", "you i\u0307d\u0308iot", "e\u0301te\u0301")] == [1, 1, 1, 0]

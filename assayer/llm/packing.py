@@ -11,13 +11,15 @@ more pairs than it has nodes below, and each such bin finds room, if anywhere, i
 from every node: bins that stay below would never have been used.  On 10,000 documents 32 tasks take 1.003 and 211 tasks (of 47
 documents each) 1.014 times as many sequences as the tokens fill, with CARRY as without any bound.
 
-Cases: null text counts as empty and gives the end token alone; very long texts are encoded whole and cut into full pieces; of
+Cases: null text counts as empty and gives the end token alone; a special token that a text spells out gets its id, as the tokenizer
+gives it; very long texts are encoded whole and cut into full pieces; of
 items of equal size the first comes first, and of bins with equal room the last; a null id is kept; repeated rows are packed one
 by one; other columns, whatever their names, are neither read nor returned; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -46,26 +48,32 @@ class WordIds:
     by itself, so the ids of a text are those of its blank-separated parts in order.  Marks after a letter or
     digit begin a match of their own, so a part's ids are those of its core and of the marks behind it.  The
     tokenizer lowers letters one by one: texts of Latin-1 characters, where Python does the same, are lowered first.
+
+    The tokenizer finds its special tokens in raw text, before anything else, so texts are split at them and each gets its own id, as
+    it does there.  With plain=True a text that spells one out is bytes like any other.
     """
 
     MARKS = ".,!#$%&*|;:?"
-    _made: dict[str, WordIds] = {}
+    _made: dict[tuple[str, bool], WordIds] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        special = {} if plain else {t.content: np.array([i], "<u4").tobytes() for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
+        self.special = special
+        self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a match
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.words = Remembered(800_000, 48)
 
     @classmethod
-    def of(cls, path: str) -> WordIds:
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+    def of(cls, path: str, plain: bool = False) -> WordIds:
+        if (path, plain) not in cls._made:
+            cls._made[path, plain] = cls(path, plain)
+        return cls._made[path, plain]
 
     def tokenize(self, parts: set[str]) -> dict[str, bytes]:
         """Ids of each part; those of letters alone, one match each, are encoded many in a string."""
@@ -102,6 +110,13 @@ class WordIds:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit numbers."""
+        if self.special and any(x in t for t in texts for x in self.special):
+            split = [self.at_special.split(t) for t in texts]  # every other part is a special token
+            ids = iter(self.encode_plain([p for s in split for p in s[::2]]))
+            return [b"".join(self.special[p] if i % 2 else next(ids) for i, p in enumerate(s)) for s in split]
+        return self.encode_plain(texts)
+
+    def encode_plain(self, texts: list[str]) -> list[bytes]:
         parts = [self.lowered(t).replace("\n", " ").split(" ") for t in texts]
         return self.words.joined(parts, self.learn)
 

@@ -36,7 +36,6 @@ def test_op1_is_whole_and_tight(spark, data):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     rows, docs = packing.op1(spark, data).collect(), texts(spark, data)
     by = {}
     for r in rows:

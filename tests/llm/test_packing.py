@@ -43,3 +43,14 @@ def test_long_texts_and_clashing_names(spark):
     pieces = sorted(r.piece for r in out if r.doc_id == 1)
     assert pieces == list(range(-(-400_001 // 2048))) and sum(r.length for r in out) == 400_001 + 1 + 2 + 2 + 2
     assert packing.pack(df.limit(0), PATH).count() == 0
+
+
+def test_ids_are_the_tokenizers_own():
+    """Texts that spell out special tokens, also beside letters, marks and one another."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(PATH)
+    texts = ["hello <|endoftext|> world", "<|startoftext|>", "a<|endoftext|><|endoftext|>.b", "<|ENDOFTEXT|> <|endoftext|", "x.<|startoftext|>,É", "<|endoftext|>\n\n", "", "<|endo\u0301ftext|>"]
+    ids = [np.frombuffer(b, "<u4").tolist() for b in packing.WordIds.of(PATH).encode(texts)]
+    assert ids == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 49407 in ids[0] and 49407 not in np.frombuffer(packing.WordIds.of(PATH, plain=True).encode(texts[:1])[0], "<u4")

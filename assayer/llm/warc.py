@@ -10,8 +10,8 @@ Roles come from a table of the payloads that occur more than once.  Spark broadc
 is shuffled; if not, payloads meet it by digest, frequent ones by broadcast, so that none fills a task.
 
 Cases: null payload counts as empty; null URLs are written as empty; a row gives a record, repeated ones too: of an id with
-several payloads each is judged by its own digest, and repeated rows with the largest id are all responses; rows with null ids
-are left out; other columns, whatever their names, are neither read nor returned; a payload is held whole in a task (Spark's
+several payloads each is judged by its own digest, and repeated rows with the largest id are all responses; a row with a null id is a
+response under a record id of its own, which no other refers to, and is read back with a null id; other columns, whatever their names, are neither read nor returned; a payload is held whole in a task (Spark's
 limit of 2 GB a value holds); an empty table gives no archives and no rows.  The shared folder is one that pyarrow opens:
 file, hdfs, viewfs, s3 (s3a too), gs or abfs.
 """
@@ -38,8 +38,8 @@ DATA, INDEX = "archive/data.warc.gz", "indexes/index.json"
 ROLL, AHEAD = 256_000_000, 8_000_000
 
 
-def record(page_id: int, url: str, kind: str, refers_to: int | None, digest: str, payload: bytes) -> bytes:
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}"]
+def record(page_id: int | None, url: str, kind: str, refers_to: int | None, digest: str, payload: bytes) -> bytes:
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{f'none-{uuid.uuid4().hex}' if page_id is None else page_id}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}"]
     body = b"" if kind == "revisit" else payload
     if kind == "revisit":
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
@@ -109,7 +109,7 @@ def with_roles(rows: DataFrame, least: int) -> DataFrame:
     several = stored(of.where("n > 1"), "several")
     total = several.agg(F.sum("n")).first()[0] or 0
     last = joined(rows, several, "digest", total)
-    revisit = F.col("last").isNotNull() & (F.octet_length("payload") >= least) & (F.col("id") < F.col("last"))
+    revisit = F.coalesce((F.octet_length("payload") >= least) & (F.col("id") < F.col("last")), F.lit(False))
     return last.withColumn("kind", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("last")))
 
 
@@ -125,7 +125,7 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
         for archive, n in archives(fs, root, batches):
             yield pa.RecordBatch.from_pydict({"archive": pa.array([archive]), "records": pa.array([n], pa.int64())})
 
-    rows = pages.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), payload.alias("payload"))
+    rows = pages.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), payload.alias("payload"))
     rows = with_roles(rows, least).select("id", "url", "payload", "kind", "refers_to")
     return stored(rows.mapInArrow(run, "archive string, records bigint"), "archives")
 
@@ -207,7 +207,7 @@ def records(file) -> Iterator[tuple]:
         if kind == "response" and (n != len(body) or digest != base64.b32encode(hashlib.sha1(body).digest()).decode()):
             raise ValueError(f"{fields['WARC-Record-ID']}: the payload differs from its digest")
         page, refers = (x[len("<urn:page:") : -1] for x in (fields["WARC-Record-ID"], fields.get("WARC-Refers-To", "")))
-        yield int(page), kind, int(refers) if refers else None, digest, n, body if kind == "response" else None
+        yield None if page.startswith("none-") else int(page), kind, int(refers) if refers else None, digest, n, body if kind == "response" else None
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

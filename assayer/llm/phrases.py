@@ -131,7 +131,7 @@ _tables: list[np.ndarray] = []
 def _powers(n: int) -> list[np.ndarray]:
     """At least n powers of an odd number, and of its inverse, modulo 2^64."""
     if not _tables or len(_tables[0]) < n:
-        _tables[:] = [np.cumprod(np.concatenate([[1], np.full(max(n, 2 * RUN), x, np.uint64)]), dtype=np.uint64) for x in (int(_ODD), pow(int(_ODD), -1, 1 << 64))]
+        _tables[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, 2 * RUN), x, np.uint64)])) for x in (int(_ODD), pow(int(_ODD), -1, 1 << 64))]
     return _tables
 
 

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), with the value planned and computed once however often it stands there."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def url_clean(url: Column) -> Column:
     """Without utm_* parameters; blank values stay."""
     base, query = F.substring_index(url, "?", 1), F.regexp_extract(url, r"\?([^#]*)", 1)
@@ -85,17 +92,24 @@ def is_claim(sentence: Column) -> Column:
 
 #: Fixed value: the reason that stands for a database's message.
 DATABASE_ERROR = "a database error occurred while saving this step"
-#: What counts as a file's path in a reason (drives, shares, absolute paths; no URLs).
-_TAIL = r"[^\s\\/'\"\],;)]*"
-_PLACE = rf"(?:(?<!\w)[A-Za-z]:[\\/]|\\\\)(?:[^\\/\n'\"\],;)]*[\\/])*{_TAIL}|(?<![\w.:/])/(?:[^/\n'\"\],;)]+/)+{_TAIL}"
+#: Characters that end a path within a reason, and how paths begin: a drive, a share, a folder under the root (no URL).
+_NO_PATH = r"'\"\],;)"
+_BEGINS = {"drive": r"(?<!\w)[A-Za-z]:[\\/]", "share": r"\\\\", "root": rf"(?<![\w.:/])/[^/\n{_NO_PATH}]+/"}
+
+
+def _paths(begins: str, between: str) -> str:
+    """Folders, which may have blanks in their names, up to the last separator of the line, and a name without any."""
+    return rf"{begins}(?:[^{between}\n{_NO_PATH}]*[{between}])*[^\s\\/{_NO_PATH}]*"
 
 
 def scrub(reason: Column, most: int = 240) -> Column:
     """A reason without statements and file paths, on one line and not too long."""
-    head = F.substring_index(reason, "[SQL:", 1)
-    line = F.trim(F.regexp_replace(F.regexp_replace(head, _PLACE, "<file>"), r"\s+", " "))
-    short = F.when(F.length(line) <= most, line).otherwise(F.concat(F.substring(line, 1, most - 1), F.lit("…")))
-    return F.when(reason == "", reason).when(head.contains("Session's transaction has been rolled back") | head.contains("(sqlite3."), DATABASE_ERROR).otherwise(short)
+    hidden = F.substring_index(reason, "[SQL:", 1)
+    for kind, begins in _BEGINS.items():
+        hidden = F.regexp_replace(hidden, _paths(begins, "/" if kind == "root" else r"\\/"), "<file>")
+    words = F.array_join(F.filter(F.split(hidden, r"\s+"), lambda w: w != ""), " ")
+    of_database = F.exists(F.array(F.lit("Session's transaction has been rolled back"), F.lit("(sqlite3.")), lambda mark: F.contains(F.substring_index(reason, "[SQL:", 1), mark))
+    return F.when((reason != "") & of_database, DATABASE_ERROR).when(F.length(words) > most, F.concat(F.left(words, F.lit(most - 1)), F.lit("…"))).otherwise(words)
 
 
 def stated_date(value: Column) -> Column:
@@ -125,14 +139,62 @@ def ipv4_number(address: Column) -> Column:
     return F.when(address.rlike(f"^{_QUAD}$"), F.aggregate(parts, F.lit(0).cast("bigint"), lambda s, x: s * 256 + x.cast("bigint")))
 
 
-def ip_is_public(address: Column) -> Column:
-    """Whether a literal IPv4 address, or one mapped into IPv6, is globally routable unicast; null where it is no such literal."""
-    quad = F.regexp_replace(F.substring_index(address, "%", 1), "(?i)^::ffff:", "")
-    n, value = ipv4_number(quad), lambda q: sum(int(x) << 8 * (3 - i) for i, x in enumerate(q.split(".")))
-    inside = F.lit(False)
+#: Blocks of IPv6 addresses within 2000::/3, the globally routed unicast space, that are not public, and exceptions within them (longest prefix decides).
+NOT_PUBLIC_6 = [("2001::", 23), ("2001:db8::", 32), ("2002::", 16), ("3fff::", 20)]
+ROUTED_6 = [("2001:1::1", 128), ("2001:1::2", 128), ("2001:3::", 32), ("2001:4:112::", 48), ("2001:20::", 28), ("2001:30::", 28)]
+
+
+def ipv6_halves(address: Column) -> Column:
+    """struct<high, low>, the 128 bits of an IPv6 literal as two longs; null for anything else.  The last 32 bits may be a dotted quad."""
+    in_hex = lambda n: F.lower(F.concat_ws(":", F.hex(F.shiftright(n, 16)), F.hex(n.bitwiseAND(F.lit(0xFFFF)))))
+    plain = lambda bare: let(ipv4_number(F.regexp_extract(bare, r"([0-9.]+)$", 1)), lambda quad: F.when(bare.contains(".") & quad.isNotNull(), F.concat(F.regexp_replace(bare, r"[0-9.]+$", ""), in_hex(quad))).when(~bare.contains("."), bare))
+    well = r"^(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?(?:::(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?)?$"
+
+    def sides(text: Column) -> Column:
+        """What stands before and behind the double colon."""
+        return F.transform(F.split(text, "::"), lambda s: F.filter(F.split(s, ":"), lambda g: g != ""))
+
+    def halves(text: Column, s: Column) -> Column:
+        left, right = F.get(s, F.lit(0)), F.coalesce(F.get(s, F.lit(1)), F.array().cast("array<string>"))
+        missing = 8 - F.size(left) - F.size(right)
+        half = lambda groups, at: F.aggregate(F.slice(groups, at, 4), F.lit(0).cast("bigint"), lambda n, g: F.shiftleft(n, 16).bitwiseOR(F.conv(g, 16, 10).cast("bigint")))
+        of = let(F.concat(left, F.array_repeat(F.lit("0"), F.greatest(F.lit(0), missing)), right), lambda groups: F.struct(half(groups, 1).alias("high"), half(groups, 5).alias("low")))
+        return F.when(text.rlike(well) & F.when(text.contains("::"), missing > 0).otherwise(missing == 0), of)
+
+    return let(F.lower(F.substring_index(address, "%", 1)), lambda bare: let(plain(bare), lambda text: let(sides(text), lambda s: halves(text, s))))
+
+
+def _block_6(halves: Column, block: str, prefix: int) -> Column:
+    import ipaddress
+
+    n = int(ipaddress.IPv6Address(block))
+    high, low = n >> 64, n & (2**64 - 1)
+    signed = lambda x: x - 2**64 if x >> 63 else x
+    if prefix <= 64:
+        return F.shiftrightunsigned(halves["high"], 64 - prefix) == F.lit(high >> 64 - prefix).cast("bigint")
+    return (halves["high"] == F.lit(signed(high)).cast("bigint")) & (F.shiftrightunsigned(halves["low"], 128 - prefix) == F.lit(signed(low >> 128 - prefix)).cast("bigint"))
+
+
+def _ipv4_is_public(n: Column) -> Column:
+    value, inside = lambda q: sum(int(x) << 8 * (3 - i) for i, x in enumerate(q.split("."))), F.lit(False)
     for first, prefix in NOT_PUBLIC:
         inside = inside | n.between(value(first), value(first) + (1 << (32 - prefix)) - 1)
-    return F.when(n.isNotNull(), ~inside | quad.isin(*ROUTED))
+    return ~inside | n.isin(*map(value, ROUTED))
+
+
+def ip_is_public(address: Column) -> Column:
+    """Whether a literal address is globally routable unicast; null where it is none.  An IPv4 address mapped into IPv6 is judged as itself."""
+    rules = sorted([(*b, False) for b in NOT_PUBLIC_6] + [(*b, True) for b in ROUTED_6] + [("2000::", 3, True)], key=lambda b: -b[1])
+
+    def six(halves: Column) -> Column:
+        out = F
+        for block, prefix, public in rules:
+            out = out.when(_block_6(halves, block, prefix), public)
+        mapped = (halves["high"] == 0) & (F.shiftrightunsigned(halves["low"], 32) == 0xFFFF)
+        return F.when(mapped, let(halves["low"].bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint")), _ipv4_is_public)).when(halves.isNotNull(), out.otherwise(False))
+
+    four = let(ipv4_number(F.substring_index(address, "%", 1)), lambda n: F.when(n.isNotNull(), _ipv4_is_public(n)))
+    return F.when(address.contains(":"), let(ipv6_halves(address), six)).otherwise(four)
 
 
 def url_policy(url: Column) -> Column:
@@ -141,7 +203,7 @@ def url_policy(url: Column) -> Column:
     scheme, authority = F.lower(F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)), F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
     host = F.lower(F.regexp_extract(authority, r"^(\[[^\]]*\]|[^:]*)", 1))
     port = F.regexp_extract(authority, r":([^:\]]*)$", 1)
-    public = ip_is_public(F.regexp_replace(host, r"[\[\]]", ""))
+    public = let(F.regexp_replace(host, r"[\[\]]", ""), ip_is_public)
     return (
         F.when(url.isNull() | (F.length(url) > 2048), "too long or missing").when(~scheme.isin("http", "https"), "scheme").when(authority.contains("@"), "credentials")
         .when(host == "", "no host").when((port != "") & ~port.isin("80", "443"), "port").when(public == F.lit(False), "not public").otherwise("allowed")

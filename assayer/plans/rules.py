@@ -9,21 +9,22 @@ from assayer.plans.evidence import query, rounded
 from assayer.plans.oracle import hb
 from assayer.sources import tables
 
-_HOST = "CASE page_id % 9 WHEN 0 THEN '8.8.8.8' WHEN 1 THEN '10.1.2.3' WHEN 2 THEN '192.168.0.7:443' WHEN 3 THEN 'user:pw@example.org' WHEN 4 THEN 'example.org:8080' WHEN 5 THEN '' WHEN 6 THEN '172.31.255.255' WHEN 7 THEN '172.32.0.1' ELSE 'example.org' END"
+_HOST = "CASE WHEN page_id % 11 = 10 THEN CASE page_id % 7 WHEN 0 THEN '[::1]' WHEN 1 THEN '[fe80::1]' WHEN 2 THEN '[fd00::1]:80' WHEN 3 THEN '[2606:4700:4700::1111]:443' WHEN 4 THEN '[::ffff:10.0.0.1]' WHEN 5 THEN '[::FFFF:8.8.8.8]' ELSE '[2001:db8::1]' END ELSE CASE page_id % 9 WHEN 0 THEN '8.8.8.8' WHEN 1 THEN '10.1.2.3' WHEN 2 THEN '192.168.0.7:443' WHEN 3 THEN 'user:pw@example.org' WHEN 4 THEN 'example.org:8080' WHEN 5 THEN '' WHEN 6 THEN '172.31.255.255' WHEN 7 THEN '172.32.0.1' ELSE 'example.org' END END"
 _SCHEME = "CASE page_id % 5 WHEN 0 THEN 'ftp' WHEN 1 THEN 'HTTP' ELSE 'https' END"
 
 
-@query(f"""SELECT page_id, CASE WHEN page_id % 13 = 0 THEN 'too long or missing' WHEN page_id % 5 = 0 THEN 'scheme' WHEN page_id % 9 = 3 THEN 'credentials' WHEN page_id % 9 = 5 THEN 'no host' WHEN page_id % 9 = 4 THEN 'port' WHEN page_id % 9 IN (1, 2, 6) THEN 'not public' ELSE 'allowed' END AS outcome FROM pages""")
+@query(f"""SELECT page_id, CASE WHEN page_id % 13 = 0 THEN 'too long or missing' WHEN page_id % 5 = 0 THEN 'scheme' WHEN page_id % 11 = 10 THEN CASE WHEN page_id % 7 IN (3, 5) THEN 'allowed' ELSE 'not public' END WHEN page_id % 9 = 3 THEN 'credentials' WHEN page_id % 9 = 5 THEN 'no host' WHEN page_id % 9 = 4 THEN 'port' WHEN page_id % 9 IN (1, 2, 6) THEN 'not public' ELSE 'allowed' END AS outcome FROM pages""")
 def url_policy(s, d):
     url = F.expr(f"CASE WHEN page_id % 26 = 0 THEN NULL WHEN page_id % 13 = 0 THEN concat('https://example.org/', repeat('x', 2048)) ELSE concat({_SCHEME}, '://', {_HOST}, '/a?b') END")
     return tables.table(s, d, "pages").select("page_id", text.url_policy(url).alias("outcome"))
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 7 = 6 THEN NULL ELSE NOT (a = 10 OR a = 0 OR a = 127 OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 169 AND b = 254) OR (a = 192 AND b = 168) OR (a = 192 AND b = 0 AND c IN (0, 2)) OR (a = 198 AND b IN (18, 19)) OR (a = 198 AND b = 51 AND c = 100) OR (a = 203 AND b = 0 AND c = 113) OR a >= 224) END AS public
-FROM (SELECT event_id, CASE event_id % 5 WHEN 0 THEN [10, 100, 127, 169, 172, 192, 198, 203][1 + event_id // 5 % 8] ELSE event_id * 7 % 256 END AS a, event_id * 11 % 256 AS b, event_id * 13 % 256 AS c FROM events)""")
+@query("""SELECT event_id, CASE WHEN event_id % 7 = 6 THEN NULL WHEN event_id % 7 = 5 THEN CASE WHEN six >= 16384 OR six < 8192 THEN false WHEN six = 8193 THEN NOT (b < 2 OR b = 13) ELSE six <> 8194 END ELSE NOT (a = 10 OR a = 0 OR a = 127 OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 169 AND b = 254) OR (a = 192 AND b = 168) OR (a = 192 AND b = 0 AND c IN (0, 2)) OR (a = 198 AND b IN (18, 19)) OR (a = 198 AND b = 51 AND c = 100) OR (a = 203 AND b = 0 AND c = 113) OR a >= 224) END AS public
+FROM (SELECT event_id, [8193, 8194, 9734, 65152, 64768, 65282, 100, 16382][1 + event_id // 7 % 8] AS six, CASE event_id % 5 WHEN 0 THEN [10, 100, 127, 169, 172, 192, 198, 203][1 + event_id // 5 % 8] ELSE event_id * 7 % 256 END AS a, event_id * 11 % 256 AS b, event_id * 13 % 256 AS c FROM events)""")
 def ip_is_public(s, d):
     e = tables.table(s, d, "events").selectExpr("event_id", "CASE event_id % 5 WHEN 0 THEN element_at(array(10, 100, 127, 169, 172, 192, 198, 203), int(1 + event_id div 5 % 8)) ELSE event_id * 7 % 256 END AS a", "event_id * 11 % 256 AS b", "event_id * 13 % 256 AS c")
-    address = F.when(F.col("event_id") % 7 == 6, "example.org").otherwise(F.concat(F.when(F.col("event_id") % 3 == 0, "::ffff:").otherwise(""), F.concat_ws(".", "a", "b", "c", F.lit("77"))))
+    six = F.expr("concat(element_at(array('2001', '2002', '2606', 'FE80', 'fd00', 'ff02', '64', '3ffe'), int(1 + event_id div 7 % 8)), ':', CASE WHEN b = 13 THEN 'db8' ELSE lower(hex(b * 256 + c)) END, CASE WHEN event_id % 2 = 0 THEN '::1' ELSE ':0:0:1:2:3.4.5.6' END)")
+    address = F.when(F.col("event_id") % 7 == 6, "example.org").when(F.col("event_id") % 7 == 5, six).otherwise(F.concat(F.when(F.col("event_id") % 3 == 0, "::ffff:").otherwise(""), F.concat_ws(".", "a", "b", "c", F.lit("77"))))
     return e.select("event_id", text.ip_is_public(address).alias("public"))
 
 

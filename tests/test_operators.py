@@ -244,6 +244,45 @@ def test_near_groups_follow_links(spark):
     assert got == least
 
 
+def test_addresses_beside_the_standard_library(spark):
+    """Random and chosen literals; what is no literal is null."""
+    import ipaddress
+
+    rng = random.Random(4)
+    heads = [0x2001 << 112, 0x20010DB8 << 96, 0x2002 << 112, 0x3FFF << 112, 0xFE80 << 112, 0xFC00 << 112, 0xFF02 << 112, 0x0064FF9B << 96, 0x26064700 << 96, 0, 0xFFFF << 32, 0x20010001 << 96, 0x20010003 << 96, 0x200100040112 << 80, 0x20010020 << 96]
+    numbers = [h | rng.getrandbits(k) for h in heads for k in (1, 16, 32, 64)] + [(0x20010001 << 96) + 1, (0x20010001 << 96) + 2, 1, 0]
+    written = [str(ipaddress.IPv6Address(n)) for n in numbers] + [ipaddress.IPv6Address(n).exploded.upper() for n in numbers]
+    written += ["::ffff:8.8.8.8", "::FFFF:10.0.0.1", "2001:4860:0:0:0:0:8.8.8.8", "fe80::1%eth0"]
+    none = ["1::2::3", ":::", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8:9", "12345::", "g::", ":1", "1:", "1.2.3.4::", "::1.2.3", "", "example.org", "::ffff:1.2.3.256"]
+    got = dict(spark.createDataFrame([(x,) for x in written + none], "a string").select("a", text.ip_is_public(F.col("a"))).collect())
+    for x in written:
+        a = ipaddress.IPv6Address(x.partition("%")[0])
+        a = a.ipv4_mapped or a
+        routed = a.version == 4 or a in ipaddress.ip_network("2000::/3")
+        blocks = [(ipaddress.ip_network(f"{b}/{p}"), ok) for part, ok in ((text.NOT_PUBLIC_6, False), (text.ROUTED_6, True)) for b, p in part]
+        longest = max((b for b in blocks if a.version == 6 and a in b[0]), key=lambda b: b[0].prefixlen, default=(None, True))
+        assert got[x] == (a.is_global and not a.is_multicast if a.version == 4 else routed and longest[1]), x
+    assert all(got[x] is None for x in none), [x for x in none if got[x] is not None]
+    assert [spark.range(1).select(text.url_policy(F.lit(u))).first()[0] for u in ("http://[::1]/a", "http://[fe80::1]/", "http://[fd00::1]:80/x", "http://[2606:4700::1111]/")] == ["not public"] * 3 + ["allowed"]
+
+
+def test_sizes_of_nested_lists(spark):
+    import json
+
+    def sizes(x):
+        inner = x.values() if isinstance(x, dict) else x if isinstance(x, list) else ()
+        return ([len(x)] if isinstance(x, (dict, list)) else []) + [n for y in inner for n in sizes(y)]
+
+    rng = random.Random(5)
+    make = lambda d: rng.choice([1, None, True, "a,[b", 'q"{', "\\", ""]) if d == 0 or rng.random() < 0.3 else [make(d - 1) for _ in range(rng.randrange(4))] if rng.random() < 0.5 else {f"k{i},": make(d - 1) for i in range(rng.randrange(4))}
+    values = [make(5) for _ in range(200)]
+    deep = "[" * 90 + "]" * 90
+    rows = [(i, json.dumps(v, indent=rng.choice([None, 2]))) for i, v in enumerate(values)] + [(900, deep), (901, "{oops"), (902, None), (903, json.dumps(["x" * 200_000, "\\" * 50_000]))]
+    got = dict(spark.createDataFrame(rows, "i int, t string").select("i", grounding.json_sizes(F.col("t"))).collect())
+    assert all(sorted(got[i]) == sorted(sizes(v)) for i, v in enumerate(values))
+    assert sorted(got[900]) == [0] + [1] * 89 and got[901] == [] and not got[902] and got[903] == [2]
+
+
 def test_scalars_at_the_edges(spark):
     one = spark.range(1)
     ips = {"8.8.8.8": True, "10.0.0.1": False, "::ffff:192.168.1.1": False, "192.0.0.9": True, "100.64.0.1": False, "224.0.0.1": False, "example.org": None, "1.2.3": None, "256.1.1.1": None}

@@ -9,8 +9,8 @@ length and the phrases' names come from bounded memory whatever the table's size
 
 Counting is by double-array tries.  Candidates are sorted and cut into shards of SHARD keys; a task builds the trie of a shard
 and up to AT_ONCE tries are broadcast to a scan.  There the states of all word starts advance together, a byte a level; those
-that leave the trie drop out; at each word's end the accepting states are counted by bincount, and the counts of all tasks and
-shards are summed.  More candidates than AT_ONCE shards take further scans, of the languages in question alone.
+that leave the trie drop out; at each word's end the accepting states are counted by bincount, and the tasks' vectors of counts are
+summed, shard by shard.  More candidates than AT_ONCE shards take further scans, of the languages in question alone.
 
 Cases: null and empty texts have no words; a null language is `und`; repeated rows count each; very long texts are cut at line
 breaks or marks, where no phrase goes on; a phrase's words may be of any length; ties go by score, count and bytes of the phrase,
@@ -39,8 +39,8 @@ FOLD = bytes(10 if i in MARKS else 32 if i == 9 else i + 32 if 65 <= i <= 90 els
 RUN, HELD, WORDS = 1_000_000, 1_000_000, 400_000
 #: Bits of a bitmap: for each hash, and at most.
 SPREAD, BITMAP = 32, 1 << 27
-#: Keys of a trie, and tries that a scan holds.
-SHARD, AT_ONCE = 200_000, 8
+#: Keys of a trie, and tries that a scan holds; keys of a vector of counts, and vectors that a task sums.
+SHARD, AT_ONCE, BLOCK, FAN = 200_000, 12, 4096, 256
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -339,7 +339,7 @@ def sharded(candidates: DataFrame, total: int) -> DataFrame:
             n += batch.num_rows
             yield pa.RecordBatch.from_arrays([pa.array(begin + i // SHARD), pa.array((i % SHARD).astype(np.int32)), batch.column(0), batch.column(1)], names=["shard", "key", "lang", "phrase"])
 
-    return candidates.repartitionByRange(-(-total // SHARD), "lang", "phrase").sortWithinPartitions("lang", "phrase").mapInArrow(cut, "shard bigint, key int, lang string, phrase string")
+    return candidates.repartitionByRange(-(-5 * total // (4 * SHARD)), "lang", "phrase").sortWithinPartitions("lang", "phrase").mapInArrow(cut, "shard bigint, key int, lang string, phrase string")
 
 
 def tries(shards: DataFrame) -> DataFrame:
@@ -361,26 +361,46 @@ def tries(shards: DataFrame) -> DataFrame:
 
 
 def counted(rows: DataFrame, built: DataFrame) -> DataFrame:
-    """(shard, key, f): how often each key of the tries occurs; AT_ONCE tries a scan."""
+    """(shard, key, f): how often each key of the tries occurs; AT_ONCE tries a scan, and the tasks' counts summed as vectors, a tree of FAN a level."""
     names = sorted(r["shard"] for r in built.select("shard").collect())  # a number for each trie
-    out = None
+    tasks, out = rows.rdd.getNumPartitions(), None
     for i in range(0, len(names), AT_ONCE):
         some = built.where(F.col("shard").isin(names[i : i + AT_ONCE])).toArrow().to_pylist()
         langs = sorted({x for r in some for x in r["langs"]})
         of_lang = rows.where(F.col("lang").isin(langs)) if len(names) > AT_ONCE and len(langs) < 1000 else rows
-        found = of_lang.mapInArrow(_counting(rows.sparkSession.sparkContext.broadcast(some)), "shard bigint, key int, f bigint")
+        found = of_lang.mapInArrow(_counting(rows.sparkSession.sparkContext.broadcast(some)), "shard bigint, block int, task bigint, counts binary")
         out = found if out is None else out.unionByName(found)
-    return out.groupBy("shard", "key").agg(F.sum("f").alias("f"))
+    while tasks > 1:
+        tasks = -(-tasks // FAN)
+        out = out.withColumn("task", F.floor(F.col("task") / FAN)).groupBy("shard", "block", "task").applyInArrow(_summed, out.schema)
+    return out.mapInArrow(_keys, "shard bigint, key int, f bigint")
+
+
+def _summed(part: pa.Table) -> pa.Table:
+    total = np.zeros(BLOCK, np.int64)
+    for c in part["counts"].to_pylist():
+        total += np.frombuffer(c, np.int64)
+    return part.slice(0, 1).set_column(3, "counts", pa.array([total.tobytes()], pa.binary()))
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for shard, block, counts in zip(*(batch.column(c).to_pylist() for c in ("shard", "block", "counts")), strict=True):
+            counts = np.frombuffer(counts, np.int64)
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), shard, np.int64)), pa.array((block * BLOCK + at).astype(np.int32)), pa.array(counts[at])], names=["shard", "key", "f"])
 
 
 def _counting(sent):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         some, roots, sums = [], [], []
         for r in sent.value:
             trie = DoubleArray(np.frombuffer(r["cells"], np.int32).reshape(-1, 2))
             some.append(trie)
             roots.append({x: trie.follow(0, i.to_bytes(4, "big")) for i, x in enumerate(r["langs"])})
-            sums.append(np.zeros(SHARD, np.int64))
+            sums.append(np.zeros(-(-SHARD // BLOCK) * BLOCK, np.int64))
         for batch in batches:
             for part in runs(batch):
                 words = Words(*part)
@@ -388,10 +408,13 @@ def _counting(sent):
                 for r, trie, root, total in zip(sent.value, some, roots, sums, strict=True):
                     state = np.array([root.get(x, -1) for x in words.langs], np.int64)[words.lang]
                     at = np.flatnonzero((state >= 0) & (begin >= r["low"]) & (begin <= r["high"]))
-                    total += np.bincount(trie.found(words.bytes, words.starts[at], state[at]), minlength=SHARD)
+                    total += np.bincount(trie.found(words.bytes, words.starts[at], state[at]), minlength=len(total))
         for r, total in zip(sent.value, sums, strict=True):
-            keys = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), r["shard"], np.int64)), pa.array(keys.astype(np.int32)), pa.array(total[keys])], names=["shard", "key", "f"])
+            blocks = total.reshape(-1, BLOCK)
+            full = np.flatnonzero(blocks.any(1))
+            if len(full):
+                column = lambda x: pa.array(np.full(len(full), x, np.int64))
+                yield pa.RecordBatch.from_arrays([column(r["shard"]), pa.array(full.astype(np.int32)), column(TaskContext.get().partitionId()), pa.array([blocks[i].tobytes() for i in full.tolist()], pa.binary())], names=["shard", "block", "task", "counts"])
 
     return count
 

@@ -27,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import forget, stored, text_batches
+from assayer.llm.common import forget, joined, stored, text_batches
 from assayer.llm.simhash import CHILDREN, SEED, components, forest, ones
 
 #: 64-bit words of a fingerprint, and the most differing bits of a candidate.
 WORDS, LIMIT = 8, 120
-#: Rows of an opened bucket that one task holds with their texts, in each of two parts, and runs that are counted at once.
-OPENED, AT_ONCE = 256, 1 << 14
+#: Rows of an opened bucket, and bytes of their texts, that one task holds in each of two parts, and runs that are counted at once.
+OPENED, OPENED_BYTES, AT_ONCE = 256, 16_000_000, 1 << 14
 #: Texts of a bucket that one task compares with as many others.
 CROWD = 1_024
 #: Buckets of a text, and minima that name one.
@@ -90,10 +90,14 @@ _TURN = mixed(np.arange(BANDS * ROWS, dtype=np.uint64), 101)
 _TIMES = mixed(np.arange(BANDS * ROWS, dtype=np.uint64), 102) | np.uint64(1)
 
 
-def dealt(places: DataFrame, crowd: int) -> DataFrame:
-    """(bucket, i, j, rep, fp) of (bucket, rep, fp): each bucket of more than `crowd` rows as pairs of parts; rows that are alone are left out."""
-    sizes = places.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket", F.ceil(F.col("n") / crowd).cast("int").alias("parts"))
-    out = places.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+def dealt(places: DataFrame, total: int, crowd: int, most: int | None = None) -> DataFrame:
+    """(bucket, i, j, rep, fp) of `total` places (bucket, rep, fp, size): a bucket of more than `crowd` rows, or `most` bytes of text, as pairs of parts; rows that are alone are left out.
+
+    Buckets that many rows share are joined where the rows are.
+    """
+    parts = F.ceil(F.greatest(F.col("n") / crowd, F.col("bytes") / most if most else F.lit(0.0))).cast("int")
+    sizes = stored(places.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).where("n > 1").select("bucket", "n", parts.alias("parts")), "sizes")
+    out = joined(places, sizes, "bucket", total, "inner").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     out = out.select("bucket", "rep", "fp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"), "own")
     return out.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "fp")
 
@@ -137,7 +141,7 @@ def forests(rows: DataFrame, bits: int) -> DataFrame:
 
 
 def sketches(df: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, same, fp, buckets): `same` tells equal texts, fp is the fingerprint's bytes."""
+    """(id, same, size, fp, buckets): `same` tells equal texts, size is their bytes, fp the fingerprint's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,11 +149,11 @@ def sketches(df: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame
                 sets = [runs(t, words) for t in texts]
                 fps = pa.array([long_fingerprint(x).tobytes() for x in sets], pa.binary())
                 found = pa.array([buckets(x) for x in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), batch.column(2).slice(at, len(texts)), fps, found], names=["id", "same", "fp", "buckets"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), batch.column(2).slice(at, len(texts)), batch.column(3).slice(at, len(texts)), fps, found], names=["id", "same", "size", "fp", "buckets"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     kind = df.schema[id_col].dataType.simpleString()
-    return df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), text.alias("text"), F.md5(text.cast("binary")).alias("same")).mapInArrow(run, f"id {kind}, same string, fp binary, buckets array<bigint>")
+    return df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), text.alias("text"), F.md5(text.cast("binary")).alias("same"), F.octet_length(text).alias("size")).mapInArrow(run, f"id {kind}, same string, size int, fp binary, buckets array<bigint>")
 
 
 def texts_of(df: DataFrame, classes: DataFrame, reps: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -220,21 +224,22 @@ def near_copies(df: DataFrame, words: int = 5, id_col: str = "doc_id", text_col:
     if dict(df.dtypes)[id_col] not in ("bigint", "int", "smallint", "tinyint"):
         raise TypeError("ids are whole numbers")
     prints = stored(sketches(df, words, id_col, text_col), "prints")
-    classes = stored(prints.groupBy("same").agg(F.min("id").alias("rep"), F.first(F.struct("fp", "buckets")).alias("x")).select("same", "rep", "x.*"), "classes")
-    places = classes.select(F.explode("buckets").alias("bucket"), "rep", "fp")
-    found = stored(forests(dealt(places, CROWD), LIMIT).where("u <> v"), "candidates")
+    classes = stored(prints.groupBy("same").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first(F.struct("size", "fp", "buckets")).alias("x")).select("same", "rep", "n", "x.*"), "classes")
+    count, rows = classes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    places = classes.select(F.explode("buckets").alias("bucket"), "rep", "fp", "size")
+    found = stored(forests(dealt(places, count * BANDS, CROWD), LIMIT).where("u <> v"), "candidates")
     pairs = found.select("u", "v").distinct()
     texts = stored(texts_of(df, classes, pairs.select(F.explode(F.array("u", "v")).alias("rep")).distinct(), id_col, text_col), "texts")
     tried = stored(confirmed(pairs, texts, words), "tried")
     sure = tried.where("ok").select("u", "v")
     doubtful = stored(found.where("not listed").join(tried.where("not ok"), ["u", "v"], "left_semi").select("bucket").distinct(), "doubtful")
     if not doubtful.isEmpty():
-        sure = sure.unionByName(opened(dealt(places.join(doubtful, "bucket", "left_semi"), OPENED), texts, words)).distinct()
+        sure = sure.unionByName(opened(dealt(places.join(doubtful, "bucket", "left_semi"), count * BANDS, OPENED, OPENED_BYTES), texts, words)).distinct()
     merged = components(sure)
     for done in (found, texts, tried, doubtful):
         forget(done)
-    of = classes.join(merged, classes["rep"] == merged["node"], "left").select("same", F.coalesce("component", "rep").alias("component_id"))
-    return prints.select("id", "same").join(of, "same").select(F.col("id").alias(id_col), "component_id")
+    of = classes.join(merged, classes["rep"] == merged["node"], "left").select("same", "n", F.coalesce("component", "rep").alias("component_id"))
+    return joined(prints.select("id", "same"), stored(of, "components"), "same", rows, "inner").select(F.col("id").alias(id_col), "component_id")  # a frequent text fills no task
 
 
 def dedupe(df: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

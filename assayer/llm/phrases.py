@@ -36,11 +36,11 @@ MARKS = b".,;:!?\n\x0b\x0c\r"
 #: Lower case, one blank, and a line break for each mark.
 FOLD = bytes(10 if i in MARKS else 32 if i == 9 else i + 32 if 65 <= i <= 90 else i for i in range(256))
 #: Folded bytes that a scan handles at once; hashes, and words, that a task holds before it passes them on.
-RUN, HELD, WORDS = 1_000_000, 1_000_000, 400_000
+RUN, HELD, WORDS = 400_000, 600_000, 200_000
 #: Bits of a bitmap: for each hash, and at most.
 SPREAD, BITMAP = 32, 1 << 27
 #: Keys of a trie, and tries that a scan holds; keys of a vector of counts, and vectors that a task sums.
-SHARD, AT_ONCE, BLOCK, FAN = 200_000, 12, 4096, 256
+SHARD, AT_ONCE, BLOCK, FAN = 200_000, 6, 4096, 256
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -377,9 +377,9 @@ def counted(rows: DataFrame, built: DataFrame) -> DataFrame:
 
 
 def _summed(part: pa.Table) -> pa.Table:
-    total = np.zeros(BLOCK, np.int64)
-    for c in part["counts"].to_pylist():
-        total += np.frombuffer(c, np.int64)
+    total = np.zeros(len(part["counts"][0].as_py()) // 8, np.int64)
+    for c in part["counts"]:
+        total += np.frombuffer(c.as_py(), np.int64)
     return part.slice(0, 1).set_column(3, "counts", pa.array([total.tobytes()], pa.binary()))
 
 
@@ -388,7 +388,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, block, counts in zip(*(batch.column(c).to_pylist() for c in ("shard", "block", "counts")), strict=True):
             counts = np.frombuffer(counts, np.int64)
             at = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), shard, np.int64)), pa.array((block * BLOCK + at).astype(np.int32)), pa.array(counts[at])], names=["shard", "key", "f"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), shard, np.int64)), pa.array((block * len(counts) + at).astype(np.int32)), pa.array(counts[at])], names=["shard", "key", "f"])
 
 
 def _counting(sent):

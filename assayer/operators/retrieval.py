@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from assayer.sources.scratch import kept
+
 
 def exact_classes(df: DataFrame, id_col: str, content: str) -> DataFrame:
     """(id, sha256, representative, copies): rows of one content share the least id; pairs are never listed."""
@@ -16,23 +18,56 @@ def exact_classes(df: DataFrame, id_col: str, content: str) -> DataFrame:
     return d.join(of, "sha256").select("id", "sha256", "representative", "copies")
 
 
-def hamming_join(a: DataFrame, b: DataFrame, distance: int) -> DataFrame:
-    """(a_id, b_id, distance) of 64-bit codes at most `distance` < 8 bits apart: they agree in one of distance + 1 bands."""
-    if not 0 <= distance < 8:
-        raise ValueError("bands of codes that may differ in eight bits or more select nothing")
-    bands, width = distance + 1, 64 // (distance + 1)
+#: Bands of a 64-bit code, and bits of one.
+BANDS, BAND = 4, 16
+
+
+def radii(distance: int) -> list[int]:
+    """How far each band is probed: codes `distance` bits apart have a band within its radius, -1 for none."""
+    whole, rest = divmod(distance, BANDS)
+    return [whole if i <= rest else whole - 1 for i in range(BANDS)]
+
+
+def _within(radius: int) -> list[int]:
+    """Masks of `radius` or fewer of a band's bits."""
+    from itertools import combinations
+
+    return [sum(1 << b for b in bits) for n in range(radius + 1) for bits in combinations(range(BAND), n)]
 
-    def banded(df: DataFrame, name: str) -> DataFrame:
-        each = F.explode(F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("code", width * i).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1)).alias("bits")) for i in range(bands)]))
-        return df.select(F.col("id").alias(f"{name}_id"), F.col("code").alias(f"{name}_code"), each.alias("k")).select(f"{name}_id", f"{name}_code", "k.band", "k.bits")
 
+def hamming_candidates(a: DataFrame, b: DataFrame, distance: int) -> DataFrame:
+    """(a_code, b_code): pairs of distinct codes that share a probed band, each once.
+
+    Four bands of 16 bits are indexed on one side; the other probes all values within a band's radius, which is 2 at most: of
+    distance = 4 r + k the first k + 1 bands take r, the others r - 1.  A row meets about 65,536ths of the other side, as many as it probes.
+    """
+    if not 0 <= distance <= 8:
+        raise ValueError("distances are 0 to 8 bits")
+    band = lambda code, i: F.shiftrightunsigned(code, BAND * i).bitwiseAND(F.lit((1 << BAND) - 1))
+    probed = [(i, r) for i, r in enumerate(radii(distance)) if r >= 0]
+    values = lambda i, r: F.transform(F.array(*map(F.lit, _within(r))), lambda m: F.struct(F.lit(i).alias("band"), band(F.col("a_code"), i).bitwiseXOR(m.cast("bigint")).alias("bits")))
+    keys = F.concat(*[values(i, r) for i, r in probed])
+    own = F.array(*[F.struct(F.lit(i).alias("band"), band(F.col("b_code"), i).alias("bits")) for i, _ in probed])
+    left = a.select(F.col("code").alias("a_code")).distinct().select("a_code", F.explode(keys).alias("k")).select("a_code", "k.*")
+    right = b.select(F.col("code").alias("b_code")).distinct().select("b_code", F.explode(own).alias("k")).select("b_code", "k.*")
+    apart = lambda i: F.bit_count(band(F.col("a_code").bitwiseXOR(F.col("b_code")), i))
+    first = F.lit(None).cast("int")
+    for i, r in reversed(probed):
+        first = F.when(apart(i) <= r, i).otherwise(first)
+    return left.join(right, ["band", "bits"]).where(F.col("band") == first).select("a_code", "b_code")
+
+
+def hamming_join(a: DataFrame, b: DataFrame, distance: int) -> DataFrame:
+    """(a_id, b_id, distance) of rows (id, code) whose codes are at most `distance` <= 8 bits apart."""
     d = F.bit_count(F.col("a_code").bitwiseXOR(F.col("b_code")))
-    return banded(a, "a").join(banded(b, "b"), ["band", "bits"]).withColumn("distance", d).where(F.col("distance") <= distance).select("a_id", "b_id", "distance").distinct()
+    near = hamming_candidates(a, b, distance).withColumn("distance", d).where(F.col("distance") <= distance)
+    side = lambda df, name: df.select(F.col("id").alias(f"{name}_id"), F.col("code").alias(f"{name}_code")).distinct()
+    return near.join(side(a, "a"), "a_code").join(side(b, "b"), "b_code").select("a_id", "b_id", "distance")
 
 
 def text_codes(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(id, code): 64 signs of the words' summed hashes, a fingerprint in which like texts differ little; each word's bits come from its MD5."""
-    words = docs.select(F.col(id_col).alias("id"), F.explode(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")).alias("w")).groupBy("id", "w").agg(F.count("*").alias("n"))
+    """(id, code): 64 signs of the words' summed hashes, a fingerprint in which like texts differ little; each word's bits come from its MD5.  Without words it is 0."""
+    words = docs.select(F.col(id_col).alias("id"), F.explode_outer(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")).alias("w")).groupBy("id", "w").agg(F.count("w").alias("n"))
     half = lambda at: F.conv(F.substring(F.md5(F.col("w").cast("binary")), at, 8), 16, 10).cast("bigint")
     hashed = words.select("id", "n", half(1).alias("h0"), half(9).alias("h1"))
     sign = lambda h, i: F.sum(F.when(F.shiftright(h, i).bitwiseAND(F.lit(1)) == 1, F.col("n")).otherwise(-F.col("n")))
@@ -43,14 +78,23 @@ def text_codes(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return signs.select("id", code.alias("code"))
 
 
-def near_documents(docs: DataFrame, id_col: str, text: str, distance: int = 3, words: int = 5, least: float = 0.8) -> DataFrame:
-    """(a_id, b_id, similarity): retrieved by code, verified by the exact share of common word runs; equal texts are one, under the least id."""
-    one = docs.groupBy(F.sha2(F.col(text).cast("binary"), 256).alias("_same")).agg(F.min(id_col).alias("id"), F.first(text).alias("text"))
-    codes = text_codes(one, "id", "text")
-    pairs = hamming_join(codes, codes, distance).where("a_id < b_id").select("a_id", "b_id")
+def near_documents(docs: DataFrame, id_col: str, text: str, words: int = 5, least: float = 0.8) -> DataFrame:
+    """(a_id, b_id, similarity): all pairs whose distinct runs of words are similar (Jaccard) by `least` or more; equal texts are one, under the least id.
+
+    A prefix join, which misses no pair: of a text's n runs, by rarity, two similar texts share one among the first n - ceil(least * n) + 1.
+    Runs that no other text has and pairs of too unequal lengths go before the join, and the share is counted exactly behind it.
+    """
+    one = docs.groupBy(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256).alias("_same")).agg(F.min(id_col).alias("id"), F.first(F.coalesce(F.col(text), F.lit(""))).alias("text"))
     w = F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != "")
     runs = F.when(F.size("w") <= words, F.array(F.array_join("w", " "))).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - words)), lambda i: F.array_join(F.slice("w", i + 1, words), " ")))
-    sets = one.select("id", w.alias("w")).select("id", F.array_distinct(runs).alias("runs"))
+    sets = kept(one.select("id", w.alias("w")).select("id", F.array_distinct(runs).alias("runs")), "runs")
+    each = sets.select("id", F.size("runs").alias("n"), F.explode(F.transform("runs", lambda r: F.xxhash64(r))).alias("h"))
+    rarity = each.groupBy("h").agg(F.count("*").alias("f"))
+    ordered = each.join(rarity, "h").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "h"))).alias("all"))
+    first = ordered.select("id", "n", F.explode(F.slice("all", F.lit(1), F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1)).alias("x")).where("x.f > 1").select("id", "n", "x.h")
+    side = lambda name: first.select(F.col("id").alias(f"{name}_id"), F.col("n").alias(f"{name}_n"), "h")
+    fits = F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * least - 1e-9
+    pairs = side("a").join(side("b"), "h").where((F.col("a_id") < F.col("b_id")) & fits).select("a_id", "b_id").distinct()
     both = pairs.join(sets.select(F.col("id").alias("a_id"), F.col("runs").alias("a")), "a_id").join(sets.select(F.col("id").alias("b_id"), F.col("runs").alias("b")), "b_id")
     common = F.size(F.array_intersect("a", "b"))
     return both.select("a_id", "b_id", (common / (F.size("a") + F.size("b") - common)).alias("similarity")).where(F.col("similarity") >= least)

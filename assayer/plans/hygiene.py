@@ -119,7 +119,7 @@ QUERIES["quota_plan"] = quota_plan
 _WORDS = "SELECT doc_id AS id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')) AS w FROM documents"
 _BITS = "SELECT id, n, ('0x' || md5(w)[1:8])::UBIGINT AS h0, ('0x' || md5(w)[9:16])::UBIGINT AS h1 FROM (SELECT id, w, count(*) AS n FROM (" + _WORDS + ") GROUP BY 1, 2)"
 _SIGNED = ", ".join(f"sum(CASE WHEN ({h} >> {i}) & 1 = 1 THEN n ELSE -n END) > 0 AS {h}_{i}" for h in ("h0", "h1") for i in range(32))
-_CODES = f"SELECT id, {' || '.join(f"CASE WHEN {h}_{i} THEN '1' ELSE '0' END" for h in ('h0', 'h1') for i in reversed(range(32)))} AS code FROM (SELECT id, {_SIGNED} FROM ({_BITS}) GROUP BY 1)"
+_CODES = f"SELECT doc_id AS id, coalesce(code, repeat('0', 64)) AS code FROM documents LEFT JOIN (SELECT id, {' || '.join(f"CASE WHEN {h}_{i} THEN '1' ELSE '0' END" for h in ('h0', 'h1') for i in reversed(range(32)))} AS code FROM (SELECT id, {_SIGNED} FROM ({_BITS}) GROUP BY 1)) ON id = doc_id"
 
 
 def codes(s, d):
@@ -155,7 +155,7 @@ def near_dup_groups(s, d):
 _RUNS = "r AS MATERIALIZED (SELECT id, CASE WHEN len(w) <= 5 THEN [array_to_string(w, ' ')] ELSE list_distinct([array_to_string(w[i:i+4], ' ') FOR i IN range(1, len(w) - 3)]) END AS runs FROM (SELECT min(doc_id) AS id, list_filter(regexp_split_to_array(lower(any_value(text)), '\\s+'), lambda x: x <> '') AS w FROM documents GROUP BY sha256(text)))"
 
 
-@query(f"""WITH {_PAIRS}, {_RUNS}, p AS (SELECT a.id AS a_id, b.id AS b_id FROM c a JOIN c b ON a.id < b.id AND bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 3), x AS (SELECT a_id, b_id, len(list_intersect(u.runs, v.runs)) AS n, len(u.runs) AS m, len(v.runs) AS k FROM p JOIN r u ON u.id = a_id JOIN r v ON v.id = b_id)
+@query(f"""WITH {_RUNS}, e AS (SELECT id, len(runs) AS n, unnest(runs) AS run FROM r), x AS (SELECT a.id AS a_id, b.id AS b_id, any_value(a.n) AS m, any_value(b.n) AS k, count(*) AS n FROM e a JOIN e b ON a.run = b.run AND a.id < b.id GROUP BY 1, 2)
 SELECT a_id, b_id, round(n / (m + k - n)::DOUBLE, 6) AS similarity FROM x WHERE n / (m + k - n)::DOUBLE >= 0.8""")
 def near_dup_docs(s, d):
     return rounded(retrieval.near_documents(tables.table(s, d, "documents"), "doc_id", "text"))

@@ -229,6 +229,47 @@ def test_windows_of_first_arrivals(spark, tmp_path):
     assert sorted(r.sha256 for r in drained(windows.first_arrivals(stream, "sha256", "1 day"), "first").collect()) == ["a", "b", "c"]
 
 
+@pytest.mark.parametrize("distance", range(9))
+def test_hamming_join_beside_all_pairs(spark, distance):
+    """Codes at 0 to 10 bits from one another, repeated codes, and the sign bit."""
+    from assayer.operators import retrieval
+
+    rng = random.Random(distance)
+    base = [rng.getrandbits(64) for _ in range(12)] + [0, 2**64 - 1]
+    near = lambda x: x ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(11)))
+    sides = [[near(rng.choice(base)) for _ in range(120)] + [base[0]] * 5 for _ in range(2)]
+    signed = lambda x: x - 2**64 if x >> 63 else x
+    a, b = (spark.createDataFrame([(i, signed(x)) for i, x in enumerate(s)], "id bigint, code bigint") for s in sides)
+    got = sorted(map(tuple, retrieval.hamming_join(a, b, distance).collect()))
+    assert got == sorted((i, j, (x ^ y).bit_count()) for i, x in enumerate(sides[0]) for j, y in enumerate(sides[1]) if (x ^ y).bit_count() <= distance) != []
+    assert sum(len(retrieval._within(r)) for r in retrieval.radii(distance) if r >= 0) <= 188
+
+
+def test_near_documents_are_all_found(spark):
+    """Edited copies about the limit, texts of few words, empty and null ones."""
+    from assayer.operators import retrieval
+
+    rng = random.Random(6)
+    rows = [(1, None), (2, ""), (3, "one"), (4, "one  two"), (5, "One two")]
+    for i in range(60):
+        words = [f"w{rng.randrange(500)}" for _ in range(rng.choice([6, 30, 120]))] + ["a common line of these texts"] * (i % 3)
+        rows.append((100 * i + 100, " ".join(words)))
+        for k in range(3):
+            for _ in range(rng.randrange(4)):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(500)}"
+            rows.append((100 * i + 101 + k, " ".join(words)))
+    runs = lambda t: (lambda w: {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))})((t or "").lower().split())
+    one = {}
+    for i, t in rows:
+        one.setdefault(t or "", i)
+    sets = sorted((i, runs(t)) for t, i in one.items())
+    expected = {(i, j): len(x & y) / len(x | y) for n, (i, x) in enumerate(sets) for j, y in sets[n + 1 :] if len(x & y) >= 0.8 * len(x | y)}
+    got = {(r.a_id, r.b_id): r.similarity for r in retrieval.near_documents(spark.createDataFrame(rows, "id bigint, text string"), "id", "text").collect()}
+    assert got == pytest.approx(expected) and len(got) > 20
+    codes = dict(map(tuple, retrieval.text_codes(spark.createDataFrame(rows[:3], "id bigint, text string"), "id", "text").collect()))
+    assert codes[1] == codes[2] == 0 and codes[3] != 0
+
+
 def test_near_groups_follow_links(spark):
     rng = random.Random(3)
     base = [rng.getrandbits(64) for _ in range(30)]

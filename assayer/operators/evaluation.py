@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assayer.functions.stats import wilson
 from assayer.operators import ranks
-from assayer.sources.scratch import kept
 
 
 def branch_targets(items: DataFrame) -> DataFrame:
@@ -61,10 +61,10 @@ def detector_ops(scores: DataFrame) -> DataFrame:
     return counts.join(ranks.percentiles(scores, ["detector"], "duration_ms", {"p50_ms": 0.5, "p95_ms": 0.95}), "detector", "left")
 
 
-def silent_failures(scores: DataFrame) -> DataFrame:
+def silent_failures(scores: DataFrame, *by: str) -> DataFrame:
     """Items that a branch cleared while one of its detectors had failed."""
-    one = scores.groupBy("id", "branch").agg(F.bool_or(F.col("execution_status") == "FAILED").alias("failed"), F.bool_or((F.col("execution_status") == "COMPLETED") & (F.col("raw_score") >= 0.5)).alias("flagged"), F.bool_or(F.col("execution_status") == "COMPLETED").alias("ran"))
-    return one.groupBy("branch").agg(F.count("*").alias("items"), F.count_if(F.col("failed") & ~F.col("flagged") & F.col("ran")).alias("silent"))
+    one = scores.groupBy(*by, "id", "branch").agg(F.bool_or(F.col("execution_status") == "FAILED").alias("failed"), F.bool_or((F.col("execution_status") == "COMPLETED") & (F.col("raw_score") >= 0.5)).alias("flagged"), F.bool_or(F.col("execution_status") == "COMPLETED").alias("ran"))
+    return one.groupBy(*by, "branch").agg(F.count("*").alias("items"), F.count_if(F.col("failed") & ~F.col("flagged") & F.col("ran")).alias("silent"))
 
 
 def ece(rows: DataFrame, probability: Column, *by: str) -> DataFrame:
@@ -127,18 +127,51 @@ def per_detector(predictions: DataFrame) -> DataFrame:
     return each.withColumn("verdict", own).withColumn("branch", F.col("own.branch"))
 
 
-def report(rows: DataFrame, scores: DataFrame) -> DataFrame:
-    """(split, section, name, value): every split's branch metrics, ranks and detectors in one long table; both inputs have a split."""
+_METRICS = ["positives", "negatives", "tp", "fn", "fp", "tn", *[f"{m}{e}" for m in ("recall", "fpr", "precision") for e in ("", "_low", "_high")], "balanced_accuracy", "abstained_positive", "abstained_negative"]
+_RATES = [f"{m}{e}" for m in ("recall", "fpr") for e in ("", "_low", "_high")]
+
+
+def report(rows: DataFrame, scores: DataFrame, subgroups: list[str], overlaps: DataFrame | None = None) -> DataFrame:
+    """(split, section, name, value) of every split in one long table; rows, scores and overlaps have a split.
+
+    branch: counts, rates with intervals and abstention by the branch's verdicts.  subgroup: counts and rates by each value of some columns.
+    own: each detector by its own decisions, and own_subgroup those by subgroups.  detector: ranks, run times and outcomes.  localisation: overlaps (iou, f1).
+    all: files, and what a branch cleared while one of its detectors had failed.
+    """
     def long(df: DataFrame, section: str, name: Column, columns: list[str]) -> DataFrame:
         each = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in columns]))
         return df.select("split", F.lit(section).alias("section"), name.alias("of"), each.alias("x")).select("split", "section", F.concat_ws(".", "of", "x.metric").alias("name"), "x.value")
 
-    branches = long(binary_metrics(rows, "split", "branch"), "branch", F.col("branch"), ["positives", "negatives", "tp", "fn", "fp", "tn", "recall", "fpr", "precision", "balanced_accuracy"])
-    own = long(auc(rows, "split", "detector"), "detector", F.col("detector"), ["auc"])
+    def grouped(df: DataFrame, section: str, *by: str) -> DataFrame:
+        each = F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).alias("value")) for k in subgroups]))
+        of = df.select("split", "branch", *by, "target", "verdict", each.alias("g")).where("g.value is not null").select("split", "branch", *by, "target", "verdict", F.concat_ws("=", "g.key", "g.value").alias("group"))
+        return long(binary_metrics(of, "split", "branch", *by, "group"), section, F.concat_ws(".", "branch", *by, "group"), ["positives", "negatives", *_RATES])
+
+    s = F.col("execution_status")
+    own = branch_targets(scores).withColumn("target", F.when(F.col("branch") == "manipulation", F.col("manipulation")).otherwise(F.col("ai_generation"))).where("target is not null")
+    own = own.withColumn("verdict", F.when(s != "COMPLETED", "ABSTAINED").when(F.col("raw_score") >= 0.5, "FLAGGED").otherwise("CLEARED"))
     times = ranks.percentiles(scores, ["split", "detector"], "duration_ms", {"p50_ms": 0.5, "p95_ms": 0.95})
-    runs = scores.groupBy("split", "detector").agg(F.count_if(F.col("execution_status") == "FAILED").alias("failed"))
+    runs = scores.groupBy("split", "detector").agg(*[F.count_if(s == x).alias(x.lower()) for x in ("COMPLETED", "INCONCLUSIVE", "FAILED")])
     files = scores.groupBy("split").agg(F.count_distinct("id").alias("files"))
-    return branches.unionByName(own).unionByName(long(times, "detector", F.col("detector"), ["p50_ms", "p95_ms"])).unionByName(long(runs, "detector", F.col("detector"), ["failed"])).unionByName(long(files, "all", F.lit(None).cast("string"), ["files"]))
+    parts = [
+        long(binary_metrics(rows, "split", "branch"), "branch", F.col("branch"), _METRICS),
+        grouped(rows, "subgroup"),
+        long(binary_metrics(own, "split", "branch", "detector"), "own", F.concat_ws(".", "branch", "detector"), _METRICS),
+        grouped(own, "own_subgroup", "detector"),
+        long(auc(rows, "split", "detector"), "detector", F.col("detector"), ["auc"]),
+        long(times, "detector", F.col("detector"), ["p50_ms", "p95_ms"]),
+        long(runs, "detector", F.col("detector"), ["completed", "inconclusive", "failed"]),
+        long(silent_failures(scores, "split"), "all", F.col("branch"), ["silent"]),
+        long(files, "all", F.lit(None).cast("string"), ["files"]),
+    ]
+    if overlaps is not None:
+        found = overlaps.groupBy("split").agg(F.count("*").alias("items"), F.avg("iou").alias("mean_iou"), F.avg("f1").alias("mean_f1"), F.count_if(F.col("iou") >= 0.5).alias("good"))
+        rate, low, high = wilson(F.col("good"), F.col("items"))
+        parts.append(long(found.withColumns({"share": rate, "share_low": low, "share_high": high}), "localisation", F.lit(None).cast("string"), ["items", "mean_iou", "mean_f1", "good", "share", "share_low", "share_high"]))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def spearman(rows: DataFrame, a: str, b: str) -> float | None:
@@ -152,19 +185,36 @@ def spearman(rows: DataFrame, a: str, b: str) -> float | None:
     return None if value != value else value
 
 
+def pooled(counts: DataFrame, by: str) -> DataFrame:
+    """(by, score, y, n): adjacent violators pooled over counts (by, score, y, n), so that y / n grows with the score; score is a block's least.
+
+    Pooling what is pooled already gives the same blocks, so ranges of scores are pooled first, then 32 ranges at a time, then each key's blocks,
+    of which n rows leave about n^(2/3) at most.  All keys take the same three jobs' stages.
+    """
+    def pool(part: pd.DataFrame) -> pd.DataFrame:
+        blocks: list[list[float]] = []
+        part = part.sort_values("score")
+        for score, y, n in zip(part["score"], part["y"], part["n"], strict=True):
+            blocks.append([score, y, n])
+            while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
+                _, y1, n1 = blocks.pop()
+                blocks[-1][1] += y1
+                blocks[-1][2] += n1
+        out = pd.DataFrame(blocks, columns=["score", "y", "n"])
+        return out.assign(**{by: part[by].iloc[0], "range": part["range"].iloc[0]})[[by, "range", "score", "y", "n"]]
+
+    rows = ranks.ranged(counts, [by], "score").select(by, "range", F.col("score").cast("double").alias("score"), F.col("y").cast("double").alias("y"), F.col("n").cast("double").alias("n"))
+    for width in (1, 32, ranks.RANGES):
+        rows = rows.withColumn("range", F.floor(F.col("range") / width).cast("int")).groupBy(by, "range").applyInPandas(pool, rows.schema)
+    return rows.drop("range")
+
+
 def cllr_min(rows: DataFrame, by: str) -> DataFrame:
-    """(by, cllr_min): the cost that is left when scores are recalibrated as well as any order-keeping map can, by isotonic regression."""
-    from pyspark.ml.regression import IsotonicRegression
-
-    rows = kept(rows.where("score is not null and target is not null").select(by, "score", F.col("target").cast("double").alias("y")), "isotonic")
-    out = None
-    for r in rows.groupBy(by).agg(F.avg("y").alias("prior")).collect():  # a row for each detector
-        own = rows.where(F.col(by) == r[by])
-        fitted = IsotonicRegression(featuresCol="score", labelCol="y").fit(own).transform(own)
-        p, odds = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), F.col("prediction"))), r["prior"] / (1 - r["prior"]) if 0 < r["prior"] < 1 else None
-        if odds is None:
-            continue
-        l = F.log10(p / (1 - p)) - F.log10(F.lit(odds))  # noqa: E741
-        cost = cllr(fitted.select(F.lit(r[by]).alias(by), (F.col("y") > 0).alias("target"), l.alias("l")), F.col("l"), by).select(by, F.col("cllr").alias("cllr_min"))
-        out = cost if out is None else out.unionByName(cost)
-    return out if out is not None else rows.limit(0).select(by, F.col("score").alias("cllr_min"))
+    """(by, cllr_min): the cost that is left when scores are recalibrated as well as any order-keeping map can; keys of one kind of truth have none."""
+    counts = rows.where("score is not null and target is not null").groupBy(by, "score").agg(F.sum(F.col("target").cast("bigint")).alias("y"), F.count("*").alias("n"))
+    blocks = pooled(counts, by)
+    totals = blocks.groupBy(by).agg(F.sum("y").alias("positives"), F.sum(F.col("n") - F.col("y")).alias("negatives")).where("positives > 0 and negatives > 0")
+    p = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), F.col("y") / F.col("n")))
+    ratio = p / (1 - p) / (F.col("positives") / F.col("negatives"))
+    cost = F.col("y") / F.col("positives") * F.log2(1 + 1 / ratio) + (F.col("n") - F.col("y")) / F.col("negatives") * F.log2(1 + ratio)
+    return blocks.join(totals, by).groupBy(by).agg((F.sum(cost) / 2).alias("cllr_min"))

@@ -6,16 +6,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Value ranges of a key.
-RANGES = 1024
+#: Value ranges of a key (a square), and the accuracy of the sketch that bounds them.
+RANGES, ACCURACY = 1024, 20_000
 
 
 def ranged(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """rows with a value, with `range`, one of RANGES equal parts of its key's span, in the values' order."""
+    """rows with a value, with `range`, one of RANGES parts of its key's values in their order, of like many rows, ties aside.
+
+    The parts end at quantiles of a sketch, so no value far from the others leaves them in one part.  A row finds its part by
+    every 32nd bound and then by 32 of them.
+    """
     rows = rows.where(F.col(value).isNotNull())
-    span = rows.groupBy(*by).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
-    at = F.floor((F.col(value) - F.col("_low")) / (F.col("_high") - F.col("_low")) * RANGES)
-    return rows.join(span, by).withColumn("range", F.when(F.col("_high") > F.col("_low"), F.least(F.lit(RANGES - 1), F.greatest(F.lit(0), at))).otherwise(0).cast("int")).drop("_low", "_high")
+    step = int(RANGES**0.5)
+    shares = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
+    bounds = rows.groupBy(*by).agg(F.percentile_approx(F.col(value).cast("double"), shares, ACCURACY).alias("_bounds"))  # a row for each key
+    bounds = bounds.select(*by, F.concat(F.array(F.lit(float("-inf"))), F.col("_bounds")).alias("_bounds"))
+    bounds = bounds.withColumn("_tops", F.transform(F.sequence(F.lit(0), F.lit(step - 1)), lambda i: F.get("_bounds", i * step)))
+    v = F.col(value).cast("double")
+    at_or_below = lambda of: F.size(F.filter(of, lambda x: x <= v)) - 1
+    top = rows.join(bounds, by).withColumn("_top", F.greatest(F.lit(0), at_or_below(F.col("_tops"))))
+    within = F.slice("_bounds", F.col("_top") * step + 1, F.lit(step))
+    return top.withColumn("range", F.col("_top") * step + F.greatest(F.lit(0), at_or_below(within))).drop("_bounds", "_tops", "_top")
 
 
 def below(counts: DataFrame, by: list[str], n: str, name: str, descending: bool = False) -> DataFrame:

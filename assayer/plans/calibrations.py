@@ -99,18 +99,36 @@ def per_detector_metrics(s, d):
 
 
 _SPLIT = f"CASE WHEN {hb("concat('r:', id)")} < 0.5 THEN 'val' ELSE 'test' END"
-_LONG = ", ".join(f"('{m}', {m}::DOUBLE)" for m in ("positives", "negatives", "tp", "fn", "fp", "tn", "recall", "fpr", "precision", "balanced_accuracy"))
+_OWN = "(SELECT * REPLACE (CASE WHEN execution_status <> 'COMPLETED' THEN 'ABSTAINED' WHEN raw_score >= 0.5 THEN 'FLAGGED' ELSE 'CLEARED' END AS verdict) FROM x)"
 
 
-@query(f"""WITH x AS (SELECT *, {_SPLIT} AS split FROM v_rows), m AS ({_metrics("split, branch", "x")}), z AS (SELECT *, {_SPLIT} AS split FROM v_scores)
-SELECT split, 'branch' AS section, concat(branch, '.', k.name) AS name, round(k.value, 6) AS value FROM m, LATERAL (VALUES {_LONG}) k(name, value)
+def _long(columns: list[str]) -> str:
+    return f"LATERAL (VALUES {', '.join(f"('{m}', {m}::DOUBLE)" for m in columns)}) k(name, value)"
+
+
+def _by_group(rows: str) -> str:
+    return f"(SELECT split, branch, detector, target, verdict, concat(key, '=', member) AS g FROM (SELECT *, unnest(['label', 'kind', 'tag']) AS key, unnest([label, kind, tag]) AS member FROM {rows}) WHERE member IS NOT NULL)"
+
+
+_ALL, _FEW = _long(evaluation._METRICS), _long(["positives", "negatives", *evaluation._RATES])
+_LOCAL = f"""(SELECT split, items, mean_iou, mean_f1, good, {_wilson("good", "items", "share")} FROM (SELECT split, count(*) AS items, avg(iou) AS mean_iou, avg(f1) AS mean_f1, count(*) FILTER (iou >= 0.5) AS good FROM (SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN 'val' ELSE 'test' END AS split,
+count(*) FILTER (p AND t) / count(*) FILTER (p OR t)::DOUBLE AS iou, 2 * count(*) FILTER (p AND t) / (count(*) FILTER (p) + count(*) FILTER (t))::DOUBLE AS f1 FROM (SELECT vec_id, value > 0 AS p, y < 4 AS t FROM v_pixels) GROUP BY 1, 2) GROUP BY 1))"""
+
+
+@query(f"""WITH x AS (SELECT *, {_SPLIT} AS split FROM v_rows), m AS ({_metrics("split, branch", "x")}), z AS (SELECT *, {_SPLIT} AS split FROM v_scores), own AS ({_metrics("split, branch, detector", _OWN)}), sub AS ({_metrics("split, branch, g", _by_group("x"))}), osub AS ({_metrics("split, branch, detector, g", _by_group(_OWN))})
+SELECT split, 'branch' AS section, concat(branch, '.', k.name) AS name, round(k.value, 6) AS value FROM m, {_ALL} UNION ALL SELECT split, 'subgroup', concat_ws('.', branch, g, k.name), round(k.value, 6) FROM sub, {_FEW}
+UNION ALL SELECT split, 'own', concat_ws('.', branch, detector, k.name), round(k.value, 6) FROM own, {_ALL} UNION ALL SELECT split, 'own_subgroup', concat_ws('.', branch, detector, g, k.name), round(k.value, 6) FROM osub, {_FEW}
 UNION ALL SELECT p.split, 'detector', concat(p.detector, '.auc'), round(sum(CASE WHEN p.score > n.score THEN 1.0 WHEN p.score = n.score THEN 0.5 ELSE 0 END) / count(*), 6) FROM x p JOIN x n ON p.split = n.split AND p.detector = n.detector AND p.target AND NOT n.target AND p.score IS NOT NULL AND n.score IS NOT NULL GROUP BY p.split, p.detector
 UNION ALL SELECT split, 'detector', concat(detector, '.p50_ms'), round(quantile_cont(duration_ms, 0.5), 6) FROM z GROUP BY split, detector UNION ALL SELECT split, 'detector', concat(detector, '.p95_ms'), round(quantile_cont(duration_ms, 0.95), 6) FROM z GROUP BY split, detector
-UNION ALL SELECT split, 'detector', concat(detector, '.failed'), count(*) FILTER (execution_status = 'FAILED')::DOUBLE FROM z GROUP BY split, detector UNION ALL SELECT split, 'all', 'files', count(DISTINCT id)::DOUBLE FROM z GROUP BY split""")
+UNION ALL SELECT split, 'detector', concat_ws('.', detector, lower(st)), count(*) FILTER (execution_status = st)::DOUBLE FROM z, (VALUES ('COMPLETED'), ('INCONCLUSIVE'), ('FAILED')) v(st) GROUP BY split, detector, st
+UNION ALL SELECT split, 'all', concat(branch, '.silent'), (count(*) FILTER (failed AND NOT flagged AND ran))::DOUBLE FROM (SELECT split, id, branch, bool_or(execution_status='FAILED') AS failed, bool_or(execution_status='COMPLETED' AND raw_score >= 0.5) AS flagged, bool_or(execution_status='COMPLETED') AS ran FROM z GROUP BY 1, 2, 3) GROUP BY split, branch
+UNION ALL SELECT split, 'all', 'files', count(DISTINCT id)::DOUBLE FROM z GROUP BY split UNION ALL SELECT split, 'localisation', k.name, round(k.value, 6) FROM {_LOCAL}, {_long(["items", "mean_iou", "mean_f1", "good", "share", "share_low", "share_high"])}""")
 def evaluation_report(s, d):
     split = F.when(stats.hash_bucket(F.concat(F.lit("r:"), "id")) < 0.5, "val").otherwise("test")
     scores = tables.scores(s, d).withColumn("split", split)
-    return rounded(evaluation.report(evaluation.branch_rows(scores), scores))
+    masks = tables.pixels(s, d).select("vec_id", (F.col("value") > 0).alias("p"), (F.col("y") < 4).alias("t"))
+    overlaps = provenance.mask_scores(masks, "vec_id").withColumn("split", F.when(F.col("vec_id") % 2 == 0, "val").otherwise("test"))
+    return rounded(evaluation.report(evaluation.branch_rows(scores), scores, ["label", "kind", "tag"], overlaps))
 
 
 _MASKS = "SELECT vec_id, value > 0 AS p, y < 4 AS t FROM v_pixels"

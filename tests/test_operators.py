@@ -92,6 +92,44 @@ def test_percentiles_of_ties_and_single_rows(spark):
     assert "d" not in got
 
 
+def test_ranges_hold_like_many_rows(spark):
+    """One value far from the others, two thirds of one value, and values that grow by powers: no range but that of the tie is crowded, and order holds."""
+    rng = np.random.default_rng(0)
+    rows = [("far", float(x)) for x in rng.random(20_000)] + [("far", 1e12)] + [("tie", 7.0)] * 12_000 + [("tie", float(x)) for x in rng.random(8_000) * 20] + [("wide", float(10 ** rng.uniform(-200, 200))) for _ in range(20_000)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    counts = ranks.ranged(df, ["g"], "v").groupBy("g", "range").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).orderBy("g", "range").collect()
+    for g in ("far", "tie", "wide"):
+        own = [r for r in counts if r.g == g]
+        assert all(a.high < b.low for a, b in zip(own, own[1:], strict=False)) and all(0 <= r.range < ranks.RANGES for r in own)
+        assert all(r.n <= 4 * 20_000 / ranks.RANGES + 4 for r in own if not r.low <= 7.0 <= r.high or g != "tie")
+    got = {r.g: (r.q, r.h) for r in ranks.percentiles(df, ["g"], "v", {"q": 0.3, "h": 0.999}).collect()}
+    for g in ("far", "tie", "wide"):
+        assert np.allclose(got[g], np.percentile([v for k, v in rows if k == g], [30, 99.9]), rtol=1e-9)
+
+
+def test_pooled_blocks_are_those_of_a_plain_loop(spark):
+    rng = np.random.default_rng(1)
+    rows = [(d, float(np.round(s, 3)), bool(rng.random() < p(s))) for d, p in (("a", lambda s: s), ("b", lambda s: 0.3), ("c", lambda s: float(s > 0.5)), ("d", lambda s: 1.0)) for s in rng.random(3000)]
+    got = {r.detector: r.cllr_min for r in evaluation.cllr_min(spark.createDataFrame(rows, "detector string, score double, target boolean"), "detector").collect()}
+    assert set(got) == {"a", "b", "c"}
+    for d in got:
+        counts = {}
+        for k, s, t in rows:
+            if k == d:
+                y, n = counts.get(s, (0, 0))
+                counts[s] = (y + t, n + 1)
+        blocks = []
+        for s in sorted(counts):
+            blocks.append(list(counts[s]))
+            while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
+                y, n = blocks.pop()
+                blocks[-1] = [blocks[-1][0] + y, blocks[-1][1] + n]
+        pos, neg = sum(y for y, _ in blocks), sum(n - y for y, n in blocks)
+        odds = [(max(1e-12, min(1 - 1e-12, y / n)), y, n - y) for y, n in blocks]
+        cost = sum(y / pos * math.log2(1 + pos / neg * (1 - p) / p) + k / neg * math.log2(1 + neg / pos * p / (1 - p)) for p, y, k in odds) / 2
+        assert got[d] == pytest.approx(cost, abs=1e-9)
+
+
 def test_recalibration_never_costs_more(spark):
     _, df = scored(spark)
     low = evaluation.cllr_min(df, "detector").first().cllr_min

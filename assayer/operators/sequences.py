@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assayer.functions.stats import box_iou
-from assayer.sources.scratch import kept
+from assayer.sources.scratch import drop, kept
 
 ANOMALY, SHARE = 0.45, 0.3
 
@@ -164,7 +164,9 @@ def region_match(tracks: DataFrame, found: DataFrame, least: float = 0.3) -> Dat
         if now.isEmpty():
             return now if taken is None else taken
         taken = now if taken is None else taken.unionByName(now)
+        last = left
         left = kept(left.join(now.select("frame", "track_id"), ["frame", "track_id"], "left_anti").join(now.select("frame", "region_id"), ["frame", "region_id"], "left_anti"), "pairs")
+        drop(last)
 
 
 def mask_summary(pixels: DataFrame, key: str, threshold: float, least: float = 0.001) -> DataFrame:
@@ -180,6 +182,7 @@ def mask_summary(pixels: DataFrame, key: str, threshold: float, least: float = 0
         told = hot.select(key, near, "area").select(key, "to.y", "to.x", "area").groupBy(key, "y", "x").agg(F.min("area").alias("least"))
         after = kept(hot.join(told, [key, "y", "x"]).select(key, "y", "x", "least", "area"), "cells")
         moved = after.where("least < area").limit(1).count()
+        drop(hot)
         hot = after.select(key, "y", "x", F.col("least").alias("area"))
         if not moved:
             break

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assayer.functions.stats import hash_bucket
-from assayer.sources.scratch import kept
+from assayer.sources.scratch import drop, kept
 
 
 def assign_splits(items: DataFrame, fractions: dict[str, float], seed: str, key: Column) -> DataFrame:
@@ -135,7 +135,9 @@ def near_groups(items: DataFrame, distance: int) -> DataFrame:
         jump = after.select(F.col("id").alias("next"), F.col("next").alias("further"))
         moved = kept(after.join(jump, "next", "left").select("id", F.least("next", F.coalesce("further", "next")).alias("next"), "group"), "labels")
         still = moved.where("next < group").limit(1).count() == 0
+        drop(labels)
         labels = moved.select("id", F.col("next").alias("group"))
         if still:
             break
+    drop(links)
     return items.select("id", "code").join(codes, "code").join(labels.withColumnRenamed("id", "rep"), "rep").select("id", "group")

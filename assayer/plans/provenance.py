@@ -52,14 +52,6 @@ def semi_filter(s, d):
     return tables.table(s, d, "orders").join(few, "o_custkey", "left_semi").select(F.col("o_orderkey").alias("media_id"))
 
 
-@query(f"SELECT id, detector FROM v_scores WHERE {hb('concat(id, detector)')} >= 0.4")
-def resume_scoring(s, d):
-    from assayer.functions.stats import hash_bucket
-
-    every = tables.scores(s, d).select("id", "detector")
-    return every.join(every.where(hash_bucket(F.concat("id", "detector")) < 0.4), ["id", "detector"], "left_anti")
-
-
 @query("SELECT doc_id, CASE WHEN doc_id % 10 = 1 THEN 'absent' WHEN doc_id % 10 = 2 THEN 'indexed' WHEN doc_id % 10 = 3 THEN 'refreshed' ELSE 'unchanged' END AS outcome FROM documents")
 def incremental_index(s, d):
     docs = tables.table(s, d, "documents").select("doc_id", F.sha1(F.col("text").cast("binary")).alias("sha1"))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from assayer.functions import stats
 from assayer.plans.evidence import QUERIES, query, rounded
 from assayer.plans.grounding import tampered
+from assayer.plans.oracle import hb
 from assayer.sources import scratch, tables
 from assayer.streaming import keyed, windows
 
@@ -29,6 +31,19 @@ def stream_source(s, d):
     return rounded(keyed.drained(keyed.timed(_events(s, d)[1], LATE).select("event_id", "user_id", "value"), "source"))
 
 
+@query(f"SELECT id, detector, {hb('concat(id, detector)')} >= 0.4 AS resumed FROM v_scores")
+def resume_scoring(s, d):
+    """Predictions of a run of which a part was there already; taken up twice."""
+    wanted, path, log = (scratch.place(s, name) for name in ("wanted", "predictions", "predictions-log"))
+    scores = tables.scores(s, d).select("id", "detector")
+    scores.write.parquet(wanted)
+    scores.where(stats.hash_bucket(F.concat("id", "detector")) < 0.4).withColumn("resumed", F.lit(False)).write.parquet(f"{path}/_batch=-1")
+    for _ in range(2):
+        stream = s.readStream.schema(scores.schema).option("maxFilesPerTrigger", 4).parquet(wanted).withColumn("resumed", F.lit(True))
+        windows.append_once(stream, path, ["id", "detector"], log)
+    return s.read.parquet(path).select("id", "detector", "resumed")
+
+
 _DETECTOR = "CASE event_id % 6 WHEN 0 THEN 'learned_a' WHEN 1 THEN 'geometric_a' WHEN 2 THEN 'face_a' WHEN 3 THEN 'compression_a' WHEN 4 THEN 'gen_a' ELSE 'gen_b' END"
 
 

@@ -108,3 +108,25 @@ def test_tables_that_are_folders(spark, data, tmp_path):
     tables.table(spark, data, "events").repartition(5).write.parquet(f"{tmp_path}/events.parquet")
     for query, cols in ((streams.stream_source, ["event_id", "user_id"]), (streams.stream_dedupe, ["user_id", "event_type"]), (streams.stream_stale_runs, ["run_id", "started"]), (streams.stream_outcome_windows, ["window_start", "detector", "runs", "failed"])):
         assert rows(query(spark, str(tmp_path)), *cols) == rows(query(spark, data), *cols) != []
+
+
+def test_a_stopped_run_writes_each_key_once(spark, tmp_path):
+    """A batch fails after it has written, is tried again from the log, and later files repeat keys."""
+    from assayer.streaming import windows
+
+    stream = lambda: spark.readStream.schema("id bigint, v string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    put = lambda k, ids: (spark.createDataFrame([(i, f"file {k}") for i in ids], "id bigint, v string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in"))
+    put(0, [1, 2, 2])
+    windows.append_once(stream(), f"{tmp_path}/out", ["id"], f"{tmp_path}/log")
+    put(1, [2, 3])
+
+    def broken(batch, number):
+        batch.write.mode("overwrite").parquet(f"{tmp_path}/out/_batch={number}")
+        raise RuntimeError("lost")
+
+    with pytest.raises(Exception, match="lost"):
+        stream().writeStream.foreachBatch(broken).option("checkpointLocation", f"{tmp_path}/log").trigger(availableNow=True).start().awaitTermination()
+    put(2, [1, 4])
+    for _ in range(2):
+        windows.append_once(stream(), f"{tmp_path}/out", ["id"], f"{tmp_path}/log")
+    assert rows(spark.read.parquet(f"{tmp_path}/out"), "id", "v") == [(1, "file 0"), (2, "file 0"), (3, "file 1"), (4, "file 2")]

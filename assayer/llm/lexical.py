@@ -33,7 +33,7 @@ from assayer.llm.common import forget, stored, table, text_batches
 
 #: ASCII letters and digits, letters in lower case, and all else beyond ASCII belong to terms.
 FOLD = bytes(i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
-#: Items of a block, documents of a bucket, coordinates added up before the bound, and documents that give first bounds.
+#: Items of a block, documents of a bucket, coordinates added up before the bound, and documents that give first bounds (half a percent, if that is more).
 ITEMS, BUCKET, FOCUS, HEAD = 500, 1024, 6, 4096
 #: Documents of a range of lengths, which one task reads.
 RANGE = 20_000
@@ -196,7 +196,8 @@ def block(df: DataFrame, items: list[tuple], k: int, id_col: str, text_col: str)
     number = {t: i for i, t in enumerate(vocabulary)}
     counts = [{number[t]: c for t, c in o.items()} for o in own]
     documents = weighed(rows, weights, n_docs, length)
-    cut = documents.agg(F.percentile_approx("norm", max(0.0, 1 - HEAD / n_docs), 10_000)).first()[0]
+    share = max(HEAD / n_docs, 0.005)  # more of many documents, so a small sketch is enough
+    cut = documents.agg(F.percentile_approx("norm", max(0.0, 1 - share), 1_000)).first()[0]
     longest = documents.where(F.col("norm") >= (cut or 0.0)).sortWithinPartitions(F.desc("norm"), "row")
     first = found(longest, counts, weights, np.ones(len(items), np.int64), k).groupBy("item").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s"))  # at most k of each task
     least = np.ones(len(items), np.int64)

@@ -26,11 +26,45 @@ def url_domain(url: Column) -> Column:
     return F.when(found != "", found)
 
 
+def _entities() -> tuple[str, str]:
+    """The standard's table of named characters as JSON: names with their semicolon, and those that may lack it."""
+    import json
+    from html.entities import html5
+
+    return tuple(json.dumps({k: v for k, v in html5.items() if k.endswith(";") == whole}) for whole in (True, False))
+
+
+#: What the numbers 128 to 159 stand for in HTML 5: characters of windows-1252, or themselves.
+_C1 = [bytes([i]).decode("windows-1252", errors="ignore") or chr(i) for i in range(0x80, 0xA0)]
+
+
+def unescaped(text: Column) -> Column:
+    """Named and numbered character references as characters, in one pass, as HTML 5 reads them; what is none stays.
+
+    A name without a semicolon may be the start of a longer word.  Numbers that stand for no character give U+FFFD, and control characters vanish.
+    """
+    named, bare = (F.from_json(F.lit(t), "map<string,string>") for t in _entities())
+    number = lambda ref: F.when(ref.rlike("^#[xX]"), F.conv(F.regexp_extract(ref, "^#[xX]0*([0-9A-Fa-f]{0,8})", 1), 16, 10)).otherwise(F.regexp_extract(ref, "^#0*([0-9]{0,9})", 1)).try_cast("bigint")
+    no_char = lambda n: n.isNull() | (n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF)
+    control = lambda n: n.between(1, 8) | n.between(0xE, 0x1F) | n.between(0x7F, 0x9F) | n.between(0xFDD0, 0xFDEF) | (n == 0xB) | (n.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+    char = lambda n: F.when(no_char(n), "\ufffd").when(n.between(0x80, 0x9F), F.get(F.split(F.lit("\0".join(_C1)), "\0"), (n - 0x80).cast("int"))).when(n == 13, "\r").when(control(n), "").otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+
+    def of(part: Column) -> Column:
+        """What a text behind an ampersand becomes."""
+        digits, name = F.regexp_extract(part, "^#(?:[0-9]+|[xX][0-9A-Fa-f]+);?", 0), F.regexp_extract(part, r"^[^\t\n\f <&#;]{1,32};?", 0)
+        begun = lambda w: F.get(F.filter(F.transform(F.sequence(F.least(F.length(w), F.lit(6)), F.lit(2), F.lit(-1)), lambda k: F.left(w, k)), lambda x: F.map_contains_key(bare, x)), F.lit(0))
+        short = let(name, lambda w: F.when(F.length(w) >= 2, let(begun(w), lambda k: F.when(k.isNotNull(), F.concat(F.element_at(bare, k), F.substring(part, F.length(k) + 1, F.length(part))))))
+        )
+        rest = lambda ref: F.substring(part, F.length(ref) + 1, F.length(part))
+        by_name = F.when(name.endswith(";"), let(name, lambda w: F.concat(F.try_element_at(named, w), rest(w))))
+        return F.when(digits != "", F.concat(let(number(digits), char), rest(digits))).otherwise(F.coalesce(by_name, short, F.concat(F.lit("&"), part)))
+
+    pieces = lambda p: F.concat(F.get(p, F.lit(0)), F.array_join(F.transform(F.slice(p, F.lit(2), F.size(p)), of), ""))
+    return F.when(text.contains("&"), let(F.split(text, "&"), pieces)).otherwise(text)
+
+
 def html_to_text(html: Column) -> Column:
-    bare = F.regexp_replace(html, "<[^>]+>", " ")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        bare = F.replace(bare, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(bare, r"\s+", " "))
+    return F.trim(F.regexp_replace(unescaped(F.regexp_replace(html, "<[^>]+>", " ")), r"(?U)\s+", " "))
 
 
 def truncate_text(text: Column, n: int, marker: str = "...") -> Column:

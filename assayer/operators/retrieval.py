@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from assayer.operators.joins import with_key
 from assayer.sources.scratch import kept
 
 
 def exact_classes(df: DataFrame, id_col: str, content: str) -> DataFrame:
     """(id, sha256, representative, copies): rows of one content share the least id; pairs are never listed."""
     d = df.select(F.col(id_col).alias("id"), F.sha2(F.col(content).cast("binary"), 256).alias("sha256"))
-    of = d.groupBy("sha256").agg(F.min("id").alias("representative"), F.count("*").alias("copies"))
-    return d.join(of, "sha256").select("id", "sha256", "representative", "copies")
+    of = kept(d.groupBy("sha256").agg(F.min("id").alias("representative"), F.count("*").alias("copies")), "classes")
+    return with_key(d, of, "sha256", "copies").select("id", "sha256", "representative", "copies")
 
 
 #: Bands of a 64-bit code, and bits of one.

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assayer.functions.stats import hash_bucket
+from assayer.operators.joins import with_key
 from assayer.sources.scratch import drop, kept
 
 
@@ -124,7 +125,7 @@ def near_groups(items: DataFrame, distance: int) -> DataFrame:
     """
     from assayer.operators.retrieval import hamming_join
 
-    codes = kept(items.groupBy("code").agg(F.min("id").alias("rep")), "codes")
+    codes = kept(items.groupBy("code").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "codes")
     own = codes.select(F.col("rep").alias("id"), "code")
     links = hamming_join(own, own, distance).where("a_id <> b_id").select(F.col("a_id").alias("id"), F.col("b_id").alias("other"))
     links = kept(links, "links")
@@ -140,4 +141,5 @@ def near_groups(items: DataFrame, distance: int) -> DataFrame:
         if still:
             break
     drop(links)
-    return items.select("id", "code").join(codes, "code").join(labels.withColumnRenamed("id", "rep"), "rep").select("id", "group")
+    groups = kept(codes.join(labels.withColumnRenamed("id", "rep"), "rep").select("code", "copies", "group"), "groups")
+    return with_key(items.select("id", "code"), groups, "code", "copies").select("id", "group")

@@ -176,9 +176,9 @@ def url_clean(s, d):
     return tables.table(s, d, "pages").select("page_id", text.url_clean(F.col("url")).alias("clean"), text.url_domain(F.col("url")).alias("domain"))
 
 
-@query("""SELECT page_id, sha256(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g'))) AS text_sha256 FROM pages""")
+@query("""SELECT page_id, sha256(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') || ' Ééé © 2 ¬it; &bogus;', '\\s+', ' ', 'g'))) AS text_sha256 FROM pages""")
 def html_to_text(s, d):
-    return tables.table(s, d, "pages").select("page_id", F.sha2(text.html_to_text(F.col("html")).cast("binary"), 256).alias("text_sha256"))
+    return tables.table(s, d, "pages").select("page_id", F.sha2(text.html_to_text(F.concat("html", F.lit(" &Eacute;&#233;&#xE9; &copy 2 &notit; &bogus;"))).cast("binary"), 256).alias("text_sha256"))
 
 
 # --- splits

@@ -345,6 +345,16 @@ def test_addresses_beside_the_standard_library(spark):
     assert [spark.range(1).select(text.url_policy(F.lit(u))).first()[0] for u in ("http://[::1]/a", "http://[fe80::1]/", "http://[fd00::1]:80/x", "http://[2606:4700::1111]/")] == ["not public"] * 3 + ["allowed"]
 
 
+def test_character_references_beside_the_standard_library(spark):
+    import html
+
+    rng = random.Random(7)
+    bits = ["&amp;", "&lt;", "&eacute;", "&eacute", "&notit;", "&not", "&copy 2", "&#233;", "&#xE9;", "&#xe9", "&#0;", "&#128;", "&#x9f;", "&#129;", "&#1114112;", "&#99999999999;", "&#xD800;", "&#13;", "&#1;", "&#x1F600;", "&", "&&", "&;", "&#;", "&#x;", "&CounterClockwiseContourIntegral;", "a", "é", " ", "&amp;lt;", "&ampx", "&#64976;", "&#xFFFF;", "&bogus;", "&NotEqualTilde;"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(8))) for _ in range(300)] + bits + [None]
+    got = dict(spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", text.unescaped(F.col("t"))).collect())
+    assert [got[i] for i in range(len(texts))] == [t if t is None else html.unescape(t) for t in texts]
+
+
 def test_sizes_of_nested_lists(spark):
     import json
 

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: The fields of a digest, and what the first event links to.
 FIELDS = ["action", "actor", "analysis_id", "case_id", "details", "media_id", "occurred_at", "previous_event_hash", "sequence"]
 GENESIS = "0" * 64
+#: How a broken chain is reported.
+LINK_BROKEN, CONTENTS_BROKEN, GAP = "link does not match the preceding event's hash", "event contents do not match its recorded hash", ("expected sequence ", ", found ")
 
 
 def event_hash(previous: Column | str = "previous_event_hash") -> Column:
@@ -61,7 +63,7 @@ def verify(events: DataFrame, chain: str = "chain") -> DataFrame:
     good = events.join(first, chain).where(F.col("broken").isNull() | (F.col("sequence") < F.col("broken.sequence")))
     heads = good.groupBy(chain).agg(F.count("*").alias("events_checked"), F.max_by("event_hash", "sequence").alias("head_hash"))
     out = first.join(heads, chain, "left").withColumn("events_checked", F.coalesce("events_checked", F.lit(0)))
-    reason = F.when(F.col("broken.fault") == "gap", F.concat(F.lit("expected sequence "), (F.col("events_checked") + 1).cast("string"), F.lit(", found "), F.col("broken.sequence").cast("string"))).when(F.col("broken.fault") == "link", "link does not match the preceding event's hash").when(F.col("broken.fault") == "contents", "event contents do not match its recorded hash")
+    reason = F.when(F.col("broken.fault") == "gap", F.concat(F.lit(GAP[0]), (F.col("events_checked") + 1).cast("string"), F.lit(GAP[1]), F.col("broken.sequence").cast("string"))).when(F.col("broken.fault") == "link", LINK_BROKEN).when(F.col("broken.fault") == "contents", CONTENTS_BROKEN)
     return out.select(chain, F.col("broken").isNull().alias("intact"), "events_checked", "head_hash", F.col("broken.sequence").alias("first_broken_sequence"), reason.alias("reason"))
 
 

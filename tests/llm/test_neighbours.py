@@ -89,6 +89,38 @@ def test_the_sample_may_be_a_small_part(spark, monkeypatch):
     assert found(neighbours.search(df).collect()) == got
 
 
+def test_partitions_are_split_where_the_upper_level_ends(spark, monkeypatch):
+    """Twice as many leaves as the upper level may have at least; of those a query meets fewer than half at a recall of 0.9 or more."""
+    monkeypatch.setattr(neighbours, "SAMPLE", 512)
+    monkeypatch.setattr(neighbours, "DENSITY", 0.5)
+    compared, met, sizes = neighbours.compared, [], []
+
+    def watched(probing, index, leaves, n):
+        met.append(probing.count())
+        sizes.append([r["size"] for r in leaves.collect()])
+        return compared(probing, index, leaves, n)
+
+    monkeypatch.setattr(neighbours, "compared", watched)
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((40, 16))
+    v = (centres[rng.integers(0, 40, 6000)] + 0.4 * rng.standard_normal((6000, 16))).astype(np.float32)
+    got = found(neighbours.search(table_of(spark, list(enumerate(v))).repartition(4)).collect())
+    w = v.astype(float)
+    hits = sum(len(set(got[q]) & set(nearest_by(w, q))) for q in range(0, 6000, 20))
+    assert hits >= 0.9 * 20 * 300
+    assert len(sizes[0]) >= 2 * 512 / 16 and sum(sizes[0]) == 6000
+    assert 2 * sum(met) <= 300 * len(sizes[0])
+
+
+def test_a_crowded_partition_is_split():
+    """A partition with a third of a table gets its share of the leaves; one that is no larger than a leaf stays whole."""
+    n = 10**10
+    leaves = 2 ** int(np.log2(n**0.5 / neighbours.DENSITY))
+    assert neighbours.parts_for(n, n) == neighbours.SAMPLE // 16
+    assert neighbours.parts_for(n / leaves, n) == 1
+    assert neighbours.parts_for(n / 128, n) == leaves // 128 and neighbours.parts_for(n / 3, n) == neighbours.SAMPLE // 16
+
+
 def nearest_by(w, q):
     s = w @ w[q]
     s[q] = -np.inf

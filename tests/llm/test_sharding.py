@@ -3,6 +3,7 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from assayer.llm import common, sharding
 
@@ -55,6 +56,54 @@ def test_units_move_within_quotas(spark):
     assert apart(sharding.settled(units, total // 8)) < 0.3 * apart(units)
 
 
+def plain_round(units, quota, hashes, gates):
+    """The same round with loops: what moves between two shards is what goes the other way, and a part of the room beyond that."""
+    votes, load = {}, Counter()
+    for (g, part, began), (shard, n) in units.items():
+        votes.setdefault((g, part), Counter())[shard] += n
+        load[shard] += n
+    want = {k: max(c, key=lambda s: (c[s], hashes[(*k, s)])) for k, c in votes.items()}
+    out, by_gate = Counter(), Counter()
+    for (g, part, _), (shard, n) in units.items():
+        if want[g, part] != shard:
+            out[shard, want[g, part]] += n
+            by_gate[shard, want[g, part], gates[g, part]] += n
+    more = {(a, b): n - min(n, out[b, a]) for (a, b), n in out.items()}
+    every = Counter()
+    for (_, b), n in more.items():
+        every[b] += n
+    open_ = set()
+    for a, b in out:
+        room = max(0, int(sharding.FULL * quota) - load[b])
+        allowed = out[a, b] - more[a, b] + (min(more[a, b], int(room * more[a, b] / every[b])) if every[b] else 0)
+        before = 0
+        for gate in sorted(g for x, y, g in by_gate if (x, y) == (a, b)):
+            if before + by_gate[a, b, gate] <= allowed:
+                open_.add((a, b, gate))
+            before += by_gate[a, b, gate]
+    goes = lambda g, part, shard: want[g, part] if (shard, want[g, part], gates[g, part]) in open_ else shard
+    return {(g, part, began): (goes(g, part, shard), n) for (g, part, began), (shard, n) in units.items()}
+
+
+@pytest.mark.parametrize(("shards", "tight"), [(4, 1.0), (8, 1.0), (8, 0.9), (8, 1.5)])
+def test_rounds_equal_plain_loops(spark, shards, tight):
+    """Three rounds of propagation beside loops over the same units, with little room and with much."""
+    rows = [(f"g{g}", g % 2, b, b, 1 + (7 * g + 3 * b) % 5) for g in range(120) for b in range(shards) if (g + b) % 3]
+    units = spark.createDataFrame(rows, "g string, part int, began int, shard int, n bigint")
+    quota = int(tight * sum(r[4] for r in rows) / shards)
+    every = units.select("g", "part").distinct()
+    voted = every.crossJoin(spark.range(shards).select(F.col("id").cast("int").alias("shard")))
+    hashes = {(r.g, r.part, r.shard): r.h for r in voted.withColumn("h", F.xxhash64("g", "part", "shard")).collect()}
+    plain = {r[:3]: r[3:] for r in rows}
+    for turn in range(3):
+        gates = {(r.g, r.part): r.gate for r in every.withColumn("gate", F.pmod(F.xxhash64("g", "part", F.lit(turn)), F.lit(sharding.GATES))).collect()}
+        units = common.stored(sharding.propagate(sharding.wishes(units), quota, turn), "test_units")
+        after = plain_round(plain, quota, hashes, gates)
+        assert {(r.g, r.part, r.began): (r.shard, r.n) for r in units.collect()} == after
+        assert turn or after != plain
+        plain = after
+
+
 def test_odd_rows_and_clashing_names(spark):
     rows = [(1, None), (2, ""), (3, "x"), (3, "x"), (None, "n"), (None, "n"), (4, "y" * 500_000)]
     names = "doc_id bigint, text string, id int, g int, part int, key int, shard int, slot int, near int, n int, size int"

@@ -223,12 +223,12 @@ def pack(df: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col
         final = bins if top == 0 else bins.where("not up")
         moved = final if moved is None else moved.unionByName(final)
         bins = bins.where("up")
-    out = pieces.withColumnsRenamed({"id": id_col})
+    own = F.col("id").alias(id_col)  # any name, also one of those used here
     if moved is None:
-        return out.select(id_col, "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset")
+        return pieces.select(own, "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset")
     moved = moved.select(F.col("from_bin"), F.col("bin").alias("to_bin"), "shift")
-    joined = out.join(moved, out["bin"] == moved["from_bin"], "left")
-    return joined.select(id_col, "piece", "start", "length", "ids_crc32", F.coalesce("to_bin", "bin").alias("sequence_id"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"))
+    joined = pieces.join(moved, pieces["bin"] == moved["from_bin"], "left")
+    return joined.select(own, "piece", "start", "length", "ids_crc32", F.coalesce("to_bin", "bin").alias("sequence_id"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"))
 
 
 def sequences(layout: DataFrame, df: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

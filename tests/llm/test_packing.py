@@ -45,6 +45,15 @@ def test_long_texts_and_clashing_names(spark):
     assert packing.pack(df.limit(0), PATH).count() == 0
 
 
+@pytest.mark.parametrize("name", ["bin", "shift", "from_bin", "to_bin", "fill", "up", "node"])
+def test_the_id_may_have_any_name(spark, name):
+    """Names that the rounds use inside, in a table of several tasks."""
+    df = spark.createDataFrame([(i, "a b c " * i) for i in range(40)], f"{name} bigint, text string").repartition(3)
+    out = packing.pack(df, PATH, id_col=name)
+    rows = out.collect()
+    assert out.columns[0] == name and sorted(r[0] for r in rows) == list(range(40)) and len({r.sequence_id for r in rows}) == 2
+
+
 def test_ids_are_the_tokenizers_own():
     """Texts that spell out special tokens, also beside letters, marks and one another."""
     from tokenizers import Tokenizer

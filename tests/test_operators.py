@@ -218,6 +218,16 @@ def test_claims_at_the_edges(spark):
     assert none.count() == len(rows)
 
 
+def test_facts_are_never_broadcast(spark):
+    """A row of evidence explodes into many facts, which Spark's estimate of its size leaves out."""
+    answers = spark.createDataFrame([(1, "It weighs 12 kg [T1].")], "k int, text string")
+    evidence = spark.createDataFrame([(1, "T1", '{"kg": 12}')], "k int, id string, text string")
+    found = grounding.range_join(spark.createDataFrame([(1, "12")], "k int, token string"), spark.createDataFrame([(1, 12.0)], "k int, n double"), "k")
+    for df in (grounding.grounded(answers, evidence, "k"), found):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert found.first().supported
+
+
 def test_every_single_tampering_is_found(spark):
     events = spark.createDataFrame([("c", i, f"2024-01-0{i}", "me", "act", None, None, f"a{i}", {"k": str(i), "b": "é"}) for i in range(1, 8)], "chain string, sequence bigint, occurred_at string, actor string, action string, case_id string, media_id string, analysis_id string, details map<string,string>")
     good = audit.chained(events)

@@ -1,9 +1,10 @@
 """Streams with a state for each key: health, admission, segments, tracks, chains, lost runs, and what arrives twice.
 
-Rows wait in their key's state, as Arrow, until the watermark has passed them; then they are taken in the order of time, whatever
+Keys are dealt into parts, and the keys of a part share a state and its calls, so that many small keys cost little. Rows wait in their
+part's state, as Arrow, until the watermark has passed them; then they are taken in the order of time, whatever
 files or batches they came in.  So each operator gives what its batch form gives, as long as rows are no later than the
-watermark's delay; later ones are dropped and counted (`Drained.late`).  A timer wakes a key when its earliest waiting row is due, and
-again when it has been idle for so long that nothing can follow: then what is open is given and the state is removed.
+watermark's delay; later ones are dropped and counted (`Drained.late`).  A timer wakes a part when its earliest waiting row is due, and
+again when a key has been idle for so long that nothing can follow: then what is open is given and the key is forgotten.
 
 A feed reads a table as a stream, whether it is one file or a folder of files, a number of them a batch.  It can be closed, which moves
 the watermark past all rows.
@@ -17,10 +18,11 @@ import json
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -93,56 +95,77 @@ def timed(rows: DataFrame, late: str) -> DataFrame:
     return rows.withWatermark("ts", late).where(F.col("ts") < F.lit(FAR).cast("timestamp"))
 
 
+#: Parts that keys are dealt into by hash: the keys of a part share a state, a timer and the calls of a task.
+PARTS = 4096
+
+
 def _packed(rows: pd.DataFrame) -> bytes | None:
     if not len(rows):
         return None
     out, table = io.BytesIO(), pa.Table.from_pandas(rows, preserve_index=False)
-    with pa.ipc.new_stream(out, table.schema) as w:
+    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as w:
         w.write_table(table)
     return out.getvalue()
 
 
+def _unpacked(held: bytes | None) -> list[pd.DataFrame]:
+    return [] if held is None else [pa.ipc.open_stream(held).read_pandas()]
+
+
+def _part(*key: str) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(PARTS)).cast("int").alias("part")
+
+
 def in_order(rows: DataFrame, key: list[str], order: list[str], fields: str, start: object, step: Callable, late: str, idle: float | None = None, finish: Callable | None = None) -> DataFrame:
     """A stream of `fields` from rows (key…, ts, …), each key's rows by `order`.
 
-    step(key, value, due) takes rows that the watermark has passed and returns the key's new value and rows of output; with `early` among its
-    attributes it also gets those that wait, and returns those that still do.  finish(key, value) gives what is open when a key has had
-    no row for `idle` seconds; its state is then removed.  Values are lists, numbers and texts, kept as JSON.
+    step(key, value, rows) takes rows that the watermark has passed and returns the key's new value and rows of output; with `early` among its
+    attributes it also gets those that wait, and returns the indexes of those that still do.  finish(key, value) gives what is open when a key has
+    had no row for `idle` seconds; it is then forgotten.  Values are lists, numbers and texts, kept as JSON.
     """
-    names = [c for c in rows.columns if c != "ts"]
+    names = ["own", *[c for c in rows.columns if c not in ("ts", *key)], "micros"]
+    early, begin = getattr(step, "early", False), json.dumps(start)
 
-    def run(own: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        value, last, held = (json.loads(state.get[0]), *state.get[1:]) if state.exists else (start, 0, None)
-        waiting = [] if held is None else [pa.ipc.open_stream(held).read_pandas()]
+    def run(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known, held = (json.loads(state.get[0]), state.get[1]) if state.exists else ({}, None)  # own: value, latest time
+        waiting = _unpacked(held)
         if not state.hasTimedOut:
-            waiting += [p[[*names, "micros"]] for p in parts]
-        passed = state.getCurrentWatermarkMs()
-        wait = pd.concat(waiting).sort_values(order) if waiting else pd.DataFrame(columns=[*names, "micros"])
-        if len(wait):
-            last = max(last, int(wait["micros"].max()))
-        if getattr(step, "early", False):
-            value, out, wait = step(own, value, wait, passed * 1000)
+            waiting += [p[names] for p in parts]
+        passed, out = state.getCurrentWatermarkMs(), []
+        wait = pd.concat(waiting).sort_values(["own", *order], ignore_index=True) if waiting else pd.DataFrame(columns=names)
+        for own, latest in wait.groupby("own")["micros"].max().items():
+            value, last = known.get(own) or (json.loads(begin), 0)
+            known[own] = [value, max(last, int(latest))]
+        due = wait["micros"].astype("int64") <= passed * 1000
+        kept = [] if early else list(wait.index[~due])
+        for own, each in groupby((wait if early else wait[due]).itertuples(), key=lambda r: r.own):
+            value, given, *rest = step(tuple(json.loads(own).values()), known[own][0], list(each), *([passed * 1000] if early else []))
+            known[own][0] = value
+            out += given
+            kept += rest[0] if early else []
+        wait = wait.loc[kept]
+        if idle is not None:
+            still = set(wait["own"])
+            for own in [k for k, (_, last) in known.items() if k not in still and last + idle * 1e6 <= passed * 1000]:
+                out += finish(tuple(json.loads(own).values()), known[own][0]) if finish else []
+                del known[own]
+            ends = [int(last + idle * 1e6) // 1000 + 1 for k, (_, last) in known.items() if k not in still]
         else:
-            due = wait["micros"] <= passed * 1000
-            value, out = step(own, value, wait[due]) if due.any() else (value, [])
-            wait = wait[~due]
-        over = idle is not None and not len(wait) and last + idle * 1e6 <= passed * 1000
-        if over:
-            out = [*out, *(finish(own, value) if finish else [])]
-            if state.exists:
-                state.remove()
-        else:
-            state.update((json.dumps(value), last, _packed(wait)))
-            if len(wait):
-                state.setTimeoutTimestamp(max(passed + 1, int(wait["micros"].min()) // 1000 + 1))
-            elif idle is not None:
-                state.setTimeoutTimestamp(max(passed + 1, int(last + idle * 1e6) // 1000 + 1))
-        yield pd.DataFrame(out, columns=columns).astype(whole)
+            ends = []
+        if known:
+            state.update((json.dumps(known), _packed(wait)))
+            ends += [int(wait["micros"].min()) // 1000 + 1] if len(wait) else []
+            if ends:
+                state.setTimeoutTimestamp(max(passed + 1, min(ends)))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=columns, dtype=object).astype(whole)  # as objects: a part's null keys would make floats of whole ones
 
     kinds = [f.strip().split(" ") for f in fields.split(",")]
-    columns, whole = [k[0] for k in kinds], {k[0]: "Int64" for k in kinds if k[1] in ("bigint", "int")}
-    ready = timed(rows, late).withColumn("micros", F.unix_micros("ts"))
-    return ready.groupBy(*key).applyInPandasWithState(run, fields, "value string, last bigint, held binary", "append", GroupStateTimeout.EventTimeTimeout)
+    columns, whole = [k[0] for k in kinds], {k[0]: "float64" if k[1] == "double" else "Int64" for k in kinds if k[1] in ("bigint", "int", "double")}
+    own = F.to_json(F.struct(*key), {"ignoreNullFields": "false"}).alias("own")
+    ready = timed(rows, late).select(_part(*key), own, "ts", F.unix_micros("ts").alias("micros"), *[c for c in names if c not in ("own", "micros")])
+    return ready.groupBy("part").applyInPandasWithState(run, fields, "known string, held binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def health(runs: DataFrame, failing_after: int = 3, window: int = 50, late: str = "1 hour", idle: float | None = None) -> DataFrame:
@@ -150,9 +173,9 @@ def health(runs: DataFrame, failing_after: int = 3, window: int = 50, late: str
 
     The state holds failures in a row and the last `window` durations of productive runs; skipped runs are neutral.
     """
-    def step(key: tuple, value: list, due: pd.DataFrame) -> tuple[list, list]:
+    def step(key: tuple, value: list, due: list) -> tuple[list, list]:
         (failures, durations), out = value, []
-        for r in due.itertuples(index=False):
+        for r in due:
             if r.execution_status == "FAILED":
                 failures += 1
             elif r.execution_status != "SKIPPED":
@@ -174,9 +197,9 @@ def admission(requests: DataFrame, key: list[str], seconds: int, limit: int, lat
     """
     kinds = ", ".join(f"{k} {t}" for k, t in requests.dtypes if k in key)
 
-    def step(own: tuple, held: list, due: pd.DataFrame) -> tuple[list, list]:
+    def step(own: tuple, held: list, due: list) -> tuple[list, list]:
         out = []
-        for r in due.itertuples(index=False):
+        for r in due:
             t = int(r.micros)
             held = [x for x in held if x > t - seconds * 1_000_000]
             ok = len(held) < limit
@@ -191,9 +214,9 @@ def admission(requests: DataFrame, key: list[str], seconds: int, limit: int, lat
 def segments(frames: DataFrame, anomaly: float = 0.45, late: str = "1 hour", idle: float = 86_400) -> DataFrame:
     """(media_id, start_frame, end_frame, peak_score): runs of anomalous frames (media_id, ts, id, score), each ended by the first calm frame; a run
     that is open when its medium has been idle for so many seconds ends with the last frame."""
-    def step(key: tuple, value: list, due: pd.DataFrame) -> tuple[list, list]:
+    def step(key: tuple, value: list, due: list) -> tuple[list, list]:
         (at, start, peak), out = value, []
-        for r in due.itertuples(index=False):
+        for r in due:
             if r.score >= anomaly:
                 start, peak = (at, r.score) if start < 0 else (start, max(peak, r.score))
             elif start >= 0:
@@ -223,19 +246,20 @@ def tracks(regions: DataFrame, least: float = 0.3, sure: float = 0.4, decay: flo
     place there; a track that is not seen fades, and after `lost` frames it is gone.  The state holds active tracks only; set `idle` to
     the time of `lost` frames or more, and a medium without regions leaves no state.
     """
-    def step(key: tuple, value: list, due: pd.DataFrame) -> tuple[list, list]:
+    def step(key: tuple, value: list, due: list) -> tuple[list, list]:
         active, out = {int(r[0]): list(r[1:]) for r in value}, []  # track: last frame, box, confidence
-        for frame, found in due.groupby("frame", sort=True):
+        for frame, group in groupby(sorted(due, key=lambda r: r.frame), key=lambda r: r.frame):
+            found = list(group)
             for t in [t for t, v in active.items() if frame - v[0] > lost]:
                 del active[t]
-            boxes = {r.id: [r.x, r.y, r.w, r.h] for r in found.itertuples(index=False)}
+            boxes = {r.id: [r.x, r.y, r.w, r.h] for r in found}
             pairs = sorted((-overlap(v[1:5], b), t, i) for t, v in active.items() for i, b in boxes.items())
             of: dict[int, int] = {}
             for minus, t, i in pairs:
                 if -minus > least and i not in of and t not in of.values():
                     of[i] = t
             new = 0
-            for r in found.itertuples(index=False):
+            for r in found:
                 if r.id not in of and r.confidence >= sure:
                     of[r.id] = int(frame) << 20 | new
                     new += 1
@@ -258,11 +282,11 @@ def chain_check(events: DataFrame, late: str = "1 hour") -> DataFrame:
     An event waits until the one before it has come, or until the watermark has passed it: only then it leaves a gap, and the chain
     goes on from it.  An event whose place the chain has left is reported as `late` and changes nothing.
     """
-    def step(key: tuple, value: list, wait: pd.DataFrame, passed: int) -> tuple[list, list, pd.DataFrame]:
+    def step(key: tuple, value: list, wait: list, passed: int) -> tuple[list, list, list]:
         (number, last), out, kept = value, [], []
-        for i, r in enumerate(wait.to_dict("records")):
+        for r in (r._asdict() for r in wait):
             if r["sequence"] > number + 1 and r["micros"] > passed:
-                kept.append(i)
+                kept.append(r["Index"])
                 continue
             fields = {f: json.loads(r[f]) if f == "details" else None if r[f] is None or r[f] != r[f] else r[f] for f in FIELDS}
             own = hashlib.sha256(json.dumps(fields, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
@@ -270,7 +294,7 @@ def chain_check(events: DataFrame, late: str = "1 hour") -> DataFrame:
             reason = "late" if behind else "gap" if r["sequence"] != number + 1 else "link" if r["previous_event_hash"] != last else "contents" if own != r["event_hash"] else None
             out.append((key[0], r["sequence"], reason is None, reason))
             number, last = (number, last) if behind else (int(r["sequence"]), r["event_hash"])
-        return [number, last], out, wait.iloc[kept]
+        return [number, last], out, kept
 
     step.early = True
     rows = events.withColumn("details", F.to_json("details")).select("chain", "ts", *FIELDS, "event_hash")

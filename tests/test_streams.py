@@ -103,6 +103,26 @@ def test_late_rows_are_counted_and_idle_keys_go(spark, tmp_path):
     assert (rows(closed.rows, "media_id", "start_frame", "end_frame"), closed.late) == ([(0, 0, 2), (1, 0, 2)], 1)
 
 
+@pytest.mark.parametrize("kind", ["admission"])
+def test_many_keys_share_few_states(spark, tmp_path, monkeypatch, kind):
+    """Keys (one of them null, others beyond 2^53) are dealt into parts, and a part has one state."""
+    monkeypatch.setattr(keyed, "PARTS", 3)
+    at = datetime.datetime(2024, 1, 1)
+    keys = [2**60 + k for k in range(40)] + ([None] if kind == "admission" else [])
+    table = spark.createDataFrame([(k, 10 * i + n, at + datetime.timedelta(hours=n)) for i, k in enumerate(keys) for n in range(4)], "k bigint, id bigint, ts timestamp")
+    table.coalesce(1).write.parquet(f"{tmp_path}/rows")
+    feed = keyed.feed(spark, f"{tmp_path}/rows")
+    stream = keyed.admission(feed.rows, ["k"], 10_800, 2, "1 day") if kind == "admission" else keyed.lost_runs(feed.rows.select(F.col("k").alias("run_id"), "ts", (F.col("id") % 20 == 0).alias("done")), 3600, "1 day")
+    q = stream.writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/log").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert 0 < q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3
+    got = keyed.drained(stream, "parts", feed)
+    if kind == "admission":
+        assert {(r.k, r.id, r.admitted) for r in got.collect()} == {(k, 10 * i + n, n != 2) for i, k in enumerate(keys) for n in range(4)}
+    else:
+        assert sorted(r.run_id for r in got.collect()) == keys[1::2]
+
+
 def test_tables_that_are_folders(spark, data, tmp_path):
     """Five files, one a batch: the queries of a folder give what those of a file give."""
     tables.table(spark, data, "events").repartition(5).write.parquet(f"{tmp_path}/events.parquet")

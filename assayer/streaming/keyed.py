@@ -303,18 +303,19 @@ def chain_check(events: DataFrame, late: str = "1 hour") -> DataFrame:
 
 def lost_runs(events: DataFrame, seconds: int, late: str = "0 seconds") -> DataFrame:
     """(run_id, started): runs (run_id, ts, done) that no event ended within so many seconds, given when the watermark has passed that time; rows without a run are left out."""
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            started, done = state.get
+    def run(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        runs = _unpacked(state.get[0] if state.exists else None)
+        if not state.hasTimedOut:
+            runs += [p[["run_id", "micros", "done"]] for p in parts]
+        known = pd.concat(runs).groupby("run_id", as_index=False).agg({"micros": "min", "done": "max"})
+        passed, ends = state.getCurrentWatermarkMs(), known["micros"] // 1000 + seconds * 1000
+        lost, open_ = known[(ends < passed) & ~known["done"]], known[ends >= passed]
+        if len(open_):
+            state.update((_packed(open_),))
+            state.setTimeoutTimestamp(max(passed + 1, int(ends.loc[open_.index].min())))
+        elif state.exists:
             state.remove()
-            yield pd.DataFrame([] if done else [(key[0], pd.Timestamp(started, unit="us"))], columns=["run_id", "started"])
-            return
-        started, done = state.get if state.exists else (2**62, False)
-        for part in parts:
-            started, done = min(started, int(part["micros"].min())), done or bool(part["done"].any())
-        state.update((started, done))
-        state.setTimeoutTimestamp(max(started // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"run_id": pd.Series(dtype="int64"), "started": pd.Series(dtype="datetime64[ns]")})
+        yield pd.DataFrame({"run_id": lost["run_id"], "started": pd.to_datetime(lost["micros"], unit="us")})
 
     rows = events.select("run_id", "ts", F.unix_micros("ts").alias("micros"), "done").withWatermark("ts", late).where("run_id IS NOT NULL OR ts < '0001-01-02'")  # with the time in it the rule stays above the watermark
-    return rows.groupBy("run_id").applyInPandasWithState(run, "run_id bigint, started timestamp", "started bigint, done boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.withColumn("part", _part("run_id")).groupBy("part").applyInPandasWithState(run, "run_id bigint, started timestamp", "held binary", "append", GroupStateTimeout.EventTimeTimeout)

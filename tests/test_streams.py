@@ -103,7 +103,7 @@ def test_late_rows_are_counted_and_idle_keys_go(spark, tmp_path):
     assert (rows(closed.rows, "media_id", "start_frame", "end_frame"), closed.late) == ([(0, 0, 2), (1, 0, 2)], 1)
 
 
-@pytest.mark.parametrize("kind", ["admission"])
+@pytest.mark.parametrize("kind", ["admission", "lost"])
 def test_many_keys_share_few_states(spark, tmp_path, monkeypatch, kind):
     """Keys (one of them null, others beyond 2^53) are dealt into parts, and a part has one state."""
     monkeypatch.setattr(keyed, "PARTS", 3)

@@ -33,3 +33,10 @@ def test_near_documents_shuffle_prefixes_and_one_count_of_runs(spark):
     want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
     assert {(r.a_id, r.b_id) for r in found} == want
     assert size < 20 * sum(map(len, sets)), size / sum(map(len, sets))
+
+
+def test_text_codes_shuffle_a_row_for_each_text(spark):
+    rng = random.Random(4)
+    df = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(900)}" for _ in range(500))) for i in range(50)], "id bigint, text string")
+    rows, _ = shuffled(spark, lambda: retrieval.text_codes(df, "id", "text").collect())
+    assert rows <= 50  # a row for each different word of each text before

@@ -40,3 +40,14 @@ def test_text_codes_shuffle_a_row_for_each_text(spark):
     df = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(900)}" for _ in range(500))) for i in range(50)], "id bigint, text string")
     rows, _ = shuffled(spark, lambda: retrieval.text_codes(df, "id", "text").collect())
     assert rows <= 50  # a row for each different word of each text before
+
+
+def test_hamming_join_spreads_crowded_bands(spark):
+    """All codes share three bands; what meets is lists, dealt to all tasks, and lists are cut."""
+    rng = random.Random(5)
+    codes = [rng.randrange(1 << 16) for _ in range(600)]
+    df = spark.createDataFrame(list(enumerate(codes)), "id bigint, code bigint")
+    lists = retrieval._met(retrieval.once(df), retrieval.once(df), 3)
+    assert lists.rdd.getNumPartitions() == 4 and lists.count() < 1_000  # 600 times 600 candidates before
+    got = {(r.a_id, r.b_id, r.distance) for r in retrieval.hamming_join(df, df, 3).collect()}
+    assert got == {(i, j, (x ^ y).bit_count()) for i, x in enumerate(codes) for j, y in enumerate(codes) if (x ^ y).bit_count() <= 3}

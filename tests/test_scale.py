@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from assayer.operators import retrieval
+from assayer.operators import audit, retrieval, splits
+from assayer.sources.scratch import kept
 
 
 def shuffled(spark, action) -> tuple[int, int]:
@@ -51,3 +52,15 @@ def test_hamming_join_spreads_crowded_bands(spark):
     assert lists.rdd.getNumPartitions() == 4 and lists.count() < 1_000  # 600 times 600 candidates before
     got = {(r.a_id, r.b_id, r.distance) for r in retrieval.hamming_join(df, df, 3).collect()}
     assert got == {(i, j, (x ^ y).bit_count()) for i, x in enumerate(codes) for j, y in enumerate(codes) if (x ^ y).bit_count() <= 3}
+
+
+def test_drop_near_meets_lists_and_takes_the_least_id(spark):
+    rng = random.Random(7)
+    codes = [rng.randrange(1 << 12) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(codes)), "id bigint, code bigint")
+    items, reference = df.where("id % 3 > 0"), df.where("id % 3 = 0")
+    got = {r.id: (r.distance, r.near_duplicate_of) for r in splits.drop_near(items, reference, 4).collect()}
+    best = {i: min(((x ^ y).bit_count(), j) for j, y in enumerate(codes) if j % 3 == 0) for i, x in enumerate(codes) if i % 3}
+    assert got == {i: b if b[0] <= 4 else (None, None) for i, b in best.items()}
+    rows, _ = shuffled(spark, lambda: retrieval.hamming_nearest(retrieval.once(items), retrieval.once(reference), 4).collect())
+    assert rows < 12_000  # a row for each pair before

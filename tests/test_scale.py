@@ -64,3 +64,16 @@ def test_drop_near_meets_lists_and_takes_the_least_id(spark):
     assert got == {i: b if b[0] <= 4 else (None, None) for i, b in best.items()}
     rows, _ = shuffled(spark, lambda: retrieval.hamming_nearest(retrieval.once(items), retrieval.once(reference), 4).collect())
     assert rows < 12_000  # a row for each pair before
+
+
+def test_near_groups_hold_fewer_links_than_pairs(spark):
+    rng = random.Random(6)
+    codes = sorted({sum(1 << b for b in rng.sample(range(16), 2)) for _ in range(400)} | {rng.getrandbits(62) for _ in range(50)})
+    df = spark.createDataFrame(list(enumerate(codes)), "id bigint, code bigint")
+    near = [(i, j) for i, x in enumerate(codes) for j, y in enumerate(codes) if i != j and (x ^ y).bit_count() <= 4]
+    assert retrieval.hamming_links(df, 4).count() < len(near) / 4
+    want = list(range(len(codes)))
+    for _ in codes:
+        for i, j in near:
+            want[i] = want[j] = min(want[i], want[j])
+    assert {r.id: r.group for r in splits.near_groups(df, 4).collect()} == dict(enumerate(want))

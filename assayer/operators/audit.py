@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: The fields of a digest, and what the first event links to.
@@ -52,17 +53,24 @@ def chained(events: DataFrame, chain: str = "chain") -> DataFrame:
 def verify(events: DataFrame, chain: str = "chain") -> DataFrame:
     """(chain, intact, events_checked, head_hash, first_broken_sequence, reason) of each chain.
 
-    An event is held against the one whose number precedes its own, so checks run in parallel and no task needs a whole chain.
+    An event is held against all whose number precedes its own by one: one sort by chain and number of digests alone, as an event's own
+    contents are checked where it is read.  Windows spill, so no task needs a whole chain in memory.
     Before the first broken event numbers run from 1 without a gap, which is how many were checked.
     """
-    before = events.select(chain, (F.col("sequence") + 1).alias("sequence"), F.col("event_hash").alias("expected"))
-    each = events.join(before, [chain, "sequence"], "left")
-    expected = F.when(F.col("sequence") == 1, F.lit(GENESIS)).otherwise(F.col("expected"))
-    fault = F.when(expected.isNull(), "gap").when(F.col("previous_event_hash") != expected, "link").when(event_hash() != F.col("event_hash"), "contents")
-    first = each.withColumn("fault", fault).groupBy(chain).agg(F.min(F.when(F.col("fault").isNotNull(), F.struct("sequence", "fault"))).alias("broken"))
-    good = events.join(first, chain).where(F.col("broken").isNull() | (F.col("sequence") < F.col("broken.sequence")))
-    heads = good.groupBy(chain).agg(F.count("*").alias("events_checked"), F.max_by("event_hash", "sequence").alias("head_hash"))
-    out = first.join(heads, chain, "left").withColumn("events_checked", F.coalesce("events_checked", F.lit(0)))
+    own = events.select(chain, "sequence", "previous_event_hash", "event_hash", (event_hash() == F.col("event_hash")).alias("_same"))
+    order = W.partitionBy(chain).orderBy("sequence")
+    before = order.rangeBetween(-1, -1)
+    known = F.col("sequence").isNotNull()
+    each = own.withColumns({"_low": F.when(known, F.min("event_hash").over(before)), "_high": F.when(known, F.max("event_hash").over(before))})
+    expected = lambda c: F.when(F.col("sequence") == 1, F.lit(GENESIS)).otherwise(F.col(c))
+    other = (F.col("previous_event_hash") != expected("_low")) | (F.col("previous_event_hash") != expected("_high"))
+    fault = F.when(expected("_low").isNull(), "gap").when(other, "link").when(~F.col("_same"), "contents")
+    each = each.withColumn("fault", fault)
+    reached = F.max(F.col("fault").isNotNull()).over(order.rangeBetween(W.unboundedPreceding, W.currentRow))
+    good = ~F.col("_bad")
+    out = each.withColumn("_bad", reached).groupBy(chain).agg(
+        F.min(F.when(F.col("fault").isNotNull(), F.struct("sequence", "fault"))).alias("broken"), F.count_if(good).alias("events_checked"), F.max_by(F.when(good, F.col("event_hash")), F.when(good, F.col("sequence"))).alias("head_hash")
+    )
     reason = F.when(F.col("broken.fault") == "gap", F.concat(F.lit(GAP[0]), (F.col("events_checked") + 1).cast("string"), F.lit(GAP[1]), F.col("broken.sequence").cast("string"))).when(F.col("broken.fault") == "link", LINK_BROKEN).when(F.col("broken.fault") == "contents", CONTENTS_BROKEN)
     return out.select(chain, F.col("broken").isNull().alias("intact"), "events_checked", "head_hash", F.col("broken.sequence").alias("first_broken_sequence"), reason.alias("reason"))
 

@@ -77,3 +77,18 @@ def test_near_groups_hold_fewer_links_than_pairs(spark):
         for i, j in near:
             want[i] = want[j] = min(want[i], want[j])
     assert {r.id: r.group for r in splits.near_groups(df, 4).collect()} == dict(enumerate(want))
+
+
+def test_verify_shuffles_digests_once(spark):
+    rows = [(c, i + 1, "actor", "act", "x" * 3_000, c == 3 and i == 4) for c in range(6) for i in range(20)]
+    df = spark.createDataFrame(rows, "chain bigint, sequence bigint, actor string, action string, analysis_id string, bad boolean")
+    df = df.selectExpr("*", "cast(null as string) case_id", "cast(null as string) media_id", "map('k', 'v') details", "'t' occurred_at")
+    c = kept(audit.chained(df), "chains").withColumn("action", F.when(F.col("bad"), "edited").otherwise(F.col("action")))
+    with_twin = c.unionByName(c.where("chain = 5 and sequence = 7").withColumn("event_hash", F.lit("other")))  # two events of one number
+    out = {}
+    _, size = shuffled(spark, lambda: out.update({r.chain: r for r in audit.verify(with_twin).collect()}))
+    assert [out[k].intact for k in range(6)] == [True, True, True, False, True, False]
+    assert (out[3].first_broken_sequence, out[3].events_checked, out[3].reason) == (5, 4, audit.CONTENTS_BROKEN)
+    assert (out[5].first_broken_sequence, out[5].events_checked) == (7, 6)
+    assert out[0].events_checked == 20 and size < 60_000
+    assert "BroadcastHashJoin" not in (plan := audit.verify(with_twin)._jdf.queryExecution().toString()) and "SortMergeJoin" not in plan

@@ -7,6 +7,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,6 +156,37 @@ def test_region_match_is_one_by_one(spark):
     assert got == expected and got
 
 
+def test_region_match_of_copies_and_short_lists(spark, monkeypatch):
+    """Lists of two partners, blocks of three classes and many ties and copies: what a plain loop takes, over fewer listed pairs than there are."""
+    monkeypatch.setattr(sequences, "LISTED", 2)
+    monkeypatch.setattr(sequences, "CLASSES", 3)
+    from assayer.streaming.keyed import overlap
+
+    listed, taken = sequences._listed, sequences._taken
+    rng = random.Random(5)
+    for _ in range(4):
+        box = lambda: (float(rng.randrange(4)), 0.0, 8.0, float(rng.choice((8, 10))))
+        a, b = [(i, box()) for i in range(60)], [(i, box() if i % 9 else (0.25 * i, 1.0, 9.0, 9.0)) for i in range(70)]
+        classes = lambda rows, side: [{"side": side, "frame": 0, "class": 1000 * side + n, **dict(zip("xywh", x, strict=True)), "ids": [i for i, y in rows if y == x]} for n, x in enumerate(sorted({x for _, x in rows}))]
+        kinds = pa.schema({"side": pa.int32(), "frame": pa.int32(), "class": pa.int64(), **dict.fromkeys("xywh", pa.float64()), "ids": pa.list_(pa.int64())})
+        rest, got = classes(a, 0) + classes(b, 1), set()
+        while rest:
+            table = pa.Table.from_pylist(rest, schema=kinds)
+            one, two = (table.filter(pa.array([r["side"] == s for r in rest])) for s in (0, 1))
+            out = taken(listed(one, two, 0.3), table).to_pylist()
+            now = {(r["track_id"], r["region_id"]) for r in out if r["side"] is None}
+            assert now, "each round takes a pair"
+            got |= now
+            rest = [{c: r[c] for c in kinds.names} for r in out if r["side"] is not None]
+        left, right, want = set(), set(), set()
+        for minus, t, r in sorted((-overlap(list(x), list(y)), t, r) for t, x in a for r, y in b):
+            if -minus > 0.3 and t not in left and r not in right:
+                left.add(t), right.add(r), want.add((t, r))
+        assert got == want
+    frame = lambda rows, name: spark.createDataFrame([(0, i, *x) for i, x in rows], f"frame int, {name} int, x double, y double, w double, h double")
+    assert {(r.track_id, r.region_id) for r in sequences.region_match(frame(a, "track_id"), frame(b, "region_id")).collect()} == want
+
+
 def test_mask_areas_are_flood_fills(spark):
     rng = random.Random(2)
     grids = {k: [[rng.random() for _ in range(9)] for _ in range(9)] for k in range(5)}

@@ -208,6 +208,21 @@ def test_mask_areas_are_flood_fills(spark):
         assert got[k] == (pytest.approx(share), len(kept), pytest.approx(sum(kept) / 81))
 
 
+def test_mask_areas_take_no_job_for_each_step(spark):
+    """An area that winds through its map is labelled at once: no job for each step along it; a map without values at the threshold has no area."""
+    n = 15
+    winding = [(1, y, x, float(y % 2 == 0 or x == (n - 1 if y % 4 == 1 else 0))) for y in range(n) for x in range(n)]
+    pixels = spark.createDataFrame([*winding, (2, 0, 0, 0.0), (2, 0, 1, None)], "k int, y bigint, x bigint, value double")
+    spark.sparkContext.setJobGroup("winding", "")
+    got = {r.k: r for r in sequences.mask_summary(pixels, "k", 0.5).collect()}
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("winding")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    cells = sum(v for _, _, _, v in winding)
+    assert (got[1].share, got[1].areas, got[1].kept_share) == (pytest.approx(cells / n**2), 1, pytest.approx(cells / n**2))
+    assert (got[2].share, got[2].areas, got[2].kept_share) == (0.0, 0, 0.0)
+    assert len(jobs) < 6
+
+
 def test_quotas_take_the_best_source_each_time(spark):
     rows = [("a", "x", 50, 100), ("a", "y", 5, 100), ("b", "x", 30, 30), ("c", "y", 40, 400), ("d", "z", 99, 1)]
     plan = splits.quota_plan(spark.createDataFrame(rows, "source string, class string, rows bigint, bytes bigint"), {"x": 60, "y": 20}, 40)

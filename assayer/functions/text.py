@@ -138,12 +138,15 @@ def _paths(begins: str, between: str) -> str:
 
 def scrub(reason: Column, most: int = 240) -> Column:
     """A reason without statements and file paths, on one line and not too long."""
-    hidden = F.substring_index(reason, "[SQL:", 1)
+    said = F.substring_index(reason, "[SQL:", 1)
+    hidden = said
     for kind, begins in _BEGINS.items():
         hidden = F.regexp_replace(hidden, _paths(begins, "/" if kind == "root" else r"\\/"), "<file>")
+    hidden = F.when(said.contains("/") | said.contains("\\"), hidden).otherwise(said)  # a path has a separator
     words = F.array_join(F.filter(F.split(hidden, r"\s+"), lambda w: w != ""), " ")
-    of_database = F.exists(F.array(F.lit("Session's transaction has been rolled back"), F.lit("(sqlite3.")), lambda mark: F.contains(F.substring_index(reason, "[SQL:", 1), mark))
-    return F.when((reason != "") & of_database, DATABASE_ERROR).when(F.length(words) > most, F.concat(F.left(words, F.lit(most - 1)), F.lit("…"))).otherwise(words)
+    short = F.transform(F.array(words), lambda w: F.when(F.length(w) > most, F.concat(F.left(w, F.lit(most - 1)), F.lit("…"))).otherwise(w))[0]  # bound to a name: used three times, made once
+    of_database = F.exists(F.array(F.lit("Session's transaction has been rolled back"), F.lit("(sqlite3.")), lambda mark: F.contains(said, mark))
+    return F.when((reason != "") & of_database, DATABASE_ERROR).otherwise(short)
 
 
 def stated_date(value: Column) -> Column:

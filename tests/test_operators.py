@@ -449,3 +449,9 @@ def test_statements_say_no_more_than_the_record(spark):
     assert "is 31 times more probable if not the file was edited" in got[2]
     assert "between 15 and 100 times more probable if not" in got[3] and got[3].endswith("That does not show that it came from a camera.")
     assert "hardly tell" in got[4] and "opposite directions" in got[5] and got[6] == "No calibrated detector ran on this question."
+
+
+def test_scrub_makes_its_words_once(spark):
+    df = spark.createDataFrame([("ab  " * 100,), ("open /srv/a b/c.bin  now",), (None,), ("",)], "r string").select(text.scrub(F.col("r")).alias("s"))
+    assert [r.s for r in df.collect()] == [("ab " * 80)[:239] + "…", "open <file> now", None, ""]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1

@@ -455,3 +455,22 @@ def test_scrub_makes_its_words_once(spark):
     df = spark.createDataFrame([("ab  " * 100,), ("open /srv/a b/c.bin  now",), (None,), ("",)], "r string").select(text.scrub(F.col("r")).alias("s"))
     assert [r.s for r in df.collect()] == [("ab " * 80)[:239] + "…", "open <file> now", None, ""]
     assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_range_join_sorts_tokens_among_evidence(spark):
+    """What a plain loop supports, beside edges of blocks too, with two shuffles in all."""
+    rng = random.Random(7)
+    tokens = ["1,024", "1023.5", "2047.96", "0", "102400%", "7%", "0.5%", *[f"{rng.uniform(0, 3000):.{rng.randrange(3)}f}{rng.choice(('', '%'))}" for _ in range(300)]]
+    known = [1024.4, 1023.6, 2048.0, 0.3, 1024.0, 0.071, None, *[rng.uniform(0, 3000) if i % 2 else rng.uniform(0, 30) for i in range(200)]]
+    rows = [(k, t) for k in (1, 2) for t in tokens]
+    found = grounding.range_join(spark.createDataFrame([*rows, *rows[:9], (3, "4")], "k int, token string"), spark.createDataFrame([(k, n) for k in (1, 2) for n in known[k - 1 :: k]], "k int, n double"), "k")
+
+    def supported(t: str, of: list) -> bool:
+        v, slack = float(t.replace(",", "").rstrip("%")), 0.5 * 10.0 ** -len(t.rstrip("%").partition(".")[2]) + 1e-9
+        return any(abs(n * s - v) <= slack for n in of if n is not None for s in ((1.0, 100.0) if t.endswith("%") else (1.0,)))
+
+    want = {(k, t): supported(t, known[k - 1 :: k]) for k, t in rows} | {(3, "4"): False}
+    got = [((r.k, r.token), r.supported) for r in found.collect()]
+    assert len(got) == len(want) and dict(got) == want and 0 < sum(want.values()) < len(want)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.rpartition("Initial Plan")[2].count("Exchange") == 2

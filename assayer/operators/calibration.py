@@ -26,6 +26,9 @@ _DRAWS = np.cumsum([np.exp(-1) / float(np.prod(range(1, k + 1))) for k in range(
 
 def drawn(keys: np.ndarray, reps: int) -> np.ndarray:
     """How often each key (a 64-bit hash) is drawn in each resample: by hash, so nothing is collected and a key's rows stay together."""
+    own, back = np.unique(keys, return_inverse=True)
+    if 2 * len(own) < len(keys):  # groups: few keys, many rows
+        return drawn(own, reps)[back]
     out = np.empty((len(keys), reps), np.uint8)
     for r in range(reps):
         h = keys ^ np.uint64((0x9E3779B97F4A7C15 * (r + 1)) & (2**64 - 1))
@@ -36,7 +39,10 @@ def drawn(keys: np.ndarray, reps: int) -> np.ndarray:
 
 
 def _sums(rows: DataFrame, reps: int, thetas: dict[tuple[str, int], np.ndarray] | None, counts: dict[tuple[str, int], tuple[float, float]] | None) -> dict[tuple[str, int], np.ndarray]:
-    """For each (detector, resample): positives and negatives, or at its theta the loss, two gradient and three curvature sums."""
+    """For each (detector, resample): positives and negatives, or at its theta the loss, two gradient and three curvature sums; resamples without a theta are left out."""
+
+    def of(name: str) -> list[int]:
+        return [r for r in range(reps) if thetas is None or (name, r) in thetas]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -44,23 +50,29 @@ def _sums(rows: DataFrame, reps: int, thetas: dict[tuple[str, int], np.ndarray]
             g, x, y = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(), batch.column(2).to_numpy()
             keys = batch.column(3).to_numpy().view(np.uint64)
             for name in set(g.tolist()):
-                own = np.flatnonzero(g == name)
+                own, live = np.flatnonzero(g == name), of(name)
+                if not live:
+                    continue
+                if thetas is not None:
+                    a, b = np.array([thetas[name, r] for r in live]).T
+                    n = np.array([counts[name, r] for r in live])
+                    hit, miss = (n[:, 0] + 1) / (n[:, 0] + 2), 1 / (n[:, 1] + 2)
                 for i in range(0, len(own), AT_ONCE):
                     at = own[i : i + AT_ONCE]
-                    w = drawn(keys[at], reps).astype(np.float64) if reps > 1 else np.ones((len(at), 1))
-                    xs, ys = x[at][:, None], y[at][:, None]
+                    w = drawn(keys[at], reps)[:, live].astype(np.float64) if reps > 1 else np.ones((len(at), 1))
+                    xs, ys = x[at], y[at]
                     if thetas is None:
-                        part = np.stack([(w * ys).sum(0), (w * (1 - ys)).sum(0)])
+                        part = np.stack([ys @ w, (1 - ys) @ w])
                     else:
-                        ab = np.array([thetas.get((name, r), (np.nan, np.nan)) for r in range(reps)])
-                        n = np.array([counts[name, r] for r in range(reps)])
-                        z = ab[:, 0] * xs + ab[:, 1]
-                        t = np.where(ys > 0, (n[:, 0] + 1) / (n[:, 0] + 2), 1 / (n[:, 1] + 2))
-                        p = 0.5 * (1 + np.tanh(0.5 * z))
+                        z = np.outer(xs, a) + b
+                        t = np.where(ys[:, None] > 0, hit, miss)
+                        small = np.exp(-np.abs(z))
+                        p = np.where(z > 0, 1.0, small) / (1 + small)
                         v, e = w * (p * (1 - p) + 1e-12), w * (p - t)
-                        part = np.stack([(w * (np.logaddexp(0.0, z) - t * z)).sum(0), (e * xs).sum(0), e.sum(0), (v * xs * xs).sum(0), (v * xs).sum(0), v.sum(0)])
+                        loss = np.einsum("ij,ij->j", w, np.maximum(z, 0) + np.log1p(small) - t * z)
+                        part = np.vstack([loss, np.stack([xs, np.ones_like(xs)]) @ e, np.stack([xs * xs, xs, np.ones_like(xs)]) @ v])
                     total[name] = total.get(name, 0) + part
-        flat = [(name, r, s[:, r].tolist()) for name, s in total.items() for r in range(reps)]
+        flat = [(name, r, s[:, j].tolist()) for name, s in total.items() for j, r in enumerate(of(name))]
         yield pa.RecordBatch.from_pydict({"g": pa.array([f[0] for f in flat], pa.string()), "rep": pa.array([f[1] for f in flat], pa.int32()), "s": pa.array([f[2] for f in flat], pa.list_(pa.float64()))})
 
     n = 2 if thetas is None else 6
@@ -90,7 +102,7 @@ def fit_platt(rows: DataFrame, by: str, reps: int = 1, group: str = "id", rounds
             loss, ga, gb, aa, ab, bb = sums[k]
             theta = live[k]
             loss += 0.5 * RIDGE * theta[0] ** 2
-            if k in base and not loss <= base[k][1]:
+            if k in base and not loss <= base[k][1] * (1 + 1e-12):  # sums differ by that much in another order
                 scale[k] /= 2
                 if scale[k] <= 1e-8:
                     done[k] = base[k][0]

@@ -474,3 +474,22 @@ def test_range_join_sorts_tokens_among_evidence(spark):
     assert len(got) == len(want) and dict(got) == want and 0 < sum(want.values()) < len(want)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.rpartition("Initial Plan")[2].count("Exchange") == 2
+
+
+def test_bootstrap_sums_only_what_has_not_settled(spark):
+    """Sums of the resamples that have a theta alone, as a plain sum over rows gives them; a key's draws do not depend on how many rows it has."""
+    rng = np.random.default_rng(3)
+    x, y, key = rng.normal(size=500), (rng.random(500) < 0.4).astype(float), rng.integers(-(2**62), 2**62, 7)[rng.integers(0, 7, 500)]
+    df = spark.createDataFrame([("d", float(a), float(b), int(k)) for a, b, k in zip(x, y, key, strict=True)], "g string, x double, y double, key bigint")
+    counts = {k: tuple(v) for k, v in calibration._sums(df, 5, None, None).items()}
+    assert set(counts) == {("d", r) for r in range(5)}
+    got = calibration._sums(df, 5, {("d", 1): np.array([1.3, -0.2]), ("d", 4): np.array([40.0, 9.0])}, counts)
+    assert set(got) == {("d", 1), ("d", 4)}
+    for (_, r), (a, b) in {("d", 1): (1.3, -0.2), ("d", 4): (40.0, 9.0)}.items():
+        w = np.concatenate([calibration.drawn(np.array([k], np.int64).view(np.uint64), 5)[:, r] for k in key]).astype(float)
+        n = counts["d", r]
+        assert n == pytest.approx(((w * y).sum(), (w * (1 - y)).sum()))
+        t, z = np.where(y > 0, (n[0] + 1) / (n[0] + 2), 1 / (n[1] + 2)), a * x + b
+        p = 0.5 * (1 + np.tanh(z / 2))
+        v, e = w * (p * (1 - p) + 1e-12), w * (p - t)
+        assert got["d", r] == pytest.approx([(w * (np.logaddexp(0, z) - t * z)).sum(), (e * x).sum(), e.sum(), (v * x * x).sum(), (v * x).sum(), v.sum()], rel=1e-9, abs=1e-9)

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assayer.sources import longfiles
+
+#: A file up to this many bytes is read whole.
+WHOLE = 64 << 20
 #: Labels and splits that a manifest may hold.
 LABELS, SPLITS = ["real", "manipulated", "ai_generated"], ["val", "test", "holdout"]
 KNOWN = "id string, file string, label string, group string, kind string, generator string, mask string, split string, tags array<string>"
@@ -51,10 +55,21 @@ def problems(items: DataFrame, files: DataFrame) -> DataFrame:
     return twice.unionByName(split).unionByName(gone("file", "file")).unionByName(gone("mask", "mask")).unionByName(leaks)
 
 
-def digests(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(name, bytes, sha256) of every file in a folder; a file over 2 GB fails the read, and one without bytes is not listed by Spark."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
-    return files.select(F.substring_index("path", "/", -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+def digests(spark: SparkSession, path: str, pattern: str = "*", whole: int = WHOLE, step: int = longfiles.STEP) -> DataFrame:
+    """(name, bytes, sha256) of every file in a folder; one without bytes is not listed by Spark.
+
+    A file of more than `whole` bytes is not read by one task, but by steps (`longfiles`); if its name is that of a packed file it is,
+    and then fails over 2 GB.
+    """
+    read = lambda source: spark.read.format(source).option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    long = (F.col("_metadata.file_size") > whole) & ~F.col("_metadata.file_name").rlike(longfiles.PACKED)  # of the listing: of others nothing is read
+    files, name = read("binaryFile").load(path), F.substring_index("path", "/", -1).alias("name")
+    short = files.where(~long).select(name, F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    listed = files.where(long).select("path", "length", F.col("_metadata.file_path").alias("file"))
+    if listed.isEmpty():
+        return short
+    lines = read("text").option("lineSep", "\n").load(path).where(long)
+    return short.unionByName(longfiles.digests(spark, lines, listed, step).select(name, F.col("length").alias("bytes"), "sha256"))
 
 
 def checked(files: DataFrame, sums: DataFrame) -> DataFrame:

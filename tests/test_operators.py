@@ -15,7 +15,7 @@ from assayer.functions import stats, text
 from assayer.operators import audit, calibration, evaluation, grounding, ranks, sequences, splits
 from assayer.plans import streams
 from assayer.plans.grounding import tampered
-from assayer.sources import manifests, scratch, tables
+from assayer.sources import longfiles, manifests, scratch, tables
 
 
 def scored(spark, n=400, seed=0, separable=False):
@@ -241,6 +241,31 @@ def test_files_and_locks(spark, tmp_path):
         manifests.read_lock(spark, path)
 
 
+def test_long_files_are_read_by_steps(spark, tmp_path):
+    rng = random.Random(5)
+    mark = b"\xef\xbb\xbf"
+    files = {"random.bin": rng.randbytes(9_000), "a b%.bin": mark + rng.randbytes(4_000) + b"x", "end.bin": mark + rng.randbytes(4_000) + b"\n", "ends.bin": b"\r\n" * 2_500 + b"\n\n", "none.bin": b"\0" * 7_000, "short.bin": b"s" * 10, "packed.gz": rng.randbytes(900)}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    small = {"spark.sql.sources.binaryFile.maxLength": 1_000, "spark.sql.files.maxPartitionBytes": 2_000, "spark.sql.files.openCostInBytes": 1}  # in place of 2 GB and 128 MB
+    before = {k: spark.conf.get(k) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        got = {r.name: (r.bytes, r.sha256) for r in manifests.digests(spark, str(tmp_path), whole=500, step=3_000).collect()}
+        assert got == {name: (len(data), hashlib.sha256(data).hexdigest()) for name, data in files.items()}
+        lines = spark.read.format("text").option("lineSep", "\n").load(str(tmp_path / "random.bin"))
+        listed = lines.select("_metadata.file_path").distinct().select(F.lit("random.bin").alias("path"), F.lit(9_001).cast("bigint").alias("length"), F.col("file_path").alias("file"))
+        steps = longfiles.pieces(lines, listed.withColumn("place", F.lit(0)), 3_000).groupBy("step").agg(F.sum("bytes").alias("bytes")).collect()
+        line = max(map(len, files["random.bin"].split(b"\n"))) + 1
+        assert len(steps) == 3 and max(r.bytes for r in steps) <= 3_000 + 2_000 + line
+        with pytest.raises(Exception, match="other bytes were read"):  # more bytes are read than the file should have, or fewer
+            longfiles.digests(spark, lines, listed.withColumn("length", F.col("length") + 9), 3_000).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_manifests_refuse_labels_and_take_lists(spark, tmp_path):
     (tmp_path / "m.json").write_text(json.dumps([{"file": "a", "label": "real"}, {"file": "b", "label": "ai_generated", "kind": "k", "more": 3}], indent=1))
     got = {r.id: (r.group, r.generator, r.extra) for r in manifests.scan_manifest(spark, str(tmp_path / "m.json"), multiline=True).collect()}

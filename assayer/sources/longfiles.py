@@ -96,7 +96,7 @@ def _advance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def pieces(lines: DataFrame, files: DataFrame, step: int) -> DataFrame:
     """The bytes of files (place, file) from rows of the text source, stored by step: place, start of the block, n (order in a block), bytes, data, step.
 
-    files is broadcast: a row for each long file, fewer than Spark's own listing of them holds on the driver.
+    files is broadcast: a row for each long file, less than Spark's own listing of the folder holds on the driver.
     """
     m = F.col("_metadata")
     rows = lines.select(m["file_path"].alias("file"), m["file_block_start"].alias("start"), F.concat(F.col("value").cast("binary"), F.lit(b"\n")).alias("line"))

@@ -3,8 +3,8 @@
 The digest is one chain over a file's bytes, but a task need not see them all: many tasks read the blocks of the files once, and then step
 after step adds STEP bytes of each file, one file a task, to the state that the step before left.  Spark reads a file by blocks only as
 lines, whose bytes the text source hands on unchanged: with "\\n" as the only separator it drops no byte but the separators themselves
-and a byte order mark at the start, and the file's length tells whether there were one and a last separator.  A file of which other
-bytes came fails.  A line is read by one task and must fit its memory.
+and a byte order mark at the start, and the file's length tells whether there were one and a last separator.  Lines over LINE bytes are
+dropped, so that none fills a task; a file of which other bytes came than it has gets no digest here and has to be read whole.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from assayer.sources import scratch
 
 #: Bytes of a file that a task adds to its state, up to a block and a line more.
 STEP = 128 << 20
+#: The longest line that the text source hands on, by the option that says so.
+LINE = {"mapreduce.input.linerecordreader.line.maxlength": 16 << 20}
 #: Files that the text source would unpack.
 PACKED = r"(?i)\.(bz2|deflate|gz|gzip|lz4|passthrough|snappy|zst|zstd)$"
 _BOM = b"\xef\xbb\xbf"
@@ -70,7 +72,7 @@ def _advance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     file = sha = None
 
     def left() -> pa.RecordBatch:
-        whole = file["done"] == file["length"]
+        whole = file["marked"] is not None and file["done"] == file["length"]
         return pa.RecordBatch.from_pylist([file | {"data": sha.at.raw, "sha256": sha.digest() if whole else None}], schema)
 
     schema = pa.schema([("place", pa.int32()), ("start", pa.int64()), ("path", pa.string()), ("length", pa.int64()), ("marked", pa.bool_()), ("done", pa.int64()), ("data", pa.binary()), ("sha256", pa.string())])
@@ -108,15 +110,14 @@ def pieces(lines: DataFrame, files: DataFrame, step: int) -> DataFrame:
 
 
 def digests(spark: SparkSession, lines: DataFrame, files: DataFrame, step: int = STEP) -> DataFrame:
-    """(path, length, sha256) of files (path, length, file: as _metadata.file_path has it), whose rows by the text source are lines."""
+    """(path, length, sha256) of files (path, length, file: as _metadata.file_path has it), whose rows by the text source are lines; null if bytes are missing."""
     placed = files.select("path", "length", "file").rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
     files = scratch.kept(spark.createDataFrame(placed, "path string, length bigint, file string, place int"), "files")
     count, longest = files.agg(F.count("*"), F.max("length")).first()
     parts = pieces(lines, files, step)
     more = F.coalesce("total", F.lit(0)) - F.col("length")  # 1: the last line has no end in the file; 3 less: its mark is missing
-    other = F.raise_error(F.concat(F.col("path"), F.lit(": other bytes were read than it has")))
     state = files.join(parts.groupBy("place").agg(F.sum("bytes").alias("total")), "place", "left").select(
-        "place", F.lit(-1).cast("bigint").alias("start"), "path", "length", F.when(more.isin(0, 1, -3, -2), more < 0).otherwise(other).alias("marked"),
+        "place", F.lit(-1).cast("bigint").alias("start"), "path", "length", F.when(more.isin(0, 1, -3, -2), more < 0).alias("marked"),
         F.lit(0).cast("bigint").alias("done"), F.lit(None).cast("binary").alias("data"), F.lit(None).cast("string").alias("sha256"),
     )
     for i in range(longest // step + 1):
@@ -125,4 +126,4 @@ def digests(spark: SparkSession, lines: DataFrame, files: DataFrame, step: int =
         if i:
             scratch.drop(before)
     scratch.drop(parts)
-    return state.select("path", "length", F.coalesce("sha256", other).alias("sha256"))
+    return state.select("path", "length", "sha256")

@@ -58,18 +58,22 @@ def problems(items: DataFrame, files: DataFrame) -> DataFrame:
 def digests(spark: SparkSession, path: str, pattern: str = "*", whole: int = WHOLE, step: int = longfiles.STEP) -> DataFrame:
     """(name, bytes, sha256) of every file in a folder; one without bytes is not listed by Spark.
 
-    A file of more than `whole` bytes is not read by one task, but by steps (`longfiles`); if its name is that of a packed file it is,
-    and then fails over 2 GB.
+    A file of more than `whole` bytes is not read by one task, but by steps (`longfiles`); if its name is that of a packed file or a line
+    of it is too long it is read whole, and then fails over 2 GB.
     """
     read = lambda source: spark.read.format(source).option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
     long = (F.col("_metadata.file_size") > whole) & ~F.col("_metadata.file_name").rlike(longfiles.PACKED)  # of the listing: of others nothing is read
     files, name = read("binaryFile").load(path), F.substring_index("path", "/", -1).alias("name")
-    short = files.where(~long).select(name, F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    digest = lambda rows: rows.select(name, F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    short = digest(files.where(~long))
     listed = files.where(long).select("path", "length", F.col("_metadata.file_path").alias("file"))
     if listed.isEmpty():
         return short
-    lines = read("text").option("lineSep", "\n").load(path).where(long)
-    return short.unionByName(longfiles.digests(spark, lines, listed, step).select(name, F.col("length").alias("bytes"), "sha256"))
+    lines = read("text").options(lineSep="\n", **longfiles.LINE).load(path).where(long)
+    found = longfiles.digests(spark, lines, listed, step)
+    if left := [r.file for r in found.where("sha256 is null").join(listed, "path").select("file").collect()]:
+        short = short.unionByName(digest(files.where(F.col("_metadata.file_path").isin(left))))
+    return short.unionByName(found.where("sha256 is not null").select(name, F.col("length").alias("bytes"), "sha256"))
 
 
 def checked(files: DataFrame, sums: DataFrame) -> DataFrame:

@@ -71,9 +71,9 @@ def stream_rate_limit(s, d):
 
 def stream_tracks(s, d):
     """The track of each region of each medium, frame by frame."""
-    f = keyed.feed(s, f"{d}/lineitem.parquet", "l_shipdate")
+    f, late = keyed.by_time(s, f"{d}/lineitem.parquet", "l_shipdate", LATE)
     regions = f.rows.select(F.col("l_shipdate").alias("ts"), (F.col("l_suppkey") % 20).alias("media_id"), F.datediff("l_shipdate", F.lit("1992-01-01")).cast("bigint").alias("frame"), F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").alias("id"), *[F.expr(e).alias(n) for n, e in (("x", "double(l_quantity)"), ("y", "double(l_quantity) / 2"), ("w", "10D + double(l_tax) * 100"), ("h", "10D + double(l_discount) * 100"), ("confidence", "double(l_quantity) / 50"))])
-    return rounded(keyed.drained(keyed.tracks(regions, late=LATE, idle=6 * 86_400), "tracks", f))
+    return rounded(keyed.drained(keyed.tracks(regions, late=late, idle=6 * 86_400), "tracks", f))
 
 
 @query("""SELECT media_id, min(frame_index) AS start_frame, max(frame_index) AS end_frame, round(max(combined_score), 6) AS peak_score FROM (SELECT *, sum((hot AND NOT was)::INT) OVER (PARTITION BY media_id ORDER BY frame_index) AS run FROM (SELECT *, combined_score >= 0.45 AS hot, coalesce(lag(combined_score >= 0.45) OVER (PARTITION BY media_id ORDER BY frame_index), false) AS was FROM v_frames)) WHERE hot OR was GROUP BY media_id, run""")

@@ -7,7 +7,8 @@ watermark's delay; later ones are dropped and counted (`Drained.late`).  A timer
 again when a key has been idle for so long that nothing can follow: then what is open is given and the key is forgotten.
 
 A feed reads a table as a stream, whether it is one file or a folder of files, a number of them a batch.  It can be closed, which moves
-the watermark past all rows.
+the watermark past all rows.  A table whose keys are few and large is laid out by time first (`by_time`), so that a state holds the rows of a few
+files and not the table.
 """
 
 from __future__ import annotations
@@ -16,10 +17,12 @@ import hashlib
 import io
 import json
 import math
+import time as clock
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import groupby
+from itertools import groupby, islice
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,6 +65,30 @@ def feed(spark: SparkSession, path: str, time: str = "ts", files: int = 100) ->
     return Feed(rows.unionByName(spark.readStream.schema(rows.schema).parquet(end)), rows.schema, time, end)
 
 
+#: Rows of a file of a table that is laid out by time.
+SLICE = 2_000_000
+
+
+def by_time(spark: SparkSession, path: str, time: str = "ts", late: str = "4000 days") -> tuple[Feed, str]:
+    """A feed of a table, and the delay that it needs: `late`, or a second if the rows come in the order of time.
+
+    For that the table is written again to files of one range of time each, which a stream reads one a batch in the order of their times of change.  A
+    table that fills one file, or a file system that doesn't keep those times, is fed in any order.
+    """
+    table = spark.read.parquet(path)
+    n = -(-table.count() // SLICE)
+    if n < 2:
+        return feed(spark, path, time), late
+    at = place(spark, "by-time")
+    table.repartitionByRange(n, time).write.option("maxRecordsPerFile", 0).parquet(at)
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(f) for f in sorted(spark.read.parquet(at).inputFiles())]  # named by their ranges' numbers
+    fs, begin = paths[0].getFileSystem(spark._jsc.hadoopConfiguration()), int(clock.time()) - len(paths)
+    for i, p in enumerate(paths):
+        fs.setTimes(p, (begin + i) * 1000, -1)
+    ordered = all(fs.getFileStatus(p).getModificationTime() == (begin + i) * 1000 for i, p in enumerate(paths))
+    return (feed(spark, at, time, 1), "1 second") if ordered else (feed(spark, at, time), late)
+
+
 @dataclass
 class Drained:
     """What a stream gave until its source was empty, and how many rows came behind the watermark."""
@@ -97,6 +124,8 @@ def timed(rows: DataFrame, late: str) -> DataFrame:
 
 #: Parts that keys are dealt into by hash: the keys of a part share a state, a timer and the calls of a task.
 PARTS = 4096
+#: Rows of a key that a step takes at once.
+PIECE = 50_000
 
 
 def _packed(rows: pd.DataFrame) -> bytes | None:
@@ -119,30 +148,45 @@ def _part(*key: str) -> Column:
 def in_order(rows: DataFrame, key: list[str], order: list[str], fields: str, start: object, step: Callable, late: str, idle: float | None = None, finish: Callable | None = None) -> DataFrame:
     """A stream of `fields` from rows (key…, ts, …), each key's rows by `order`.
 
-    step(key, value, rows) takes rows that the watermark has passed and returns the key's new value and rows of output; with `early` among its
-    attributes it also gets those that wait, and returns the indexes of those that still do.  finish(key, value) gives what is open when a key has
-    had no row for `idle` seconds; it is then forgotten.  Values are lists, numbers and texts, kept as JSON.
+    step(key, value, rows) takes rows that the watermark has passed, PIECE at most, and returns the key's new value and rows of output; with `early` among its
+    attributes it gets all, also those that wait, and returns the indexes of those that still do; with `whole` it gets all that are due as a table.  finish(key, value)
+    gives what is open when a key has had no row for `idle` seconds; it is then forgotten.  Values are lists, numbers and texts, kept as JSON.
     """
     names = ["own", *[c for c in rows.columns if c not in ("ts", *key)], "micros"]
-    early, begin = getattr(step, "early", False), json.dumps(start)
+    early, whole_key, begin = getattr(step, "early", False), getattr(step, "whole", False), json.dumps(start)
+
+    def pieces(rows: pd.DataFrame) -> Iterator[tuple]:
+        if whole_key:
+            yield from rows.groupby("own", sort=False)
+        else:
+            for own, each in groupby(rows.itertuples(), key=lambda r: r.own):
+                while piece := list(islice(each, None if early else PIECE)):
+                    yield own, piece
+
+    def given(out: list) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=columns, dtype=object).astype(whole)  # as objects: a part's null keys would make floats of whole ones
 
     def run(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         known, held = (json.loads(state.get[0]), state.get[1]) if state.exists else ({}, None)  # own: value, latest time
         waiting = _unpacked(held)
         if not state.hasTimedOut:
             waiting += [p[names] for p in parts]
-        passed, out = state.getCurrentWatermarkMs(), []
+        passed = state.getCurrentWatermarkMs()
         wait = pd.concat(waiting).sort_values(["own", *order], ignore_index=True) if waiting else pd.DataFrame(columns=names)
         for own, latest in wait.groupby("own")["micros"].max().items():
             value, last = known.get(own) or (json.loads(begin), 0)
             known[own] = [value, max(last, int(latest))]
         due = wait["micros"].astype("int64") <= passed * 1000
-        kept = [] if early else list(wait.index[~due])
-        for own, each in groupby((wait if early else wait[due]).itertuples(), key=lambda r: r.own):
-            value, given, *rest = step(tuple(json.loads(own).values()), known[own][0], list(each), *([passed * 1000] if early else []))
+        kept, out = [] if early else wait.index[~due], []
+        for own, piece in pieces(wait if early else wait[due]):
+            value, new, *rest = step(tuple(json.loads(own).values()), known[own][0], piece, *([passed * 1000] if early else []))
             known[own][0] = value
-            out += given
-            kept += rest[0] if early else []
+            out += new
+            if early:
+                kept += rest[0]
+            if len(out) >= PIECE:
+                yield given(out)
+                out = []
         wait = wait.loc[kept]
         if idle is not None:
             still = set(wait["own"])
@@ -159,7 +203,7 @@ def in_order(rows: DataFrame, key: list[str], order: list[str], fields: str, sta
                 state.setTimeoutTimestamp(max(passed + 1, min(ends)))
         elif state.exists:
             state.remove()
-        yield pd.DataFrame(out, columns=columns, dtype=object).astype(whole)  # as objects: a part's null keys would make floats of whole ones
+        yield given(out)
 
     kinds = [f.strip().split(" ") for f in fields.split(",")]
     columns, whole = [k[0] for k in kinds], {k[0]: "float64" if k[1] == "double" else "Int64" for k in kinds if k[1] in ("bigint", "int", "double")}
@@ -239,39 +283,119 @@ def overlap(a: list[float], b: list[float]) -> float:
     return w * h / union if union > 0 else 0.0
 
 
+#: Pairs of boxes that are compared at once.
+AT_ONCE = 1 << 17
+#: How often pairs are taken that are best for both; what ties leave behind that is sorted.
+ROUNDS = 50
+
+
+def _overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """overlap() of each box of a with each of b."""
+    def side(at: int, size: int) -> np.ndarray:
+        common = np.minimum((a[:, at] + a[:, size])[:, None], b[:, at] + b[:, size])
+        common -= np.maximum(a[:, at][:, None], b[:, at])
+        return np.maximum(common, 0.0, out=common)
+
+    both = side(0, 2)
+    both *= side(1, 3)
+    union = np.add((a[:, 2] * a[:, 3])[:, None], b[:, 2] * b[:, 3])
+    union -= both
+    if union.min(initial=1.0) > 0:
+        return np.divide(both, union, out=both)
+    return np.divide(both, union, out=np.zeros_like(both), where=union > 0)
+
+
+def _best(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(to, most, back): the box of b that each of a overlaps most and by how much, and that of a for each of b; ties go to the first, and overlaps of `least` or less don't count.
+
+    Both sides are compared in order of x, a block of a with those of b that stand near enough: of two boxes the common width is over least / (1 + least) of both widths.
+    """
+    to, most, back, top = np.zeros(len(a), int), np.zeros(len(a)), np.zeros(len(b), int), np.zeros(len(b))
+    rank, order, share = np.argsort(b[:, 0], kind="stable"), np.argsort(a[:, 0], kind="stable"), least / (1 + least)
+    b, n = b[rank], max(1, AT_ONCE // len(b))
+    wide, narrow, slack = b[:, 2].max(), b[:, 2].min(), 1e-6 * (1 + np.abs(a).max() + np.abs(b).max())
+    for rows in (np.sort(order[k : k + n]) for k in range(0, len(a), n)):
+        x, w = a[rows, 0], a[rows, 2]
+        i, j = np.searchsorted(b[:, 0], (x.min() + share * w.min() - (1 - share) * wide - slack, x.max() + (1 - share) * w.max() - share * narrow + slack))
+        if i < j:
+            o, ids = _overlaps(a[rows], b[i:j]), rank[i:j]
+            most[rows] = o.max(1)
+            to[rows] = np.where(o == most[rows][:, None], ids, len(b)).min(1)
+            best, of = o.max(0), rows[o.argmax(0)]
+            better = (best > top[ids]) | ((best == top[ids]) & (of < back[ids]))
+            top[ids[better]], back[ids[better]] = best[better], of[better]
+    return to, np.where(most > least, most, 0.0), back
+
+
+def matched(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Which box of a (rows of x, y, w, h) each of b goes to, or -1: pairs that overlap by more than `least`, the best first, one to one; ties go to the first of a, then of b.
+
+    A pair that is the best of both its boxes is taken whatever the others are, so all such pairs are taken at once, and again among the boxes that are left.
+    """
+    of, rows, cols, rounds = np.full(len(b), -1), np.arange(len(a)), np.arange(len(b)), 0
+    while len(rows) * len(cols) > AT_ONCE and rounds < ROUNDS:
+        to, most, back = _best(a[rows], b[cols], least)
+        good = (most > 0) & (back[to] == np.arange(len(rows)))
+        if not good.any():
+            return of
+        of[cols[to[good]]] = rows[good]
+        rows, cols, rounds = rows[(most > 0) & ~good], np.delete(cols, to[good]), rounds + 1
+    if not len(rows) or not len(cols):
+        return of
+    o = _overlaps(a[rows], b[cols])
+    o[~(o > least)] = 0.0
+    while o.size and rounds < ROUNDS:
+        at, to, back = np.arange(len(o)), o.argmax(1), o.argmax(0)
+        good = (o[at, to] > 0) & (back[to] == at)
+        if not good.any():
+            return of
+        of[cols[to[good]]] = rows[good]
+        left, stay = (o[at, to] > 0) & ~good, np.delete(np.arange(len(cols)), to[good])
+        o, rows, cols, rounds = o[np.ix_(left, stay)], rows[left], cols[stay], rounds + 1
+    i, j = np.nonzero(o)
+    taken = set()
+    for k in np.lexsort((j, i, -o[i, j])).tolist():
+        if i[k] not in taken and of[cols[j[k]]] < 0:
+            of[cols[j[k]]] = rows[i[k]]
+            taken.add(i[k])
+    return of
+
+
 def tracks(regions: DataFrame, least: float = 0.3, sure: float = 0.4, decay: float = 0.85, lost: int = 5, late: str = "1 hour", idle: float | None = None) -> DataFrame:
     """(media_id, frame, id, track, confidence): the track of each region (media_id, ts, frame, id, x, y, w, h, confidence), frame by frame.
 
     Regions go to the active track that they overlap most, one to one; sure ones without a track begin one, named by its first frame and a
-    place there; a track that is not seen fades, and after `lost` frames it is gone.  The state holds active tracks only; set `idle` to
+    place there; a track that is not seen fades, and after `lost` frames it is gone.  Overlaps are compared in blocks (`matched`).  The state holds active tracks only; set `idle` to
     the time of `lost` frames or more, and a medium without regions leaves no state.
     """
-    def step(key: tuple, value: list, due: list) -> tuple[list, list]:
+    def step(key: tuple, value: list, due: pd.DataFrame) -> tuple[list, list]:
         active, out = {int(r[0]): list(r[1:]) for r in value}, []  # track: last frame, box, confidence
-        for frame, group in groupby(sorted(due, key=lambda r: r.frame), key=lambda r: r.frame):
-            found = list(group)
+        due = due.sort_values("frame", kind="stable")
+        frames, ids, boxes, confidence = due["frame"].to_numpy(), due["id"].to_numpy(), due[["x", "y", "w", "h"]].to_numpy(np.float64), due["confidence"].tolist()
+        starts = np.flatnonzero(np.diff(frames, prepend=frames[:1] - 1)).tolist()
+        for begin, end in zip(starts, [*starts[1:], len(frames)], strict=True):
+            frame = int(frames[begin])
             for t in [t for t, v in active.items() if frame - v[0] > lost]:
                 del active[t]
-            boxes = {r.id: [r.x, r.y, r.w, r.h] for r in found}
-            pairs = sorted((-overlap(v[1:5], b), t, i) for t, v in active.items() for i, b in boxes.items())
-            of: dict[int, int] = {}
-            for minus, t, i in pairs:
-                if -minus > least and i not in of and t not in of.values():
-                    of[i] = t
+            named, last = np.unique(ids[begin:end][::-1], return_index=True)  # an id that comes twice has its last box
+            order = sorted(active)
+            to = matched(np.array([active[t][1:5] for t in order]).reshape(-1, 4), boxes[begin:end][::-1][last], least)
+            of = {int(i): order[k] for i, k in zip(named.tolist(), to.tolist(), strict=True) if k >= 0}
             new = 0
-            for r in found:
-                if r.id not in of and r.confidence >= sure:
-                    of[r.id] = int(frame) << 20 | new
+            for i, box, sureness in zip(ids[begin:end].tolist(), boxes[begin:end].tolist(), confidence[begin:end], strict=True):
+                if i not in of and sureness >= sure:
+                    of[i] = frame << 20 | new
                     new += 1
-                if r.id in of:
-                    active[of[r.id]] = [float(frame), r.x, r.y, r.w, r.h, r.confidence]
-                out.append((key[0], frame, r.id, of.get(r.id), r.confidence))
+                if i in of:
+                    active[of[i]] = [float(frame), *box, sureness]
+                out.append((key[0], frame, i, of.get(i), sureness))
             seen = set(of.values())
             for t, v in active.items():
                 if t not in seen:
                     v[5] *= decay
         return [[t, *map(float, v)] for t, v in active.items()], out
 
+    step.whole = True
     cols = ["media_id", "ts", "frame", "id", "x", "y", "w", "h", "confidence"]
     return in_order(regions.select(*cols), ["media_id"], ["micros", "frame", "id"], "media_id bigint, frame bigint, id bigint, track bigint, confidence double", [], step, late, idle)
 

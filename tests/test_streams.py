@@ -1,6 +1,7 @@
 """Streams in several orders of files beside their batch forms, on tables that are files or folders."""
 
 import datetime
+import itertools
 import os
 
 import pytest
@@ -123,6 +124,23 @@ def test_many_keys_share_few_states(spark, tmp_path, monkeypatch, kind):
         assert sorted(r.run_id for r in got.collect()) == keys[1::2]
 
 
+def test_tracks_are_matched_in_blocks(monkeypatch):
+    """Greedy pairs, ties included, beside a sorted list of all; hundreds of boxes a frame don't make a list of pairs."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    for block, (n, m, most) in itertools.product((64, 1 << 17), ((40, 30, 50), (60, 60, 3), (50, 60, 1), (0, 4, 9), (1, 1, 1))):
+        monkeypatch.setattr(keyed, "AT_ONCE", block)
+        a, b = (np.stack([x, x / 2, 10 + rng.integers(0, 3, k), 10.0 + rng.integers(0, 3, k)], 1) for k, x in ((k, rng.integers(0, most, k).astype(float)) for k in (n, m)))
+        of = {}
+        for minus, t, i in sorted((-keyed.overlap(x, y), t, i) for t, x in enumerate(a.tolist()) for i, y in enumerate(b.tolist())):
+            if -minus > 0.3 and i not in of and t not in of.values():
+                of[i] = t
+        assert keyed.matched(a, b, 0.3).tolist() == [of.get(i, -1) for i in range(m)]
+    same = np.tile([[1.0, 1.0, 5.0, 5.0]], (200, 1))
+    assert keyed.matched(same, same, 0.3).tolist() == list(range(200))
+
+
 def test_tables_that_are_folders(spark, data, tmp_path):
     """Five files, one a batch: the queries of a folder give what those of a file give."""
     tables.table(spark, data, "events").repartition(5).write.parquet(f"{tmp_path}/events.parquet")

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from assayer.operators import audit, retrieval, splits
+from assayer.operators import audit, grounding, retrieval, splits
 from assayer.sources.scratch import kept
 
 
@@ -92,3 +92,30 @@ def test_verify_shuffles_digests_once(spark):
     assert (out[5].first_broken_sequence, out[5].events_checked) == (7, 6)
     assert out[0].events_checked == 20 and size < 60_000
     assert "BroadcastHashJoin" not in (plan := audit.verify(with_twin)._jdf.queryExecution().toString()) and "SortMergeJoin" not in plan
+
+
+def test_grounding_shuffles_texts_once(spark):
+    """No token or fact is shuffled: one exchange of the texts of answers and results, whatever follows."""
+    n = 300
+    answers = spark.createDataFrame([(i, f"Order {i} of {i + 7} weighs {i}.5 kg [T1, T2]. It is {i % 90}% done on 2024-01-0{i % 9 + 1} 10:00 [T3].") for i in range(n)], "k int, text string")
+    evidence = spark.createDataFrame([(i, f"T{j}", f'{{"order": {i}, "list": [1, 2, {i + 7}], "at": "2024-01-0{i % 7 + 1}T10:00:00.25Z", "share": {(i % 90) / 100}}}') for i in range(n) for j in (1, 2)], "k int, id string, text string")
+    found = grounding.grounded(answers, evidence, "k")
+    whole = found.groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    got = {}
+    records, _ = shuffled(spark, lambda: got.update({r.k: r.text for r in whole.collect()}))
+    assert records == 3 * n  # a row for each token, fact and sentence before, several times
+    assert got[3] == "Order 3 of 10 weighs [unverified] kg [T1, T2].\nIt is 3% done on 2024-01-04 10:00 ." and "[unverified] ." in got[7]
+
+
+def test_times_that_stand_in_a_result(spark):
+    """Every time of which a result holds the characters, with a blank or a T, and no other."""
+    result = "x2024-03-05T10:20:30.123+02:00y 2023-01-02 07:08Z 99991-12-31 2020:01:02 03:04:05 2019-05-06T11:12:13.5 1999-09-09T01:02:3"
+    days = ["2024-03-05", "2023-01-02", "9991-12-31", "9999-12-31", "2019-05-06", "1999-09-09"]
+    clocks = ["", "T10:20", "T10:20:30", "T10:20:30.1", "T10:20:30.12", "T10:20:30.123", "T10:20:30.123+02:00", "T10:20:30.12+02:00", "T10:20:30+02:00", "T10:20:30.1234", "T10:20+02:00", "T07:08", "T07:08Z", "T07:08:00", "T11:12:13.5", "T11:12:13.5Z", "T11:12:13.", "T01:02", "T01:02:03"]
+    times = [day + c for day in days for c in clocks if not c.endswith(".")]
+    times += [t.replace("T", " ") for t in times] + ["2020:01:02 03:04:05", "2020:01:02 03:04:06"]
+    answers = spark.createDataFrame([(i, f"Taken on {t}, they say.") for i, t in enumerate(times)], "k int, text string")
+    evidence = spark.createDataFrame([(i, "T1", result) for i in range(len(times))], "k int, id string, text string")
+    for r in grounding.grounded(answers, evidence, "k").where("place = 0").collect():
+        stands = times[r.k] in result or times[r.k].replace(" ", "T") in result
+        assert ("unsupported_timestamp" not in [f.type for f in r.flags]) == stands, (times[r.k], r.flags)

@@ -51,8 +51,8 @@ _DETECTOR = "CASE event_id % 6 WHEN 0 THEN 'learned_a' WHEN 1 THEN 'geometric_a'
 p AS (SELECT detector, good, value FROM e WHERE event_type NOT IN ('error', 'signup')), w AS (SELECT detector, good, list(value) OVER (PARTITION BY detector ORDER BY good ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS v FROM p)
 SELECT f.detector, event_id AS detection_id, CASE WHEN failures >= 3 THEN 'FAILING' WHEN failures > 0 THEN 'DEGRADED' ELSE 'OPERATIONAL' END AS state, failures, round(list_sort(v)[least(len(v), floor(0.95 * len(v))::INT + 1)], 6) AS p95 FROM f LEFT JOIN w ON w.detector = f.detector AND w.good = f.good""")
 def stream_health(s, d):
-    f, e = _events(s, d)
-    return rounded(keyed.drained(keyed.health(_runs(e), late=LATE), "health", f))
+    f, late = keyed.by_time(s, f"{d}/events.parquet", ["event_id", "ts", "event_type", "value"], late=LATE)
+    return rounded(keyed.drained(keyed.health(_runs(f.rows), late=late), "health", f))
 
 
 @query("""SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS window_start, detector, count(*) AS runs, count(*) FILTER (execution_status='FAILED') AS failed, count(*) FILTER (execution_status='INCONCLUSIVE') AS inconclusive FROM v_detections GROUP BY 1, 2""")
@@ -71,7 +71,7 @@ def stream_rate_limit(s, d):
 
 def stream_tracks(s, d):
     """The track of each region of each medium, frame by frame."""
-    f, late = keyed.by_time(s, f"{d}/lineitem.parquet", "l_shipdate", LATE)
+    f, late = keyed.by_time(s, f"{d}/lineitem.parquet", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_tax", "l_discount", "l_shipdate"], "l_shipdate", LATE)
     regions = f.rows.select(F.col("l_shipdate").alias("ts"), (F.col("l_suppkey") % 20).alias("media_id"), F.datediff("l_shipdate", F.lit("1992-01-01")).cast("bigint").alias("frame"), F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").alias("id"), *[F.expr(e).alias(n) for n, e in (("x", "double(l_quantity)"), ("y", "double(l_quantity) / 2"), ("w", "10D + double(l_tax) * 100"), ("h", "10D + double(l_discount) * 100"), ("confidence", "double(l_quantity) / 50"))])
     return rounded(keyed.drained(keyed.tracks(regions, late=late, idle=6 * 86_400), "tracks", f))
 

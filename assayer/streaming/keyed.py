@@ -69,8 +69,8 @@ def feed(spark: SparkSession, path: str, time: str = "ts", files: int = 100) ->
 SLICE = 2_000_000
 
 
-def by_time(spark: SparkSession, path: str, time: str = "ts", late: str = "4000 days") -> tuple[Feed, str]:
-    """A feed of a table, and the delay that it needs: `late`, or a second if the rows come in the order of time.
+def by_time(spark: SparkSession, path: str, columns: list[str], time: str = "ts", late: str = "4000 days") -> tuple[Feed, str]:
+    """A feed of a table's columns at least, and the delay that it needs: `late`, or a second if the rows come in the order of time.
 
     For that the table is written again to files of one range of time each, which a stream reads one a batch in the order of their times of change.  A
     table that fills one file, or a file system that doesn't keep those times, is fed in any order.
@@ -80,7 +80,7 @@ def by_time(spark: SparkSession, path: str, time: str = "ts", late: str = "4000
     if n < 2:
         return feed(spark, path, time), late
     at = place(spark, "by-time")
-    table.repartitionByRange(n, time).write.option("maxRecordsPerFile", 0).parquet(at)
+    table.select(*columns).repartitionByRange(n, time).write.option("maxRecordsPerFile", 0).parquet(at)
     paths = [spark._jvm.org.apache.hadoop.fs.Path(f) for f in sorted(spark.read.parquet(at).inputFiles())]  # named by their ranges' numbers
     fs, begin = paths[0].getFileSystem(spark._jsc.hadoopConfiguration()), int(clock.time()) - len(paths)
     for i, p in enumerate(paths):
@@ -217,19 +217,24 @@ def health(runs: DataFrame, failing_after: int = 3, window: int = 50, late: str
 
     The state holds failures in a row and the last `window` durations of productive runs; skipped runs are neutral.
     """
-    def step(key: tuple, value: list, due: list) -> tuple[list, list]:
-        (failures, durations), out = value, []
-        for r in due:
-            if r.execution_status == "FAILED":
-                failures += 1
-            elif r.execution_status != "SKIPPED":
-                failures = 0
-                durations = [*durations, float(r.duration)][-window:]
-            ranked = sorted(durations)
-            p95 = ranked[min(len(ranked) - 1, int(0.95 * len(ranked)))] if ranked else None
-            out.append((key[0], r.detection_id, "FAILING" if failures >= failing_after else "DEGRADED" if failures else "OPERATIONAL", failures, p95))
-        return [failures, durations], out
+    def step(key: tuple, value: list, due: pd.DataFrame) -> tuple[list, list]:
+        failures, durations = value
+        failed, counts = (due["execution_status"] == "FAILED").to_numpy(), (~due["execution_status"].isin(["FAILED", "SKIPPED"])).to_numpy()
+        run = np.cumsum(failed) + failures  # failures so far, less those before the latest productive run
+        run -= np.maximum.accumulate(np.where(counts, run, 0))
+        every = np.concatenate([durations, due["duration"].to_numpy(np.float64)[counts]])
+        ends, p95 = np.cumsum(counts) + len(durations), np.full(len(every) + 1, np.nan)
+        for n in range(1, min(window, len(every) + 1)):
+            p95[n] = np.sort(every[:n])[min(n - 1, int(0.95 * n))]
+        for at in range(0, len(every) - window + 1, PIECE):
+            spans = np.lib.stride_tricks.sliding_window_view(every[at : at + PIECE + window - 1], window)
+            p95[at + window : at + window + len(spans)] = np.sort(spans, 1)[:, min(window - 1, int(0.95 * window))]
+        state = np.where(run >= failing_after, "FAILING", np.where(run > 0, "DEGRADED", "OPERATIONAL")).tolist()
+        ranked = [p if e else None for p, e in zip(p95[ends].tolist(), ends.tolist(), strict=True)]
+        out = list(zip([key[0]] * len(due), due["detection_id"].tolist(), state, run.tolist(), ranked, strict=True))
+        return [int(run[-1]), every[-window:].tolist()], out
 
+    step.whole = True
     rows = runs.select("detector", "detection_id", "ts", "execution_status", F.col("duration").cast("double").alias("duration"))
     return in_order(rows, ["detector"], ["micros", "detection_id"], "detector string, detection_id bigint, state string, failures int, p95 double", [0, []], step, late, idle)
 

@@ -141,6 +141,21 @@ def test_tracks_are_matched_in_blocks(monkeypatch):
     assert keyed.matched(same, same, 0.3).tolist() == list(range(200))
 
 
+def test_tables_by_time_hold_few_rows(spark, data, monkeypatch):
+    """Files of one range of time each, read in order: nothing is late, and a state holds a few files' rows."""
+    queries = ((streams.stream_health, ["detector", "detection_id", "state", "failures", "p95"]), (streams.stream_tracks, ["media_id", "frame", "id", "track", "confidence"]))
+    want = [rows(q(spark, data).na.fill(-1), *cols) for q, cols in queries]
+    monkeypatch.setattr(keyed, "SLICE", 1_500)
+    assert rows(streams.stream_tracks(spark, data).na.fill(-1), *queries[1][1]) == want[1]
+    monkeypatch.setattr(keyed, "SLICE", 250)
+    monkeypatch.setattr(keyed, "PIECE", 20)  # a key's rows come to a step in pieces
+    assert rows(streams.stream_health(spark, data).na.fill(-1), *queries[0][1]) == want[0]
+    feed, late = keyed.by_time(spark, f"{data}/events.parquet", ["event_id", "ts", "event_type", "value"], late=streams.LATE)
+    done = keyed.drain(keyed.health(streams._runs(feed.rows), late=late), "h")
+    table = spark.read.parquet(f"{data}/events.parquet").count()
+    assert late == "1 second" and done.late == 0 and table - 600 < done.rows.count() < table  # all but the last files' rows before the feed is closed
+
+
 def test_tables_that_are_folders(spark, data, tmp_path):
     """Five files, one a batch: the queries of a folder give what those of a file give."""
     tables.table(spark, data, "events").repartition(5).write.parquet(f"{tmp_path}/events.parquet")

@@ -54,6 +54,14 @@ def test_hamming_join_spreads_crowded_bands(spark):
     assert got == {(i, j, (x ^ y).bit_count()) for i, x in enumerate(codes) for j, y in enumerate(codes) if (x ^ y).bit_count() <= 3}
 
 
+def test_hamming_join_deals_copies_of_one_code(spark):
+    """Pairs of rows of one code are listed by many tasks, and by none all of them."""
+    df = spark.createDataFrame([(i, 7 if i < 3_000 else i << 20) for i in range(3_200)], "id bigint, code bigint")
+    found = retrieval.hamming_join(df.where("id % 2 = 0"), df.where("id % 2 = 1"), 0)
+    sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 1_500 * 1_500 == found.distinct().count() and max(sizes) < 0.6 * sum(sizes)  # all in one task before
+
+
 def test_drop_near_meets_lists_and_takes_the_least_id(spark):
     rng = random.Random(7)
     codes = [rng.randrange(1 << 12) for _ in range(400)]

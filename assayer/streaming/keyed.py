@@ -203,7 +203,8 @@ def in_order(rows: DataFrame, key: list[str], order: list[str], fields: str, sta
                 state.setTimeoutTimestamp(max(passed + 1, min(ends)))
         elif state.exists:
             state.remove()
-        yield given(out)
+        if out:
+            yield given(out)
 
     kinds = [f.strip().split(" ") for f in fields.split(",")]
     columns, whole = [k[0] for k in kinds], {k[0]: "float64" if k[1] == "double" else "Int64" for k in kinds if k[1] in ("bigint", "int", "double")}
@@ -332,12 +333,65 @@ def _best(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.nd
     return to, np.where(most > least, most, 0.0), back
 
 
+def _classes(boxes: np.ndarray) -> tuple[np.ndarray, list[list[int]]]:
+    """The different boxes, and the places of each in order."""
+    own, of = np.unique(boxes, axis=0, return_inverse=True)
+    order = np.argsort(of.ravel(), kind="stable")
+    return own, [c.tolist() for c in np.split(order, np.cumsum(np.bincount(of.ravel(), minlength=len(own)))[:-1])]
+
+
+def _matched_classes(a: np.ndarray, in_a: list[list[int]], b: np.ndarray, in_b: list[list[int]], least: float) -> dict[int, int]:
+    """matched() of equal boxes as classes: {place in b: place in a}.
+
+    Two classes that are the best of each other, and of no others as well, are paired in order at once.  Where bests are tied, and all that are tied are each other's best, places of a
+    take the first free place of b in turn.
+    """
+    o, of, rows, cols = _overlaps(a, b), {}, np.arange(len(a)), np.arange(len(b))
+    o[~(o > least)] = 0.0
+    while o.size:
+        first, best = o.max(1), o.max(0)
+        in_row, in_col = (o == first[:, None]) & (o > 0), (o == best) & (o > 0)
+        both = in_row & in_col
+        ready, free = (first > 0) & (both.sum(1) == in_row.sum(1)), (best > 0) & (both.sum(0) == in_col.sum(0))
+        while (wait := ready & (both & ~free).any(1)).any() or (both[~ready].any(0) & free).any():
+            ready &= ~wait
+            free &= ~both[~ready].any(0)
+        if not ready.any():
+            break
+        alone, tied = both.sum(0) == 1, []
+        for r in np.flatnonzero(ready).tolist():
+            near = np.flatnonzero(both[r]).tolist()
+            x = in_a[rows[r]]
+            if len(near) == 1 and alone[near[0]]:
+                y = in_b[cols[near[0]]]
+                of.update(zip(y, x))  # the shorter one ends
+                n = min(len(x), len(y))
+                del x[:n], y[:n]
+            else:
+                tied += [(t, r, near) for t in x]
+        for t, r, near in sorted(tied):
+            if found := min(((in_b[cols[c]][0], c) for c in near if in_b[cols[c]]), default=None):
+                of[found[0]] = t
+                in_b[cols[found[1]]].pop(0)
+                in_a[rows[r]].remove(t)
+        left, stay = (first > 0) & [bool(in_a[k]) for k in rows], np.array([bool(in_b[k]) for k in cols])
+        o, rows, cols = o[np.ix_(left, stay)], rows[left], cols[stay]
+    return of
+
+
 def matched(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
     """Which box of a (rows of x, y, w, h) each of b goes to, or -1: pairs that overlap by more than `least`, the best first, one to one; ties go to the first of a, then of b.
 
     A pair that is the best of both its boxes is taken whatever the others are, so all such pairs are taken at once, and again among the boxes that are left.
     """
     of, rows, cols, rounds = np.full(len(b), -1), np.arange(len(a)), np.arange(len(b)), 0
+    if not len(a) or not len(b):
+        return of
+    (boxes_a, in_a), (boxes_b, in_b) = _classes(a), _classes(b)
+    if 4 * len(in_a) * len(in_b) <= len(a) * len(b):
+        found = _matched_classes(boxes_a, in_a, boxes_b, in_b, least)
+        of[list(found)] = list(found.values())
+        return of
     while len(rows) * len(cols) > AT_ONCE and rounds < ROUNDS:
         to, most, back = _best(a[rows], b[cols], least)
         good = (most > 0) & (back[to] == np.arange(len(rows)))
